@@ -1,0 +1,40 @@
+"""Small helpers for writing row-local logic with built-in functions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first(items: Column) -> Column:
+    """First array entry, NULL when there is none."""
+    return F.get(items, F.lit(0))
+
+
+def last(items: Column) -> Column:
+    """Last array entry, NULL when there is none."""
+    return F.get(items, F.size(items) - 1)
+
+
+def text_literals(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+
+
+def override(base: Column, wins: Column) -> Column:
+    """Map union in which the entries of ``wins`` replace those of ``base``."""
+    kept = F.map_filter(base, lambda k, v: ~F.map_contains_key(wins, k))
+    return F.map_concat(kept, wins)
+
+
+def sparse_map(entries: dict[str, Column]) -> Column:
+    """Map of the given values without the NULL ones."""
+    keys = text_literals(list(entries))
+    values = F.array(*entries.values())
+    return F.map_filter(F.map_from_arrays(keys, values), lambda k, v: v.isNotNull())
