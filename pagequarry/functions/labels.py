@@ -6,6 +6,8 @@ and each text is scored where it is: no join, no row blow-up, no shuffle.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from pagequarry.labels import DEFAULT_THRESHOLD, field_mapping
 
 # Scripts written without blanks between words; a label in them is looked for
 # as a plain run of characters.
-UNSPACED = r"[\p{IsMyanmar}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+UNSPACED_SCRIPTS = ("MYANMAR", "CJK", "HIRAGANA", "KATAKANA")
 TOKEN_ORDER_WEIGHT = 0.95
 CONTAINED_SCORE = 90.0
 
@@ -29,17 +31,6 @@ def sort_tokens(normal: Column) -> Column:
     return F.array_join(F.array_sort(F.split(normal, " ")), " ")
 
 
-def label_struct(label: Column) -> Column:
-    normal = normalise(label)
-    return F.struct(
-        label.alias("label"),
-        normal.alias("normal"),
-        sort_tokens(normal).alias("tokens"),
-        F.length(normal).alias("len"),
-        normal.rlike(UNSPACED).alias("unspaced"),
-    )
-
-
 def label_dim(spark: SparkSession, content_type: str = "movies") -> DataFrame:
     """The label table: one row per field and label, in declared order."""
     rows = [
@@ -56,21 +47,32 @@ def label_dim(spark: SparkSession, content_type: str = "movies") -> DataFrame:
 
 def label_array(content_type: str = "movies") -> Column:
     """The label table as one constant array for ``match_field``."""
-    return _label_array({f: (m["labels"], m.get("confidence_threshold", DEFAULT_THRESHOLD)) for f, m in field_mapping(content_type).items()})
+    mapping = field_mapping(content_type).items()
+    return pattern_array({f: (m["labels"], m.get("confidence_threshold", DEFAULT_THRESHOLD)) for f, m in mapping})
 
 
-def _label_array(patterns: dict[str, tuple[list[str], int]]) -> Column:
-    entries = [
-        F.struct(
-            F.lit(field).alias("field"),
-            F.lit(order).alias("field_order"),
-            F.lit(threshold).alias("threshold"),
-            label_struct(F.lit(label)).alias("l"),
-        )
-        for order, (field, (labels, threshold)) in enumerate(patterns.items())
-        for label in labels
-    ]
-    return F.array(*entries)
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def pattern_array(patterns: dict[str, tuple[list[str], int]]) -> Column:
+    """Constant array of ``struct(field, field_order, threshold, normal, tokens, len, unspaced)``.
+
+    The few labels are normalised here, once, by the rule of ``normalise``.
+    """
+    entries = []
+    for order, (field, (labels, threshold)) in enumerate(patterns.items()):
+        for label in labels:
+            chars = [c if unicodedata.category(c)[0] in "LMN" else " " for c in label.lower()]
+            tokens = "".join(chars).split()
+            normal = " ".join(tokens)
+            unspaced = any(unicodedata.name(c, "").startswith(UNSPACED_SCRIPTS) for c in normal)
+            entries.append(
+                f"named_struct('field', {_quoted(field)}, 'field_order', {order}, 'threshold', {threshold}, "
+                f"'normal', {_quoted(normal)}, 'tokens', {_quoted(' '.join(sorted(tokens)))}, "
+                f"'len', {len(normal)}, 'unspaced', {str(unspaced).lower()})"
+            )
+    return F.expr(f"array({', '.join(entries)})")
 
 
 def _ratio(a: Column, b: Column, longest: Column) -> Column:
@@ -110,7 +112,7 @@ def match_field(text: Column, labels: Column) -> Column:
         scored = F.transform(
             labels,
             lambda e: F.struct(
-                score(normal, tokens, e["l"], e["threshold"]).alias("score"),
+                score(normal, tokens, e, e["threshold"]).alias("score"),
                 (-e["field_order"]).alias("rank"),
                 e["field"].alias("field"),
                 e["threshold"].alias("threshold"),

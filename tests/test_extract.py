@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.functions.labels import _label_array, label_dim, match_field
+from pagequarry.functions.labels import pattern_array, label_dim, match_field
 from pagequarry.labels import field_mapping, field_names, labels_for, threshold_for
 from pagequarry.operators.fields import extract_main_fields, extract_paragraph_fields, page_fields, paragraph_fields
 from pagequarry.operators.links import extract_links, rejected_links
@@ -246,7 +246,7 @@ def test_label_lookup(spark):
 
 
 def test_match_field(spark):
-    labels = _label_array({"title": (["Film Title", "Movie Title"], 80), "director": (["Director", "Directed By"], 70)})
+    labels = pattern_array({"title": (["Film Title", "Movie Title"], 80), "director": (["Director", "Directed By"], 70)})
     cases = ["Film Title", "Film Titles", "Something Completely Different", "", None, "DIRECTOR", "by directed"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
     got = [(r["m"]["field"], r["m"]["score"]) for r in df.select("i", match_field(F.col("t"), labels).alias("m")).orderBy("i").collect()]
@@ -256,7 +256,7 @@ def test_match_field(spark):
 
 
 def test_earlier_field_wins_tie(spark):
-    labels = _label_array({"a": (["Same"], 70), "b": (["Same"], 70)})
+    labels = pattern_array({"a": (["Same"], 70), "b": (["Same"], 70)})
     row = spark.range(1).select(match_field(F.lit("same"), labels).alias("m")).first()["m"]
     assert row["field"] == "a"
 
