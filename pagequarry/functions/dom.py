@@ -1,76 +1,73 @@
-"""Selections over the node array of a page (see ``operators.parse``).
+"""Selections over the node array of a page (see ``operators.parse``), as SQL text.
 
-Everything here is a Column over one row.  A descendant test compares ids
-instead of walking parents: ``c.id < n.id <= c.last``.
+Everything here works within one row.  A descendant test compares ids instead
+of walking parents: ``c.id < n.id <= c.last``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from pagequarry.functions.columns import first, let
+from pagequarry.functions.sql import each, first, keep, let, lit, lits, some
 from pagequarry.functions.text import strip
 from pagequarry.schema import TEXT_TAG
 
 
-def is_text(n: Column) -> Column:
-    return n["tag"] == TEXT_TAG
+def is_text(n: str) -> str:
+    return f"({n}.tag = '{TEXT_TAG}')"
 
 
-def elements(nodes: Column, *tags: str) -> Column:
-    return F.filter(nodes, lambda n: n["tag"].isin(*tags))
+def elements(nodes: str, *tags: str) -> str:
+    return keep(nodes, lambda n: f"{n}.tag in ({lits(tags)})")
 
 
-def attr(n: Column, name: str) -> Column:
-    return n["attrs"][name]
+def attr(n: str, name: str) -> str:
+    return f"{n}.attrs[{lit(name)}]"
 
 
-def has_class(n: Column, name: str) -> Column:
-    return F.coalesce(F.array_contains(F.split(attr(n, "class"), r"\s+"), name), F.lit(False))
+def has_class(n: str, name: str) -> str:
+    return rf"coalesce(array_contains(split({attr(n, 'class')}, r'\s+'), {lit(name)}), false)"
 
 
-def below(nodes: Column, containers: Column) -> Column:
-    """Nodes lying under any of the containers."""
-    return F.when(F.size(containers) == 0, F.slice(nodes, 1, 0)).otherwise(
-        F.filter(nodes, lambda n: F.exists(containers, lambda c: (n["id"] > c["id"]) & (n["id"] <= c["last"])))
-    )
+def is_below(n: str, c: str) -> str:
+    return f"({n}.id > {c}.id and {n}.id <= {c}.last)"
 
 
-def subtree(nodes: Column, n: Column) -> Column:
-    """Descendants of a node: one contiguous slice."""
-    return F.slice(nodes, n["id"] + 2, n["last"] - n["id"])
+def below(nodes: str, containers: str) -> str:
+    """Nodes lying under any of the containers."""
+    return let(containers, lambda cs: keep(nodes, lambda n: some(cs, lambda c: is_below(n, c))))
 
 
-def tag_count(tags: Column, tag: str) -> Column:
-    """How often ``tag`` occurs in an array of tag names."""
-    return (F.size(tags) - F.size(F.array_remove(tags, tag))).cast("long")
+def subtree(nodes: str, n: str) -> str:
+    """Descendants of a node: one contiguous slice of the page's nodes."""
+    return f"slice({nodes}, {n}.id + 2, {n}.last - {n}.id)"
 
 
-def texts(nodes: Column) -> Column:
-    return F.transform(F.filter(nodes, is_text), lambda n: n["text"])
+def texts(nodes: str) -> str:
+    return each(keep(nodes, is_text), lambda n: f"{n}.text")
 
 
-def own_texts(nodes: Column, parents: Column) -> Column:
+def own_texts(nodes: str, parents: str) -> str:
     """Text nodes directly inside any of ``parents``, in document order."""
-    return let(
-        F.transform(parents, lambda p: p["id"]),
-        lambda ids: F.transform(
-            F.filter(nodes, lambda n: is_text(n) & F.array_contains(ids, n["parent"])), lambda n: n["text"]
-        ),
-    )
+
+    def of(ids: str) -> str:
+        return each(keep(nodes, lambda n: f"{is_text(n)} and array_contains({ids}, {n}.parent)"), lambda n: f"{n}.text")
+
+    return let(each(parents, lambda p: f"{p}.id"), of)
 
 
-def string_value(nodes: Column, n: Column) -> Column:
-    """All text below a node, joined as it stands."""
-    return F.array_join(texts(subtree(nodes, n)), "")
+def string_value(nodes: str, n: str) -> str:
+    """All text below a node, joined as it stands; NULL for no node."""
+    return f"array_join({texts(subtree(nodes, n))}, '')"
 
 
-def stripped_texts(nodes: Column) -> Column:
+def stripped_texts(nodes: str) -> str:
     """Text nodes stripped, blank ones left out."""
-    return F.filter(F.transform(texts(nodes), strip), lambda t: t != "")
+    return keep(each(texts(nodes), strip), lambda t: f"{t} <> ''")
+
+
+def unless_blank(x: str) -> str:
+    return let(x, lambda t: f"case when {strip(t)} <> '' then {t} end")
 
 
 @dataclass(frozen=True)
@@ -87,43 +84,39 @@ class Selector:
     inside: Selector | None = None
     take: str = "text"
 
-    def matches(self, nodes: Column) -> Column:
-        def ok(n: Column) -> Column:
-            test = ~is_text(n) if self.tag is None else n["tag"] == self.tag
-            if self.cls:
-                test = test & has_class(n, self.cls)
-            if self.class_like:
-                test = test & F.coalesce(F.contains(attr(n, "class"), F.lit(self.class_like)), F.lit(False))
-            return test
-
-        found = F.filter(nodes, ok)
-        if self.inside is None:
-            return found
-        return let(self.inside.matches(nodes), lambda outer: below(found, outer))
-
-    def first_result(self, nodes: Column, found: Column) -> Column:
+    def _ok(self, n: str) -> str:
+        tests = [f"{n}.tag = {lit(self.tag)}" if self.tag else f"not {is_text(n)}"]
+        if self.cls:
+            tests.append(has_class(n, self.cls))
+        if self.class_like:
+            tests.append(f"contains(coalesce({attr(n, 'class')}, ''), {lit(self.class_like)})")
+        return " and ".join(tests)
+
+    def matches(self, nodes: str) -> str:
+        found = keep(nodes, self._ok)
+        return below(found, self.inside.matches(nodes)) if self.inside else found
+
+    def first_result(self, nodes: str, found: str) -> str:
         if self.take == "text":
             return first(own_texts(nodes, found))
         if self.take == "deep":
-            own = first(own_texts(nodes, found))
-            deeper = first(texts(below(nodes, found)))
-            return let(own, lambda t: F.when(strip(t) != "", t).otherwise(deeper))
-        return first(F.filter(F.transform(found, lambda n: attr(n, self.take)), lambda v: v.isNotNull()))
+            return f"coalesce({unless_blank(first(own_texts(nodes, found)))}, {first(texts(below(nodes, found)))})"
+        return first(keep(each(found, lambda n: attr(n, self.take)), lambda v: f"{v} is not null"))
 
 
-def select_value(nodes: Column, selectors: list[Selector]) -> Column:
+def select_value(nodes: str, selectors: list[Selector]) -> str:
     """Value of a field by selector priority, before cleaning; NULL when blank everywhere.
 
     First round: the first result of each selector in turn.  Second round: the
     whole text of the first element of each selector in turn.
     """
     if not selectors:
-        return F.lit(None).cast("string")
+        return "cast(NULL as string)"
 
-    def pick(found: list[Column]) -> Column:
+    def pick(m: str) -> str:
+        found = [f"{m}[{i}]" for i in range(len(selectors))]
         results = [s.first_result(nodes, f) for s, f in zip(selectors, found)]
-        wholes = [let(first(f), lambda n: string_value(nodes, n)) for f in found]
-        return F.coalesce(*[let(v, lambda t: F.when(strip(t) != "", t)) for v in results + wholes])
+        wholes = [let(first(f), lambda n: f"case when {n} is not null then {string_value(nodes, n)} end") for f in found]
+        return f"coalesce({', '.join(unless_blank(v) for v in results + wholes)})"
 
-    matched = F.array(*[s.matches(nodes) for s in selectors])
-    return let(matched, lambda m: pick([F.get(m, F.lit(i)) for i in range(len(selectors))]))
+    return let(f"array({', '.join(s.matches(nodes) for s in selectors)})", pick)

@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.functions.columns import let
+from pagequarry.functions.sql import each, keep, let, lit, struct
 from pagequarry.functions.text import strip
 from pagequarry.labels import DEFAULT_THRESHOLD, field_mapping
 
@@ -22,13 +21,13 @@ TOKEN_ORDER_WEIGHT = 0.95
 CONTAINED_SCORE = 90.0
 
 
-def normalise(x: Column) -> Column:
+def normalise(x: str) -> str:
     """Lower case, anything but letters, marks and digits as one blank."""
-    return F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{M}\p{N}]+", " "))
+    return rf"trim(regexp_replace(lower({x}), r'[^\p{{L}}\p{{M}}\p{{N}}]+', ' '))"
 
 
-def sort_tokens(normal: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(normal, " ")), " ")
+def sort_tokens(normal: str) -> str:
+    return f"array_join(array_sort(split({normal}, ' ')), ' ')"
 
 
 def label_dim(spark: SparkSession, content_type: str = "movies") -> DataFrame:
@@ -45,17 +44,13 @@ def label_dim(spark: SparkSession, content_type: str = "movies") -> DataFrame:
     )
 
 
-def label_array(content_type: str = "movies") -> Column:
+def label_array(content_type: str = "movies") -> str:
     """The label table as one constant array for ``match_field``."""
     mapping = field_mapping(content_type).items()
     return pattern_array({f: (m["labels"], m.get("confidence_threshold", DEFAULT_THRESHOLD)) for f, m in mapping})
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def pattern_array(patterns: dict[str, tuple[list[str], int]]) -> Column:
+def pattern_array(patterns: dict[str, tuple[list[str], int]]) -> str:
     """Constant array of ``struct(field, field_order, threshold, normal, tokens, len, unspaced)``.
 
     The few labels are normalised here, once, by the rule of ``normalise``.
@@ -68,63 +63,58 @@ def pattern_array(patterns: dict[str, tuple[list[str], int]]) -> Column:
             normal = " ".join(tokens)
             unspaced = any(unicodedata.name(c, "").startswith(UNSPACED_SCRIPTS) for c in normal)
             entries.append(
-                f"named_struct('field', {_quoted(field)}, 'field_order', {order}, 'threshold', {threshold}, "
-                f"'normal', {_quoted(normal)}, 'tokens', {_quoted(' '.join(sorted(tokens)))}, "
-                f"'len', {len(normal)}, 'unspaced', {str(unspaced).lower()})"
+                struct(
+                    field=lit(field),
+                    field_order=lit(order),
+                    threshold=lit(threshold),
+                    normal=lit(normal),
+                    tokens=lit(" ".join(sorted(tokens))),
+                    len=lit(len(normal)),
+                    unspaced=lit(unspaced),
+                )
             )
-    return F.expr(f"array({', '.join(entries)})")
+    return f"array({', '.join(entries)})"
 
 
-def _ratio(a: Column, b: Column, longest: Column) -> Column:
-    return F.lit(100.0) * (F.lit(1.0) - F.levenshtein(a, b) / longest)
+def score(text: str, tokens: str, label: str) -> str:
+    """0-100 likeness of a normalised text to a label of ``label_array``.
 
+    A score that cannot reach the label's threshold may come out as 0: the edit
+    distance is never below the difference in length, so it is not computed then.
+    """
+    longest = f"greatest(length({text}), {label}.len)"
+    near = f"100d * (1d - abs(length({text}) - {label}.len) / {longest}) >= {label}.threshold - 1"
 
-def score(text: Column, tokens: Column, label: Column, at_least: Column) -> Column:
-    """0-100 likeness of a normalised text to a label.
+    def ratio(a: str, b: str) -> str:
+        return f"100d * (1d - levenshtein({a}, {b}) / {longest})"
 
-    Scores that cannot reach ``at_least`` may be given as 0: the edit distance
-    is never below the difference in length, so it is not computed then.
-    """
-    longest = F.greatest(F.length(text), label["len"])
-    gap = F.abs(F.length(text) - label["len"])
-    near = F.lit(100.0) * (F.lit(1.0) - gap / longest) >= at_least - 1
-    edit = F.when(
-        near,
-        F.greatest(
-            _ratio(text, label["normal"], longest),
-            F.lit(TOKEN_ORDER_WEIGHT) * _ratio(tokens, label["tokens"], longest),
-        ),
-    ).otherwise(0.0)
-    inside = F.when(label["unspaced"], F.contains(text, label["normal"])).otherwise(
-        F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), label["normal"], F.lit(" ")))
+    edit = (
+        f"if({near}, greatest({ratio(text, f'{label}.normal')}, "
+        f"{TOKEN_ORDER_WEIGHT}d * ({ratio(tokens, f'{label}.tokens')})), 0d)"
+    )
+    inside = (
+        f"if({label}.unspaced, contains({text}, {label}.normal), "
+        f"contains(concat(' ', {text}, ' '), concat(' ', {label}.normal, ' ')))"
     )
-    contained = F.when((label["len"] > 0) & inside, CONTAINED_SCORE).otherwise(0.0)
-    return F.round(F.greatest(edit, contained)).cast("int")
+    return f"cast(round(greatest({edit}, if({label}.len > 0 and {inside}, {CONTAINED_SCORE}d, 0d))) as int)"
 
 
-def match_field(text: Column, labels: Column) -> Column:
+def match_field(text: str, labels: str) -> str:
     """``struct(field, score)``; field NULL and score 0 when no field reaches its threshold.
 
     The best score wins, and the earlier field on a tie.
     """
 
-    def best(normal: Column, tokens: Column) -> Column:
-        scored = F.transform(
+    def best(normal: str, tokens: str) -> str:
+        scored = each(
             labels,
-            lambda e: F.struct(
-                score(normal, tokens, e, e["threshold"]).alias("score"),
-                (-e["field_order"]).alias("rank"),
-                e["field"].alias("field"),
-                e["threshold"].alias("threshold"),
+            lambda e: struct(
+                score=score(normal, tokens, e), rank=f"-{e}.field_order", field=f"{e}.field", threshold=f"{e}.threshold"
             ),
         )
-        hit = F.array_max(F.filter(scored, lambda s: s["score"] >= s["threshold"]))
-        return let(
-            hit,
-            lambda h: F.struct(h["field"].alias("field"), F.coalesce(h["score"], F.lit(0)).alias("score")),
-        )
+        hit = f"array_max({keep(scored, lambda s: f'{s}.score >= {s}.threshold')})"
+        return let(hit, lambda h: struct(field=f"{h}.field", score=f"coalesce({h}.score, 0)"))
 
-    normal = normalise(F.coalesce(text, F.lit("")))
-    found = let(normal, lambda n: let(sort_tokens(n), lambda t: best(n, t)))
-    none = F.struct(F.lit(None).cast("string").alias("field"), F.lit(0).alias("score"))
-    return F.when(F.coalesce(strip(text), F.lit("")) == "", none).otherwise(found)
+    found = let(normalise(text), lambda n: let(sort_tokens(n), lambda t: best(n, t)))
+    nothing = struct(field="cast(NULL as string)", score="0")
+    return f"if(coalesce({strip(text)}, '') = '', {nothing}, {found})"

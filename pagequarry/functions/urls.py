@@ -1,14 +1,11 @@
-"""URL resolution (RFC 3986) and link checks, all built-in functions."""
+"""URL resolution (RFC 3986) and link checks, as SQL text over built-in functions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from pagequarry.functions.columns import let
+from pagequarry.functions.sql import let, lit, struct
 from pagequarry.functions.text import strip
 
-# RFC 3986, appendix B: groups 2 scheme, 3 //authority, 4 authority, 5 path, 6 ?query, 7 query
+# RFC 3986, appendix B: groups 2 scheme, 4 authority, 5 path, 7 query
 PARTS = r"(?s)^(([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?"
 
 # The reasons a link is turned down for.
@@ -19,96 +16,87 @@ NON_CRAWLABLE = "Non-crawlable scheme"
 MALFORMED = "Unsupported or malformed URL format"
 
 
-def url_parts(u: Column) -> Column:
-    def part(group: int) -> Column:
-        return F.regexp_extract(u, PARTS, group)
+def _part(u: str, group: int) -> str:
+    return f"regexp_extract({u}, r'{PARTS}', {group})"
+
 
-    return F.struct(
-        F.lower(part(2)).alias("scheme"),
-        part(4).alias("host"),
-        part(5).alias("path"),
-        part(7).alias("query"),
-    )
+def url_parts(u: str) -> str:
+    return struct(scheme=f"lower({_part(u, 2)})", host=_part(u, 4), path=_part(u, 5), query=_part(u, 7))
 
 
-def host_of(u: Column) -> Column:
+def host_of(u: str) -> str:
     """Host without user info and port, lower case."""
-    authority = F.lower(F.regexp_extract(u, PARTS, 4))
-    return F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$", "")
+    return rf"regexp_replace(lower({_part(u, 4)}), r'^.*@|:\d*$', '')"
 
 
-def drop_fragment(u: Column) -> Column:
-    return F.substring_index(u, "#", 1)
+def drop_fragment(u: str) -> str:
+    return f"substring_index({u}, '#', 1)"
 
 
-def remove_dots(path: Column) -> Column:
+def remove_dots(path: str) -> str:
     """Apply ``.`` and ``..`` segments."""
-    segments = F.split(path, "/")
-    walked = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-        .when(s == ".", done)
-        .otherwise(F.array_append(done, s)),
-    )
-    joined = F.array_join(walked, "/")
-    return F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+    def walk(segments: str) -> str:
+        done = (
+            f"aggregate({segments}, cast(array() as array<string>), (done, s) -> case "
+            "when s = '..' then slice(done, 1, greatest(size(done) - 1, 0)) "
+            "when s = '.' then done else array_append(done, s) end)"
+        )
+        return f"concat(array_join({done}, '/'), if(element_at({segments}, -1) in ('.', '..'), '/', ''))"
+
+    return let(f"split({path}, '/')", walk)
 
 
-def _merge(base_path: Column, path: Column) -> Column:
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
-    return F.regexp_replace(F.concat(folder, path), "(?<=.)/{2,}(?=.)", "/")
+def _merge(base_path: str, path: str) -> str:
+    folder = f"regexp_replace({base_path}, '[^/]*$', '')"
+    return f"regexp_replace(concat({folder}, {path}), '(?<=.)/{{2,}}(?=.)', '/')"
 
 
-def _absolute(scheme: Column, host: Column, path: Column, query: Column) -> Column:
-    rooted = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    tail = F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
-    return F.concat(scheme, F.lit("://"), host, rooted, tail)
+def _absolute(scheme: str, host: str, path: str, query: str) -> str:
+    rooted = let(path, lambda p: f"if({p} = '' or startswith({p}, '/'), {p}, concat('/', {p}))")
+    tail = let(query, lambda q: f"if({q} = '', '', concat('?', {q}))")
+    return f"concat({scheme}, '://', {host}, {rooted}, {tail})"
 
 
-def resolve(base: Column, raw: Column, base_parts: Column | None = None) -> Column:
+def resolve(base: str, raw: str, base_parts: str | None = None) -> str:
     """Absolute form of ``raw`` against ``base``, fragment dropped.
 
     A reference with another scheme is returned as it is, less its fragment.
     ``base_parts`` may hold ``url_parts(base)`` when many links share one base.
     """
-    ref = F.regexp_replace(strip(raw), r"[\t\r\n]", "")
+    ref = rf"regexp_replace({strip(raw)}, r'[\t\r\n]', '')"
 
-    def join(r: Column, b: Column, text: Column) -> Column:
-        path = F.when(r["path"].startswith("/"), r["path"]).otherwise(_merge(b["path"], r["path"]))
-        dotted = let(remove_dots(path), lambda p: F.when(p == "", "/").otherwise(p))
+    def join(r: str, b: str, text: str) -> str:
+        path = f"if(startswith({r}.path, '/'), {r}.path, {_merge(f'{b}.path', f'{r}.path')})"
+        dotted = let(remove_dots(path), lambda p: f"if({p} = '', '/', {p})")
+        same_page_query = f"if({r}.query = '', {b}.query, {r}.query)"
         return (
-            F.when(text == "", drop_fragment(base))
-            .when((r["scheme"] != "") & (r["scheme"] != b["scheme"]), drop_fragment(text))
-            .when(r["host"] != "", _absolute(b["scheme"], r["host"], r["path"], r["query"]))
-            .when(
-                r["path"] == "",
-                _absolute(b["scheme"], b["host"], b["path"], F.when(r["query"] == "", b["query"]).otherwise(r["query"])),
-            )
-            .otherwise(_absolute(b["scheme"], b["host"], dotted, r["query"]))
+            f"case when {text} = '' then {drop_fragment(base)} "
+            f"when {r}.scheme <> '' and {r}.scheme <> {b}.scheme then {drop_fragment(text)} "
+            f"when {r}.host <> '' then {_absolute(f'{b}.scheme', f'{r}.host', f'{r}.path', f'{r}.query')} "
+            f"when {r}.path = '' then {_absolute(f'{b}.scheme', f'{b}.host', f'{b}.path', same_page_query)} "
+            f"else {_absolute(f'{b}.scheme', f'{b}.host', dotted, f'{r}.query')} end"
         )
 
-    def against(b: Column) -> Column:
+    def against(b: str) -> str:
         return let(ref, lambda text: let(url_parts(text), lambda r: join(r, b, text)))
 
     return let(url_parts(base), against) if base_parts is None else against(base_parts)
 
 
-def reject_reason(url: Column) -> Column:
+def reject_reason(url: str) -> str:
     """Why a link is not followed; NULL when it is valid.  First hit wins."""
 
-    def check(u: Column, p: Column) -> Column:
-        low = F.lower(u)
-        web = p["scheme"].isin("http", "https") & (p["host"] != "")
+    def check(u: str, p: str) -> str:
+        web = f"({p}.scheme in ('http', 'https') and {p}.host <> '')"
         return (
-            F.when(low.isin("", "none", "void(0)") | low.endswith("/none"), EMPTY)
-            .when(low.startswith("#") | (web & p["path"].rlike("^/?(;[^/]*)?$")), BASE_OR_FRAGMENT)
-            .when(low.rlike("^(javascript|mailto|tel):"), NON_CRAWLABLE)
-            .when(web, F.lit(None).cast("string"))
-            .when((p["scheme"] == "") & p["path"].rlike(r"^(/|\./|\.\./)"), F.lit(None).cast("string"))
-            .otherwise(MALFORMED)
+            f"case when lower({u}) in ('', 'none', 'void(0)') or endswith(lower({u}), '/none') then {lit(EMPTY)} "
+            f"when startswith({u}, '#') or ({web} and {p}.path rlike '^/?(;[^/]*)?$') then {lit(BASE_OR_FRAGMENT)} "
+            f"when lower({u}) rlike '^(javascript|mailto|tel):' then {lit(NON_CRAWLABLE)} "
+            f"when {web} then NULL "
+            rf"when {p}.scheme = '' and {p}.path rlike r'^(/|\./|\.\./)' then NULL "
+            f"else {lit(MALFORMED)} end"
         )
 
-    stripped = strip(url)
-    checked = let(stripped, lambda u: let(url_parts(u), lambda p: check(u, p)))
-    return F.when(url.isNull(), NON_STRING).otherwise(checked)
+    checked = let(strip(url), lambda u: let(url_parts(u), lambda p: check(u, p)))
+    return f"case when {url} is null then {lit(NON_STRING)} else {checked} end"

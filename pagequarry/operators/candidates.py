@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.columns import let
-from pagequarry.functions.dom import elements, is_text, subtree
+from pagequarry.functions.dom import elements, is_below, is_text, subtree
+from pagequarry.functions.sql import each, each_indexed, keep, let, some, struct
 from pagequarry.functions.text import is_blacklisted, strip
 from pagequarry.operators.parse import parse_pages
 
@@ -21,93 +21,82 @@ HIDDEN_TAGS = ["script", "style", "template"]
 SIDE_TAGS = ["script", "style", "nav", "footer"]
 
 
-def visible_text(part: Column, sep: str, skip_tags: list[str]) -> Column:
+def visible_text(part: str, sep: str, skip_tags: list[str]) -> str:
     """Stripped, non-blank texts of a run of nodes, those under ``skip_tags`` left out."""
 
-    def join(skipped: Column) -> Column:
-        kept = F.filter(
-            part, lambda n: is_text(n) & ~F.exists(skipped, lambda s: (n["id"] > s["id"]) & (n["id"] <= s["last"]))
-        )
-        return F.array_join(F.filter(F.transform(kept, lambda n: strip(n["text"])), lambda t: t != ""), sep)
+    def join(skipped: str) -> str:
+        kept = keep(part, lambda n: f"{is_text(n)} and not {some(skipped, lambda s: is_below(n, s))}")
+        return f"array_join({keep(each(kept, lambda n: strip(f'{n}.text')), lambda t: f'{t} <> {chr(39) * 2}')}, '{sep}')"
 
     return let(elements(part, *skip_tags), join)
 
 
-def block_features(nodes: Column) -> Column:
+def block_features(nodes: str) -> str:
     """``array<struct<id, src_start, src_end, text>>`` of the blocks with an image and a link below them."""
 
-    def has(part: Column, tag: str) -> Column:
-        return F.exists(part, lambda n: n["tag"] == tag)
+    def has(part: str, tag: str) -> str:
+        return some(part, lambda n: f"{n}.tag = '{tag}'")
 
-    def features(b: Column) -> Column:
-        return let(
-            subtree(nodes, b),
-            lambda part: F.when(
-                has(part, "img") & has(part, "a"),
-                F.struct(
-                    b["id"].alias("id"),
-                    b["src_start"].alias("src_start"),
-                    b["src_end"].alias("src_end"),
-                    F.lower(visible_text(part, "", HIDDEN_TAGS)).alias("text"),
-                ),
-            ),
-        )
+    def features(b: str) -> str:
+        def of(part: str) -> str:
+            found = struct(
+                id=f"{b}.id",
+                src_start=f"{b}.src_start",
+                src_end=f"{b}.src_end",
+                text=f"lower({visible_text(part, '', HIDDEN_TAGS)})",
+            )
+            return f"if({has(part, 'img')} and {has(part, 'a')}, {found}, NULL)"
 
-    return F.filter(F.transform(elements(nodes, *BLOCK_TAGS), features), lambda f: f.isNotNull())
+        return let(subtree(nodes, b), of)
 
+    return keep(each(elements(nodes, *BLOCK_TAGS), features), lambda f: f"{f} is not null")
 
-def ranked_blocks(nodes: Column, max_candidates: int = MAX_CANDIDATES) -> Column:
+
+def ranked_blocks(nodes: str, max_candidates: int = MAX_CANDIDATES) -> str:
     """The longest blocks that pass both filters, longest first, document order on ties."""
-    good = F.filter(
-        block_features(nodes), lambda f: (F.length(f["text"]) > MIN_BLOCK_TEXT) & ~is_blacklisted(f["text"])
+    good = keep(
+        block_features(nodes),
+        lambda f: f"length({f}.text) > {MIN_BLOCK_TEXT} and not {is_blacklisted(f'{f}.text')}",
     )
-    ranked = F.array_sort(
-        F.transform(
-            good,
-            lambda f: F.struct(
-                (-F.length(f["text"])).alias("rank"), f["id"].alias("id"), f["src_start"].alias("src_start"), f["src_end"].alias("src_end")
-            ),
-        )
+    ranked = each(
+        good,
+        lambda f: struct(
+            rank=f"-length({f}.text)", id=f"{f}.id", src_start=f"{f}.src_start", src_end=f"{f}.src_end"
+        ),
     )
-    return F.slice(ranked, 1, max_candidates)
+    return f"slice(array_sort({ranked}), 1, {max_candidates})"
+
+
+def _snippet(html: str, b: str) -> str:
+    return f"substring({html}, {b}.src_start + 1, least({b}.src_end - {b}.src_start, {SNIPPET_CHARS}))"
 
 
-def snippets(nodes: Column, html: Column, max_candidates: int = MAX_CANDIDATES) -> Column:
+def snippets(nodes: str, html: str, max_candidates: int = MAX_CANDIDATES) -> str:
     """Source text of the ranked blocks, each cut to its first 1500 characters."""
-    return F.transform(
-        ranked_blocks(nodes, max_candidates),
-        lambda b: F.substring(html, b["src_start"] + 1, F.least(b["src_end"] - b["src_start"], F.lit(SNIPPET_CHARS))),
-    )
+    return each(ranked_blocks(nodes, max_candidates), lambda b: _snippet(html, b))
 
 
 def candidate_blocks(parsed: DataFrame, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
     """``page_id, rank, text_length, snippet``; ``parsed`` must keep its ``html``."""
-    blocks = parsed.select(
-        "page_id", "html", F.posexplode(ranked_blocks(F.col("nodes"), max_candidates)).alias("i", "b")
-    )
-    return blocks.select(
-        "page_id",
-        (F.col("i") + 1).alias("rank"),
-        (-F.col("b.rank")).alias("text_length"),
-        F.substring(
-            F.col("html"), F.col("b.src_start") + 1, F.least(F.col("b.src_end") - F.col("b.src_start"), F.lit(SNIPPET_CHARS))
-        ).alias("snippet"),
+    found = each_indexed(
+        ranked_blocks("nodes", max_candidates),
+        lambda b, i: struct(rank=f"{i} + 1", text_length=f"-{b}.rank", snippet=_snippet("html", b)),
     )
+    return parsed.select("page_id", F.inline(F.expr(found)))
 
 
-def block_score(nodes: Column) -> Column:
+def block_score(nodes: str) -> str:
     """Length of a block's own text; 0 for a block that could not be parsed."""
-    return F.coalesce(F.length(visible_text(nodes, " ", SIDE_TAGS)), F.lit(0))
+    return f"coalesce(length({visible_text(nodes, ' ', SIDE_TAGS)}), 0)"
 
 
-def best_block(blocks: Column) -> Column:
-    """Index of the node array with the highest score, the first one on ties."""
-    scored = F.transform(blocks, lambda nodes, i: F.struct(block_score(nodes).alias("score"), (-i).alias("rank")))
-    return -F.array_max(scored)["rank"]
+def best_block(blocks: str) -> str:
+    """Index of the node array with the highest score, the first one on ties; NULL for none."""
+    scored = each_indexed(blocks, lambda nodes, i: struct(score=block_score(nodes), rank=f"-{i}"))
+    return f"-array_max({scored}).rank"
 
 
 def pick_block(pages: DataFrame, snippet_col: str) -> DataFrame:
-    """Parse the snippets of each page and keep the nodes of the best as ``nodes``."""
-    parsed = parse_pages(pages, html_col=snippet_col)
-    chosen = let(F.col("nodes"), lambda blocks: F.get(blocks, best_block(blocks)))
-    return parsed.withColumn("block_no", best_block(F.col("nodes"))).withColumn("nodes", chosen).drop("error")
+    """Parse the snippets of each page and keep the best: its index as ``block_no``, its nodes as ``nodes``."""
+    parsed = parse_pages(pages, html_col=snippet_col).withColumn("block_no", F.expr(best_block("nodes")))
+    return parsed.withColumn("nodes", F.expr("get(nodes, block_no)")).drop("error")

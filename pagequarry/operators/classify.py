@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.columns import let
-from pagequarry.functions.dom import below, elements, tag_count
+from pagequarry.functions.dom import below, elements
+from pagequarry.functions.sql import let, struct
 
 # The thresholds of the rules.
 THRESHOLDS = {
@@ -66,39 +66,38 @@ CATALOGUE_RULES = [
 ]
 
 
-def stats_struct(nodes: Column) -> Column:
+def stats_struct(nodes: str) -> str:
     """Element counts of a page; ``table_rows`` are the rows in table bodies, or all rows when there are none."""
 
-    def table_rows(nodes: Column) -> Column:
+    def rows_under(part: str, containers: str) -> str:
+        return f"size({below(elements(part, 'tr'), containers)})"
+
+    def table_rows(part: str) -> str:
+        bodies = below(elements(part, "tbody"), elements(part, "table"))
         return let(
-            elements(nodes, "table", "tbody", "tr"),
-            lambda part: let(
-                elements(part, "table"),
-                lambda tables: let(
-                    F.size(below(elements(part, "tr"), below(elements(part, "tbody"), tables))),
-                    lambda body: F.when(body > 0, body).otherwise(F.size(below(elements(part, "tr"), tables))),
-                ),
-            ),
-        ).cast("long")
-
-    def build(tags: Column) -> Column:
-        tables = tag_count(tags, "table")
-        return F.struct(
-            tag_count(tags, "a").alias("links"),
-            tag_count(tags, "img").alias("images"),
-            tag_count(tags, "iframe").alias("iframes"),
-            tag_count(tags, "p").alias("paragraphs"),
-            tables.alias("tables"),
-            F.when(tables > 0, table_rows(nodes)).otherwise(F.lit(0).cast("long")).alias("table_rows"),
+            rows_under(part, bodies),
+            lambda body: f"cast(if({body} > 0, {body}, {rows_under(part, elements(part, 'table'))}) as bigint)",
+        )
+
+    def build(tags: str) -> str:
+        def count(tag: str) -> str:
+            return f"cast(size({tags}) - size(array_remove({tags}, '{tag}')) as bigint)"
+
+        return struct(
+            links=count("a"),
+            images=count("img"),
+            iframes=count("iframe"),
+            paragraphs=count("p"),
+            tables=count("table"),
+            table_rows=f"if(array_contains({tags}, 'table'), {let(elements(nodes, 'table', 'tbody', 'tr'), table_rows)}, 0L)",
         )
 
-    present = F.coalesce(nodes, F.slice(nodes, 1, 0))
-    return let(present["tag"], build)
+    return let(f"coalesce({nodes}.tag, array())", build)
 
 
 def page_stats(parsed: DataFrame) -> DataFrame:
     """One row per page, pages without any element included."""
-    return parsed.select("page_id", "url", stats_struct(F.col("nodes")).alias("s")).select("page_id", "url", "s.*")
+    return parsed.select("page_id", "url", F.expr(stats_struct("nodes")).alias("s")).select("page_id", "url", "s.*")
 
 
 def rule_results(
@@ -155,7 +154,7 @@ def with_class(
     """Add ``stats``, ``rules``, ``score`` and ``page_type`` to parsed pages."""
     stats = {name: F.col("stats")[name] for name in STATS}
     return (
-        parsed.withColumn("stats", stats_struct(F.col("nodes")))
+        parsed.withColumn("stats", F.expr(stats_struct("nodes")))
         .withColumn("rules", rule_results(stats, rules, thresholds))
         .withColumn("score", catalogue_score(F.col("rules")))
         .withColumn("page_type", page_type(stats, F.col("score"), thresholds, mode))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.columns import first, let, override, sparse_map, text_literals
 from pagequarry.functions.dom import Selector, own_texts, select_value, string_value
 from pagequarry.functions.labels import label_array, match_field
+from pagequarry.functions.sql import each, first, keep, let, lits, override, sparse_map, struct, without_nulls
 from pagequarry.functions.text import clean_text, is_paragraph_length, strip
 from pagequarry.labels import field_names
 
@@ -23,72 +23,71 @@ URL_FIELDS = ["poster_url", "streaming_link"]
 PARAGRAPH_MIN_SCORE = 70
 
 
-def main_fields(nodes: Column, selectors: dict[str, list[Selector]] = FIELD_SELECTORS, clean_urls: bool = True) -> Column:
+def main_fields(nodes: str, selectors: dict[str, list[Selector]] = FIELD_SELECTORS, clean_urls: bool = True) -> str:
     """``map<field, value>`` of the fields found.
 
     ``clean_urls=True`` cuts URL fields at the first separator too, scheme and
     all; ``False`` keeps them whole.
     """
 
-    def value(field: str, chain: list[Selector]) -> Column:
+    def value(field: str, chain: list[Selector]) -> str:
         found = select_value(nodes, chain)
-        keep = field in URL_FIELDS and not clean_urls
-        cleaned = strip(found) if keep else clean_text(found)
-        return let(cleaned, lambda v: F.when(v != "", v))
+        keep_whole = field in URL_FIELDS and not clean_urls
+        return f"nullif({strip(found) if keep_whole else clean_text(found)}, '')"
 
     return sparse_map({f: value(f, chain) for f, chain in selectors.items()})
 
 
-def paragraph_texts(nodes: Column) -> Column:
+def paragraph_texts(nodes: str) -> str:
     """Candidate texts of ``div.entry-content p``: own text nodes first, then whole paragraphs."""
 
-    def collect(paragraphs: Column) -> Column:
-        whole = F.transform(paragraphs, lambda p: strip(string_value(nodes, p)))
-        own = F.transform(own_texts(nodes, paragraphs), strip)
-        return F.filter(F.concat(own, whole), is_paragraph_length)
+    def collect(paragraphs: str) -> str:
+        own = each(own_texts(nodes, paragraphs), strip)
+        whole = each(paragraphs, lambda p: strip(string_value(nodes, p)))
+        return keep(f"concat({own}, {whole})", is_paragraph_length)
 
     return let(Selector("p", inside=Selector("div", "entry-content")).matches(nodes), collect)
 
 
-def paragraph_fields(nodes: Column, content_type: str = "movies") -> Column:
+def paragraph_fields(nodes: str, content_type: str = "movies") -> str:
     """``map<field, value>``: the first paragraph that matches each field."""
     labels = label_array(content_type)
-    fields = field_names(content_type)
 
-    def matched(texts: Column, labels: Column) -> Column:
-        pairs = F.transform(
-            texts, lambda t: let(match_field(t, labels), lambda m: F.struct(t.alias("text"), m["field"].alias("field"), m["score"].alias("score")))
+    def matched(texts: str) -> str:
+        pairs = each(
+            texts,
+            lambda t: let(match_field(t, labels), lambda m: struct(text=t, field=f"{m}.field", score=f"{m}.score")),
         )
-        return F.filter(pairs, lambda m: m["field"].isNotNull() & (m["score"] > PARAGRAPH_MIN_SCORE))
+        return keep(pairs, lambda m: f"{m}.field is not null and {m}.score > {PARAGRAPH_MIN_SCORE}")
 
-    def first_of_each(hits: Column) -> Column:
-        def value(field: Column) -> Column:
-            return let(first(F.filter(hits, lambda h: h["field"] == field)), lambda h: F.when(h.isNotNull(), clean_text(h["text"])))
+    def first_of_each(hits: str) -> str:
+        def value(field: str) -> str:
+            hit = first(keep(hits, lambda h: f"{h}.field = {field}"))
+            return let(hit, lambda h: f"if({h} is null, NULL, {clean_text(f'{h}.text')})")
 
-        keys = text_literals(fields)
-        return F.map_filter(F.map_from_arrays(keys, F.transform(keys, value)), lambda k, v: v.isNotNull())
+        fields = f"array({lits(field_names(content_type))})"
+        return without_nulls(f"map_from_arrays({fields}, {each(fields, value)})")
 
-    found = let(labels, lambda ls: let(paragraph_texts(nodes), lambda ts: matched(ts, ls)))
-    return let(found, first_of_each)
+    return let(let(paragraph_texts(nodes), matched), first_of_each)
 
 
 def page_fields(
-    nodes: Column,
+    nodes: str,
     selectors: dict[str, list[Selector]] = FIELD_SELECTORS,
     content_type: str = "movies",
     clean_urls: bool = True,
-) -> Column:
+) -> str:
     """Main fields with the paragraph fields laid over them."""
     return override(main_fields(nodes, selectors, clean_urls), paragraph_fields(nodes, content_type))
 
 
 def extract_main_fields(parsed: DataFrame, selectors: dict = FIELD_SELECTORS, clean_urls: bool = True) -> DataFrame:
     """One column per selector field, NULL when not found."""
-    found = parsed.select("page_id", "url", main_fields(F.col("nodes"), selectors, clean_urls).alias("f"))
+    found = parsed.select("page_id", "url", F.expr(main_fields("nodes", selectors, clean_urls)).alias("f"))
     return found.select("page_id", "url", *[F.col("f")[name].alias(name) for name in selectors])
 
 
 def extract_paragraph_fields(parsed: DataFrame, content_type: str = "movies") -> DataFrame:
     """One column per labelled field, NULL when not found."""
-    found = parsed.select("page_id", "url", paragraph_fields(F.col("nodes"), content_type).alias("f"))
+    found = parsed.select("page_id", "url", F.expr(paragraph_fields("nodes", content_type)).alias("f"))
     return found.select("page_id", "url", *[F.col("f")[name].alias(name) for name in field_names(content_type)])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.columns import let
+from pagequarry.functions.sql import each, let, lits, some, struct
 from pagequarry.functions.urls import host_of, resolve
 from pagequarry.operators.links import link_array, next_page, valid_links
 from pagequarry.session import cut
@@ -14,13 +14,11 @@ from pagequarry.session import cut
 CATALOGUE_PRIORITY, PAGINATION_PRIORITY, OTHER_PRIORITY = 10, 5, 0
 
 
-def in_domains(url: Column, domains: list[str]) -> Column:
+def in_domains(url: str, domains: list[str]) -> str:
     """Host equal to, or below, one of a few allowed domains."""
+    allowed = f"array({lits(d.lower() for d in domains)})"
     return let(
-        host_of(url),
-        lambda host: F.exists(
-            F.array(*[F.lit(d.lower()) for d in domains]), lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d))
-        ),
+        host_of(url), lambda host: some(allowed, lambda d: f"{host} = {d} or endswith({host}, concat('.', {d}))")
     )
 
 
@@ -45,26 +43,18 @@ def followed(classed: DataFrame) -> DataFrame:
     Catalogue pages give their valid links and the next-page link, which is
     resolved but not checked; other pages give none.
     """
-    nodes = F.col("nodes")
-    links = F.transform(
-        valid_links(link_array(nodes, F.col("url"))),
-        lambda x: F.struct(x["url"].alias("url"), F.lit(CATALOGUE_PRIORITY).alias("priority"), x["pos"].alias("pos")),
+    links = each(
+        valid_links(link_array("nodes", "url")),
+        lambda x: struct(url=f"{x}.url", priority=str(CATALOGUE_PRIORITY), pos=f"{x}.pos"),
     )
     following = let(
-        next_page(nodes),
-        lambda href: F.when(
-            href.isNotNull(),
-            F.array(
-                F.struct(
-                    resolve(F.col("url"), href).alias("url"),
-                    F.lit(PAGINATION_PRIORITY).alias("priority"),
-                    F.size(nodes).alias("pos"),
-                )
-            ),
-        ).otherwise(F.slice(links, 1, 0)),
+        next_page("nodes"),
+        lambda href: f"if({href} is null, array(), array("
+        + struct(url=resolve("url", href), priority=str(PAGINATION_PRIORITY), pos="size(nodes)")
+        + "))",
     )
-    out = F.when(F.col("page_type") == "catalogue", F.concat(links, following)).otherwise(F.slice(links, 1, 0))
-    return classed.select("url", "page_type", out.alias("out"))
+    out = f"if(page_type = 'catalogue', concat({links}, {following}), array())"
+    return classed.select("url", "page_type", F.expr(out).alias("out"))
 
 
 def next_batch(frontier: DataFrame, size: int) -> DataFrame:
@@ -92,6 +82,6 @@ def crawl(graph: DataFrame, seeds: DataFrame, max_depth: int, domains: list[str]
         reached = rows if reached is None else reached.unionByName(rows)
         found = visited.select(F.inline("out")).groupBy("url").agg(F.max("priority").alias("priority"))
         if domains:
-            found = found.filter(in_domains(F.col("url"), domains))
+            found = found.filter(in_domains("url", domains))
         frontier = found.join(reached.select("url"), "url", "left_anti")
     return reached

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.columns import override, sparse_map
-from pagequarry.schema import MAP
+from pagequarry.functions.sql import override, sparse_map
 from pagequarry.sources.records import ID_KEY, NO_DESCRIPTION
 
 
@@ -15,10 +14,6 @@ from pagequarry.sources.records import ID_KEY, NO_DESCRIPTION
 NO_KEY = "\u0001"
 
 
-def _empty() -> Column:
-    return F.create_map().cast(MAP)
-
-
 def pull(local: DataFrame, remote: DataFrame, side: DataFrame) -> DataFrame:
     """``id, fields, change, status_changed`` of the merged records.
 
@@ -40,26 +35,24 @@ def pull(local: DataFrame, remote: DataFrame, side: DataFrame) -> DataFrame:
     ).join(side, "id", "left")
     both = named.join(incoming, "id", "full")
 
-    known, arrived = F.col("local").isNotNull(), F.col("title").isNotNull()
-    status_changed = F.coalesce(F.col("local")["status"], F.lit("open")) != F.col("state")
-    from_remote = {
-        ID_KEY: F.when(~known, F.col("id")),
-        "title": F.col("title"),
-        "description": F.col("description"),
-        "status": F.when(~known | status_changed, F.col("state")),
-    }
-    merged = override(
-        override(
-            override(F.coalesce("local", _empty()), sparse_map(from_remote)),
-            F.coalesce("side", _empty()),
-        ),
-        F.coalesce("embedded", _empty()),
+    known, arrived = "local is not null", "title is not null"
+    status_changed = "coalesce(local['status'], 'open') <> state"
+    from_remote = sparse_map(
+        {
+            ID_KEY: f"if({known}, NULL, id)",
+            "title": "title",
+            "description": "description",
+            "status": f"if({known}, if({status_changed}, state, NULL), state)",
+        }
     )
-    return both.select(
+    merged = "coalesce(local, map())"
+    for layer in (from_remote, "coalesce(side, map())", "coalesce(embedded, map())"):
+        merged = override(merged, layer)
+    return both.selectExpr(
         "id",
-        F.when(arrived, merged).otherwise(F.col("local")).alias("fields"),
-        F.when(known & arrived, "updated").when(arrived, "added").otherwise("kept").alias("change"),
-        F.coalesce(known & arrived & status_changed, F.lit(False)).alias("status_changed"),
+        f"if({arrived}, {merged}, local) as fields",
+        f"case when {known} and {arrived} then 'updated' when {arrived} then 'added' else 'kept' end as change",
+        f"coalesce({known} and {arrived} and {status_changed}, false) as status_changed",
     ).unionByName(unnamed)
 
 
@@ -71,11 +64,12 @@ def pull_summary(pulled: DataFrame) -> DataFrame:
     )
 
 
-def _dump(fields: Column) -> Column:
-    """Fenced block of the record's other keys, in key order."""
-    rest = F.map_filter(fields, lambda k, v: ~k.isin(ID_KEY, "title", "description"))
-    lines = F.transform(F.array_sort(F.map_entries(rest)), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\n")))
-    return F.concat(F.lit("```yaml\n"), F.array_join(lines, ""), F.lit("```"))
+# fenced block of a record's other keys, in key order
+DUMP = (
+    f"concat('```yaml\\n', array_join(transform(array_sort(map_entries(map_filter(fields, "
+    f"(k, v) -> k not in ('{ID_KEY}', 'title', 'description')))), "
+    f"e -> concat(e.key, ': ', e.value, '\\n')), ''), '```')"
+)
 
 
 def push_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -94,7 +88,7 @@ def push_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
         F.coalesce(
             f["title"], F.concat(F.lit("["), f["component"], F.lit("] "), F.coalesce(f["impact"], F.lit("Issue")))
         ).alias("title"),
-        F.coalesce(f["description"], _dump(f)).alias("description"),
+        F.coalesce(f["description"], F.expr(DUMP)).alias("description"),
         # a NULL key would send all such rows to one task
         F.coalesce("id", F.concat(F.lit(NO_KEY), F.col("pos"))).alias("id_key"),
     )

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.columns import last, let
 from pagequarry.functions.dom import below, elements, own_texts, string_value, stripped_texts, subtree
 from pagequarry.functions.labels import label_array, match_field
+from pagequarry.functions.sql import each, each_indexed, keep, last, let, lits, struct
 from pagequarry.functions.text import strip
 from pagequarry.schema import ITEM_FIELDS
 
 
-def header_texts(nodes: Column, part: Column, align: str = "text") -> Column:
+def header_texts(nodes: str, part: str, align: str = "text") -> str:
     """Headers of a table; ``part`` holds its descendants.
 
     Cells of ``thead``, else cells of a first row.  ``align='text'`` gives one
@@ -20,86 +20,79 @@ def header_texts(nodes: Column, part: Column, align: str = "text") -> Column:
     ``align='cell'`` gives one per cell.
     """
 
-    def of(cells: Column) -> Column:
+    def of(cells: str) -> str:
         if align == "cell":
-            return F.transform(cells, lambda c: strip(string_value(nodes, c)))
-        return F.transform(own_texts(part, cells), strip)
+            return each(cells, lambda c: strip(string_value(nodes, c)))
+        return each(own_texts(part, cells), strip)
 
-    def pick(cells: Column) -> Column:
-        first_rows = F.filter(part, lambda n: (n["tag"] == "tr") & (n["sib"] == 0))
-        return let(
-            of(below(cells, elements(part, "thead"))),
-            lambda head: F.when(F.size(head) > 0, head).otherwise(let(below(cells, first_rows), of)),
-        )
+    def pick(cells: str) -> str:
+        first_rows = keep(part, lambda n: f"{n}.tag = 'tr' and {n}.sib = 0")
+        in_head = let(below(cells, elements(part, "thead")), of)
+        in_first_row = let(below(cells, first_rows), of)
+        return let(in_head, lambda head: f"if(size({head}) > 0, {head}, {in_first_row})")
 
     return let(elements(part, "th", "td"), pick)
 
 
-def body_rows(part: Column) -> Column:
+def body_rows(part: str) -> str:
     """Rows of the table bodies, else all rows but the first."""
-    rows = elements(part, "tr")
-    return let(
-        below(rows, elements(part, "tbody")),
-        lambda body: F.when(F.size(body) > 0, body).otherwise(let(rows, lambda r: F.slice(r, 2, F.greatest(F.size(r), F.lit(1))))),
-    )
+
+    def pick(rows: str) -> str:
+        return let(
+            below(rows, elements(part, "tbody")),
+            lambda body: f"if(size({body}) > 0, {body}, slice({rows}, 2, greatest(size({rows}), 1)))",
+        )
+
+    return let(elements(part, "tr"), pick)
 
 
-def map_headers(headers: Column, labels: Column) -> Column:
+def map_headers(headers: str, labels: str) -> str:
     """The field of each header, NULL for none."""
-    return F.transform(headers, lambda h: match_field(h, labels)["field"])
+    return each(headers, lambda h: f"{match_field(h, labels)}.field")
 
 
-def table_items(nodes: Column, content_type: str = "movies", align: str = "text") -> Column:
+def table_items(nodes: str, content_type: str = "movies", align: str = "text") -> str:
     """``array<struct<table_id, row_id, values map>>`` over all tables of a page, nested ones included."""
     labels = label_array(content_type)
-    known = F.array(*[F.lit(f) for f in ITEM_FIELDS])
 
-    def row_values(row: Column, fields: Column) -> Column:
-        texts = F.transform(
-            elements(subtree(nodes, row), "td"),
-            lambda c: F.array_join(stripped_texts(subtree(nodes, c)), " "),
+    def row_values(row: str, fields: str) -> str:
+        texts = each(
+            elements(subtree(nodes, row), "td"), lambda c: f"array_join({stripped_texts(subtree(nodes, c))}, ' ')"
         )
         # a cell past the headers gets no field; a blank one is skipped
-        return F.filter(
-            F.transform(texts, lambda t, i: F.struct(F.get(fields, i).alias("field"), t.alias("value"))),
-            lambda e: (e["value"] != "") & F.array_contains(known, e["field"]),
-        )
+        cells = each_indexed(texts, lambda t, i: struct(field=f"get({fields}, {i})", value=t))
+        return keep(cells, lambda e: f"{e}.value <> '' and {e}.field in ({lits(ITEM_FIELDS)})")
 
-    def as_map(entries: Column) -> Column:
-        def value(f: Column) -> Column:
-            return last(F.filter(entries, lambda e: e["field"] == f))["value"]
+    def as_map(entries: str) -> str:
+        def values(keys: str) -> str:
+            chosen = each(keys, lambda f: f"{last(keep(entries, lambda e: f'{e}.field = {f}'))}.value")
+            return f"map_from_arrays({keys}, {chosen})"
 
-        keys = F.array_distinct(F.transform(entries, lambda e: e["field"]))
-        return let(keys, lambda ks: F.map_from_arrays(ks, F.transform(ks, value)))
+        return let(f"array_distinct({entries}.field)", values)
 
-    def rows_of(table: Column, part: Column, fields: Column) -> Column:
-        found = F.transform(
-            body_rows(part),
-            lambda row: let(
+    def rows_of(table: str, part: str, fields: str) -> str:
+        def one(row: str) -> str:
+            return let(
                 row_values(row, fields),
-                lambda e: F.struct(table["id"].alias("table_id"), row["id"].alias("row_id"), as_map(e).alias("values")),
-            ),
-        )
-        return F.filter(found, lambda r: F.size(r["values"]) > 0)
+                lambda e: struct(table_id=f"{table}.id", row_id=f"{row}.id", values=as_map(e)),
+            )
 
-    def one(labels: Column):
-        return lambda table: let(
+        return keep(each(body_rows(part), one), lambda r: f"size({r}.values) > 0")
+
+    def one_table(table: str) -> str:
+        return let(
             subtree(nodes, table),
             lambda part: let(
                 map_headers(header_texts(nodes, part, align), labels),
-                lambda fields: F.when(F.size(fields) > 0, rows_of(table, part, fields)),
+                lambda fields: f"if(size({fields}) > 0, {rows_of(table, part, fields)}, NULL)",
             ),
         )
 
-    return let(
-        labels,
-        lambda ls: F.flatten(F.filter(F.transform(elements(nodes, "table"), one(ls)), lambda r: r.isNotNull())),
-    )
+    tables = each(elements(nodes, "table"), one_table)
+    return f"flatten({keep(tables, lambda rows: f'{rows} is not null')})"
 
 
 def extract_tables(parsed: DataFrame, content_type: str = "movies", align: str = "text") -> DataFrame:
     """``page_id, url, table_id, row_id`` and the item fields, one row per table row."""
-    rows = parsed.select("page_id", "url", F.inline(table_items(F.col("nodes"), content_type, align)))
-    return rows.select(
-        "page_id", "url", "table_id", "row_id", *[F.col("values")[f].alias(f) for f in ITEM_FIELDS]
-    )
+    rows = parsed.select("page_id", "url", F.inline(F.expr(table_items("nodes", content_type, align))))
+    return rows.select("page_id", "url", "table_id", "row_id", *[F.col("values")[f].alias(f) for f in ITEM_FIELDS])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.functions.columns import let
+from pagequarry.functions.sql import each, keep, let, lits
 from pagequarry.functions.text import burmese_digits, strip
 from pagequarry.schema import ITEM_FIELDS
 
@@ -16,33 +16,33 @@ SYNOPSIS_MAX, URL_MAX = 1000, 2083
 NO_SYNOPSIS = ["n/a", "not available", "no synopsis", ""]
 
 
-def year_value(raw: Column, local_digits: bool = False) -> Column:
+def year_value(raw: str, local_digits: bool = False) -> str:
     """Whole number in a text, NULL when it is none."""
     text = strip(burmese_digits(raw) if local_digits else raw)
-    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
+    return let(text, lambda t: rf"if({t} rlike r'^[+-]?\d+$', try_cast({t} as int), NULL)")
 
 
-def year_ok(year: Column, as_of_year: int) -> Column:
-    return F.coalesce(year.between(YEAR_MIN, as_of_year + YEARS_AHEAD), F.lit(False))
+def year_ok(year: str, as_of_year: int) -> str:
+    return f"coalesce({year} between {YEAR_MIN} and {as_of_year + YEARS_AHEAD}, false)"
 
 
-def cast_list(cast: Column, is_array: bool) -> Column:
+def cast_list(cast: str, is_array: bool) -> str:
     """Names of a comma list (or array), stripped, blank ones dropped."""
-    names = cast if is_array else F.split(cast, ",")
-    return F.filter(F.transform(names, strip), lambda n: n != "")
+    names = cast if is_array else f"split({cast}, ',')"
+    return keep(each(names, strip), lambda n: f"{n} <> ''")
 
 
-def synopsis_value(raw: Column) -> Column:
-    return let(strip(raw), lambda s: F.when(~F.lower(s).isin(*NO_SYNOPSIS), s))
+def synopsis_value(raw: str) -> str:
+    return let(strip(raw), lambda s: f"if(lower({s}) in ({lits(NO_SYNOPSIS)}), NULL, {s})")
 
 
-def synopsis_ok(raw: Column) -> Column:
+def synopsis_ok(raw: str) -> str:
     """Length of the text as delivered, blanks counted."""
-    return F.coalesce(F.length(raw) <= SYNOPSIS_MAX, F.lit(True))
+    return f"coalesce(length({raw}) <= {SYNOPSIS_MAX}, true)"
 
 
-def url_ok(url: Column) -> Column:
-    return F.coalesce(url.rlike(r"^(?i:https?)://[^/\s]+") & (F.length(url) <= URL_MAX), F.lit(True))
+def url_ok(url: str) -> str:
+    return rf"coalesce({url} rlike r'^(?i:https?)://[^/\s]+' and length({url}) <= {URL_MAX}, true)"
 
 
 def check_items(items: DataFrame, as_of_year: int, mode: str = "strict", local_digits: bool = False) -> DataFrame:
@@ -56,33 +56,31 @@ def check_items(items: DataFrame, as_of_year: int, mode: str = "strict", local_d
     others = [c for c in items.columns if c not in ITEM_FIELDS]
     raw = [(F.col(f) if f in given else F.lit(None).cast("string")).alias(f"raw_{f}") for f in ITEM_FIELDS]
     is_array = "cast" in given and isinstance(items.schema["cast"].dataType, T.ArrayType)
-    strict = F.lit(mode == "strict")
-    r = {f: F.col(f"raw_{f}") for f in ITEM_FIELDS}
-
     normal = items.select(*others, *raw).select(
         "*",
-        strip(r["title"]).alias("title"),
-        year_value(r["year"], local_digits).alias("year"),
-        strip(r["director"]).alias("director"),
-        cast_list(r["cast"], is_array).alias("cast"),
-        r["genre"].alias("genre"),
-        synopsis_value(r["synopsis"]).alias("synopsis"),
-        r["poster_url"].alias("poster_url"),
-        r["streaming_link"].alias("streaming_link"),
+        F.expr(strip("raw_title")).alias("title"),
+        F.expr(year_value("raw_year", local_digits)).alias("year"),
+        F.expr(strip("raw_director")).alias("director"),
+        F.expr(cast_list("raw_cast", is_array)).alias("cast"),
+        F.col("raw_genre").alias("genre"),
+        F.expr(synopsis_value("raw_synopsis")).alias("synopsis"),
+        F.col("raw_poster_url").alias("poster_url"),
+        F.col("raw_streaming_link").alias("streaming_link"),
     )
 
-    def present(field: str) -> Column:
-        return F.coalesce(F.length(F.col(field)) >= 1, F.lit(False))
+    def needed(field: str) -> str:
+        return "true" if mode == "strict" or field == "title" else f"raw_{field} is not null"
 
     failed = {
-        "title": ~present("title"),
-        "year": ~year_ok(F.col("year"), as_of_year) & (strict | r["year"].isNotNull()),
-        "director": ~present("director") & (strict | r["director"].isNotNull()),
-        "synopsis": ~synopsis_ok(r["synopsis"]),
-        "poster_url": ~url_ok(r["poster_url"]),
-        "streaming_link": ~url_ok(r["streaming_link"]),
+        "title": "coalesce(length(title), 0) = 0",
+        "year": f"not {year_ok('year', as_of_year)} and {needed('year')}",
+        "director": f"coalesce(length(director), 0) = 0 and {needed('director')}",
+        "synopsis": f"not {synopsis_ok('raw_synopsis')}",
+        "poster_url": f"not {url_ok('raw_poster_url')}",
+        "streaming_link": f"not {url_ok('raw_streaming_link')}",
     }
-    return normal.withColumn("errors", F.array_compact(F.array(*[F.when(bad, f) for f, bad in failed.items()])))
+    tests = ", ".join(f"if({test}, '{field}', NULL)" for field, test in failed.items())
+    return normal.withColumn("errors", F.expr(f"array_compact(array({tests}))"))
 
 
 def valid_items(checked: DataFrame) -> DataFrame:

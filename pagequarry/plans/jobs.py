@@ -7,12 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.columns import override
 from pagequarry.functions.dom import Selector
+from pagequarry.functions.sql import override
 from pagequarry.operators.candidates import pick_block, snippets
 from pagequarry.operators.classify import CATALOGUE_RULES, THRESHOLDS, Rule, with_class
 from pagequarry.operators.fields import FIELD_SELECTORS, main_fields, page_fields, paragraph_fields
-from pagequarry.operators.links import link_array, next_page, valid_links
+from pagequarry.operators.links import link_array, next_page, rejects, valid_links
 from pagequarry.operators.parse import parse_pages
 from pagequarry.operators.tables import table_items
 from pagequarry.operators.validate import check_items
@@ -37,17 +37,16 @@ def extract_all(
     clean_urls: bool = True,
 ) -> DataFrame:
     """Links, main fields, paragraph fields, both merged, and table items, one row per page."""
-    nodes = F.col("nodes")
     found = parse_pages(pages).select(
         "page_id",
         "url",
-        valid_links(link_array(nodes, F.col("url"))).alias("links"),
-        main_fields(nodes, selectors, clean_urls).alias("main_fields"),
-        paragraph_fields(nodes, content_type).alias("paragraph_fields"),
-        table_items(nodes, content_type).alias("items"),
+        F.expr(valid_links(link_array("nodes", "url"))).alias("links"),
+        F.expr(main_fields("nodes", selectors, clean_urls)).alias("main_fields"),
+        F.expr(paragraph_fields("nodes", content_type)).alias("paragraph_fields"),
+        F.expr(table_items("nodes", content_type)).alias("items"),
         "error",
     )
-    return found.withColumn("fields", override(F.col("main_fields"), F.col("paragraph_fields")))
+    return found.withColumn("fields", F.expr(override("main_fields", "paragraph_fields")))
 
 
 def process_pages(
@@ -65,38 +64,29 @@ def process_pages(
     A page that is neither catalogue nor detail is read as a detail page made of
     its best candidate block; without one it stays ``unknown``.  No shuffle.
     """
-    nodes, kind = F.col("nodes"), F.col("page_type")
+    fields = page_fields("nodes", selectors, content_type, clean_urls)
     classed = with_class(parse_pages(pages, keep_html=True), rules, thresholds, mode)
-    links = F.when(kind == "catalogue", link_array(nodes, F.col("url")))
-    blocks = F.when((kind == "unknown") & F.col("error").isNull(), snippets(nodes, F.col("html")))
-    routed = classed.select(
+    routed = classed.withColumn("page_type", F.expr("if(error is null, page_type, NULL)")).selectExpr(
         "page_id",
         "url",
-        F.when(F.col("error").isNull(), kind).alias("page_type"),
-        links.alias("all_links"),
-        F.when(kind == "catalogue", next_page(nodes)).alias("next_page"),
-        F.when((kind == "detail") & F.col("error").isNull(), page_fields(nodes, selectors, content_type, clean_urls)).alias("fields"),
-        F.coalesce(blocks, F.array().cast("array<string>")).alias("snippets"),
-        F.col("error").alias("page_error"),
+        "page_type",
+        f"if(page_type = 'catalogue', {link_array('nodes', 'url')}, NULL) as all_links",
+        f"if(page_type = 'catalogue', {next_page('nodes')}, NULL) as next_page",
+        f"if(page_type = 'detail', {fields}, NULL) as fields",
+        f"if(page_type = 'unknown', {snippets('nodes', 'html')}, array()) as snippets",
+        "error as page_error",
     )
     # only these small columns travel to the second parse, not the page
-    chosen = pick_block(routed, "snippets")
-    from_block = F.col("nodes").isNotNull()
-    fallback = F.when(from_block, page_fields(F.col("nodes"), selectors, content_type, clean_urls))
-    rejected = F.transform(
-        F.filter("all_links", lambda x: x["reason"].isNotNull()),
-        lambda x: F.struct(x["url"].alias("url"), x["reason"].alias("reason")),
-    )
-    return chosen.select(
+    return pick_block(routed, "snippets").selectExpr(
         "page_id",
         "url",
-        F.when(from_block, "detail").otherwise(F.col("page_type")).alias("page_type"),
-        valid_links(F.col("all_links")).alias("links"),
-        rejected.alias("rejected"),
+        "if(nodes is null, page_type, 'detail') as page_type",
+        f"{valid_links('all_links')} as links",
+        f"{rejects('all_links')} as rejected",
         "next_page",
-        F.coalesce("fields", fallback).alias("fields"),
-        from_block.alias("from_block"),
-        F.col("page_error").alias("error"),
+        f"if(nodes is null, fields, {fields}) as fields",
+        "nodes is not null as from_block",
+        "page_error as error",
     )
 
 

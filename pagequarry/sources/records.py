@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.functions.columns import last, sparse_map
+from pagequarry.functions.sql import each, keep, last, let, lit, lits, sparse_map, struct
 
 # Fixed values.
 ID_KEY = "github_issue"
@@ -14,6 +14,8 @@ PRIORITIES = ["P0", "P1", "P2"]
 SIZES = ["XS", "S", "M", "L", "XL"]
 SIDE_FIELDS = ["priority", "sprint", "size"]
 
+QUOTED = r"""^(['"])(.*)\1$"""
+
 REMOTE_SCHEMA = (
     "number long, title string, state string, body string, node_id string, "
     "labels array<struct<name: string>>, pull_request map<string, string>"
@@ -47,24 +49,31 @@ def skipped_pull_requests(lines: DataFrame) -> DataFrame:
 
 def _remote(lines: DataFrame) -> DataFrame:
     parsed = lines.select("pos", F.from_json("value", REMOTE_SCHEMA).alias("r")).select("pos", "r.*")
-    return parsed.filter(F.col("number").isNotNull()).withColumn("embedded", embedded_block(F.col("body")))
+    return parsed.filter(F.col("number").isNotNull()).withColumn("embedded", F.expr(embedded_block("body")))
 
 
-def embedded_block(body: Column) -> Column:
+def embedded_block(body: str) -> str:
     """Map of the first fenced ``yaml`` block of flat ``key: value`` lines; NULL when it is not such a map."""
-    block = F.regexp_extract(body, r"(?s)```yaml\n(.*?)\n```", 1)
-    lines = F.filter(F.split(block, "\n"), lambda x: ~x.rlike(r"^\s*(#.*)?$"))
-    pairs = F.transform(
-        lines,
-        lambda x: F.struct(
-            F.regexp_extract(x, r"^([A-Za-z_][\w -]*?)\s*:", 1).alias("k"),
-            F.regexp_replace(F.regexp_extract(x, r":\s+(.*?)\s*$", 1), r"""^(['"])(.*)\1$""", "$2").alias("v"),
-        ),
-    )
-    is_map = (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"^[A-Za-z_][\w -]*:(\s.*)?$"))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    values = F.transform(keys, lambda k: last(F.filter(pairs, lambda p: p["k"] == k))["v"])
-    return F.when(is_map, F.map_from_arrays(keys, values))
+    block = rf"regexp_extract({body}, r'(?s)```yaml\n(.*?)\n```', 1)"
+    lines = keep(rf"split({block}, '\n')", lambda x: rf"not {x} rlike r'^\s*(#.*)?$'")
+
+    def pair(x: str) -> str:
+        value = rf"regexp_extract({x}, r':\s+(.*?)\s*$', 1)"
+        unquoted = f"regexp_replace({value}, {lit(QUOTED)}, '$2')"
+        return struct(k=rf"regexp_extract({x}, r'^([A-Za-z_][\w -]*?)\s*:', 1)", v=unquoted)
+
+    def as_map(pairs: str) -> str:
+        def values(keys: str) -> str:
+            chosen = each(keys, lambda k: f"{last(keep(pairs, lambda p: f'{p}.k = {k}'))}.v")
+            return f"map_from_arrays({keys}, {chosen})"
+
+        return let(f"array_distinct({pairs}.k)", values)
+
+    def read(x: str) -> str:
+        flat = rf"forall({x}, y -> y rlike r'^[A-Za-z_][\w -]*:(\s.*)?$')"
+        return f"if(size({x}) > 0 and {flat}, {let(each(x, pair), as_map)}, NULL)"
+
+    return let(lines, read)
 
 
 def project_records(lines: DataFrame) -> DataFrame:
@@ -74,16 +83,13 @@ def project_records(lines: DataFrame) -> DataFrame:
     )
     issues = parsed.filter(F.col("content.__typename") == "Issue")
 
-    def latest(test, value: str) -> Column:
-        return last(F.filter("nodes", lambda n: F.coalesce(test(n), F.lit(False))))[value]
-
-    def chosen(n: Column, names: list[str]) -> Column:
-        return (n["__typename"] == "ProjectV2ItemFieldSingleSelectValue") & n["name"].isin(*names)
+    def latest(test: str, value: str) -> Column:
+        return F.expr(f"{last(f'filter(nodes, n -> coalesce({test}, false))')}.{value}")
 
-    def sprint(n: Column) -> Column:
-        named = F.lower(n["field"]["name"]) == "sprint"
-        return (n["__typename"] == "ProjectV2ItemFieldIterationValue") & named & (n["title"] != "")
+    def chosen(names: list[str]) -> str:
+        return f"n.__typename = 'ProjectV2ItemFieldSingleSelectValue' and n.name in ({lits(names)})"
 
+    sprint = "n.__typename = 'ProjectV2ItemFieldIterationValue' and lower(n.field.name) = 'sprint' and n.title <> ''"
     entries = issues.select(
         F.col("content.number").cast("string").alias("id"),
         "pos",
@@ -91,9 +97,9 @@ def project_records(lines: DataFrame) -> DataFrame:
             F.coalesce("content.title", F.lit("")).alias("title"),
             F.coalesce(F.nullif(F.col("content.body"), F.lit("")), F.lit(NO_DESCRIPTION)).alias("description"),
             F.coalesce("content.state", F.lit("open")).alias("status"),
-            latest(lambda n: chosen(n, PRIORITIES), "name").alias("priority"),
+            latest(chosen(PRIORITIES), "name").alias("priority"),
             latest(sprint, "title").alias("sprint"),
-            latest(lambda n: chosen(n, SIZES), "name").alias("size"),
+            latest(chosen(SIZES), "name").alias("size"),
         ).alias("entry"),
     )
     return entries.groupBy("id").agg(F.max_by("entry", "pos").alias("entry")).select("id", "entry.*")
@@ -101,4 +107,4 @@ def project_records(lines: DataFrame) -> DataFrame:
 
 def side_fields(entry: DataFrame) -> DataFrame:
     """``id, side``: the side-table fields that are set, as a map."""
-    return entry.select("id", sparse_map({f: F.col(f) for f in SIDE_FIELDS}).alias("side"))
+    return entry.select("id", F.expr(sparse_map({f: f for f in SIDE_FIELDS})).alias("side"))

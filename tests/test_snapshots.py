@@ -112,7 +112,7 @@ def test_embedded_block(spark):
         None: None,
     }
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, b string")
-    got = [r["m"] for r in df.select("i", embedded_block(F.col("b")).alias("m")).orderBy("i").collect()]
+    got = [r["m"] for r in df.select("i", F.expr(embedded_block("b")).alias("m")).orderBy("i").collect()]
     assert got == list(cases.values())
 
 
