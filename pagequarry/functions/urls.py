@@ -69,10 +69,14 @@ def resolve(base: str, raw: str, base_parts: str | None = None) -> str:
     def join(r: str, b: str, text: str) -> str:
         path = f"if(startswith({r}.path, '/'), {r}.path, {_merge(f'{b}.path', f'{r}.path')})"
         dotted = let(remove_dots(path), lambda p: f"if({p} = '', '/', {p})")
+        # dropping a fragment also folds the case of the scheme
+        foreign = (
+            f"if(contains({text}, '#'), concat({r}.scheme, substring({drop_fragment(text)}, length({r}.scheme) + 1)), {text})"
+        )
         same_page_query = f"if({r}.query = '', {b}.query, {r}.query)"
         return (
             f"case when {text} = '' then {drop_fragment(base)} "
-            f"when {r}.scheme <> '' and {r}.scheme <> {b}.scheme then {drop_fragment(text)} "
+            f"when {r}.scheme <> '' and {r}.scheme <> {b}.scheme then {foreign} "
             f"when {r}.host <> '' then {_absolute(f'{b}.scheme', f'{r}.host', f'{r}.path', f'{r}.query')} "
             f"when {r}.path = '' then {_absolute(f'{b}.scheme', f'{b}.host', f'{b}.path', same_page_query)} "
             f"else {_absolute(f'{b}.scheme', f'{b}.host', dotted, f'{r}.query')} end"

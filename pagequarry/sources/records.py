@@ -35,7 +35,7 @@ def local_records(lines: DataFrame) -> DataFrame:
     """``pos, id, fields``: every key of a record in one map; unreadable lines are left out."""
     fields = F.from_json("value", "map<string, string>", {"mode": "PERMISSIVE"})
     parsed = lines.select("pos", F.map_filter(fields, lambda k, v: v.isNotNull()).alias("fields"))
-    return parsed.filter(F.size("fields") > 0).select("pos", F.col("fields")[ID_KEY].alias("id"), "fields")
+    return parsed.filter(F.col("fields").isNotNull()).select("pos", F.col("fields")[ID_KEY].alias("id"), "fields")
 
 
 def remote_records(lines: DataFrame) -> DataFrame:

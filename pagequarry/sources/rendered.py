@@ -203,7 +203,7 @@ def project_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         node(select, name=F.lit("P0")),
         node(select, name=_text("P", key % 4)),
         node(select, name=F.when(key % 3 != 0, F.when(key % 2 == 0, "XS").otherwise("L"))),
-        node(iteration, title=_text("Sprint ", key % 9), field=F.when(key % 4 == 0, "Sprint").otherwise("Other")),
+        node(iteration, title=_text("Sprint ", key % 9), field=F.when(key % 2 == 1, "Sprint").otherwise("Other")),
     )
     content = F.struct(
         F.when(key % 20 == 0, "DraftIssue").otherwise("Issue").alias("__typename"),
