@@ -6,14 +6,18 @@ and each text is scored where it is: no join, no row blow-up, no shuffle.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pagequarry.functions.sql import each, keep, let, lit, struct
-from pagequarry.functions.text import strip
 from pagequarry.labels import DEFAULT_THRESHOLD, field_mapping
 
+# field -> (labels, threshold)
+Patterns = dict[str, tuple[list[str], int]]
+
 # Scripts written without blanks between words; a label in them is looked for
 # as a plain run of characters.
 UNSPACED_SCRIPTS = ("MYANMAR", "CJK", "HIRAGANA", "KATAKANA")
@@ -44,77 +48,108 @@ def label_dim(spark: SparkSession, content_type: str = "movies") -> DataFrame:
     )
 
 
-def label_array(content_type: str = "movies") -> str:
-    """The label table as one constant array for ``match_field``."""
+def _patterns(content_type: str) -> Patterns:
     mapping = field_mapping(content_type).items()
-    return pattern_array({f: (m["labels"], m.get("confidence_threshold", DEFAULT_THRESHOLD)) for f, m in mapping})
+    return {f: (m["labels"], m.get("confidence_threshold", DEFAULT_THRESHOLD)) for f, m in mapping}
 
 
-def pattern_array(patterns: dict[str, tuple[list[str], int]]) -> str:
-    """Constant array of ``struct(field, field_order, threshold, normal, tokens, len, unspaced)``.
+@dataclass(frozen=True)
+class _Label:
+    field: str
+    field_order: int
+    threshold: int
+    normal: str
+    tokens: str
+    unspaced: bool
 
-    The few labels are normalised here, once, by the rule of ``normalise``.
-    """
-    entries = []
+    @property
+    def needle(self) -> str:
+        """What a text with a blank at both ends must contain to contain the label."""
+        return self.normal if self.unspaced else f" {self.normal} "
+
+
+def _labels(patterns: Patterns) -> list[_Label]:
+    """The few labels, normalised once by the rule of ``normalise``."""
+    rows = []
     for order, (field, (labels, threshold)) in enumerate(patterns.items()):
         for label in labels:
             chars = [c if unicodedata.category(c)[0] in "LMN" else " " for c in label.lower()]
             tokens = "".join(chars).split()
-            normal = " ".join(tokens)
-            unspaced = any(unicodedata.name(c, "").startswith(UNSPACED_SCRIPTS) for c in normal)
-            entries.append(
-                struct(
-                    field=lit(field),
-                    field_order=lit(order),
-                    threshold=lit(threshold),
-                    normal=lit(normal),
-                    tokens=lit(" ".join(sorted(tokens))),
-                    len=lit(len(normal)),
-                    unspaced=lit(unspaced),
-                )
-            )
-    return f"array({', '.join(entries)})"
-
-
-def score(text: str, tokens: str, label: str) -> str:
-    """0-100 likeness of a normalised text to a label of ``label_array``.
-
-    A score that cannot reach the label's threshold may come out as 0: the edit
-    distance is never below the difference in length, so it is not computed then.
+            unspaced = any(unicodedata.name(c, "").startswith(UNSPACED_SCRIPTS) for c in label)
+            rows.append(_Label(field, order, threshold, " ".join(tokens), " ".join(sorted(tokens)), unspaced))
+    return rows
+
+
+def _score(t: str, e: str) -> str:
+    """0-100 likeness of a text to a label; 0 where it cannot reach the label's threshold.
+
+    The edit distance is never below the difference in length, so labels that
+    differ too much in length are only looked for inside the text.
     """
-    longest = f"greatest(length({text}), {label}.len)"
-    near = f"100d * (1d - abs(length({text}) - {label}.len) / {longest}) >= {label}.threshold - 1"
+    longest = f"greatest({t}.len, {e}.len)"
+    near = f"100 * abs({t}.len - {e}.len) <= (101 - {e}.threshold) * {longest}"
 
     def ratio(a: str, b: str) -> str:
         return f"100d * (1d - levenshtein({a}, {b}) / {longest})"
 
     edit = (
-        f"if({near}, greatest({ratio(text, f'{label}.normal')}, "
-        f"{TOKEN_ORDER_WEIGHT}d * ({ratio(tokens, f'{label}.tokens')})), 0d)"
-    )
-    inside = (
-        f"if({label}.unspaced, contains({text}, {label}.normal), "
-        f"contains(concat(' ', {text}, ' '), concat(' ', {label}.normal, ' ')))"
+        f"greatest({ratio(f'{t}.normal', f'{e}.normal')}, "
+        f"{TOKEN_ORDER_WEIGHT}d * ({ratio(f'{t}.tokens', f'{e}.tokens')}))"
     )
-    return f"cast(round(greatest({edit}, if({label}.len > 0 and {inside}, {CONTAINED_SCORE}d, 0d))) as int)"
+    contained = f"if(contains({t}.padded, {e}.needle), {CONTAINED_SCORE}d, 0d)"
+    return f"cast(round(greatest(if({near}, {edit}, 0d), {contained})) as int)"
 
 
-def match_field(text: str, labels: str) -> str:
+def match_patterns(text: str, patterns: Patterns) -> str:
     """``struct(field, score)``; field NULL and score 0 when no field reaches its threshold.
 
-    The best score wins, and the earlier field on a tie.
+    The best score wins, and the earlier field on a tie.  A text that is a label
+    is looked up; one that is too long to be like any label and contains none
+    is done after one regular expression; only the others are scored.
     """
+    labels = _labels(patterns)
+    exact: dict[str, str] = {}
+    for label in labels:
+        exact.setdefault(label.normal, label.field)
+    array = ", ".join(
+        struct(
+            field=lit(x.field),
+            field_order=lit(x.field_order),
+            threshold=lit(x.threshold),
+            normal=lit(x.normal),
+            tokens=lit(x.tokens),
+            len=lit(len(x.normal)),
+            needle=lit(x.needle),
+        )
+        for x in labels
+    )
+    # 100 * (len - label) <= (101 - threshold) * len, solved for len
+    longest_near = max(100 * len(x.normal) // max(x.threshold - 1, 1) for x in labels)
+    contained = "|".join(re.escape(x.needle).replace("\\ ", " ") for x in labels)
 
-    def best(normal: str, tokens: str) -> str:
+    def best(t: str) -> str:
         scored = each(
-            labels,
-            lambda e: struct(
-                score=score(normal, tokens, e), rank=f"-{e}.field_order", field=f"{e}.field", threshold=f"{e}.threshold"
-            ),
+            f"array({array})",
+            lambda e: struct(score=_score(t, e), rank=f"-{e}.field_order", field=f"{e}.field", threshold=f"{e}.threshold"),
         )
         hit = f"array_max({keep(scored, lambda s: f'{s}.score >= {s}.threshold')})"
         return let(hit, lambda h: struct(field=f"{h}.field", score=f"coalesce({h}.score, 0)"))
 
-    found = let(normalise(text), lambda n: let(sort_tokens(n), lambda t: best(n, t)))
     nothing = struct(field="cast(NULL as string)", score="0")
-    return f"if(coalesce({strip(text)}, '') = '', {nothing}, {found})"
+
+    def found(n: str) -> str:
+        known = f"map({', '.join(f'{lit(k)}, {lit(v)}' for k, v in exact.items())})[{n}]"
+        parts = struct(normal=n, tokens=sort_tokens(n), len=f"length({n})", padded=f"concat(' ', {n}, ' ')")
+        return (
+            f"case when {n} = '' then {nothing} "
+            f"when {known} is not null then {struct(field=known, score='100')} "
+            f"when length({n}) > {longest_near} and not concat(' ', {n}, ' ') rlike {lit(contained)} then {nothing} "
+            f"else {let(parts, best)} end"
+        )
+
+    return let(normalise(f"coalesce({text}, '')"), found)
+
+
+def match_field(text: str, content_type: str = "movies") -> str:
+    """``match_patterns`` with the labels of a content type."""
+    return match_patterns(text, _patterns(content_type))

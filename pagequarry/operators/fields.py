@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions.dom import Selector, own_texts, select_value, string_value
-from pagequarry.functions.labels import label_array, match_field
+from pagequarry.functions.labels import match_field
 from pagequarry.functions.sql import each, first, keep, let, lits, override, sparse_map, struct, without_nulls
 from pagequarry.functions.text import clean_text, is_paragraph_length, strip
 from pagequarry.labels import field_names
@@ -51,12 +51,10 @@ def paragraph_texts(nodes: str) -> str:
 
 def paragraph_fields(nodes: str, content_type: str = "movies") -> str:
     """``map<field, value>``: the first paragraph that matches each field."""
-    labels = label_array(content_type)
-
     def matched(texts: str) -> str:
         pairs = each(
             texts,
-            lambda t: let(match_field(t, labels), lambda m: struct(text=t, field=f"{m}.field", score=f"{m}.score")),
+            lambda t: let(match_field(t, content_type), lambda m: struct(text=t, field=f"{m}.field", score=f"{m}.score")),
         )
         return keep(pairs, lambda m: f"{m}.field is not null and {m}.score > {PARAGRAPH_MIN_SCORE}")
 

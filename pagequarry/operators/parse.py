@@ -11,8 +11,9 @@ elements, implied ends); nothing else is decided in Python.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +52,24 @@ ENDED_BY = {
 LEVELS = {"div": 1, "td": 2, "th": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4, "table": 5, "head": 6, "body": 6, "html": 7}
 
 
+# One token: comment, declaration, end tag (1), start tag (2, attributes 3), or
+# a start tag with a stray quote (4, 5), which ends at the next ``>``.
+TOKEN = re.compile(
+    r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))
+          |[!?][^>]*>
+          |/([a-zA-Z][^\s/>]*)[^>]*>
+          |/[^a-zA-Z][^>]*>
+          |([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>
+          |([a-zA-Z][^\s/>]*)([^>]*)>)""",
+    re.S | re.X,
+)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
+# markup cut off in the middle of a tag
+CUT_OFF = re.compile(r"<[a-zA-Z/!?]")
+RAW_TEXT_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in ("script", "style")}
+
+
 class _Columns:
     """Flat node columns of many pages; ``offsets`` marks where each page starts."""
 
@@ -61,156 +80,145 @@ class _Columns:
         self.attr_offsets, self.attr_keys, self.attr_values = [0], [], []
         self.src_start, self.src_end = [], []
 
+    def forget_from(self, keep: int) -> None:
+        """Drop the nodes of a page that failed half way."""
+        for column in (self.id, self.parent, self.last, self.sib, self.tag, self.text, self.src_start, self.src_end):
+            del column[keep:]
+        del self.attr_offsets[keep + 1 :]
+        del self.attr_keys[self.attr_offsets[-1] :]
+        del self.attr_values[self.attr_offsets[-1] :]
+
     def to_arrow(self) -> pa.Array:
-        item = NODES.elementType
-        children = [
-            pa.array(self.id, pa.int32()),
-            pa.array(self.parent, pa.int32()),
-            pa.array(self.last, pa.int32()),
-            pa.array(self.sib, pa.int32()),
+        attrs = pa.MapArray.from_arrays(
+            pa.array(self.attr_offsets, pa.int32()), pa.array(self.attr_keys, pa.string()), pa.array(self.attr_values, pa.string())
+        )
+        columns = [
+            *(pa.array(c, pa.int32()) for c in (self.id, self.parent, self.last, self.sib)),
             pa.array(self.tag, pa.string()),
-            pa.MapArray.from_arrays(
-                pa.array(self.attr_offsets, pa.int32()),
-                pa.array(self.attr_keys, pa.string()),
-                pa.array(self.attr_values, pa.string()),
-            ),
+            attrs,
             pa.array(self.text, pa.string()),
-            pa.array(self.src_start, pa.int32()),
-            pa.array(self.src_end, pa.int32()),
+            *(pa.array(c, pa.int32()) for c in (self.src_start, self.src_end)),
         ]
-        struct = pa.StructArray.from_arrays(children, names=item.names)
-        return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), struct)
-
-
-class _Builder(HTMLParser):
-    def __init__(self, out: _Columns) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out = out
-
-    def parse(self, html: str) -> None:
-        self.reset()
-        self.html = html
-        self.line_starts = [0]
-        at = html.find("\n")
-        while at >= 0:
-            self.line_starts.append(at + 1)
-            at = html.find("\n", at + 1)
-        self.base = len(self.out.tag)
-        self.stack: list[int] = []
-        self.children = {-1: 0}
-        self.text_at = None
-        self.feed(html)
-        self.close()
-        while self.stack:
-            self._pop(len(html))
-        self.out.offsets.append(len(self.out.tag))
-
-    def rollback(self) -> None:
-        """Forget a page that failed half way and leave it without nodes."""
-        out, keep = self.out, self.base
-        for column in (out.id, out.parent, out.last, out.sib, out.tag, out.text, out.src_start, out.src_end):
-            del column[keep:]
-        del out.attr_offsets[keep + 1 :]
-        del out.attr_keys[out.attr_offsets[-1] :]
-        del out.attr_values[out.attr_offsets[-1] :]
-        out.offsets.append(keep)
-
-    def _at(self) -> int:
-        line, column = self.getpos()
-        return self.line_starts[line - 1] + column
-
-    def _append(self, tag, attrs, text, start, end) -> int:
-        out = self.out
-        node = len(out.tag) - self.base
-        parent = self.stack[-1] if self.stack else -1
+        return pa.ListArray.from_arrays(
+            pa.array(self.offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=NODES.elementType.names)
+        )
+
+
+def _attributes(source: str) -> dict[str, str]:
+    """Attributes of a start tag; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in ATTRIBUTE.findall(source):
+        value = double or single or bare
+        found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return found
+
+
+def _add_page(html: str, out: _Columns) -> None:
+    """Append the nodes of one page, in document order."""
+    base = len(out.tag)
+    stack: list[tuple[int, str]] = []  # open elements
+    children = {-1: 0}  # element children so far
+
+    def append(tag: str, text: str | None, start: int, end: int) -> int:
+        node = len(out.tag) - base
+        parent = stack[-1][0] if stack else -1
         out.id.append(node)
         out.parent.append(parent)
         out.last.append(node)
-        if text is None:
-            out.sib.append(self.children[parent])
-            self.children[parent] += 1
-            self.children[node] = 0
-        else:
-            out.sib.append(None)
         out.tag.append(tag)
-        seen = set()
-        for key, value in attrs:
-            if key not in seen:
-                seen.add(key)
-                out.attr_keys.append(key)
-                out.attr_values.append(value or "")
-        out.attr_offsets.append(len(out.attr_keys))
         out.text.append(text)
         out.src_start.append(start)
         out.src_end.append(end)
+        if text is None:
+            out.sib.append(children[parent])
+            children[parent] += 1
+            children[node] = 0
+        else:
+            out.sib.append(None)
         return node
 
-    def _tag(self, node: int) -> str:
-        return self.out.tag[self.base + node]
-
-    def _pop(self, end: int) -> None:
-        node = self.stack.pop()
-        self.out.last[self.base + node] = len(self.out.tag) - self.base - 1
-        self.out.src_end[self.base + node] = end
+    def append_text(text: str, start: int, end: int) -> None:
+        append(TEXT_TAG, text, start, end)
+        out.attr_offsets.append(len(out.attr_keys))
 
-    def _end_implied(self, new_tag: str, at: int) -> None:
-        while True:
-            depth = len(self.stack) - 1
-            while depth >= 0 and self._tag(self.stack[depth]) in FORMATTING_TAGS:
+    def close(depth: int, at: int) -> None:
+        """Close the open elements from ``depth`` on."""
+        newest = len(out.tag) - base - 1
+        for node, _ in stack[depth:]:
+            out.last[base + node] = newest
+            out.src_end[base + node] = at
+        del stack[depth:]
+
+    def end_implied(tag: str, at: int) -> None:
+        """Close what a start tag ends: ``<li>`` an open ``li``, and so on."""
+        while stack:
+            depth = len(stack) - 1
+            while depth >= 0 and stack[depth][1] in FORMATTING_TAGS:
                 depth -= 1
-            if depth < 0 or new_tag not in ENDED_BY.get(self._tag(self.stack[depth]), ()):
+            if depth < 0 or tag not in ENDED_BY.get(stack[depth][1], ()):
                 return
-            while len(self.stack) > depth:
-                self._pop(at)
-
-    def handle_starttag(self, tag, attrs):
-        at = self._at()
-        self.text_at = None
-        self._end_implied(tag, at)
-        end = at + len(self.get_starttag_text() or "")
-        node = self._append(tag, attrs, None, at, end)
-        if tag not in VOID_TAGS:
-            self.stack.append(node)
-
-    def handle_endtag(self, tag):
-        self.text_at = None
+            close(depth, at)
+
+    def end_tag(tag: str, start: int, end: int) -> None:
         level = LEVELS.get(tag, 0)
-        for depth in range(len(self.stack) - 1, -1, -1):
-            name = self._tag(self.stack[depth])
+        for depth in range(len(stack) - 1, -1, -1):
+            name = stack[depth][1]
             if name == tag:
-                at = self._at()
-                close = self.html.find(">", at) + 1 or len(self.html)
-                while len(self.stack) > depth + 1:
-                    self._pop(at)
-                self._pop(close)
+                close(depth + 1, start)
+                close(depth, end)
                 return
             if LEVELS.get(name, 0) > level:
                 return
 
-    def handle_data(self, data):
-        if self.text_at is not None:
-            self.out.text[self.base + self.text_at] += data
-        else:
-            at = self._at()
-            self.text_at = self._append(TEXT_TAG, (), data, at, at + len(data))
-
-    def handle_comment(self, data):
-        self.text_at = None
-
-    handle_decl = handle_pi = unknown_decl = handle_comment
+    pos, size = 0, len(html)
+    while pos < size:
+        token = TOKEN.search(html, pos)
+        start = token.start() if token else size
+        if token is None:
+            cut = CUT_OFF.search(html, pos)
+            start = cut.start() if cut else size
+        if start > pos:
+            text = html[pos:start]
+            append_text(unescape(text) if "&" in text else text, pos, start)
+        if token is None:
+            break
+        pos = token.end()
+        ended, tag, source, odd_tag, odd_source = token.groups()
+        if ended is not None:
+            end_tag(ended.lower(), start, pos)
+        elif tag is not None or odd_tag is not None:
+            tag, source = (tag or odd_tag).lower(), source or odd_source or ""
+            end_implied(tag, start)
+            node = append(tag, None, start, pos)
+            if source:
+                for name, value in _attributes(source).items():
+                    out.attr_keys.append(name)
+                    out.attr_values.append(value)
+            out.attr_offsets.append(len(out.attr_keys))
+            if tag in VOID_TAGS or (source and SELF_CLOSED.search(source)):
+                continue
+            stack.append((node, tag))
+            if tag in RAW_TEXT_END:
+                stop = RAW_TEXT_END[tag].search(html, pos)
+                raw_end = stop.start() if stop else size
+                if raw_end > pos:
+                    append_text(html[pos:raw_end], pos, raw_end)
+                pos = raw_end
+    close(0, size)
 
 
 def _parse_array(html: pa.Array) -> tuple[pa.Array, pa.Array]:
     """One node list and one error (NULL when fine) per markup string."""
     out, errors = _Columns(), []
-    for value in html:
-        builder = _Builder(out)
+    for value in html.to_pylist():
+        start = len(out.tag)
         try:
-            builder.parse(value.as_py() or "")
+            _add_page(value or "", out)
             errors.append(None)
         except Exception as exc:  # a bad page is reported, the job goes on
-            builder.rollback()
+            out.forget_from(start)
             errors.append(f"{type(exc).__name__}: {exc}")
+        out.offsets.append(len(out.tag))
     return out.to_arrow(), pa.array(errors, pa.string())
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions.dom import below, elements, own_texts, string_value, stripped_texts, subtree
-from pagequarry.functions.labels import label_array, match_field
+from pagequarry.functions.labels import match_field
 from pagequarry.functions.sql import each, each_indexed, keep, last, let, lits, struct
 from pagequarry.functions.text import strip
 from pagequarry.schema import ITEM_FIELDS
@@ -46,15 +46,13 @@ def body_rows(part: str) -> str:
     return let(elements(part, "tr"), pick)
 
 
-def map_headers(headers: str, labels: str) -> str:
+def map_headers(headers: str, content_type: str) -> str:
     """The field of each header, NULL for none."""
-    return each(headers, lambda h: f"{match_field(h, labels)}.field")
+    return each(headers, lambda h: f"{match_field(h, content_type)}.field")
 
 
 def table_items(nodes: str, content_type: str = "movies", align: str = "text") -> str:
     """``array<struct<table_id, row_id, values map>>`` over all tables of a page, nested ones included."""
-    labels = label_array(content_type)
-
     def row_values(row: str, fields: str) -> str:
         texts = each(
             elements(subtree(nodes, row), "td"), lambda c: f"array_join({stripped_texts(subtree(nodes, c))}, ' ')"
@@ -83,7 +81,7 @@ def table_items(nodes: str, content_type: str = "movies", align: str = "text") -
         return let(
             subtree(nodes, table),
             lambda part: let(
-                map_headers(header_texts(nodes, part, align), labels),
+                map_headers(header_texts(nodes, part, align), content_type),
                 lambda fields: f"if(size({fields}) > 0, {rows_of(table, part, fields)}, NULL)",
             ),
         )

@@ -108,7 +108,7 @@ MIXED = f"""{DETAIL}, {CATALOGUE}, {CARDS}, processed as (
     0::bigint as n_rejected, null as next_page, case when not framed then {clean('p_name')} end as title,
     case when not framed then year end as year, case when not framed then {clean("'Director: ' || p_brand")} end as director,
     case when not framed then {clean("'Genre: ' || p_type")} end as genre,
-    case when not framed then '/img/' || k || '.jpg' end as poster_url, null as streaming_link
+    case when not framed then '/img/' || k || '.jpg' end as poster_url, null::varchar as streaming_link
   from detail
   union all
   select url, case when n_rows >= 3 then 'catalogue' else 'unknown' end, false,
@@ -372,14 +372,14 @@ ORACLES: dict[str, str] = {
         case when framed then '//stream.example.com/' || k end as streaming_link from detail""",
     "main_fields_whole_urls": f"""with {DETAIL} select k as page_id, {clean('p_name')} as title, year, '/img/' || k || '.jpg' as poster_url,
         case when framed then 'https://stream.example.com/' || k end as streaming_link from detail""",
-    "paragraph_fields": "select p_partkey as page_id, p_brand as director, p_type as genre, null as duration from part",
-    "paragraph_fields_games": "select p_partkey as page_id, p_type as genre, null as developer, null as platform from part",
+    "paragraph_fields": "select p_partkey as page_id, p_brand as director, p_type as genre, null::varchar as duration from part",
+    "paragraph_fields_games": "select p_partkey as page_id, p_type as genre, null::varchar as developer, null::varchar as platform from part",
     "merged_fields": f"""with {DETAIL} select page_id, field, value from (
         select k as page_id, 'title' as field, {clean('p_name')} as value from detail union all select k, 'year', year from detail
         union all select k, 'poster_url', '/img/' || k || '.jpg' from detail union all select k, 'director', p_brand from detail
         union all select k, 'genre', p_type from detail
         union all select k, 'streaming_link', '//stream.example.com/' || k from detail where framed)""",
-    "table_items": f"with {TABLE_ROWS} select page_id, title, year, genre, null as director from table_rows",
+    "table_items": f"with {TABLE_ROWS} select page_id, title, year, genre, null::varchar as director from table_rows",
     "table_item_counts": "select o_orderkey as page_id, o_orderkey % 4 + 2 as n_items from orders",
     "header_fields": """select h.header, h.field, count(*)::bigint as n_tables from orders,
         (values ('Title', 'title'), ('Release Year', 'year'), ('Genre', 'genre'), ('Random', null)) h(header, field)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions.dom import Selector, elements, own_texts, select_value, string_value, stripped_texts, subtree
-from pagequarry.functions.labels import label_array, match_field
+from pagequarry.functions.labels import match_field
 from pagequarry.functions.sql import each, first, keep, let, struct
 from pagequarry.functions.text import clean_text, is_blacklisted, is_paragraph_length, strip
 from pagequarry.functions.urls import reject_reason, resolve
@@ -325,7 +325,7 @@ def matched_labels(spark, sf_dir):
     ]
     text = F.coalesce(*[F.when(key % n == i, s) for i, s in enumerate(shapes)])
     texts = read(spark, sf_dir, "part").select(key.alias("key"), text.alias("text"))
-    return texts.select("key", "text", F.expr(match_field("text", label_array())).alias("m")).select(
+    return texts.select("key", "text", F.expr(match_field("text")).alias("m")).select(
         "key", "text", "m.field", F.col("m.score").cast("long").alias("score")
     )
 
@@ -383,7 +383,7 @@ def header_fields(spark, sf_dir):
     counted = (
         parsed.select(F.explode(F.flatten(F.expr(headers))).alias("header")).groupBy("header").agg(F.count("*").alias("n_tables"))
     )
-    return counted.select("header", F.expr(f"{match_field('header', label_array())}.field").alias("field"), "n_tables")
+    return counted.select("header", F.expr(f"{match_field('header')}.field").alias("field"), "n_tables")
 
 
 @query

@@ -13,7 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.session import spread
 from pagequarry.sources.pages import read_table
 
 SITE = "https://films.example.com"
@@ -37,7 +36,7 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '</span><div class="entry-content"><img src="/img/', key, '.jpg"><p>Director: ', F.col("p_brand"),
         "</p><p>Genre: ", F.col("p_type"), "</p></div>", frame, "</body></html>",
     )
-    parts = spread(read_table(spark, sf_dir, "part"))
+    parts = read_table(spark, sf_dir, "part")
     return parts.select(key.alias("page_id"), _text(SITE, "/movie/", key).alias("url"), html.alias("html"))
 
 
@@ -65,7 +64,7 @@ def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             _text("<table><thead>", head("Random", "Title", "Release Year", "Genre"), "</thead><tbody>", rows, "</tbody></table>")
         )
     )
-    orders = spread(read_table(spark, sf_dir, "orders"))
+    orders = read_table(spark, sf_dir, "orders")
     return orders.select(key.alias("page_id"), _text(SITE, "/order/", key).alias("url"), html.alias("html"))
 
 
@@ -81,7 +80,7 @@ def catalogue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 2 == 0, _text('<a class="next page-numbers" href="/list/', key, '?page=2">Next</a>')).otherwise(""),
         '<a href="mailto:desk@example.com">Mail</a></body></html>',
     )
-    customers = spread(read_table(spark, sf_dir, "customer"))
+    customers = read_table(spark, sf_dir, "customer")
     return customers.select(key.alias("page_id"), _text(SITE, "/list/", key).alias("url"), html.alias("html"))
 
 
@@ -102,7 +101,7 @@ def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = _text(
         '<html><body><iframe src="/ad"></iframe><main>', _repeat(key % 6 + 3, card), "</main></body></html>"
     )
-    customers = spread(read_table(spark, sf_dir, "customer"))
+    customers = read_table(spark, sf_dir, "customer")
     return customers.select(key.alias("page_id"), _text(SITE, "/blocks/", key).alias("url"), html.alias("html"))
 
 

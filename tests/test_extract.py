@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.functions.labels import pattern_array, label_dim, match_field
+from pagequarry.functions.labels import label_dim, match_patterns
 from pagequarry.labels import field_mapping, field_names, labels_for, threshold_for
 from pagequarry.operators.fields import extract_main_fields, extract_paragraph_fields, page_fields, paragraph_fields
 from pagequarry.operators.links import extract_links, rejected_links
@@ -246,18 +246,18 @@ def test_label_lookup(spark):
 
 
 def test_match_field(spark):
-    labels = pattern_array({"title": (["Film Title", "Movie Title"], 80), "director": (["Director", "Directed By"], 70)})
+    labels = ({"title": (["Film Title", "Movie Title"], 80), "director": (["Director", "Directed By"], 70)})
     cases = ["Film Title", "Film Titles", "Something Completely Different", "", None, "DIRECTOR", "by directed"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
-    got = [(r["m"]["field"], r["m"]["score"]) for r in df.select("i", F.expr(match_field("t", labels)).alias("m")).orderBy("i").collect()]
+    got = [(r["m"]["field"], r["m"]["score"]) for r in df.select("i", F.expr(match_patterns("t", labels)).alias("m")).orderBy("i").collect()]
     assert got[0] == ("title", 100) and got[1][0] == "title" and got[1][1] >= 80
     assert got[2] == got[3] == got[4] == (None, 0)
     assert got[5] == ("director", 100) and got[6] == ("director", 95)
 
 
 def test_earlier_field_wins_tie(spark):
-    labels = pattern_array({"a": (["Same"], 70), "b": (["Same"], 70)})
-    row = spark.range(1).select(F.expr(match_field("'same'", labels)).alias("m")).first()["m"]
+    labels = ({"a": (["Same"], 70), "b": (["Same"], 70)})
+    row = spark.range(1).select(F.expr(match_patterns("'same'", labels)).alias("m")).first()["m"]
     assert row["field"] == "a"
 
 

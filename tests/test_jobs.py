@@ -97,13 +97,13 @@ def test_extract_all_empty_page(spark):
 def test_bad_page_is_reported(spark, monkeypatch):
     from pagequarry.operators import parse
 
-    def fail_on_marker(self, tag, attrs, real=parse._Builder.handle_starttag):
-        if tag == "boom":
+    def fail_on_marker(source, real=parse._attributes):
+        if "boom" in source:
             raise ValueError("bad page")
-        real(self, tag, attrs)
+        return real(source)
 
-    monkeypatch.setattr(parse._Builder, "handle_starttag", fail_on_marker)
-    pages = spark.createDataFrame([(1, "u1", "<p a=1>x"), (2, "u2", "<p b=2>y<boom>"), (3, "u3", "<p c=3>z")], PAGES)
+    monkeypatch.setattr(parse, "_attributes", fail_on_marker)
+    pages = spark.createDataFrame([(1, "u1", "<p a=1>x"), (2, "u2", "<p b=2>y<i boom>"), (3, "u3", "<p c=3>z")], PAGES)
     parsed = parse_pages(pages)
     assert [(r["url"], r["error"]) for r in parse_errors(parsed).collect()] == [("u2", "ValueError: bad page")]
     rows = node_rows(parsed).filter("tag = 'p'").orderBy("page_id").collect()
