@@ -59,7 +59,7 @@ TOKEN = re.compile(
           |[!?][^>]*>
           |/([a-zA-Z][^\s/>]*)[^>]*>
           |/[^a-zA-Z][^>]*>
-          |([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>
+          |([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>
           |([a-zA-Z][^\s/>]*)([^>]*)>)""",
     re.S | re.X,
 )

@@ -94,10 +94,13 @@ def push_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
     )
     target = F.struct("number", F.transform("labels", lambda x: x["name"]).alias("labels"))
     by_id = remote.select(F.col("number").cast("string").alias("id_key"), target.alias("same_id"))
+    # exploded from a one-element array, so that the block is read once, not again by the filter
+    component = F.explode(F.array(F.lower(F.col("embedded")["component"]))).alias("component_key")
     by_component = (
-        remote.filter(F.col("embedded")["component"].isNotNull())
-        .groupBy(F.lower(F.col("embedded")["component"]).alias("component_key"))
-        .agg(F.min_by(target, "pos").alias("same_component"))
+        remote.select("pos", target.alias("target"), component)
+        .filter(F.col("component_key").isNotNull())
+        .groupBy("component_key")
+        .agg(F.min_by("target", "pos").alias("same_component"))
     )
     keyed = records.join(by_id, "id_key", "left").withColumn(
         "component_key",

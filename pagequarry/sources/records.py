@@ -31,11 +31,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), "value")
 
 
+def _decode(lines: DataFrame, schema: str) -> DataFrame:
+    """``pos`` and the decoded columns.  A generator rather than a projection, so
+    that each line is decoded once however many of its fields are used."""
+    return lines.select("pos", F.inline(F.array(F.from_json("value", schema, {"mode": "PERMISSIVE"}))))
+
+
 def local_records(lines: DataFrame) -> DataFrame:
     """``pos, id, fields``: every key of a record in one map; unreadable lines are left out."""
-    fields = F.from_json("value", "map<string, string>", {"mode": "PERMISSIVE"})
-    parsed = lines.select("pos", F.map_filter(fields, lambda k, v: v.isNotNull()).alias("fields"))
-    return parsed.filter(F.col("fields").isNotNull()).select("pos", F.col("fields")[ID_KEY].alias("id"), "fields")
+    fields = F.map_filter(F.from_json("value", "map<string, string>"), lambda k, v: v.isNotNull())
+    decoded = lines.select("pos", F.explode(F.array(fields)).alias("fields"))
+    return decoded.filter(F.col("fields").isNotNull()).select("pos", F.col("fields")[ID_KEY].alias("id"), "fields")
 
 
 def remote_records(lines: DataFrame) -> DataFrame:
@@ -48,7 +54,7 @@ def skipped_pull_requests(lines: DataFrame) -> DataFrame:
 
 
 def _remote(lines: DataFrame) -> DataFrame:
-    parsed = lines.select("pos", F.from_json("value", REMOTE_SCHEMA).alias("r")).select("pos", "r.*")
+    parsed = _decode(lines, REMOTE_SCHEMA)
     return parsed.filter(F.col("number").isNotNull()).withColumn("embedded", F.expr(embedded_block("body")))
 
 
@@ -78,9 +84,7 @@ def embedded_block(body: str) -> str:
 
 def project_records(lines: DataFrame) -> DataFrame:
     """Side-table entries: ``id, title, description, status, priority, sprint, size``; a later entry of an id wins."""
-    parsed = lines.select("pos", F.from_json("value", PROJECT_SCHEMA).alias("p")).select(
-        "pos", "p.content", F.col("p.fieldValues.nodes").alias("nodes")
-    )
+    parsed = _decode(lines, PROJECT_SCHEMA).select("pos", "content", F.col("fieldValues.nodes").alias("nodes"))
     issues = parsed.filter(F.col("content.__typename") == "Issue")
 
     def latest(test: str, value: str) -> Column:
