@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,32 +76,35 @@ class _Columns:
 
     def __init__(self) -> None:
         self.offsets = [0]
-        self.id, self.parent, self.last, self.sib = [], [], [], []
+        self.parent, self.last, self.sib = [], [], []
         self.tag, self.text = [], []
         self.attr_offsets, self.attr_keys, self.attr_values = [0], [], []
         self.src_start, self.src_end = [], []
 
     def forget_from(self, keep: int) -> None:
         """Drop the nodes of a page that failed half way."""
-        for column in (self.id, self.parent, self.last, self.sib, self.tag, self.text, self.src_start, self.src_end):
+        for column in (self.parent, self.last, self.sib, self.tag, self.text, self.src_start, self.src_end):
             del column[keep:]
         del self.attr_offsets[keep + 1 :]
         del self.attr_keys[self.attr_offsets[-1] :]
         del self.attr_values[self.attr_offsets[-1] :]
 
     def to_arrow(self) -> pa.Array:
+        starts = np.asarray(self.offsets, dtype=np.int32)
+        ids = np.arange(len(self.tag), dtype=np.int32) - np.repeat(starts[:-1], np.diff(starts))
         attrs = pa.MapArray.from_arrays(
             pa.array(self.attr_offsets, pa.int32()), pa.array(self.attr_keys, pa.string()), pa.array(self.attr_values, pa.string())
         )
         columns = [
-            *(pa.array(c, pa.int32()) for c in (self.id, self.parent, self.last, self.sib)),
+            pa.array(ids, pa.int32()),
+            *(pa.array(c, pa.int32()) for c in (self.parent, self.last, self.sib)),
             pa.array(self.tag, pa.string()),
             attrs,
             pa.array(self.text, pa.string()),
             *(pa.array(c, pa.int32()) for c in (self.src_start, self.src_end)),
         ]
         return pa.ListArray.from_arrays(
-            pa.array(self.offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=NODES.elementType.names)
+            pa.array(starts, pa.int32()), pa.StructArray.from_arrays(columns, names=NODES.elementType.names)
         )
 
 
@@ -116,55 +120,50 @@ def _attributes(source: str) -> dict[str, str]:
 def _add_page(html: str, out: _Columns) -> None:
     """Append the nodes of one page, in document order."""
     base = len(out.tag)
-    stack: list[tuple[int, str]] = []  # open elements
-    children = {-1: 0}  # element children so far
+    stack: list[list] = [[-1, "", 0]]  # open elements below a root: node, tag, element children so far
 
     def append(tag: str, text: str | None, start: int, end: int) -> int:
         node = len(out.tag) - base
-        parent = stack[-1][0] if stack else -1
-        out.id.append(node)
-        out.parent.append(parent)
+        parent = stack[-1]
+        out.parent.append(parent[0])
         out.last.append(node)
         out.tag.append(tag)
         out.text.append(text)
         out.src_start.append(start)
         out.src_end.append(end)
         if text is None:
-            out.sib.append(children[parent])
-            children[parent] += 1
-            children[node] = 0
+            out.sib.append(parent[2])
+            parent[2] += 1
         else:
             out.sib.append(None)
+            out.attr_offsets.append(len(out.attr_keys))
         return node
 
-    def append_text(text: str, start: int, end: int) -> None:
-        append(TEXT_TAG, text, start, end)
-        out.attr_offsets.append(len(out.attr_keys))
-
     def close(depth: int, at: int) -> None:
         """Close the open elements from ``depth`` on."""
         newest = len(out.tag) - base - 1
-        for node, _ in stack[depth:]:
-            out.last[base + node] = newest
-            out.src_end[base + node] = at
+        for entry in stack[depth:]:
+            out.last[base + entry[0]] = newest
+            out.src_end[base + entry[0]] = at
         del stack[depth:]
 
     def end_implied(tag: str, at: int) -> None:
         """Close what a start tag ends: ``<li>`` an open ``li``, and so on."""
-        while stack:
+        while True:
             depth = len(stack) - 1
-            while depth >= 0 and stack[depth][1] in FORMATTING_TAGS:
+            while stack[depth][1] in FORMATTING_TAGS:
                 depth -= 1
-            if depth < 0 or tag not in ENDED_BY.get(stack[depth][1], ()):
+            if tag not in ENDED_BY.get(stack[depth][1], ()):
                 return
             close(depth, at)
 
     def end_tag(tag: str, start: int, end: int) -> None:
         level = LEVELS.get(tag, 0)
-        for depth in range(len(stack) - 1, -1, -1):
+        for depth in range(len(stack) - 1, 0, -1):
             name = stack[depth][1]
             if name == tag:
-                close(depth + 1, start)
+                if depth + 1 < len(stack):
+                    close(depth + 1, start)
                 close(depth, end)
                 return
             if LEVELS.get(name, 0) > level:
@@ -179,7 +178,7 @@ def _add_page(html: str, out: _Columns) -> None:
             start = cut.start() if cut else size
         if start > pos:
             text = html[pos:start]
-            append_text(unescape(text) if "&" in text else text, pos, start)
+            append(TEXT_TAG, unescape(text) if "&" in text else text, pos, start)
         if token is None:
             break
         pos = token.end()
@@ -197,14 +196,14 @@ def _add_page(html: str, out: _Columns) -> None:
             out.attr_offsets.append(len(out.attr_keys))
             if tag in VOID_TAGS or (source and SELF_CLOSED.search(source)):
                 continue
-            stack.append((node, tag))
+            stack.append([node, tag, 0])
             if tag in RAW_TEXT_END:
                 stop = RAW_TEXT_END[tag].search(html, pos)
                 raw_end = stop.start() if stop else size
                 if raw_end > pos:
-                    append_text(html[pos:raw_end], pos, raw_end)
+                    append(TEXT_TAG, html[pos:raw_end], pos, raw_end)
                 pos = raw_end
-    close(0, size)
+    close(1, size)
 
 
 def _parse_array(html: pa.Array) -> tuple[pa.Array, pa.Array]:

@@ -92,7 +92,7 @@ def push_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
         # a NULL key would send all such rows to one task
         F.coalesce("id", F.concat(F.lit(NO_KEY), F.col("pos"))).alias("id_key"),
     )
-    target = F.struct("number", F.transform("labels", lambda x: x["name"]).alias("labels"))
+    target = F.expr("named_struct('number', number, 'labels', labels.name)")
     by_id = remote.select(F.col("number").cast("string").alias("id_key"), target.alias("same_id"))
     # exploded from a one-element array, so that the block is read once, not again by the filter
     component = F.explode(F.array(F.lower(F.col("embedded")["component"]))).alias("component_key")
@@ -100,7 +100,7 @@ def push_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
         remote.select("pos", target.alias("target"), component)
         .filter(F.col("component_key").isNotNull())
         .groupBy("component_key")
-        .agg(F.min_by("target", "pos").alias("same_component"))
+        .agg(F.min_by(F.col("target"), F.col("pos")).alias("same_component"))
     )
     keyed = records.join(by_id, "id_key", "left").withColumn(
         "component_key",
