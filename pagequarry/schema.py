@@ -34,5 +34,3 @@ PAGES = T.StructType(
 
 # The fields of a catalogue record, in their declared order.
 ITEM_FIELDS = ["title", "year", "director", "cast", "genre", "synopsis", "poster_url", "streaming_link"]
-
-MAP = T.MapType(T.StringType(), T.StringType())

@@ -13,7 +13,10 @@ def write_items(items: DataFrame, path: str, run_ts: str) -> None:
 
 
 def write_rejected(processed: DataFrame, path: str, run_ts: str) -> None:
-    """``page_id, reason, url`` of the links turned down; nothing is written when there are none."""
+    """``page_id, reason, url`` of the links turned down; nothing is written when there are none.
+
+    The rows are looked at twice, so pass a result that is already stored.
+    """
     rows = processed.select("page_id", F.inline("rejected")).select("page_id", "reason", "url")
     if not rows.isEmpty():
         _write(rows, f"{path}/run_ts={run_ts}")
