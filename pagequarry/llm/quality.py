@@ -100,8 +100,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def rule_order(docs: DataFrame, rules: list[Rule], *, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
-    """The rules by rejections per second on at most ``sample_rows`` rows, best first."""
-    sample = measure(docs.select(F.col(text).alias("text")).limit(sample_rows)).persist()
+    """The rules by rejections per second on about ``sample_rows`` rows drawn from all, best first."""
+    texts = docs.select(F.col(text).alias("text"))
+    drawn = texts.sample(min(1.0, sample_rows / max(1, texts.count())), seed=5)
+    sample = measure(drawn).persist()
     try:
         total = sample.count()
         if not total:
