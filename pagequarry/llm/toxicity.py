@@ -18,17 +18,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import as_bytes, bucket_of, slices
+from pagequarry.llm.common import BASES, as_bytes, bucket_of, slices
 
 #: Bounds of the fit: texts of each label, and words of a text that may train.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 3000
 SAMPLE_WORDS = 1200
-BUCKETS = 1 << 16
+BUCKETS = 1 << 31
+#: Buckets of the language table.
+COARSE = 1 << 14
 SIZE = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 EPOCHS = 6
 BATCH = 64
+#: Standard errors from which a word's log-odds count.
+SURE = 2.7
 RATE = 0.01
 #: Words run through the filters at a time.
 BLOCK = 1 << 14
@@ -37,7 +41,7 @@ EDGES = b".,!?;:*#&%$|\"'()-<>[]{}"
 
 
 class Hasher:
-    """Words of a text as bucket numbers from 1; 0 is the blank around a text."""
+    """Words of a text as bucket numbers."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -45,7 +49,7 @@ class Hasher:
     def bucket(self, word: bytes) -> int:
         if len(self.known) >= MEMORY:
             self.known.clear()
-        found = xxhash.xxh3_64_intdigest(word.strip(EDGES)) % (BUCKETS - 1) + 1
+        found = xxhash.xxh3_64_intdigest(word.strip(EDGES)) % (BUCKETS - 1) + 1  # never 0, so "or" is safe
         self.known[word] = found
         return found
 
@@ -57,18 +61,27 @@ class Hasher:
 
 @dataclass
 class Model:
-    embedding: np.ndarray  # BUCKETS x SIZE
+    buckets: np.ndarray  # sorted buckets that have an embedding
+    embedding: np.ndarray  # one row more: the first is for all other words and the blank around a text
     filters: list[np.ndarray]  # for each width: width * SIZE x FILTERS
     shifts: list[np.ndarray]
     weights: np.ndarray
     bias: float
-    languages: np.ndarray  # BUCKETS x languages: log-odds of words
+    languages: np.ndarray  # COARSE x languages: log-probabilities of words
     thresholds: np.ndarray
 
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """Embedding rows of a text's words, with blanks around."""
+        edge = np.zeros(max(WIDTHS) - 1, np.int64)
+        if not len(self.buckets):
+            return np.concatenate([edge, np.zeros(len(ids), np.int64), edge])
+        at = np.minimum(np.searchsorted(self.buckets, ids), len(self.buckets) - 1)
+        return np.concatenate([edge, np.where(self.buckets[at] == ids, at + 1, 0), edge])
+
     def pooled(self, ids: np.ndarray) -> np.ndarray:
         """Largest response of every filter over the whole text."""
         most = max(WIDTHS)
-        padded = np.concatenate([np.zeros(most - 1, np.int32), ids, np.zeros(most - 1, np.int32)])
+        padded = self.rows(ids)
         best = np.zeros(len(WIDTHS) * FILTERS, np.float32)
         for at in range(0, len(padded) - most + 1, BLOCK):
             words = self.embedding[padded[at : at + BLOCK + most - 1]]
@@ -82,7 +95,7 @@ class Model:
     def language(self, ids: np.ndarray) -> int:
         total = np.zeros(self.languages.shape[1], np.float64)
         for at in range(0, len(ids), BLOCK):
-            total += self.languages[ids[at : at + BLOCK]].sum(0)
+            total += self.languages[ids[at : at + BLOCK] % COARSE].sum(0)
         return int(total.argmax())
 
     def score(self, ids: np.ndarray) -> float:
@@ -104,27 +117,30 @@ def responses(words: np.ndarray, width: int, filt: np.ndarray) -> np.ndarray:
 def start(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -> Model:
     """A model whose first embedding value is the log-odds of a word."""
     rng = np.random.default_rng(7)
-    seen = np.zeros((2, BUCKETS), np.float32)
-    for ids, label in zip(texts, labels, strict=True):
-        seen[int(label), np.unique(ids)] += 1
-    rates = [(s + 0.5) / (max(1, int((labels == k).sum())) + 1) for k, s in enumerate(seen)]
-    embedding = rng.normal(0, 0.05, (BUCKETS, SIZE)).astype(np.float32)
-    # a word seen in few texts says little
-    weight = seen.sum(0) / (seen.sum(0) + 5)
-    embedding[:, 0] = np.clip(np.log(rates[1] / rates[0]), -3, 3) * weight
+    words, where = np.unique(np.concatenate([np.unique(t) for t in texts] or [np.empty(0, np.int32)]), return_inverse=True)
+    owner = np.repeat(labels, [len(np.unique(t)) for t in texts]) if len(texts) else labels
+    seen = [np.bincount(where[owner == k], minlength=len(words)) for k in (0, 1)]
+    texts_of = [max(1, int((labels == k).sum())) for k in (0, 1)]
+    odds = [np.log((s + 0.5) / (n - s + 0.5)) for s, n in zip(seen, texts_of, strict=True)]
+    error = np.sqrt(sum(1 / (s + 0.5) + 1 / (n - s + 0.5) for s, n in zip(seen, texts_of, strict=True)))
+    # words without clear evidence share the blank row, so that long texts gain no score by chance
+    sure = np.abs(odds[1] - odds[0]) / error > SURE
+    buckets = words[sure]
+    embedding = rng.normal(0, 0.05, (len(buckets) + 1, SIZE)).astype(np.float32)
+    embedding[1:, 0] = np.clip((odds[1] - odds[0])[sure], -3, 3)
     embedding[0] = 0
     filters = [rng.normal(0, 0.1, (w * SIZE, FILTERS)).astype(np.float32) for w in WIDTHS]
     for filt, width in zip(filters, WIDTHS, strict=True):
         filt[[k * SIZE for k in range(width)], : FILTERS // 2] += 1.0 / width
     names = sorted({x for x in langs if x})
-    table = np.zeros((BUCKETS, max(1, len(names))), np.float32)
+    table = np.zeros((COARSE, max(1, len(names))), np.float32)
     for ids, lang in zip(texts, langs, strict=True):
         if lang:
-            np.add.at(table[:, names.index(lang)], ids, 1)
-    table = np.log((table + 0.1) / (table.sum(0) + 0.1 * BUCKETS)).astype(np.float32)
+            np.add.at(table[:, names.index(lang)], ids % COARSE, 1)
+    table = np.log((table + 0.1) / (table.sum(0) + 0.1 * COARSE)).astype(np.float32)
     weights = np.zeros(len(WIDTHS) * FILTERS, np.float32)
     shifts = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-    return Model(embedding, filters, shifts, weights, 0.0, table, np.zeros(table.shape[1]))
+    return Model(buckets, embedding, filters, shifts, weights, 0.0, table, np.zeros(table.shape[1]))
 
 
 class Adam:
@@ -148,7 +164,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None])
     params = [*model.filters, *model.shifts, model.weights]
     steps = [Adam(p) for p in params]
     bias, bias_step = np.zeros(1, np.float32), Adam(np.zeros(1, np.float32))
-    most = max(WIDTHS)
+    rows = [model.rows(t) for t in texts]
     for _ in range(EPOCHS):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
@@ -156,7 +172,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None])
             grads = [np.zeros_like(p) for p in params]
             moved: list[tuple[np.ndarray, np.ndarray]] = []
             for i in part:
-                ids = np.concatenate([np.zeros(most - 1, np.int32), texts[i], np.zeros(most - 1, np.int32)])
+                ids = rows[i]
                 words = model.embedding[ids]
                 outs = [responses(words, w, f) for w, f in zip(WIDTHS, model.filters, strict=True)]
                 places = [o.argmax(0) for o in outs]
@@ -230,15 +246,32 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, words:
     taken = sorted(short.join(F.broadcast(drawn), "doc_id").collect(), key=lambda r: (r.doc_id, r.text))
     hasher = Hasher()
     texts, marks, langs = [], [], []
-    for row in taken[: 4 * rows]:
+    seen: set[int] = set()
+    for row in taken:
         ids = hasher.ids(row.text.encode())
-        if len(ids) <= words:
+        if len(ids) <= words and fresh(ids, seen):
             texts.append(ids)
             marks.append(row.toxic)
             langs.append(row.lang)
     return train(texts, np.array(marks, np.float64), langs)
 
 
+def fresh(ids: np.ndarray, seen: set[int]) -> bool:
+    """False for a near copy of a text before: copies would make their chance words look telling.
+
+    A text is known by its least hashed word triple in each of four classes.
+    """
+    if len(ids) < 3:
+        return True
+    with np.errstate(over="ignore"):
+        triples = (ids[:-2].astype(np.uint64) * np.uint64(BASES[0]) + ids[1:-1].astype(np.uint64)) * np.uint64(BASES[1])
+        triples = (triples + ids[2:].astype(np.uint64)) * np.uint64(BASES[0])
+    marks = {int(own.min()) for k in range(4) if len(own := triples[(triples >> np.uint64(40)) % 4 == k])}
+    known = len(marks & seen) > 1
+    seen |= marks
+    return not known
+
+
 def score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model, hasher = shared.value, Hasher()
     for batch in slices(batches):
@@ -260,7 +293,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ones in overlapping blocks. Without training rows, or with one label only, every score is 0.5 moved
     by nothing (predicted 1). Repeated rows are scored each for itself; several labels of one document
     count as the largest; other columns are ignored; an empty table gives no rows. The model is broadcast;
-    its size is fixed by the module's constants and the number of languages.
+    its size is bounded by the words of the training rows.
     """
     model = learn(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
