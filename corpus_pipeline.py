@@ -1,4 +1,8 @@
-"""A training corpus from documents: language, quality, near copies, repeated passages, packing."""
+"""A training corpus from documents: language, quality, near copies, repeated passages, packing.
+
+Each stage works on all rows that the one before it kept. Stages before the last return the columns of the
+documents; the last returns the pieces of the packed windows.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pagequarry.llm import quality  # noqa: E402
+from pagequarry.llm import jaccard, langid, packing, quality, substrings  # noqa: E402
 from pagequarry.llm.common import stored, table  # noqa: E402
+from pagequarry.llm.queries import vocabulary  # noqa: E402
+
+
+def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear."""
+    return langid.keep_identified(docs)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +28,30 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs)
 
 
-STAGES = [("quality", good_quality)]
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, by shingles of five words and a similarity of 0.8."""
+    return jaccard.one_of_each(docs, size=5, percent=80)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that also stand earlier."""
+    return substrings.without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of tokens."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", clear_language),
+    ("quality", good_quality),
+    ("near_copies", one_of_near_copies),
+    ("repeats", without_repeats),
+    ("packing", packed),
+]
 
-#: Not expressible in SQL: trained language dictionaries, measured rule order, tokenizer.
+#: Not expressible in SQL: trained language dictionaries, tokenizer, windows that depend on the partitions.
 ORACLE_SQL = None
 
 
