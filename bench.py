@@ -48,6 +48,8 @@ def main() -> None:
             "spark.driver.memory": "16g",
             "spark.sql.shuffle.partitions": CPUS,
             "spark.ui.showConsoleProgress": "false",
+            # the tables here are single files of one row group
+            "spark.pagequarry.partitions": CPUS,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -22,7 +22,9 @@ Patterns = dict[str, tuple[list[str], int]]
 # as a plain run of characters.
 UNSPACED_SCRIPTS = ("MYANMAR", "CJK", "HIRAGANA", "KATAKANA")
 TOKEN_ORDER_WEIGHT = 0.95
+# A label inside a text says little when the text is many times as long: it is prose.
 CONTAINED_SCORE = 90.0
+PROSE_SCORE, PROSE_RATIO = 60.0, 8
 
 
 def normalise(x: str) -> str:
@@ -96,7 +98,8 @@ def _score(t: str, e: str) -> str:
         f"greatest({ratio(f'{t}.normal', f'{e}.normal')}, "
         f"{TOKEN_ORDER_WEIGHT}d * ({ratio(f'{t}.tokens', f'{e}.tokens')}))"
     )
-    contained = f"if(contains({t}.padded, {e}.needle), {CONTAINED_SCORE}d, 0d)"
+    inside = f"if({t}.len <= {PROSE_RATIO} * {e}.len, {CONTAINED_SCORE}d, {PROSE_SCORE}d)"
+    contained = f"if(contains({t}.padded, {e}.needle), {inside}, 0d)"
     return f"cast(round(greatest(if({near}, {edit}, 0d), {contained})) as int)"
 
 
@@ -123,8 +126,10 @@ def match_patterns(text: str, patterns: Patterns) -> str:
         )
         for x in labels
     )
-    # 100 * (len - label) <= (101 - threshold) * len, solved for len
-    longest_near = max(100 * len(x.normal) // max(x.threshold - 1, 1) for x in labels)
+    # A text can be near a label while 100 * (len - label) <= (101 - threshold) * len, which solved for len is the
+    # bound here; with a threshold of 1 or less any length is near. A longer text scores only by containing one.
+    unbounded = any(x.threshold <= 1 for x in labels)
+    longest_near = 2**31 - 1 if unbounded else max(100 * len(x.normal) // (x.threshold - 1) for x in labels)
     contained = "|".join(re.escape(x.needle).replace("\\ ", " ") for x in labels)
 
     def best(t: str) -> str:

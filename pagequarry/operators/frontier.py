@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions.sql import each, let, lits, some, struct
 from pagequarry.functions.urls import host_of, resolve
 from pagequarry.operators.links import link_array, next_page, valid_links
-from pagequarry.session import cut
+from pagequarry.session import new_dir
 
 # Fetch priorities.
 CATALOGUE_PRIORITY, PAGINATION_PRIORITY, OTHER_PRIORITY = 10, 5, 0
@@ -23,8 +23,19 @@ def in_domains(url: str, domains: list[str]) -> str:
 
 
 def unseen(found: DataFrame, seen: DataFrame) -> DataFrame:
-    """URLs not seen before, each once.  Copies collapse before the shuffle of the anti join."""
-    return found.dropDuplicates(["url"]).join(seen.select("url"), "url", "left_anti")
+    """URLs not seen before, each once, in its most urgent finding.
+
+    ``found`` may carry ``priority`` and ``pos``: the highest priority counts, then the first position.
+    Copies collapse in the partial aggregate, before the shuffle.
+    """
+    carried = [c for c in ("priority", "pos") if c in found.columns]
+    if not carried:
+        once = found.select("url").distinct()
+    else:
+        rank = F.struct(*[(-F.col(c) if c == "pos" else F.col(c)).alias(c) for c in carried])
+        best = found.groupBy("url").agg(F.max(rank).alias("best"))
+        once = best.select("url", *[(-F.col("best.pos") if c == "pos" else F.col(f"best.{c}")).alias(c) for c in carried])
+    return once.join(seen.select("url"), "url", "left_anti")
 
 
 def resolve_edges(edges: DataFrame, pages: DataFrame) -> DataFrame:
@@ -62,26 +73,32 @@ def next_batch(frontier: DataFrame, size: int) -> DataFrame:
     return frontier.orderBy(F.desc("priority"), "pos", "url").limit(size)
 
 
-def crawl(graph: DataFrame, seeds: DataFrame, max_depth: int, domains: list[str] | None = None) -> DataFrame:
-    """Walk ``graph`` (see ``followed``) from ``seeds``.
+def crawl(graph: DataFrame, seeds: DataFrame, domains: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
+    """Walk ``graph`` (see ``followed``), a stored table, from ``seeds`` until nothing new is found.
 
-    Gives ``url, depth, priority, page_type`` for every URL reached within
-    ``max_depth`` rounds, ``page_type`` NULL when no page is stored.  The driver
-    sees one number per round; the tables stay distributed and are checkpointed,
-    so a round never re-runs the ones before it.
+    Gives ``url, depth, priority, page_type`` for every URL reached, ``page_type`` NULL when no page is stored.
+    A round joins the graph with the frontier by an inner join, so a small frontier can be broadcast and the
+    graph is scanned, not shuffled; each round keeps only its narrow ``url, depth, priority`` rows as a table
+    below the shared folder. The driver sees whether a round found anything. ``max_depth`` is the caller's
+    wish for fewer rounds.
     """
-    frontier = seeds.select("url", F.lit(OTHER_PRIORITY).alias("priority")).dropDuplicates(["url"])
-    reached: DataFrame | None = None
-    for depth in range(max_depth + 1):
-        visited = cut(
-            frontier.join(graph, "url", "left").select("url", F.lit(depth).alias("depth"), "priority", "page_type", "out")
-        )
-        rows = visited.drop("out")
-        if visited.isEmpty():
-            return rows if reached is None else reached
-        reached = rows if reached is None else reached.unionByName(rows)
-        found = visited.select(F.inline("out")).groupBy("url").agg(F.max("priority").alias("priority"))
+    spark = graph.sparkSession
+    path = new_dir(spark, "crawl")
+    row = "url string, priority int, depth int"
+    start = seeds.select("url", F.lit(OTHER_PRIORITY).alias("priority")).distinct()
+    depth = 0
+    while True:
+        here = f"{path}/depth={depth}"
+        start.write.parquet(here)
+        frontier = spark.read.schema("url string, priority int").parquet(here)
+        if depth == max_depth or frontier.isEmpty():
+            break
+        reached = spark.read.schema(row).parquet(path)
+        out = graph.join(frontier.select("url"), "url").select(F.inline("out")).select("url", "priority")
         if domains:
-            found = found.filter(in_domains("url", domains))
-        frontier = found.join(reached.select("url"), "url", "left_anti")
-    return reached
+            out = out.filter(in_domains("url", domains))
+        found = out.groupBy("url").agg(F.max("priority").alias("priority"))
+        start = found.join(reached.select("url"), "url", "left_anti")
+        depth += 1
+    reached = spark.read.schema(row).parquet(path)
+    return reached.join(graph.select("url", "page_type"), "url", "left").select("url", "depth", "priority", "page_type")

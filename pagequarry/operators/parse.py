@@ -17,12 +17,16 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.schema import NODES, TEXT_TAG
 
+# Error of a page without markup.
+NO_MARKUP = "no markup"
+
 # Markup bytes handed to Arrow per output batch; keeps the Python worker's
 # memory flat however large the incoming batch is.
 CHUNK_CHARS = 4_000_000
@@ -53,17 +57,16 @@ ENDED_BY = {
 LEVELS = {"div": 1, "td": 2, "th": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4, "table": 5, "head": 6, "body": 6, "html": 7}
 
 
-# One token: comment, declaration, end tag (1), start tag (2, attributes 3), or
-# a start tag with a stray quote (4, 5), which ends at the next ``>``.
+# One token without quotes in it: comment, declaration, end tag (1), or the name of a start tag (2).
 TOKEN = re.compile(
     r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))
           |[!?][^>]*>
           |/([a-zA-Z][^\s/>]*)[^>]*>
           |/[^a-zA-Z][^>]*>
-          |([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>
-          |([a-zA-Z][^\s/>]*)([^>]*)>)""",
+          |([a-zA-Z][^\s/>]*))""",
     re.S | re.X,
 )
+QUOTE_OR_END = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 # markup cut off in the middle of a tag
@@ -117,10 +120,82 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+class _TagEnds:
+    """Finds where start tags of a page end, in time linear in the page.
+
+    A tag ends at the first ``>`` outside quotes; with a stray quote, at the first ``>`` at all. A search that
+    runs into a stray quote is remembered by the quotes it passed, and the absence of a later quote by its
+    kind, so no stretch of markup is searched twice in vain.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.last = html.rfind(">")
+        self.vain: set[int] = set()
+        self.gone: set[str] = set()
+
+    def end_of(self, pos: int) -> int:
+        """Place behind the ``>`` of a tag whose attributes start at ``pos``; -1 when the markup breaks off."""
+        html = self.html
+        if pos > self.last:
+            return -1
+        passed = []
+        at = pos
+        while True:
+            mark = QUOTE_OR_END.search(html, at)
+            if mark is None:
+                break
+            place, kind = mark.start(), mark.group()
+            if kind == ">":
+                return place + 1
+            passed.append(place)
+            close = -1 if place in self.vain or kind in self.gone else html.find(kind, place + 1)
+            if close < 0:
+                if place not in self.vain:
+                    self.gone.add(kind)
+                break
+            at = close + 1
+        self.vain.update(passed)
+        return html.find(">", pos) + 1 or -1
+
+
+class _Open:
+    """Open elements below a root, with what the rules ask of them at hand."""
+
+    def __init__(self) -> None:
+        self.stack: list[list] = [[-1, "", 0, 0]]  # node, tag, element children so far, depth of the last non-formatting one
+        self.depths: dict[str, list[int]] = {}
+        self.levels: list[list[int]] = [[] for _ in range(8)]
+
+    def push(self, node: int, tag: str) -> None:
+        depth = len(self.stack)
+        self.stack.append([node, tag, 0, self.stack[-1][3] if tag in FORMATTING_TAGS else depth])
+        self.depths.setdefault(tag, []).append(depth)
+        if tag in LEVELS:
+            self.levels[LEVELS[tag]].append(depth)
+
+    def pop(self) -> list:
+        entry = self.stack.pop()
+        self.depths[entry[1]].pop()
+        if entry[1] in LEVELS:
+            self.levels[LEVELS[entry[1]]].pop()
+        return entry
+
+    def match(self, tag: str) -> int:
+        """Depth that an end tag closes, 0 for none: nothing beyond an element of a higher level."""
+        own = self.depths.get(tag)
+        if not own:
+            return 0
+        barrier = max((d[-1] for d in self.levels[LEVELS.get(tag, 0) + 1 :] if d), default=0)
+        return own[-1] if own[-1] >= barrier else 0
+
+
 def _add_page(html: str, out: _Columns) -> None:
     """Append the nodes of one page, in document order."""
     base = len(out.tag)
-    stack: list[list] = [[-1, "", 0]]  # open elements below a root: node, tag, element children so far
+    opened = _Open()
+    stack = opened.stack
+    ends = _TagEnds(html)
 
     def append(tag: str, text: str | None, start: int, end: int) -> int:
         node = len(out.tag) - base
@@ -142,37 +217,31 @@ def _add_page(html: str, out: _Columns) -> None:
     def close(depth: int, at: int) -> None:
         """Close the open elements from ``depth`` on."""
         newest = len(out.tag) - base - 1
-        for entry in stack[depth:]:
-            out.last[base + entry[0]] = newest
-            out.src_end[base + entry[0]] = at
-        del stack[depth:]
+        while len(stack) > depth:
+            node = opened.pop()[0]
+            out.last[base + node] = newest
+            out.src_end[base + node] = at
 
     def end_implied(tag: str, at: int) -> None:
         """Close what a start tag ends: ``<li>`` an open ``li``, and so on."""
-        while True:
-            depth = len(stack) - 1
-            while stack[depth][1] in FORMATTING_TAGS:
-                depth -= 1
-            if tag not in ENDED_BY.get(stack[depth][1], ()):
-                return
-            close(depth, at)
+        while tag in ENDED_BY.get(stack[stack[-1][3]][1], ()):
+            close(stack[-1][3], at)
 
     def end_tag(tag: str, start: int, end: int) -> None:
-        level = LEVELS.get(tag, 0)
-        for depth in range(len(stack) - 1, 0, -1):
-            name = stack[depth][1]
-            if name == tag:
-                if depth + 1 < len(stack):
-                    close(depth + 1, start)
-                close(depth, end)
-                return
-            if LEVELS.get(name, 0) > level:
-                return
+        depth = opened.match(tag)
+        if depth:
+            close(depth + 1, start)
+            close(depth, end)
 
     pos, size = 0, len(html)
     while pos < size:
-        token = TOKEN.search(html, pos)
+        token = TOKEN.search(html, pos) if pos <= ends.last else None
         start = token.start() if token else size
+        after = token.end() if token else size
+        if token and token.group(2):
+            after = ends.end_of(after)
+            if after < 0:
+                token = None
         if token is None:
             cut = CUT_OFF.search(html, pos)
             start = cut.start() if cut else size
@@ -181,12 +250,13 @@ def _add_page(html: str, out: _Columns) -> None:
             append(TEXT_TAG, unescape(text) if "&" in text else text, pos, start)
         if token is None:
             break
-        pos = token.end()
-        ended, tag, source, odd_tag, odd_source = token.groups()
+        pos = after
+        ended, tag = token.groups()
         if ended is not None:
             end_tag(ended.lower(), start, pos)
-        elif tag is not None or odd_tag is not None:
-            tag, source = (tag or odd_tag).lower(), source or odd_source or ""
+        elif tag is not None:
+            source = html[token.end() : after - 1]
+            tag = tag.lower()
             end_implied(tag, start)
             node = append(tag, None, start, pos)
             if source:
@@ -196,7 +266,7 @@ def _add_page(html: str, out: _Columns) -> None:
             out.attr_offsets.append(len(out.attr_keys))
             if tag in VOID_TAGS or (source and SELF_CLOSED.search(source)):
                 continue
-            stack.append([node, tag, 0])
+            opened.push(node, tag)
             if tag in RAW_TEXT_END:
                 stop = RAW_TEXT_END[tag].search(html, pos)
                 raw_end = stop.start() if stop else size
@@ -212,8 +282,9 @@ def _parse_array(html: pa.Array) -> tuple[pa.Array, pa.Array]:
     for value in html.to_pylist():
         start = len(out.tag)
         try:
-            _add_page(value or "", out)
-            errors.append(None)
+            if value is not None:
+                _add_page(value, out)
+            errors.append(NO_MARKUP if value is None else None)
         except Exception as exc:  # a bad page is reported, the job goes on
             out.forget_from(start)
             errors.append(f"{type(exc).__name__}: {exc}")
@@ -251,7 +322,7 @@ def parse_pages(pages: DataFrame, html_col: str = "html", keep_html: bool = Fals
             if is_list:
                 sizes = [sum(len(s) for s in v or ()) for v in column.to_pylist()]
             else:
-                sizes = [len(v) if v else 0 for v in column.to_pylist()]
+                sizes = [n or 0 for n in pc.binary_length(column).to_pylist()]
             for part in _chunks(batch, sizes):
                 html = part.column(html_col)
                 if is_list:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.sql import override, sparse_map
+from pagequarry.functions.sql import lit, override, sparse_map
 from pagequarry.sources.records import ID_KEY, NO_DESCRIPTION
 
-
-
 # marks a key made up from the row number
 NO_KEY = "\u0001"
 
 
+def latest(remote: DataFrame) -> DataFrame:
+    """The last of the remote records with one number, at the place of the first of them."""
+    row = F.struct(*[c for c in remote.columns if c not in ("number", "pos")])
+    return remote.groupBy("number").agg(F.max_by(row, "pos").alias("r"), F.min("pos").alias("pos")).select("number", "pos", "r.*")
+
+
 def pull(local: DataFrame, remote: DataFrame, side: DataFrame) -> DataFrame:
     """``id, fields, change, status_changed`` of the merged records.
 
@@ -22,11 +26,12 @@ def pull(local: DataFrame, remote: DataFrame, side: DataFrame) -> DataFrame:
     it differs; then the side table, then the embedded block win over all.
     Records without an id stay as they are.
     """
-    named = local.filter(F.col("id").isNotNull()).select("id", F.col("fields").alias("local"))
+    # of records with one id the last counts, on both sides
+    named = local.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max_by("fields", "pos").alias("local"))
     unnamed = local.filter(F.col("id").isNull()).select(
         "id", "fields", F.lit("kept").alias("change"), F.lit(False).alias("status_changed")
     )
-    incoming = remote.select(
+    incoming = latest(remote).select(
         F.col("number").cast("string").alias("id"),
         F.coalesce("title", F.concat(F.lit("Issue #"), F.col("number"))).alias("title"),
         F.coalesce(F.nullif(F.col("body"), F.lit("")), F.lit(NO_DESCRIPTION)).alias("description"),
@@ -64,22 +69,36 @@ def pull_summary(pulled: DataFrame) -> DataFrame:
     )
 
 
+# a value that a reader of the block would not take as it stands
+UNSAFE = r"(?s)^$|^[\s\-?:,\[\]{}#&*!|>'%@`" + '"' + r"]|:\s|:$|\s#|\n|\s$|^(?i:null|true|false|yes|no|on|off|~)$"
+
+
+def dumped(value: str) -> str:
+    """A scalar of the block, in double quotes where it needs them."""
+    quoted = value
+    for plain, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        quoted = f"replace({quoted}, {lit(plain)}, {lit(code)})"
+    mark = lit('"')
+    return f"if({value} rlike {lit(UNSAFE)}, concat({mark}, {quoted}, {mark}), {value})"
+
+
 # fenced block of a record's other keys, in key order
 DUMP = (
     f"concat('```yaml\\n', array_join(transform(array_sort(map_entries(map_filter(fields, "
     f"(k, v) -> k not in ('{ID_KEY}', 'title', 'description')))), "
-    f"e -> concat(e.key, ': ', e.value, '\\n')), ''), '```')"
+    f"e -> concat(e.key, ': ', {dumped('e.value')}, '\\n')), ''), '```')"
 )
 
 
 def push_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """What to send: ``pos, id, action, number, title, description, state, labels``.
+    """What to send: ``pos, id, action, number, node_id, title, description, state, labels``.
 
     A record finds its remote one by id, else by its component, case folded, in
     the embedded block of the first such remote record.  Without a component it
     is skipped; without a match it is created.
     """
     f = F.col("fields")
+    remote = latest(remote)
     records = local.select(
         "pos",
         "id",
@@ -92,7 +111,7 @@ def push_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
         # a NULL key would send all such rows to one task
         F.coalesce("id", F.concat(F.lit(NO_KEY), F.col("pos"))).alias("id_key"),
     )
-    target = F.expr("named_struct('number', number, 'labels', labels.name)")
+    target = F.expr("named_struct('number', number, 'node_id', node_id, 'labels', labels.name)")
     by_id = remote.select(F.col("number").cast("string").alias("id_key"), target.alias("same_id"))
     # exploded from a one-element array, so that the block is read once, not again by the filter
     component = F.explode(F.array(F.lower(F.col("embedded")["component"]))).alias("component_key")
@@ -118,6 +137,7 @@ def push_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
         "id",
         F.when(skip, "skip").when(update, "update").otherwise("create").alias("action"),
         F.when(update, F.col("target.number")).alias("number"),
+        F.when(update, F.col("target.node_id")).alias("node_id"),
         F.when(~skip, F.col("title")).alias("title"),
         F.when(~skip, F.col("description")).alias("description"),
         F.when(update, F.when(F.lower("status") == "done", "closed").otherwise("open")).alias("state"),

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.functions.sql import each, keep, let, lits
+from pagequarry.functions.sql import each, keep, let, lit, lits
 from pagequarry.functions.text import burmese_digits, strip
 from pagequarry.schema import ITEM_FIELDS
 
 # Fixed values.
 YEAR_MIN, YEARS_AHEAD = 1800, 5
+HTTP_URL = r"(?s)^(?i:https?)://([^\s/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[\p{L}\p{N}_][\p{L}\p{N}_.~%-]*)(:\d*)?([/?#].*)?$"
 SYNOPSIS_MAX, URL_MAX = 1000, 2083
 NO_SYNOPSIS = ["n/a", "not available", "no synopsis", ""]
 
@@ -42,7 +43,8 @@ def synopsis_ok(raw: str) -> str:
 
 
 def url_ok(url: str) -> str:
-    return rf"coalesce({url} rlike r'^(?i:https?)://[^/\s]+' and length({url}) <= {URL_MAX}, true)"
+    """Scheme, a host of host characters, perhaps a port; a missing URL passes."""
+    return f"coalesce({url} rlike {lit(HTTP_URL)} and length({url}) <= {URL_MAX}, true)"
 
 
 def check_items(items: DataFrame, as_of_year: int, mode: str = "strict", local_digits: bool = False) -> DataFrame:

@@ -57,12 +57,14 @@ def process_pages(
     rules: list[Rule] = CATALOGUE_RULES,
     thresholds: Mapping[str, int] = THRESHOLDS,
     mode: str = "as_coded",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Route every page and extract what its type calls for.
 
     ``page_id, url, page_type, links, rejected, next_page, fields, from_block, error``.
     A page that is neither catalogue nor detail is read as a detail page made of
-    its best candidate block; without one it stays ``unknown``.  No shuffle.
+    its best candidate block; without one it stays ``unknown``.  No shuffle.  A page without markup has an
+    error, no type and no fields.  Columns named in ``keep`` go along.
     """
     fields = page_fields("nodes", selectors, content_type, clean_urls)
     classed = with_class(parse_pages(pages, keep_html=True), rules, thresholds, mode)
@@ -75,6 +77,7 @@ def process_pages(
         f"if(page_type = 'detail', {fields}, NULL) as fields",
         f"if(page_type = 'unknown', {snippets('nodes', 'html')}, array()) as snippets",
         "error as page_error",
+        *keep,
     )
     # only these small columns travel to the second parse, not the page
     return pick_block(routed, "snippets").selectExpr(
@@ -87,6 +90,7 @@ def process_pages(
         f"if(nodes is null, fields, {fields}) as fields",
         "nodes is not null as from_block",
         "page_error as error",
+        *keep,
     )
 
 

@@ -6,10 +6,16 @@ in the columns they were rendered from.
 
 from __future__ import annotations
 
-from pagequarry.labels import FIELD_MAPPING
-from pagequarry.plans.queries import AS_OF_YEAR, BATCH_SIZE, CRAWL_DEPTH, DOMAINS
-from pagequarry.sources.rendered import SITE
-
+SITE = "https://films.example.com"
+# every label of the default content type, in order
+LABELS = [
+    ("title", ["Title", "Film Title", "Movie", "ဇာတ်ကားအမည်", "Titre du film", "映画タイトル"]),
+    ("year", ["Year", "Release Year", "နှစ်", "ခုနှစ်", "Année de sortie", "年"]),
+    ("director", ["Director", "Directed By", "Filmmaker", "ဒါရိုက်တာ", "Réalisateur"]),
+    ("genre", ["Genre", "Category", "Type", "အမျိုးအစား", "ジャンル"]),
+    ("duration", ["Duration", "Running Time", "Runtime", "ချိန်အကြာ", "ကြာချိန်", "Durée"]),
+    ("cast", ["Cast", "Actors", "Starring", "သရုပ်ဆောင်", "Acteurs"]),
+]
 SPACES = r"[\s\x0B\x{85}\p{Z}]"
 
 
@@ -138,7 +144,7 @@ items as (
     case c_custkey % 4 when 2 then repeat('A', (c_custkey % 2 + 1000 + c_custkey % 3)::int)
       when 3 then 'Story ' || c_custkey end as synopsis,
     c_custkey % 10 = 0 as no_director,
-    1790 + c_custkey % 300 not between 1800 and {AS_OF_YEAR + 5} as bad_year,
+    1790 + c_custkey % 300 not between 1800 and 2030 as bad_year,
     (c_custkey % 4 = 1 and c_custkey % 3 = 0) or (c_custkey % 4 = 2 and c_custkey % 3 > 0) as bad_synopsis,
     c_custkey % 5 in (1, 2, 3) as bad_poster, c_custkey % 3 = 0 as bad_stream
   from customer
@@ -153,36 +159,40 @@ items as (
 
 LOCAL = """
 local_rec as (
-  select o_orderkey as k, case when o_orderkey % 6 <> 5 then o_orderkey::varchar end as id,
+  select o_orderkey as k, case when o_orderkey % 6 <> 5 then (o_orderkey + case when o_orderkey % 3 = 0 then 1000000000 else 0 end)::varchar end as id,
     case when o_orderkey % 2 = 0 then 'Local ' || o_orderkey end as title,
     case when o_orderkey % 7 <> 0 then 'PART' || (o_orderkey % 1000) end as component,
-    case when o_orderkey % 5 <> 1 then 'Impact ' || o_orderpriority end as impact,
+    case when o_orderkey % 5 <> 1 then 'Impact: ' || o_orderpriority end as impact,
     case o_orderkey % 4 when 1 then 'open' when 2 then 'done' end as status,
     case when o_orderkey % 11 = 0 then 'P9' end as priority
-  from orders where o_orderkey % 3 <> 0
+  from orders
 )"""
 REMOTE = """
 remote_rec as (
-  select o_orderkey as k, 'Remote ' || o_orderkey as title,
+  select o_orderkey + case when o_orderkey % 3 = 1 then 2000000000 else 0 end as k, o_orderkey as o, 'Remote ' || o_orderkey as title,
     case when o_orderstatus = 'F' then 'closed' else 'open' end as state,
     case when o_orderkey % 32 = 0 then 'Text' || chr(10) || '```yaml' || chr(10) || '- component: list' || chr(10) || '```' || chr(10)
+      when o_orderkey % 8 = 0 then 'Text' || chr(10) || '```yaml' || chr(10) || 'component: Part' || (o_orderkey % 1000) || chr(10)
+        || 'nested:' || chr(10) || '  component: deep' || chr(10) || 'list:' || chr(10) || '- x' || chr(10)
+        || 'priority: P' || (o_orderkey % 3) || ' # note' || chr(10) || 'owner: null' || chr(10) || '```' || chr(10) || 'end'
       when o_orderkey % 4 = 0 then 'Text' || chr(10) || '```yaml' || chr(10) || 'component: Part' || (o_orderkey % 1000) || chr(10)
-        || 'priority: P' || (o_orderkey % 3) || chr(10) || 'owner: ''team ' || (o_orderkey % 7) || '''' || chr(10) || '```' || chr(10) || 'end'
+        || 'priority: P' || (o_orderkey % 3) || chr(10) || 'owner: ''team ' || (o_orderkey % 7) || chr(39) || chr(10) || '```' || chr(10) || 'end'
       when o_orderkey % 5 <> 0 then 'Plain ' || o_orderkey else '' end as body,
     o_orderkey % 4 = 0 and o_orderkey % 32 <> 0 as has_block,
-    'Part' || (o_orderkey % 1000) as component, 'P' || (o_orderkey % 3) as priority, 'team ' || (o_orderkey % 7) as owner,
+    'Part' || (o_orderkey % 1000) as component, 'P' || (o_orderkey % 3) as priority,
+    case when o_orderkey % 8 <> 0 then 'team ' || (o_orderkey % 7) end as owner,
     'keep-this,k' || (o_orderkey % 10) as labels, o_orderkey % 50 = 0 as is_pull
-  from orders where o_orderkey % 3 <> 1
+  from orders
 ), remote_issue as (select * from remote_rec where not is_pull)"""
 PROJECT = """
 project_rec as (
-  select o_orderkey as k, 'Remote ' || o_orderkey as title,
+  select o_orderkey + case when o_orderkey % 5 <> 0 then 3000000000 else 0 end as k, 'Remote ' || o_orderkey as title,
     case when o_orderkey % 15 <> 0 then 'Body ' || o_orderkey else '[no description]' end as description,
     case when o_orderkey % 25 <> 0 then 'closed' else 'open' end as status,
     case when o_orderkey % 4 = 3 then 'P0' else 'P' || (o_orderkey % 4) end as priority,
     case when o_orderkey % 2 = 1 then 'Sprint ' || (o_orderkey % 9) end as sprint,
     case when o_orderkey % 3 <> 0 then case when o_orderkey % 2 = 0 then 'XS' else 'L' end end as size
-  from orders where o_orderkey % 5 = 0 and o_orderkey % 20 <> 0
+  from orders where o_orderkey % 20 <> 0
 )"""
 PULLED = f"""{LOCAL}, {REMOTE}, {PROJECT}, both_rec as (
   select coalesce(l.id, r.k::varchar) as id, l.k as lk, r.k as rk, l.title as l_title, l.component as l_component,
@@ -206,12 +216,12 @@ PULLED = f"""{LOCAL}, {REMOTE}, {PROJECT}, both_rec as (
   from both_rec b left join project_rec p on p.k = rk
 )"""
 PLAN = f"""{LOCAL}, {REMOTE}, by_component as (
-  select lower(component) as ck, arg_min(k, k) as k, arg_min(labels, k) as labels from remote_issue where has_block group by 1
+  select lower(component) as ck, arg_min(k, o) as k, arg_min(labels, o) as labels from remote_issue where has_block group by 1
 ), plan as (
   select l.k as pos, case when l.component is null then 'skip' when r.k is not null or c.k is not null then 'update' else 'create' end as action,
     coalesce(r.k, c.k) as found, coalesce(r.labels, c.labels) as found_labels,
     coalesce(l.title, '[' || l.component || '] ' || coalesce(l.impact, 'Issue')) as full_title,
-    '```yaml' || chr(10) || coalesce('component: ' || l.component || chr(10), '') || coalesce('impact: ' || l.impact || chr(10), '')
+    '```yaml' || chr(10) || coalesce('component: ' || l.component || chr(10), '') || coalesce('impact: "' || l.impact || '"' || chr(10), '')
       || coalesce('priority: ' || l.priority || chr(10), '') || coalesce('status: ' || l.status || chr(10), '') || '```' as dump,
     l.status
   from local_rec l left join remote_issue r on r.k::varchar = l.id left join by_component c on c.ck = lower(l.component)
@@ -220,7 +230,7 @@ PLAN = f"""{LOCAL}, {REMOTE}, by_component as (
 
 def _labels_table() -> str:
     rows = [
-        f"('{field}', {i}, '{label}')" for i, (field, meta) in enumerate(FIELD_MAPPING["movies"].items()) for label in meta["labels"]
+        f"('{field}', {i}, '{label}')" for i, (field, labels) in enumerate(LABELS) for label in labels
     ]
     return f"labels_dim(field, field_order, label) as (values {', '.join(rows)})"
 
@@ -233,26 +243,32 @@ def _sorted(x: str) -> str:
     return f"array_to_string(list_sort(string_split({x}, ' ')), ' ')"
 
 
-MATCHED = rf"""
-with {_labels_table()}, texts as (
-  select p_partkey as key, case p_partkey % 9 when 0 then 'Title' when 1 then 'Film Titles' when 2 then 'Release Yaer'
-    when 3 then 'Running Time: ' || p_size when 4 then 'year release' when 5 then p_name when 6 then 'Genre - ' || p_type
-    when 7 then 'Actors ' || p_name else p_brand || ' Directd by' end as text
-  from part
-), t as (select distinct text, {_normal('text')} as n from texts
+def _best(texts: str) -> str:
+    """CTEs that end in ``best``: the field and score of each of ``texts`` (``text``)."""
+    return rf"""
+{_labels_table()}, texts as ({texts}), t as (select distinct text, {_normal('text')} as n from texts
 ), l as (select field, field_order, {_normal('label')} as m from labels_dim
 ), scored as (
   select text, field, field_order,
     max(round(greatest(
       100.0::double * (1.0::double - levenshtein(n, m) / greatest(length(n), length(m))),
       0.95::double * (100.0::double * (1.0::double - levenshtein({_sorted('n')}, {_sorted('m')}) / greatest(length(n), length(m)))),
-      case when contains(' ' || n || ' ', ' ' || m || ' ') then 90.0::double else 0.0::double end))::bigint) as score
-  from t, l group by all
+      case when contains(' ' || n || ' ', ' ' || m || ' ') or (contains(n, m) and ascii(m) > 1000)
+        then case when length(n) <= 8 * length(m) then 90.0::double else 60.0::double end else 0.0::double end))::bigint) as score
+  from t, l where n <> '' group by all
 ), best as (
   select text, field, score from scored where score >= 70
   qualify row_number() over (partition by text order by score desc, field_order) = 1
-)
-select key, text, field, coalesce(score, 0)::bigint as score from texts left join best using (text)"""
+)"""
+
+
+MATCHED = f"""with {_best("""
+  select p_partkey as key, i::bigint as shape, case i when 0 then 'Title' when 1 then 'Film Titles' when 2 then 'Release Yaer'
+    when 3 then 'Running Time: ' || p_size when 4 then 'year release' when 5 then p_name when 6 then 'Genre - ' || p_type
+    when 7 then 'Actors ' || p_name when 8 then p_brand || ' Directd by'
+    else 'He was cast away near ' || p_name || ' for seventeen long years' end as text
+  from part, range(10) t(i)""")}
+select key, shape, text, field, coalesce(score, 0)::bigint as score from texts left join best using (text)"""
 
 
 def _classes(expr_pages: str, mode: str) -> str:
@@ -287,10 +303,22 @@ ORACLES: dict[str, str] = {
     "snapshot_lookup": "select url as request_url, md5(url) as key, page_id from pages",
     "missing_snapshots": f"""with {PAGE_LINKS}
         select distinct url, md5(url) as key from page_links where url not in (select url from pages)""",
-    "tag_counts": r"""select page_id, tag, n from (
-        select page_id, tag, len(regexp_extract_all(html, '<' || tag || '[\s>]'))::bigint as n
-        from pages, (values ('li'), ('h1'), ('div'), ('nav'), ('article'), ('br'), ('b')) t(tag)) where n > 0""",
-    "parse_failures": "select page_id, url, null::varchar as error from pages where html is null",
+    "tag_counts": r"""select page_id, tag, count(*)::bigint as n from (
+        select page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+          '(?s)(<script[^>]*>).*?</script>', '\1', 'g'), '<([a-z][a-z0-9]*)[\s>]', 1)) as tag from pages) group by 1, 2""",
+    "parse_failures": f"""select c_custkey as page_id, '{SITE}/list/' || c_custkey as url, 'no markup' as error
+        from customer where c_custkey % 4 = 0""",
+    "failed_pages": f"""select c_custkey as page_id, '{SITE}/list/' || c_custkey as url, null::varchar as page_type, false as has_item,
+        'no markup' as error from customer where c_custkey % 4 = 0""",
+    "label_table": """select l.field, 70::bigint as threshold, l.n_labels::bigint as n_labels,
+        case l.field when 'title' then n when 'year' then n when 'director' then n when 'genre' then n else 0 end::bigint as n_pages
+        from (values ('title', 6), ('year', 6), ('director', 5), ('genre', 5), ('duration', 6), ('cast', 5)) l(field, n_labels),
+        (select count(*) as n from part)""",
+    "seed_pages": f"""select url, c_custkey as page_id from (values (1), (2), (3), (-1)) s(k),
+        lateral (select case when k < 0 then '{SITE}/nowhere' else '{SITE}/list/' || k end as url) left join customer on c_custkey = k""",
+    "written_errors": f"""select 'r1' as run_ts, '{SITE}/list/' || c_custkey as url, 'no markup' as error from customer where c_custkey % 4 = 0""",
+    "written_summary": """select 'r1' as run_ts, 'films' as spider_name, 9.0::double as runtime_seconds, 0::bigint as items_scraped,
+        count(*) filter (c_custkey % 4 = 0)::bigint as errors from customer""",
     "own_text": """select p_partkey as page_id, i::int as pos,
         case i when 0 then 'Director: ' || p_brand else 'Genre: ' || p_type end as text from part, range(2) t(i)""",
     "heading_text": f"select page_id, {unescape('regexp_extract(html, $$<h1>(.*?)</h1>$$, 1)')} as heading from pages",
@@ -353,18 +381,19 @@ ORACLES: dict[str, str] = {
     "unseen_links": f"""with {CATALOGUE}, {CATALOGUE_LINKS}
         select distinct url from catalogue_links where url not in (select url from catalogue)""",
     "links_in_domains": f"""with {PAGE_LINKS}, hosts as (select *, regexp_extract(url, '^https?://([^/]+)', 1) as host from page_links)
-        select page_id, url from hosts where {' or '.join(f"host = '{d}' or ends_with(host, '.{d}')" for d in DOMAINS)}""",
+        select page_id, url from hosts where host = 'example.net' or ends_with(host, '.example.net')
+        or host = 'blog.tiontion.example.com' or ends_with(host, '.blog.tiontion.example.com')""",
     "link_graph": f"""with {CATALOGUE}, {CATALOGUE_LINKS}
         select page_id as src_page_id, c.k as dst_page_id, c.url from catalogue_links l join catalogue c on c.url = l.url""",
-    "frontier_batch": f"""with {CATALOGUE}, {CATALOGUE_LINKS}
-        select url, (case when is_primary then 10 else 5 end)::int as priority, page_id as pos from catalogue_links
-        where url not in (select url from catalogue) order by 2 desc, 3, 1 limit {BATCH_SIZE}""",
+    "frontier_order": f"""with {CATALOGUE}, {CATALOGUE_LINKS}, found as (
+        select url, (case when is_primary then 10 else 5 end)::int as priority, page_id as pos from catalogue_links)
+        select url, priority, pos from found where url not in (select url from catalogue)
+        qualify row_number() over (partition by url order by priority desc, pos) = 1""",
     "crawl": f"""with recursive {CATALOGUE}, {CATALOGUE_LINKS}, walk as (
           select '{SITE}/list/0' as url, 0 as depth, 0 as priority
           union all
           select l.url, w.depth + 1, 10
-          from walk w join catalogue c on c.url = w.url and c.n_rows >= 3 join catalogue_links l on l.page_id = c.k
-          where w.depth < {CRAWL_DEPTH})
+          from walk w join catalogue c on c.url = w.url and c.n_rows >= 3 join catalogue_links l on l.page_id = c.k)
         select w.url, w.depth, w.priority, case when c.k is not null then case when c.n_rows >= 3 then 'catalogue' else 'unknown' end end as page_type
         from walk w left join catalogue c on c.url = w.url""",
     "matched_labels": MATCHED,
@@ -372,7 +401,15 @@ ORACLES: dict[str, str] = {
         case when framed then '//stream.example.com/' || k end as streaming_link from detail""",
     "main_fields_whole_urls": f"""with {DETAIL} select k as page_id, {clean('p_name')} as title, year, '/img/' || k || '.jpg' as poster_url,
         case when framed then 'https://stream.example.com/' || k end as streaming_link from detail""",
-    "paragraph_fields": "select p_partkey as page_id, p_brand as director, p_type as genre, null::varchar as duration from part",
+    "paragraph_fields": """select p_partkey as page_id, null::varchar as title, null::varchar as year, p_brand as director, p_type as genre,
+        null::varchar as duration, null::varchar as "cast" from part""",
+    "paragraph_fields_prose": f"""with {_best(f"select doc_id, i, {strip('line')} as text from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where length({strip('line')}) between 5 and 200")},
+        hits as (select doc_id, i, field, {clean('text')} as value from texts join best using (text)),
+        firsts as (select doc_id, field, arg_min(value, i) as value from hits group by 1, 2)
+        select d.doc_id as page_id, max(value) filter (field = 'title') as title, max(value) filter (field = 'year') as year,
+          max(value) filter (field = 'director') as director, max(value) filter (field = 'genre') as genre,
+          max(value) filter (field = 'duration') as duration, max(value) filter (field = 'cast') as "cast"
+        from documents d left join firsts f using (doc_id) group by 1""",
     "paragraph_fields_games": "select p_partkey as page_id, p_type as genre, null::varchar as developer, null::varchar as platform from part",
     "merged_fields": f"""with {DETAIL} select page_id, field, value from (
         select k as page_id, 'title' as field, {clean('p_name')} as value from detail union all select k, 'year', year from detail
@@ -412,19 +449,22 @@ ORACLES: dict[str, str] = {
     "written_rejects": f"""with {CATALOGUE} select k as page_id, 'Non-crawlable scheme' as reason, 'mailto:desk@example.com' as url
         from catalogue where n_rows >= 3""",
     "streamed_pages": "select page_id, 'detail' as page_type, 0::bigint as n_fields, null::varchar as error from pages",
+    "streamed_batches": f"""with classed as ({_classes('select * from page_stats', 'as_coded')})
+        select page_id, page_type, 1 + (page_id % 3 = 0)::bigint as n_seen from classed join pages using (url)""",
     "streamed_counts": f"""with classed as ({_classes('select * from page_stats', 'intended')})
-        select page_type, count(*)::bigint as n from classed group by 1""",
+        select page_type, sum(1 + (page_id % 3 = 0)::bigint)::bigint as n from classed join pages using (url) group by 1""",
     "local_records": f"""with {LOCAL} select k as pos, id, field, value from (
         select k, id, 'github_issue' as field, id as value from local_rec union all select k, id, 'title', title from local_rec
         union all select k, id, 'component', component from local_rec union all select k, id, 'impact', impact from local_rec
         union all select k, id, 'status', status from local_rec union all select k, id, 'priority', priority from local_rec)
         where value is not null""",
-    "remote_records": f"with {REMOTE} select k as number, title, state, labels from remote_issue",
+    "remote_records": f"""with {REMOTE} select k as number, title, state, labels from remote_issue
+        union all select k, 'Old ' || o, 'open', 'stale' from remote_issue where o % 13 = 0""",
     "skipped_pull_requests": f"with {REMOTE} select count(*)::bigint as skipped from remote_rec where is_pull",
     "embedded_blocks": f"""with {REMOTE} select k as number, field, value from (
         select k, 'component' as field, component as value from remote_issue where has_block
         union all select k, 'priority', priority from remote_issue where has_block
-        union all select k, 'owner', owner from remote_issue where has_block)""",
+        union all select k, 'owner', owner from remote_issue where has_block) where value is not null""",
     "project_records": f"""with {PROJECT} select k::varchar as id, title, description, status, priority, sprint, size from project_rec""",
     "pulled_records": f"with {PULLED} select * from pulled",
     "pull_summary": f"""with {PULLED} select count(*) filter (change = 'added')::bigint as added,
@@ -434,6 +474,7 @@ ORACLES: dict[str, str] = {
         case when action <> 'skip' then full_title end as title, case when action <> 'skip' then dump end as description,
         case when action = 'update' then case when lower(status) = 'done' then 'closed' else 'open' end end as state,
         case when action = 'update' then found_labels end as labels from plan""",
+    "push_then_pull": f"""with {LOCAL} select k as pos, component, impact, status, priority from local_rec where component is not null""",
     "push_summary": f"""with {PLAN} select count(*) filter (action = 'create')::bigint as created,
         count(*) filter (action = 'update')::bigint as updated, count(*) filter (action = 'skip')::bigint as skipped from plan""",
 }

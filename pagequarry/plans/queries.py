@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions.dom import Selector, elements, own_texts, select_value, string_value, stripped_texts, subtree
-from pagequarry.functions.labels import match_field
+from pagequarry.functions.labels import label_dim, match_field
 from pagequarry.functions.sql import each, first, keep, let, struct
 from pagequarry.functions.text import clean_text, is_blacklisted, is_paragraph_length, strip
 from pagequarry.functions.urls import reject_reason, resolve
 from pagequarry.operators import candidates, classify, fields, frontier, links, snapshots, tables, validate
 from pagequarry.operators.parse import parse_errors, parse_pages
 from pagequarry.plans import jobs
-from pagequarry.schema import ITEM_FIELDS
+from pagequarry.schema import ITEM_FIELDS, TEXT_TAG
 from pagequarry.session import new_dir
 from pagequarry.sources import pages as stored
 from pagequarry.sources import records, rendered, sinks
@@ -28,8 +28,6 @@ from pagequarry.streaming import arrivals
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF_YEAR = 2025
-CRAWL_DEPTH = 8
-BATCH_SIZE = 100
 DOMAINS = ["example.net", "blog.tiontion.example.com"]
 
 QUERIES: dict[str, Query] = {}
@@ -41,11 +39,12 @@ def query(run: Query) -> Query:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return stored.read_table(spark, sf_dir, name)
+    return rendered.read_table(spark, sf_dir, name)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored.read_pages(spark, f"{sf_dir}/pages.parquet")
+    wanted = spark.conf.get(rendered.PARTITIONS, None)
+    return stored.read_pages(spark, f"{sf_dir}/pages.parquet", int(wanted) if wanted else None)
 
 
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,13 +94,36 @@ def missing_snapshots(spark, sf_dir):
 @query
 def tag_counts(spark, sf_dir):
     tags = parsed_pages(spark, sf_dir).select("page_id", F.explode(F.col("nodes")["tag"]).alias("tag"))
-    wanted = tags.filter(F.col("tag").isin("li", "h1", "div", "nav", "article", "br", "b"))
-    return wanted.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return tags.filter(F.col("tag") != TEXT_TAG).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query
 def parse_failures(spark, sf_dir):
-    return parse_errors(parsed_pages(spark, sf_dir))
+    return parse_errors(parse_pages(rendered.broken_pages(spark, sf_dir)))
+
+
+@query
+def failed_pages(spark, sf_dir):
+    """Pages without markup through the whole job: an error, no type, no item."""
+    done = jobs.process_pages(rendered.broken_pages(spark, sf_dir))
+    return done.filter("error is not null").select("page_id", "url", "page_type", F.col("fields").isNotNull().alias("has_item"), "error")
+
+
+@query
+def label_table(spark, sf_dir):
+    """The label dimension beside the fields found on the pages, so that labels without a hit show too."""
+    found = jobs.extract_all(rendered.detail_pages(spark, sf_dir)).select(F.explode(F.map_keys("fields")).alias("field"))
+    hits = found.groupBy("field").agg(F.count("*").alias("n_pages"))
+    fields_ = label_dim(spark).groupBy("field").agg(F.max("threshold").cast("long").alias("threshold"), F.count("*").alias("n_labels"))
+    return fields_.join(hits, "field", "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)).cast("long"))
+
+
+@query
+def seed_pages(spark, sf_dir):
+    """A caller's start URLs, each with its stored page."""
+    listing = rendered.catalogue_pages(spark, sf_dir)
+    start = stored.seeds(spark, [f"{rendered.SITE}/list/{k}" for k in (1, 2, 3)] + [f"{rendered.SITE}/nowhere"])
+    return start.join(listing.select("url", "page_id"), "url", "left")
 
 
 @query
@@ -295,12 +317,12 @@ def link_graph(spark, sf_dir):
 
 
 @query
-def frontier_batch(spark, sf_dir):
-    """The most urgent links of a frontier."""
+def frontier_order(spark, sf_dir):
+    """The whole frontier with what orders it."""
     edges, listing = _catalogue_edges(spark, sf_dir)
     priority = F.when(F.col("is_primary"), frontier.CATALOGUE_PRIORITY).otherwise(frontier.PAGINATION_PRIORITY)
     found = edges.select("url", priority.alias("priority"), F.col("page_id").alias("pos"))
-    return frontier.next_batch(frontier.unseen(found, listing), BATCH_SIZE)
+    return frontier.unseen(found, listing)
 
 
 @query
@@ -309,7 +331,7 @@ def crawl(spark, sf_dir):
     path = new_dir(spark, "graph")
     graph.write.parquet(path)
     start = stored.seeds(spark, [f"{rendered.SITE}/list/0"])
-    return frontier.crawl(spark.read.parquet(path), start, CRAWL_DEPTH, ["films.example.com"])
+    return frontier.crawl(spark.read.parquet(path), start, ["films.example.com"])
 
 
 # ---- fields ----
@@ -317,19 +339,25 @@ def crawl(spark, sf_dir):
 
 @query
 def matched_labels(spark, sf_dir):
-    key, n = F.col("p_partkey"), 9
+    """Labels, near misses and prose, nine texts for each part."""
     shapes = [
         F.lit("Title"), F.lit("Film Titles"), F.lit("Release Yaer"), F.concat(F.lit("Running Time: "), "p_size"),
         F.lit("year release"), F.col("p_name"), F.concat(F.lit("Genre - "), "p_type"), F.concat(F.lit("Actors "), "p_name"),
-        F.concat("p_brand", F.lit(" Directd by")),
+        F.concat("p_brand", F.lit(" Directd by")), F.concat(F.lit("He was cast away near "), "p_name", F.lit(" for seventeen long years")),
     ]
-    text = F.coalesce(*[F.when(key % n == i, s) for i, s in enumerate(shapes)])
-    texts = read(spark, sf_dir, "part").select(key.alias("key"), text.alias("text"))
-    return texts.select("key", "text", F.expr(match_field("text")).alias("m")).select(
-        "key", "text", "m.field", F.col("m.score").cast("long").alias("score")
+    texts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.posexplode(F.array(*shapes)).alias("shape", "text"))
+    return texts.select("key", F.col("shape").cast("long"), "text", F.expr(match_field("text")).alias("m")).select(
+        "key", "shape", "text", "m.field", F.col("m.score").cast("long").alias("score")
     )
 
 
+@query
+def paragraph_fields_prose(spark, sf_dir):
+    """Every document as a page, one paragraph a line: prose gives no fields, or only those it is like."""
+    found = fields.extract_paragraph_fields(parse_pages(rendered.prose_pages(spark, sf_dir)))
+    return found.select("page_id", "title", "year", "director", "genre", "duration", "cast")
+
+
 @query
 def main_fields(spark, sf_dir):
     return fields.extract_main_fields(parse_pages(rendered.detail_pages(spark, sf_dir))).drop("url")
@@ -344,7 +372,7 @@ def main_fields_whole_urls(spark, sf_dir):
 @query
 def paragraph_fields(spark, sf_dir):
     found = fields.extract_paragraph_fields(parse_pages(rendered.detail_pages(spark, sf_dir)))
-    return found.select("page_id", "director", "genre", "duration")
+    return found.select("page_id", "title", "year", "director", "genre", "duration", "cast")
 
 
 @query
@@ -520,28 +548,66 @@ def written_items(spark, sf_dir):
 @query
 def written_rejects(spark, sf_dir):
     path = new_dir(spark, "rejected")
-    sinks.write_rejected(_processed(spark, sf_dir), path, "r1")
+    done = new_dir(spark, "processed")
+    _processed(spark, sf_dir).write.parquet(done)
+    sinks.write_rejected(spark.read.parquet(done), path, "r1")
     return spark.read.schema("page_id long, reason string, url string").json(path).select("page_id", "reason", "url")
 
 
+@query
+def written_errors(spark, sf_dir):
+    path = new_dir(spark, "errors")
+    sinks.write_errors(jobs.process_pages(rendered.broken_pages(spark, sf_dir)), path, "r1")
+    return spark.read.schema("url string, error string, run_ts string").json(path).select("run_ts", "url", "error")
+
+
+@query
+def written_summary(spark, sf_dir):
+    path = new_dir(spark, "summary")
+    done = jobs.process_pages(rendered.broken_pages(spark, sf_dir))
+    summary = jobs.run_summary(done, "films", "2025-01-01T00:00:00", "2025-01-01T00:00:09", "finished")
+    sinks.write_summary(summary, path, "r1")
+    back = spark.read.schema("spider_name string, runtime_seconds double, items_scraped long, errors long, run_ts string").json(path)
+    return back.select("run_ts", "spider_name", "runtime_seconds", "items_scraped", "errors")
+
+
 # ---- streams ----
 
 
+def _arrivals(spark: SparkSession, sf_dir: str) -> str:
+    """The page table as four files; every third page comes again in another file."""
+    path = new_dir(spark, "arrivals")
+    key = F.col("page_id")
+    twice = F.when(key % 3 == 0, F.array(key % 4, (key + 1) % 4)).otherwise(F.array(key % 4))
+    pages(spark, sf_dir).withColumn("file", F.explode(twice)).repartition(4, "file").drop("file").write.parquet(path)
+    return path
+
+
 @query
 def streamed_pages(spark, sf_dir):
-    """All stored pages through the arrival stream, each URL once."""
+    """All stored pages through the arrival stream, each URL once although some arrive twice."""
     out = new_dir(spark, "stream")
-    arriving = arrivals.each_url_once(arrivals.arriving_pages(spark, f"{sf_dir}/pages*.parquet"))
-    arrivals.process_stream(arriving, f"{out}/rows", f"{out}/state").awaitTermination()
+    once = arrivals.processed_once(arrivals.arriving_pages(spark, _arrivals(spark, sf_dir), files_per_trigger=2))
+    arrivals.store_stream(once, f"{out}/rows", f"{out}/state").awaitTermination()
     done = spark.read.parquet(f"{out}/rows")
     return done.select("page_id", "page_type", F.size("fields").cast("long").alias("n_fields"), "error")
 
 
+@query
+def streamed_batches(spark, sf_dir):
+    """Arriving pages through a caller's own job for each micro-batch."""
+    out = new_dir(spark, "batches")
+    arriving = arrivals.arriving_pages(spark, _arrivals(spark, sf_dir))
+    arrivals.process_stream(arriving, f"{out}/rows", f"{out}/state", job=jobs.classify_pages).awaitTermination()
+    done = spark.read.parquet(f"{out}/rows")
+    return done.groupBy("page_id", "page_type").agg(F.count("*").alias("n_seen"))
+
+
 @query
 def streamed_counts(spark, sf_dir):
     """Pages by type, counted as they arrive; the last state of the counts."""
     out = new_dir(spark, "counts")
-    arriving = arrivals.arriving_pages(spark, f"{sf_dir}/pages*.parquet")
+    arriving = arrivals.arriving_pages(spark, _arrivals(spark, sf_dir))
     counts = arrivals.running_counts(arriving, mode="intended")
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -614,8 +680,7 @@ def saved_records(spark, sf_dir):
     """Merged records through the JSON sink and back."""
     path = new_dir(spark, "records")
     sinks.write_records(_pulled(spark, sf_dir), path)
-    lines = records.read_lines(spark, path).select("pos", F.get_json_object("value", "$.fields").alias("value"))
-    back = records.local_records(lines)
+    back = records.local_records(records.read_lines(spark, path))
     return back.select("id", *[F.col("fields")[c].alias(c) for c in PULLED_FIELDS])
 
 
@@ -632,6 +697,13 @@ def push_plan(spark, sf_dir):
     return plan.select("pos", "action", "number", "title", "description", "state", F.array_join("labels", ",").alias("labels"))
 
 
+@query
+def push_then_pull(spark, sf_dir):
+    """What is sent, read back as it will be pulled: every key of the block as it was."""
+    sent = _plan(spark, sf_dir).filter("action <> 'skip'").select("pos", F.explode(F.array(F.expr(records.embedded_block("description")))).alias("b"))
+    return sent.select("pos", *[F.col("b")[c].alias(c) for c in ("component", "impact", "status", "priority")])
+
+
 @query
 def push_summary(spark, sf_dir):
     return snapshots.push_summary(_plan(spark, sf_dir))

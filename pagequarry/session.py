@@ -56,12 +56,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: shortens the lineage and survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its files give fewer splits than that.
-
-    Large inputs have splits enough and pass through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.schema import PAGES
-from pagequarry.session import spread
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """A table as it is stored: splits follow ``spark.sql.files.maxPartitionBytes`` and the row groups.
 
+    ``partitions`` shuffles the rows into so many parts, for small files of one row group.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows.repartition(partitions) if partitions else rows
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, url, html`` from Parquet."""
-    return spread(spark.read.schema(PAGES).parquet(path))
+
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """``page_id, url, html`` from Parquet, without a shuffle unless ``partitions`` is given."""
+    rows = spark.read.schema(PAGES).parquet(path)
+    return rows.repartition(partitions) if partitions else rows
 
 
 def read_html_dir(spark: SparkSession, path: str) -> DataFrame:

@@ -14,8 +14,6 @@ PRIORITIES = ["P0", "P1", "P2"]
 SIZES = ["XS", "S", "M", "L", "XL"]
 SIDE_FIELDS = ["priority", "sprint", "size"]
 
-QUOTED = r"""^(['"])(.*)\1$"""
-
 REMOTE_SCHEMA = (
     "number long, title string, state string, body string, node_id string, "
     "labels array<struct<name: string>>, pull_request map<string, string>"
@@ -27,8 +25,10 @@ PROJECT_SCHEMA = (
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of a file or folder, ``pos`` following file order."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), "value")
+    """JSON lines of a file or folder. ``pos`` sorts by file, block of the file, and line, however files are split."""
+    place = [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    parts = [F.lpad(p.cast("string"), 20, "0") for p in place]
+    return spark.read.text(path).select(F.concat_ws("|", F.col("_metadata.file_path"), *parts).alias("pos"), "value")
 
 
 def _decode(lines: DataFrame, schema: str) -> DataFrame:
@@ -58,26 +58,53 @@ def _remote(lines: DataFrame) -> DataFrame:
     return parsed.filter(F.col("number").isNotNull()).withColumn("embedded", F.expr(embedded_block("body")))
 
 
+# a line at the left edge of a block: a key, and perhaps a value
+TOP_LINE = r"^[A-Za-z_][\w -]*:(\s.*)?$"
+NESTED_LINE = r"^(\s+\S.*|-(\s.*)?)$"
+DOUBLE_QUOTED = r'^"((?:[^"\\]|\\.)*+)"\s*(#.*)?$'
+SINGLE_QUOTED = r"^'((?:[^']|'{2})*+)'\s*(#.*)?$"
+NO_VALUE = r"^(|#.*|~|null|Null|NULL|[|>][+-]?)$"
+COMMENT = r"\s+#.*$"
+
+
+def block_value(text: str) -> str:
+    """The scalar of a line: quotes undone, a comment cut off; NULL for none, null, or a value on the lines below."""
+    double = f"regexp_extract({text}, {lit(DOUBLE_QUOTED)}, 1)"
+    for code, plain in (("\\\\", "\x01"), ("\\n", "\n"), ('\\"', '"'), ("\x01", "\\")):
+        double = f"replace({double}, {lit(code)}, {lit(plain)})"
+    single = f"replace(regexp_extract({text}, {lit(SINGLE_QUOTED)}, 1), {lit(chr(39) * 2)}, {lit(chr(39))})"
+    bare = let(
+        f"regexp_replace({text}, {lit(COMMENT)}, '')", lambda v: f"if({v} rlike {lit(NO_VALUE)}, NULL, {v})"
+    )
+    return (
+        f"case when {text} rlike {lit(DOUBLE_QUOTED)} then {double} "
+        f"when {text} rlike {lit(SINGLE_QUOTED)} then {single} else {bare} end"
+    )
+
+
 def embedded_block(body: str) -> str:
-    """Map of the first fenced ``yaml`` block of flat ``key: value`` lines; NULL when it is not such a map."""
+    """Map of the first fenced ``yaml`` block: its ``key: value`` lines at the left edge, values as strings.
+
+    Nested maps and lists below a key are passed over; NULL when the block is not a map.
+    """
     block = rf"regexp_extract({body}, r'(?s)```yaml\n(.*?)\n```', 1)"
     lines = keep(rf"split({block}, '\n')", lambda x: rf"not {x} rlike r'^\s*(#.*)?$'")
 
     def pair(x: str) -> str:
-        value = rf"regexp_extract({x}, r':\s+(.*?)\s*$', 1)"
-        unquoted = f"regexp_replace({value}, {lit(QUOTED)}, '$2')"
-        return struct(k=rf"regexp_extract({x}, r'^([A-Za-z_][\w -]*?)\s*:', 1)", v=unquoted)
+        raw = rf"regexp_extract({x}, r':\s+(.*?)\s*$', 1)"
+        return struct(k=rf"regexp_extract({x}, r'^([A-Za-z_][\w -]*?)\s*:', 1)", v=let(raw, block_value))
 
     def as_map(pairs: str) -> str:
         def values(keys: str) -> str:
             chosen = each(keys, lambda k: f"{last(keep(pairs, lambda p: f'{p}.k = {k}'))}.v")
-            return f"map_from_arrays({keys}, {chosen})"
+            return f"map_filter(map_from_arrays({keys}, {chosen}), (k, v) -> v is not null)"
 
         return let(f"array_distinct({pairs}.k)", values)
 
     def read(x: str) -> str:
-        flat = rf"forall({x}, y -> y rlike r'^[A-Za-z_][\w -]*:(\s.*)?$')"
-        return f"if(size({x}) > 0 and {flat}, {let(each(x, pair), as_map)}, NULL)"
+        fits = f"forall({x}, y -> y rlike {lit(TOP_LINE)} or y rlike {lit(NESTED_LINE)})"
+        tops = keep(x, lambda y: f"{y} rlike {lit(TOP_LINE)}")
+        return f"if(size({x}) > 0 and get({x}, 0) rlike {lit(TOP_LINE)} and {fits}, {let(each(tops, pair), as_map)}, NULL)"
 
     return let(lines, read)
 

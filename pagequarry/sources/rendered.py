@@ -13,9 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.sources.pages import read_table
+from pagequarry.sources import pages
 
 SITE = "https://films.example.com"
+#: Set by whoever runs queries over small one-split files, such as a bench; unset, tables are read as they lie.
+PARTITIONS = "spark.pagequarry.partitions"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    wanted = spark.conf.get(PARTITIONS, None)
+    return pages.read_table(spark, sf_dir, name, int(wanted) if wanted else None)
 
 
 def _text(*parts: Column | str | int) -> Column:
@@ -105,6 +112,23 @@ def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.select(key.alias("page_id"), _text(SITE, "/blocks/", key).alias("url"), html.alias("html"))
 
 
+def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing pages, every fourth without markup."""
+    whole = catalogue_pages(spark, sf_dir)
+    return whole.withColumn("html", F.when(F.col("page_id") % 4 != 0, F.col("html")))
+
+
+def prose_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a detail page, one paragraph for each of its lines."""
+    text = F.col("text")
+    for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    lines = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    html = _text('<div class="entry-content">', lines, "</div>")
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("page_id"), _text(SITE, "/text/", F.col("doc_id")).alias("url"), html.alias("html"))
+
+
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One delivered record per customer, good and bad ones mixed."""
     key, name = F.col("c_custkey"), F.col("c_name")
@@ -147,45 +171,53 @@ def _json(**fields: Column) -> Column:
 
 
 def _block(key: Column) -> Column:
-    """A fenced block on every fourth key, one of them not a map."""
-    return F.when(
-        key % 4 == 0,
-        F.when(key % 32 == 0, "Text\n```yaml\n- component: list\n```\n").otherwise(
-            _text("Text\n```yaml\ncomponent: Part", key % 1000, "\npriority: P", key % 3, "\nowner: 'team ", key % 7, "'\n```\nend")
-        ),
-    )
+    """A fenced block on every fourth key: some with nested values and a comment, some not a map."""
+    plain = _text("Text\n```yaml\ncomponent: Part", key % 1000, "\npriority: P", key % 3, "\nowner: 'team ", key % 7, "'\n```\nend")
+    nested = _text(
+        "Text\n```yaml\ncomponent: Part", key % 1000, "\nnested:\n  component: deep\nlist:\n- x\npriority: P", key % 3,
+        " # note\nowner: null\n```\nend",
+    )
+    not_a_map = F.lit("Text\n```yaml\n- component: list\n```\n")
+    return F.when(key % 4 == 0, F.when(key % 32 == 0, not_a_map).when(key % 8 == 0, nested).otherwise(plain))
 
 
 def local_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local records as JSON lines (``pos, value``): orders whose key is not a multiple of 3."""
+    """Every order as a local record, a JSON line (``pos, value``); a third have an id that no remote record has."""
     key = F.col("o_orderkey")
+    number = key + F.when(key % 3 == 0, 1_000_000_000).otherwise(0)
     value = _json(
-        github_issue=F.when(key % 6 != 5, key),
+        github_issue=F.when(key % 6 != 5, number),
         title=F.when(key % 2 == 0, _text("Local ", key)),
         component=F.when(key % 7 != 0, _text("PART", key % 1000)),
-        impact=F.when(key % 5 != 1, _text("Impact ", F.col("o_orderpriority"))),
+        impact=F.when(key % 5 != 1, _text("Impact: ", F.col("o_orderpriority"))),
         status=F.when(key % 4 == 1, "open").when(key % 4 == 2, "done"),
         priority=F.when(key % 11 == 0, "P9"),
     )
-    return read_table(spark, sf_dir, "orders").filter(key % 3 != 0).select(key.alias("pos"), value.alias("value"))
+    return read_table(spark, sf_dir, "orders").select(key.alias("pos"), value.alias("value"))
 
 
 def remote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Remote records as JSON lines: orders whose key modulo 3 is not 1; some are pull requests."""
+    """Every order as a remote record, a JSON line; a third have a number no local record has, some are pull
+    requests, and some come twice, first with an older state."""
     key = F.col("o_orderkey")
+    number = key + F.when(key % 3 == 1, 2_000_000_000).otherwise(0)
     value = _json(
-        number=key,
+        number=number,
         title=_text("Remote ", key),
         state=F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open"),
         body=F.coalesce(_block(key), F.when(key % 5 == 0, "").otherwise(_text("Plain ", key))),
         labels=F.array(F.struct(F.lit("keep-this").alias("name")), F.struct(_text("k", key % 10).alias("name"))),
         pull_request=F.when(key % 50 == 0, F.struct(F.lit("x").alias("url"))),
     )
-    return read_table(spark, sf_dir, "orders").filter(key % 3 != 1).select(key.alias("pos"), value.alias("value"))
+    stale = _json(number=number, title=_text("Old ", key), state=F.lit("open"), labels=F.array(F.struct(F.lit("stale").alias("name"))))
+    lines = F.array(F.struct((key * 2 + 1).alias("pos"), value.alias("value")))
+    old = F.array(F.struct((key * 2).alias("pos"), stale.alias("value")))
+    both = F.when((key % 13 == 0) & (key % 50 != 0), F.concat(old, lines)).otherwise(lines)
+    return read_table(spark, sf_dir, "orders").select(F.inline(both))
 
 
 def project_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Side-table entries as JSON lines: orders whose key is a multiple of 5."""
+    """Every order as a side-table entry, a JSON line; one in five has the number of a record."""
     key = F.col("o_orderkey")
 
     def node(kind: str, name: Column | None = None, title: Column | None = None, field: Column | None = None) -> Column:
@@ -206,10 +238,10 @@ def project_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     content = F.struct(
         F.when(key % 20 == 0, "DraftIssue").otherwise("Issue").alias("__typename"),
-        key.alias("number"),
+        (key + F.when(key % 5 != 0, 3_000_000_000).otherwise(0)).alias("number"),
         _text("Remote ", key).alias("title"),
         F.when(key % 15 != 0, _text("Body ", key)).alias("body"),
         F.when(key % 25 != 0, "closed").alias("state"),
     )
     value = _json(content=content, fieldValues=F.struct(nodes.alias("nodes")))
-    return read_table(spark, sf_dir, "orders").filter(key % 5 == 0).select(key.alias("pos"), value.alias("value"))
+    return read_table(spark, sf_dir, "orders").select(key.alias("pos"), value.alias("value"))

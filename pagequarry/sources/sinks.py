@@ -33,9 +33,10 @@ def write_summary(summary: DataFrame, path: str, run_ts: str) -> None:
 
 
 def write_records(pulled: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
-    """Write merged records as JSON unless ``dry_run``; the records are returned either way."""
+    """Write merged records unless ``dry_run``, one JSON object a line with the keys of the record at the top,
+    as ``local_records`` reads them; the records are returned either way."""
     if not dry_run:
-        _write(pulled.select("fields"), path)
+        pulled.select(F.to_json("fields").alias("value")).write.mode("overwrite").text(path)
     return pulled
 
 

@@ -14,20 +14,25 @@ from pagequarry.plans.jobs import process_pages
 from pagequarry.schema import PAGES
 
 
-def arriving_pages(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Stream of the Parquet page files appearing under ``path``."""
-    return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def arriving_pages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of the Parquet page files appearing under ``path``, with the time their file ``arrived``."""
+    reader = spark.readStream.schema(PAGES)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path).withColumn("arrived", F.col("_metadata.file_modification_time"))
 
 
-def each_url_once(pages: DataFrame, time_col: str | None = None, delay: str = "1 day") -> DataFrame:
-    """Drop pages whose URL came before.
+def each_url_once(rows: DataFrame, time_col: str = "arrived", delay: str = "1 day") -> DataFrame:
+    """Drop rows whose URL came before, within ``delay`` of event time, which bounds the state.
 
-    Without an arrival time every URL ever seen is kept as state; with one the
-    state is bounded by ``delay``.
+    Apply it to what was taken from the pages, not to the pages: the shuffle to the state then carries no markup.
     """
-    if time_col is None:
-        return pages.dropDuplicates(["url"])
-    return pages.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["url"])
+    return rows.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["url"])
+
+
+def processed_once(pages: DataFrame, **options) -> DataFrame:
+    """``process_pages`` over arriving pages, the result of each URL once."""
+    return each_url_once(process_pages(pages, keep=("arrived",), **options))
 
 
 def running_counts(pages: DataFrame, **class_options) -> DataFrame:
@@ -53,3 +58,9 @@ def process_stream(
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def store_stream(rows: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Append rows to Parquet below ``out``, each exactly once."""
+    writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

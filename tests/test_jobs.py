@@ -12,16 +12,16 @@ from pagequarry.plans.jobs import detail_items, extract_all, process_pages, run_
 from pagequarry.schema import ITEM_FIELDS, PAGES
 from pagequarry.sources import rendered, sinks
 from pagequarry.sources.pages import missing_pages, page_key, read_html_dir, read_pages, seeds, stored_pages
-from pagequarry.streaming.arrivals import arriving_pages, each_url_once, process_stream, running_counts
+from pagequarry.streaming.arrivals import arriving_pages, each_url_once, process_stream, processed_once, running_counts, store_stream
 
 CARD = "<div class='card'><a href='/w'><img src='p.jpg'></a><h1 class='title'>{}</h1><p>{}</p></div>"
 FRAME = "<iframe src='/ad'></iframe>"
 
 
-def test_malformed_block(parsed):
-    html = "<div><a href='/watch'><img src='poster.jpg'><p>Great movie, long enough to count</div>"
+def test_block_with_an_open_paragraph(parsed):
+    html = "<section><a href='/reel/4'><img src='still.webp'><p>A keeper counts ships until the fog lifts</section>"
     rows = candidate_blocks(parsed([html], keep_html=True)).collect()
-    assert len(rows) == 1 and "Great movie" in rows[0]["snippet"]
+    assert len(rows) == 1 and "keeper counts" in rows[0]["snippet"]
 
 
 def test_candidate_filters(parsed):
@@ -77,10 +77,17 @@ def test_process_pages(spark):
 
 
 def test_process_pages_has_no_shuffle(spark, sf_dir):
-    plan = process_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    plan = process_pages(read_pages(spark, f"{sf_dir}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "CartesianProduct" not in plan
 
 
+def test_missing_markup_is_an_error(spark):
+    done = process_pages(spark.createDataFrame([(1, "u", None), (2, "v", "")], PAGES))
+    rows = {r["page_id"]: r for r in done.collect()}
+    assert (rows[1]["error"], rows[1]["page_type"], rows[1]["fields"]) == ("no markup", None, None)
+    assert rows[2]["error"] is None and detail_items(done).count() == 1
+
+
 def test_partition_count_does_not_matter(spark, sf_dir):
     pages = rendered.block_pages(spark, sf_dir)
     one, many = (
@@ -117,35 +124,37 @@ ITEM = {"title": "T", "year": "2000", "director": "D"}
     "change, errors, values",
     [
         ({}, [], {"title": "T", "year": 2000}),
-        ({"title": "  The Test Title "}, [], {"title": "The Test Title"}),
-        ({"title": "\nTabbed\n"}, [], {"title": "Tabbed"}),
-        ({"director": "\tJane\t"}, [], {"director": "Jane"}),
-        ({"title": " \t"}, ["title"], {}),
-        ({"title": None, "director": None}, ["title", "director"], {}),
+        ({"title": " \v Low Tide\n"}, [], {"title": "Low Tide"}),
+        ({"director": "\r\tA. Wren "}, [], {"director": "A. Wren"}),
+        ({"title": "\n \n"}, ["title"], {}),
+        ({"title": None, "director": " "}, ["title", "director"], {}),
         ({"year": "1799"}, ["year"], {}),
-        ({"year": "2200"}, ["year"], {}),
-        ({"year": "-1"}, ["year"], {}),
-        ({"year": "99999999999"}, ["year"], {}),
-        ({"year": "soon"}, ["year"], {}),
+        ({"year": "2999"}, ["year"], {}),
+        ({"year": "-44"}, ["year"], {}),
+        ({"year": "12345678901234"}, ["year"], {}),
+        ({"year": "c. 1920"}, ["year"], {}),
         ({"year": None}, ["year"], {}),
-        ({"year": "1800"}, [], {"year": 1800}),
+        ({"year": " 1800 "}, [], {"year": 1800}),
         ({"year": "2030"}, [], {"year": 2030}),
         ({"year": "2031"}, ["year"], {}),
-        ({"cast": "Actor One, Actor Two , Actor Three  "}, [], {"cast": ["Actor One", "Actor Two", "Actor Three"]}),
-        ({"cast": "A,,B,, ,C"}, [], {"cast": ["A", "B", "C"]}),
-        ({"cast": ""}, [], {"cast": []}),
+        ({"cast": " Mo ,Zi Li,\tAda"}, [], {"cast": ["Mo", "Zi Li", "Ada"]}),
+        ({"cast": ",, x ,"}, [], {"cast": ["x"]}),
+        ({"cast": " "}, [], {"cast": []}),
         ({"cast": None}, [], {"cast": None}),
-        ({"synopsis": "N/A"}, [], {"synopsis": None}),
-        ({"synopsis": " Not Available "}, [], {"synopsis": None}),
-        ({"synopsis": ""}, [], {"synopsis": None}),
-        ({"synopsis": "A" * 1001}, ["synopsis"], {}),
-        ({"synopsis": " " * 1500}, ["synopsis"], {}),
-        ({"synopsis": "A" * 1000}, [], {}),
-        ({"poster_url": "not-a-url"}, ["poster_url"], {}),
-        ({"poster_url": "ftp://poster.jpg"}, ["poster_url"], {}),
-        ({"poster_url": "example.com/poster.jpg"}, ["poster_url"], {}),
-        ({"poster_url": ""}, ["poster_url"], {}),
-        ({"poster_url": "HTTPS://e.com/p.jpg", "streaming_link": "//x"}, ["streaming_link"], {}),
+        ({"synopsis": "n/A"}, [], {"synopsis": None}),
+        ({"synopsis": "No Synopsis "}, [], {"synopsis": None}),
+        ({"synopsis": "\t"}, [], {"synopsis": None}),
+        ({"synopsis": "é" * 1001}, ["synopsis"], {}),
+        ({"synopsis": "\n" * 1200}, ["synopsis"], {}),
+        ({"synopsis": "é" * 1000}, [], {}),
+        ({"poster_url": "still.webp"}, ["poster_url"], {}),
+        ({"poster_url": "file:///still.webp"}, ["poster_url"], {}),
+        ({"poster_url": "http://?q"}, ["poster_url"], {}),
+        ({"poster_url": "http://:80/x"}, ["poster_url"], {}),
+        ({"poster_url": "http://a b.com/"}, ["poster_url"], {}),
+        ({"poster_url": "http://[::1]:8080/x?y"}, [], {}),
+        ({"poster_url": " "}, ["poster_url"], {}),
+        ({"poster_url": "HTTP://img.test:81/p", "streaming_link": "//x"}, ["streaming_link"], {}),
     ],
 )
 def test_validation(spark, change, errors, values):
@@ -197,16 +206,29 @@ def test_crawl_matches_plain_walk(spark, sf_dir):
                 if nxt not in depth:
                     depth[nxt] = depth[url] + 1
                     todo.append(nxt)
-    got = {r["url"]: (r["depth"], r["page_type"]) for r in crawl(graph, seeds(spark, [start]), 4).collect()}
+    got = {r["url"]: (r["depth"], r["page_type"]) for r in crawl(graph, seeds(spark, [start]), max_depth=4).collect()}
     assert got == {u: (d, plain.get(u, (None,))[0]) for u, d in depth.items()} and len(got) > 20
 
 
 def test_crawl_stops_without_pages(spark, parsed):
     graph = followed(with_class(parsed(["<p>x</p>"])))
-    rows = crawl(graph, seeds(spark, ["https://e.com/gone"]), 5).collect()
+    rows = crawl(graph, seeds(spark, ["https://e.com/gone"])).collect()
     assert [(r["url"], r["depth"], r["page_type"]) for r in rows] == [("https://e.com/gone", 0, None)]
 
 
+def test_crawl_ends_in_a_cycle(spark):
+    rows = [("a", "catalogue", [("b", 5, 0), ("b", 10, 1), ("c", 5, 2)]), ("b", "catalogue", [("a", 10, 0), ("d", 5, 1)]), ("c", "catalogue", [("d", 10, 0)])]
+    graph = spark.createDataFrame(rows, "url string, page_type string, out array<struct<url: string, priority: int, pos: int>>")
+    got = sorted((r["url"], r["depth"], r["priority"], r["page_type"]) for r in crawl(graph, seeds(spark, ["a", "a"])).collect())
+    assert got == [("a", 0, 0, "catalogue"), ("b", 1, 10, "catalogue"), ("c", 1, 5, "catalogue"), ("d", 2, 10, None)]
+
+
+def test_unseen_takes_the_most_urgent(spark):
+    found = spark.createDataFrame([("a", 5, 1), ("a", 10, 4), ("a", 10, 3), ("b", 1, 1)], "url string, priority int, pos int")
+    rows = unseen(found, spark.createDataFrame([("b",)], "url string")).collect()
+    assert [tuple(r) for r in rows] == [("a", 10, 3)]
+
+
 def test_unseen_and_next_batch(spark):
     found = spark.createDataFrame([("a", 10, 1), ("a", 10, 1), ("b", 5, 0), ("c", 10, 0)], "url string, priority int, pos int")
     fresh = unseen(found, spark.createDataFrame([("b",)], "url string"))
@@ -219,12 +241,13 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     for part in range(4):
         # page 5 arrives twice
         pages.filter(f"page_id % 4 = {part} or (page_id = 5 and {part} = 3)").coalesce(1).write.mode("append").parquet(source)
-    stream = each_url_once(arriving_pages(spark, source))
-    process_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
-    expected = process_pages(pages)
-    flat = lambda df: sorted((r["page_id"], r["page_type"], sorted((r["fields"] or {}).items())) for r in df.collect())
-    assert flat(got) == flat(expected)
+    once = processed_once(arriving_pages(spark, source, files_per_trigger=1))
+    store_stream(once, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    flat = lambda df: sorted((r["page_id"], r["page_type"], sorted((r["fields"] or {}).items())) for r in df.collect())
+    assert flat(got) == flat(process_pages(pages))
+    process_stream(arriving_pages(spark, source), str(tmp_path / "all"), str(tmp_path / "cp2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "all")).count() == pages.count() + 1
     query = (
         running_counts(arriving_pages(spark, source)).writeStream.outputMode("complete").format("memory")
         .queryName("counts").trigger(availableNow=True).start()
