@@ -298,6 +298,18 @@ ALL_STATS = f"select * from page_stats union all {MIXED_STATS}"
 BASE_PATH = r"regexp_extract(url, '^https?://[^/]+([^?#]*)', 1)"
 FOLDER = rf"regexp_replace({BASE_PATH}, '[^/]*$', '')"
 
+SOURCED = f"""
+sourced as (
+  select p_partkey as item_id, case when p_partkey % 19 <> 0 then p_type || ', ' || p_name end as title,
+    case when p_partkey % 17 <> 0 then (p_size + 1950)::varchar end as year, case when p_partkey % 3 <> 0 then p_brand end as director,
+    case when p_partkey % 5 <> 0 then 'kind ' || (p_partkey % 4) end as genre,
+    case when p_partkey % 11 <> 0 then '{SITE}/movie/' || p_partkey end as source_url, p_partkey % 10 as trust
+  from part
+), keyed as (
+  select *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as title_key from sourced where title is not null and year is not null
+)"""
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+
 ORACLES: dict[str, str] = {
     "page_scan": "select page_id, url, length(html)::bigint as n_chars from pages",
     "snapshot_lookup": "select url as request_url, md5(url) as key, page_id from pages",
@@ -477,4 +489,51 @@ ORACLES: dict[str, str] = {
     "push_then_pull": f"""with {LOCAL} select k as pos, component, impact, status, priority from local_rec where component is not null""",
     "push_summary": f"""with {PLAN} select count(*) filter (action = 'create')::bigint as created,
         count(*) filter (action = 'update')::bigint as updated, count(*) filter (action = 'skip')::bigint as skipped from plan""",
+    "merged_items": f"""with {SOURCED} select title_key, year,
+        arg_max(title, trust * 1000000000000 - item_id) as title, arg_max(director, trust * 1000000000000 - item_id) as director,
+        arg_max(genre, trust * 1000000000000 - item_id) as genre, count(*)::bigint as n_sources from keyed group by 1, 2""",
+    "field_provenance": f"""with {DETAIL}, long as (
+        select k, url, 'title' as field, {clean('p_name')} as value from detail union all select k, url, 'year', year from detail
+        union all select k, url, 'poster_url', '/img/' || k || '.jpg' from detail
+        union all select k, url, 'streaming_link', '//stream.example.com/' || k from detail where framed)
+        select k as page_id, field, value, url as source_url, 64::bigint as hash_length from long""",
+    "enrichment_flags": f"""with {SOURCED} select item_id,
+        title is not null and year is null and director is null and genre is null as title_only,
+        title is null or year is null or director is null as enrichment_needed from sourced""",
+    "retries": f"""select '{SITE}/movie/' || l_partkey as url, count(*)::bigint as attempts from lineitem where l_returnflag = 'R'
+        group by 1 having count(*) < 12""",
+    "capped_domains": """select host, page_id from (select regexp_extract(url, '^https?://([^/?#]*)', 1) as host, page_id from pages)
+        qualify row_number() over (partition by host order by page_id) <= 5""",
+    "item_quality": f"""with {SOURCED}, long as (select 'title' as field, title as v from sourced union all select 'year', year from sourced
+        union all select 'director', director from sourced union all select 'genre', genre from sourced)
+        select field, count(*)::bigint as n_rows, count(*) filter (v is null)::bigint as n_missing, min(length(v))::bigint as min_length,
+          max(length(v))::bigint as max_length from long group by 1""",
+    "item_kpis": f"""with {SOURCED} select count(*)::bigint as n_items,
+        avg((title is not null and year is null and director is null and genre is null)::int::double) as title_only_ratio,
+        avg((source_url is not null)::int::double) as provenance_coverage,
+        avg(((title is not null)::int + (year is not null)::int + (director is not null)::int + (genre is not null)::int)::double) as avg_fields
+        from sourced""",
+    "page_drift": f"""select '{SITE}/movie/' || p_partkey as url,
+        case when p_size = 11 then 'new' when p_size % 7 = 0 then 'changed' else 'same' end as status from part""",
+    "scrubbed_texts": f"""select doc_id, regexp_replace(regexp_replace(text, '{EMAIL}', '[email]', 'g'),
+        '(^|[^\\w.])\\+?\\d(?:[ ()./-]{{0,2}}\\d){{6,14}}\\b', '\\1[phone]', 'g') as text from documents""",
+    "upserted_items": f"""with {SOURCED}, runs as (
+        select *, '2024-01-01' as first_seen, '2024-06-01' as last_seen, 0 as run from keyed where item_id % 2 = 0
+        union all select *, '2025-01-01', '2025-01-01', 1 from keyed where item_id % 3 = 0)
+        select title_key, year, arg_max(title, run * 1000000000000 - item_id) as title,
+          arg_max(director, run * 1000000000000 - item_id) as director, arg_max(genre, run * 1000000000000 - item_id) as genre,
+          min(first_seen) as first_seen, max(last_seen) as last_seen from runs group by 1, 2""",
+    "likely_items": f"""with {SOURCED} select item_id from sourced
+        where (title is not null)::int + (year is not null)::int + (director is not null)::int >= 2""",
+    "selector_ranking": """with n as (select (select count(*) from part) as parts, (select count(*) from customer) as customers,
+          (select count(*) from part where p_partkey % 2 = 0) as framed),
+        rates(field, selector, hits) as (
+          select 'title', 0, parts from n union all select 'title', 1, customers from n union all select 'title', 2, 0 from n
+          union all select 'year', 0, parts from n union all select 'year', 1, 0 from n union all select 'poster_url', 0, parts from n
+          union all select 'streaming_link', 0, framed + 2 * customers from n)
+        select field, selector::bigint as selector, hits::double / (parts + 2 * customers)::double as hit_rate,
+          row_number() over (partition by field order by hits desc, selector)::bigint as rank from rates, n""",
+    "title_search": f"""with {SOURCED} select item_id, title from sourced
+        where list_has_all(string_split(replace(lower(title), ',', ''), ' '), ['widget', 'economy'])""",
+    "exported_items": f"""with {SOURCED} select item_id, title, director from sourced where trust >= 5 and director is not null""",
 }

@@ -16,7 +16,7 @@ from pagequarry.functions.labels import label_dim, match_field
 from pagequarry.functions.sql import each, first, keep, let, struct
 from pagequarry.functions.text import clean_text, is_blacklisted, is_paragraph_length, strip
 from pagequarry.functions.urls import reject_reason, resolve
-from pagequarry.operators import candidates, classify, fields, frontier, links, snapshots, tables, validate
+from pagequarry.operators import candidates, classify, curate, fields, frontier, links, snapshots, tables, validate
 from pagequarry.operators.parse import parse_errors, parse_pages
 from pagequarry.plans import jobs
 from pagequarry.schema import ITEM_FIELDS, TEXT_TAG
@@ -707,3 +707,90 @@ def push_then_pull(spark, sf_dir):
 @query
 def push_summary(spark, sf_dir):
     return snapshots.push_summary(_plan(spark, sf_dir))
+
+
+# ---- curating ----
+
+
+@query
+def merged_items(spark, sf_dir):
+    return curate.merge_items(rendered.sourced_items(spark, sf_dir))
+
+
+@query
+def field_provenance(spark, sf_dir):
+    parsed = parse_pages(rendered.detail_pages(spark, sf_dir), keep_html=True)
+    rows = curate.provenance(parsed, fields.main_fields("nodes"))
+    return rows.select("page_id", "field", "value", "source_url", F.length("html_hash").cast("long").alias("hash_length"))
+
+
+@query
+def enrichment_flags(spark, sf_dir):
+    flagged = curate.with_enrichment(rendered.sourced_items(spark, sf_dir))
+    return flagged.select("item_id", "title_only", "enrichment_needed")
+
+
+@query
+def retries(spark, sf_dir):
+    events = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    errors = events.select(F.concat(F.lit(f"{rendered.SITE}/movie/"), "l_partkey").alias("url"))
+    return curate.retry_queue(errors, max_attempts=12)
+
+
+@query
+def capped_domains(spark, sf_dir):
+    return curate.at_most_per_domain(pages(spark, sf_dir), limit=5).select("host", "page_id")
+
+
+@query
+def item_quality(spark, sf_dir):
+    return curate.quality_report(rendered.sourced_items(spark, sf_dir))
+
+
+@query
+def item_kpis(spark, sf_dir):
+    return curate.kpis(rendered.sourced_items(spark, sf_dir))
+
+
+@query
+def page_drift(spark, sf_dir):
+    now = rendered.detail_pages(spark, sf_dir)
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), "p_size")
+    was = now.join(parts, "page_id").where("p_size <> 11")
+    was = was.withColumn("html", F.when(F.col("p_size") % 7 == 0, F.concat("html", F.lit("<hr>"))).otherwise(F.col("html")))
+    was = was.select("page_id", "url", "html").unionByName(now.limit(0))
+    return curate.drift(curate.shape_hash(parse_pages(was)), curate.shape_hash(parse_pages(now)))
+
+
+@query
+def scrubbed_texts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", curate.scrubbed(F.col("text")).alias("text"))
+
+
+@query
+def upserted_items(spark, sf_dir):
+    items = rendered.sourced_items(spark, sf_dir)
+    before = items.where("item_id % 2 = 0").withColumn("first_seen", F.lit("2024-01-01")).withColumn("last_seen", F.lit("2024-06-01"))
+    return curate.upsert_items(before, items.where("item_id % 3 = 0"), "2025-01-01")
+
+
+@query
+def likely_items(spark, sf_dir):
+    return curate.likely_items(rendered.sourced_items(spark, sf_dir)).select("item_id")
+
+
+@query
+def selector_ranking(spark, sf_dir):
+    return curate.selector_success(parse_pages(mixed_pages(spark, sf_dir)))
+
+
+@query
+def title_search(spark, sf_dir):
+    return curate.search_titles(rendered.sourced_items(spark, sf_dir), "Widget economy")
+
+
+@query
+def exported_items(spark, sf_dir):
+    path = new_dir(spark, "export")
+    curate.export_items(rendered.sourced_items(spark, sf_dir), path, "trust >= 5 and director is not null")
+    return spark.read.schema("item_id long, title string, director string").json(path)

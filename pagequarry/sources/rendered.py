@@ -153,6 +153,20 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sourced_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record of one source per part; many parts name the same title and year, and some fields are missing."""
+    key = F.col("p_partkey")
+    return read_table(spark, sf_dir, "part").select(
+        key.alias("item_id"),
+        F.when(key % 19 != 0, F.concat_ws(", ", "p_type", "p_name")).alias("title"),
+        F.when(key % 17 != 0, (F.col("p_size") + 1950).cast("string")).alias("year"),
+        F.when(key % 3 != 0, F.col("p_brand")).alias("director"),
+        F.when(key % 5 != 0, F.concat(F.lit("kind "), key % 4)).alias("genre"),
+        F.when(key % 11 != 0, _text(SITE, "/movie/", key)).alias("source_url"),
+        (key % 10).alias("trust"),
+    )
+
+
 def url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reference per page, its shape chosen by ``page_id % 12``: ``page_id, base, raw``."""
     key = F.col("page_id")
