@@ -11,25 +11,27 @@ emitted is digested at once.
 from __future__ import annotations
 
 import functools
+import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import slices, stored
+from pagequarry.llm.common import as_bytes, slices, stored
 
 WINDOW = 2048
 OPEN_WINDOWS = 32
 #: Rests merged by one task of a merging round.
 GROUP = 64
 END = 1
-MEMORY = 400_000
-MARKS = ".,!?;:*#&%$|\"()-"
+#: Words remembered in a worker.
+MEMORY = 500_000
+MARKS = b".,!?;:*#&%$|\"()-"
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "rest long, ids binary"
@@ -38,58 +40,69 @@ TYPES = [*[pa.int64()] * 8, pa.binary()]
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "rest", "ids"]
 
 
+#: The characters that a byte-level vocabulary writes bytes with: printable ones stand for themselves.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(PRINTED))}
+
+
 class Words:
     """Ids of texts by a tokenizer that drops white space: tokenized word by word and memoised.
 
     The tokenizer's rules never join characters across ASCII white space, so the ids of a text are those of
-    its words. A word of letters with marks behind it is looked up in two parts.
+    its words. A word of letters is one piece to the tokenizer and goes straight to its model, and marks behind
+    it are pieces of their own; all other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     def raw(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def letters(self, piece: str) -> bytes:
+        return array("I", [token.id for token in self.model.tokenize(piece)]).tobytes()
 
-    def part(self, word: str) -> bytes:
-        key = word.encode()
-        found = self.known.get(key)
+    def part(self, key: bytes, make, piece: str) -> bytes:
+        found = self.parts.get(key)
         if found is None:
-            found = self.raw(word)
-            self.keep(key, found)
+            if len(self.parts) >= MEMORY:
+                self.parts.clear()
+            found = self.parts[key] = make(piece)
         return found
 
-    def keep(self, key: bytes, ids: bytes) -> None:
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        if len(key) <= 64:
-            self.known[key] = ids
-
     def word(self, key: bytes) -> bytes:
-        word = key.decode()
-        core = word.rstrip(MARKS)
-        if core.isascii():
-            core = core.lower()
-        plain = core.isascii() or (max(core) < "\u2000" and unicodedata.is_normalized("NFC", word))
-        if core.isalpha() and plain:
-            found = self.part(core)
-            if len(core) < len(word):
-                found += self.part(word[len(core) :])
+        core = key.rstrip(MARKS)
+        tail = key[len(core) :]
+        core = core.lower()
+        if core.isalpha():  # ASCII letters only
+            found = self.part(core, self.letters, core.decode())
         else:
-            found = self.raw(word)
-        self.keep(key, found)
-        return found
+            text = core.decode()
+            plain = text.isalpha() and max(text) < "\u2000" and "\u0130" not in text and "\u03a3" not in text
+            if not plain or not unicodedata.is_normalized("NFC", text):
+                return self.raw(key.decode())
+            core = text.lower().encode()
+            found = self.part(core, self.letters, core.decode("latin-1").translate(BYTES))
+        return found + self.part(tail, self.raw, tail.decode()) if tail else found
 
     def ids(self, text: bytes) -> bytes:
         """All ids of a text and the closing one, as little-endian unsigned 32-bit integers."""
-        known, word = self.known.get, self.word
-        out = [known(w) or word(w) for w in text.split()]
-        out.append(END.to_bytes(4, "little"))
-        return b"".join(out)
+        words = text.split()
+        known = self.known
+        new = set(words).difference(known)
+        if len(known) + len(new) > MEMORY and new:
+            known.clear()
+            new = set(words)
+        for key in new:
+            known[key] = self.word(key)
+        return b"".join(map(known.__getitem__, words)) + END.to_bytes(4, "little")
 
 
 @functools.lru_cache(maxsize=1)
@@ -180,9 +193,9 @@ def pack_texts(batches: Iterator[pa.RecordBatch], path: str, window: int, open_w
     words = tokenizer(path)
     packer = Packer(window, open_windows, first_id(0))
     for batch in slices(batches):
-        texts = batch.column(1).cast(pa.large_binary())
+        texts = [t or b"" for t in as_bytes(batch.column(1))]
         for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-            ids = words.ids(text.as_py() or b"")
+            ids = words.ids(text)
             packer.add((doc_id, 0, len(ids) // 4, ids))
         yield packer.rows()
     packer.close(TaskContext.get().partitionId())
