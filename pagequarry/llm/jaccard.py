@@ -6,9 +6,11 @@ asks for more shared shingles. Each document takes the ``m`` whose estimated cos
 left) is least; two documents are compared under the smaller of their two.
 
 Equal sets are one node from the start. Where many nodes share a shingle, they are first compared with the
-most typical of them, and what links becomes one component. After that only nodes of different components
-are paired, around the largest component of each shingle, so that a large group of near copies is never
-turned into all its pairs. Every link between different components is still found and verified.
+most typical of them, and what links becomes one component. Shingles that very many nodes share are then
+settled in blocks: a task counts the shared shingles of two blocks of nodes at once and gives only a forest
+of their links. After that nodes of different components that met in no block are paired, around the largest
+component of each shingle, so that a large group of near copies is never turned into all its pairs. Every
+link between different components is still found and verified.
 """
 
 from __future__ import annotations
@@ -31,12 +33,21 @@ PERCENT = 85
 MATCHES = 6
 #: Cost of verifying one candidate, in list entries read.
 VERIFY = 20
+#: Nodes sharing a prefix shingle from which it is settled in blocks, of so many nodes; blocks a node goes to
+#: are those of its first few such shingles.
+DENSE = 64
+BLOCK = 128
+HOMES = 3
 #: Shingles counted at a time, kept in a task, and known as frequent everywhere (16 bytes each).
-COUNTED = 1 << 21
+COUNTED = 1 << 20
 KEPT = 1 << 16
 FREQUENT = 1 << 16
 
 
+#: Shingles of a block counted in one product.
+COLUMNS = 2048
+
+
 def shingles(text: bytes | None, size: int) -> np.ndarray:
     """The set of a text as sorted hashes: A-Z in lower case, runs of ``size`` words, or all if fewer."""
     words = (text or b"").lower().split()
@@ -202,21 +213,86 @@ def typical_pairs(posts: DataFrame, percent: int) -> DataFrame:
     return best.select(F.col("node").alias("y"), F.col("best.c").alias("x"))
 
 
-def remaining_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """Every candidate pair of nodes of different components.
+def homes_of(posts: DataFrame) -> DataFrame:
+    """``node, homes``: the first shared shingles of a node's prefix that very many nodes share."""
+    first = posts.where("level = 1")
+    dense = first.groupBy("shingle").agg(F.count("*").alias("k")).where(F.col("k") > DENSE)
+    own = first.join(dense, "shingle").select("node", F.struct("k", "shingle").alias("h"))
+    return own.groupBy("node").agg(
+        F.transform(F.slice(F.sort_array(F.collect_list("h"), asc=False), 1, HOMES), lambda h: h["shingle"]).alias("homes")
+    )
+
+
+def block_links(homes: DataFrame, roots: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links within each dense shingle: a forest of those of every two blocks of its nodes."""
+    at_home = rooted(homes.select("node", F.explode("homes").alias("shingle")), roots)
+    groups = at_home.groupBy("shingle").agg(F.count("*").alias("k"), F.min("root").alias("r"), F.max("root").alias("s"))
+    groups = groups.where("r != s").select("shingle", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    placed = at_home.join(groups, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = placed.select("shingle", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = met.select("shingle", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    full = keyed.join(bodies, "node")
+    return stored(
+        full.groupBy("shingle", "i", "j").applyInArrow(lambda g: link_blocks(g, size, percent), "a long, b long").distinct(),
+        "links",
+    )
+
+
+def link_blocks(group: pa.Table, size: int, percent: int) -> pa.Table:
+    """A forest of the links between two blocks (or inside one), by counting shared shingles."""
+    expand = zstandard.ZstdDecompressor()
+    nodes, own = group.column("node").to_numpy(), group.column("own").to_numpy()
+    sets = [shingles(expand.decompress(body), size) for body in group.column("body").to_pylist()]
+    lengths = np.array([len(s) for s in sets])
+    left, right = (np.flatnonzero(own == group.column(side)[0].as_py()) for side in "ij")
+    found, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), lengths)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    row, column = row[shared[column]], number[column[shared[column]]]
+    both = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(shared.sum()), COLUMNS):
+        here = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        marks = np.zeros((len(sets), COLUMNS), np.float32)
+        marks[row[here], column[here] - at] = 1
+        both += marks[left] @ marks[right].T
+    union = lengths[left][:, None] + lengths[right][None, :] - both
+    x, y = np.nonzero(100 * both >= percent * union)
+    root = list(range(len(sets)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    links = []
+    for a, b in zip(left[x].tolist(), right[y].tolist(), strict=True):
+        if (p := find(a)) != (q := find(b)):
+            root[p] = q
+            links.append((int(nodes[a]), int(nodes[b])))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def remaining_pairs(posts: DataFrame, homes: DataFrame, percent: int) -> DataFrame:
+    """Every candidate pair of nodes of different components that met in no block.
 
     For each shingle the nodes outside its largest component meet all nodes of other components.
     """
+    posts = posts.join(homes, "node", "left").withColumn("homes", F.coalesce("homes", F.array().cast("array<long>")))
     sizes = posts.groupBy("shingle", "root").agg(F.count("*").alias("k"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
     main = main.select("shingle", F.col("m.root").alias("main"))
     live = posts.join(main, "shingle")
-    names = ["node", "n", "level", "least", "root"]
+    names = ["node", "n", "level", "least", "root", "homes"]
     x = live.where("root != main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in names])
     y = live.select("shingle", "main", *[F.col(c).alias(f"y_{c}") for c in names])
     asked = F.least("x_least", "y_least")
     met = x.join(y, "shingle").where(
         (F.col("x_root") != F.col("y_root"))
+        & ~F.arrays_overlap("x_homes", "y_homes")
         & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
         & (F.greatest("x_level", "y_level") <= asked)
         & close_enough(F.col("x_n"), F.col("y_n"), percent)
@@ -257,11 +333,13 @@ def link_groups(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT,
         .dropDuplicates(["node"]),
         "bodies",
     )
-    links, roots = None, None
-    for step in (typical_pairs, typical_pairs, remaining_pairs):
-        found = verified(step(rooted(posts, roots), percent), bodies, size, percent)
-        links = found if links is None else links.unionByName(found)
-        roots = stored(components(links), "roots")
+    homes = stored(homes_of(posts), "homes")
+    links = verified(typical_pairs(rooted(posts, None), percent), bodies, size, percent)
+    roots = stored(components(links), "roots")
+    links = links.unionByName(block_links(homes, roots, bodies, size, percent))
+    roots = stored(components(links), "roots")
+    links = links.unionByName(verified(remaining_pairs(rooted(posts, roots), homes, percent), bodies, size, percent))
+    roots = stored(components(links), "roots")
     named = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = sets.join(nodes.select("h1", "h2", "node"), ["h1", "h2"], "left").select("doc_id", "mark", "n", "node")
     return known, stored(named, "groups")
