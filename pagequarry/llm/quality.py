@@ -143,7 +143,9 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, *, text: str = "text
     """
     ordered = rule_order(docs, RULES if rules is None else rules, sample_rows=sample_rows, text=text)
     out = measure(docs, text).withColumn("rejected_by", cascade(ordered))
-    out = out.withColumn("base_failed", base_failed()).withColumn("kept", F.col("rejected_by").isNull())
+    # the partition number, always true here, keeps the optimizer from writing all counts out inside a filter on kept
+    kept = F.col("rejected_by").isNull() & (F.spark_partition_id() >= 0)
+    out = out.withColumn("base_failed", base_failed()).withColumn("kept", kept)
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
