@@ -141,11 +141,11 @@ def repeats(texts: DataFrame, *, length: int = LENGTH, seed: int = SEED) -> Data
     order = ["__id", "__text", "start"]
     part = F.pmod(F.xxhash64("__id", "__text"), F.col("parts"))
     within = Window.partitionBy("h1", "h2", "part").orderBy(*order)
-    ranked = stretches.withColumn("part", part).withColumn("rank", F.row_number().over(within)).where("rank > 1 or parts > 1")
+    ranked = stretches.withColumn("part", part).withColumn("rank", F.rank().over(within)).where("rank > 1 or parts > 1")
     ranked = stored(ranked.select(*order, "h1", "h2", "rank"), "ranked")
     # the firsts of the parts of one stretch: all but one of them are matched too
     among = Window.partitionBy("h1", "h2").orderBy(*order)
-    firsts = ranked.where("rank = 1").withColumn("among", F.row_number().over(among)).where("among > 1")
+    firsts = ranked.where("rank = 1").withColumn("among", F.rank().over(among)).where("among > 1")
     matched = ranked.where("rank > 1").select("__text", "start").unionByName(firsts.select("__text", "start"))
     later = matched.groupBy(F.col("__text").alias("of")).agg(F.sort_array(F.collect_set("start")).alias("starts"))
     found = copies.join(later, F.col("t1") == F.col("of"), "left").where("copied or starts is not null")
