@@ -523,6 +523,13 @@ ORACLES: dict[str, str] = {
         select title_key, year, arg_max(title, run * 1000000000000 - item_id) as title,
           arg_max(director, run * 1000000000000 - item_id) as director, arg_max(genre, run * 1000000000000 - item_id) as genre,
           min(first_seen) as first_seen, max(last_seen) as last_seen from runs group by 1, 2""",
+    "upserted_all_items": f"""with {SOURCED}, runs as (
+        select title_key, year, item_id, title, director, genre, '2024-01-01' as first_seen, '2024-06-01' as last_seen, 0 as run from keyed
+        union all select title_key, year, item_id, title, case when trust < 5 then director end,
+          case when trust < 5 then 'new ' || genre else genre end, '2025-01-01', '2025-01-01', 1 from keyed)
+        select title_key, year, arg_max(title, run * 1000000000000 - item_id) as title,
+          arg_max(director, run * 1000000000000 - item_id) as director, arg_max(genre, run * 1000000000000 - item_id) as genre,
+          min(first_seen) as first_seen, max(last_seen) as last_seen from runs group by 1, 2""",
     "likely_items": f"""with {SOURCED} select item_id from sourced
         where (title is not null)::int + (year is not null)::int + (director is not null)::int >= 2""",
     "selector_ranking": """with n as (select (select count(*) from part) as parts, (select count(*) from customer) as customers,

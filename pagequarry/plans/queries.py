@@ -774,6 +774,16 @@ def upserted_items(spark, sf_dir):
     return curate.upsert_items(before, items.where("item_id % 3 = 0"), "2025-01-01")
 
 
+@query
+def upserted_all_items(spark, sf_dir):
+    """Every item in both runs: the incoming one has lost some directors and renamed some genres."""
+    items = rendered.sourced_items(spark, sf_dir)
+    before = items.withColumns({"first_seen": F.lit("2024-01-01"), "last_seen": F.lit("2024-06-01")})
+    renamed = F.when(F.col("trust") < 5, F.concat(F.lit("new "), "genre")).otherwise(F.col("genre"))
+    incoming = items.withColumns({"director": F.when(F.col("trust") < 5, F.col("director")), "genre": renamed})
+    return curate.upsert_items(before, incoming, "2025-01-01")
+
+
 @query
 def likely_items(spark, sf_dir):
     return curate.likely_items(rendered.sourced_items(spark, sf_dir)).select("item_id")
