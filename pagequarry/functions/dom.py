@@ -113,10 +113,27 @@ def select_value(nodes: str, selectors: list[Selector]) -> str:
     if not selectors:
         return "cast(NULL as string)"
 
+    return let(
+        f"array({', '.join(s.matches(nodes) for s in selectors)})",
+        lambda m: f"coalesce({', '.join(unless_blank(v) for v in _tried(nodes, selectors, m))})",
+    )
+
+
+def _tried(nodes: str, selectors: list[Selector], m: str) -> list[str]:
+    """Values of the two rounds of ``select_value`` in order; ``m`` holds the matches of each selector."""
+    found = [f"{m}[{i}]" for i in range(len(selectors))]
+    results = [s.first_result(nodes, f) for s, f in zip(selectors, found)]
+    return results + [let(first(f), lambda n: f"case when {n} is not null then {string_value(nodes, n)} end") for f in found]
+
+
+def select_number(nodes: str, selectors: list[Selector]) -> str:
+    """Number, from 0, of the selector that gives ``select_value``; NULL when none does."""
+    if not selectors:
+        return "cast(NULL as bigint)"
+
     def pick(m: str) -> str:
-        found = [f"{m}[{i}]" for i in range(len(selectors))]
-        results = [s.first_result(nodes, f) for s, f in zip(selectors, found)]
-        wholes = [let(first(f), lambda n: f"case when {n} is not null then {string_value(nodes, n)} end") for f in found]
-        return f"coalesce({', '.join(unless_blank(v) for v in results + wholes)})"
+        tried = _tried(nodes, selectors, m)
+        numbers = [f"case when {unless_blank(v)} is not null then {i % len(selectors)}L end" for i, v in enumerate(tried)]
+        return f"coalesce({', '.join(numbers)})"
 
     return let(f"array({', '.join(s.matches(nodes) for s in selectors)})", pick)

@@ -37,10 +37,17 @@ def merge_items(items: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame
     return keyed.groupBy("title_key", "year").agg(*best, F.count("*").alias("n_sources"))
 
 
-def provenance(parsed: DataFrame, fields: str) -> DataFrame:
-    """Where each value came from: ``page_id, field, value, source_url, html_hash``; ``parsed`` keeps its markup."""
-    found = parsed.select("page_id", F.col("url").alias("source_url"), F.sha2("html", 256).alias("html_hash"), F.expr(fields).alias("f"))
-    return found.select("page_id", F.explode("f").alias("field", "value"), "source_url", "html_hash")
+def provenance(parsed: DataFrame, fields: str, selectors: str = "cast(map() as map<string, bigint>)") -> DataFrame:
+    """Where each value came from: ``page_id, field, value, source_url, selector, html_hash``; ``parsed`` keeps its markup.
+
+    ``selectors`` gives the number of the selector of each field, as ``fields.main_selectors`` does; ``selector``
+    is NULL for a field that it does not name.
+    """
+    found = parsed.select(
+        "page_id", F.col("url").alias("source_url"), F.sha2("html", 256).alias("html_hash"), F.expr(fields).alias("f"), F.expr(selectors).alias("s")
+    )
+    rows = found.select("page_id", F.explode("f").alias("field", "value"), "source_url", "s", "html_hash")
+    return rows.select("page_id", "field", "value", "source_url", F.try_element_at("s", "field").alias("selector"), "html_hash")
 
 
 def with_enrichment(items: DataFrame, needed: tuple[str, ...] = NEEDED) -> DataFrame:
@@ -83,15 +90,23 @@ def quality_report(items: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFr
     return one.select(F.inline(F.array(*[F.col(f"m_{f}") for f in fields])))
 
 
-def kpis(items: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """One row: ``n_items, title_only_ratio, provenance_coverage, avg_fields``."""
+def kpis(items: DataFrame, fields: tuple[str, ...] = FIELDS, crawled: DataFrame | None = None) -> DataFrame:
+    """One row: ``n_items, title_only_ratio, provenance_coverage, avg_fields``.
+
+    With ``crawled``, the result of ``frontier.crawl``, also ``median_depth`` of the stored pages that were
+    reached, each once; NULL when there is none.
+    """
     filled = sum((F.when(F.col(f).isNotNull(), 1).otherwise(0) for f in fields), F.lit(0))
-    return with_enrichment(items).agg(
+    row = with_enrichment(items).agg(
         F.count("*").alias("n_items"),
         F.avg(F.col("title_only").cast("double")).alias("title_only_ratio"),
         F.avg(F.col("source_url").isNotNull().cast("double")).alias("provenance_coverage"),
         F.avg(filled.cast("double")).alias("avg_fields"),
     )
+    if crawled is None:
+        return row
+    depths = crawled.where("page_type is not null").groupBy("url").agg(F.min("depth").alias("depth"))
+    return row.crossJoin(depths.agg(F.percentile("depth", F.lit(0.5)).alias("median_depth")))
 
 
 def shape_hash(parsed: DataFrame) -> DataFrame:

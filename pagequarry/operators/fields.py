@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.dom import Selector, own_texts, select_value, string_value
+from pagequarry.functions.dom import Selector, own_texts, select_number, select_value, string_value
 from pagequarry.functions.labels import match_field
 from pagequarry.functions.sql import each, first, keep, let, lits, override, sparse_map, struct, without_nulls
 from pagequarry.functions.text import clean_text, is_paragraph_length, strip
@@ -38,6 +38,11 @@ def main_fields(nodes: str, selectors: dict[str, list[Selector]] = FIELD_SELECTO
     return sparse_map({f: value(f, chain) for f, chain in selectors.items()})
 
 
+def main_selectors(nodes: str, selectors: dict[str, list[Selector]] = FIELD_SELECTORS) -> str:
+    """``map<field, bigint>``: the number, from 0, of the selector behind each value of ``main_fields``."""
+    return sparse_map({f: select_number(nodes, chain) for f, chain in selectors.items()})
+
+
 def paragraph_texts(nodes: str) -> str:
     """Candidate texts of ``div.entry-content p``: own text nodes first, then whole paragraphs."""
 

@@ -544,3 +544,7 @@ ORACLES: dict[str, str] = {
         where list_has_all(string_split(replace(lower(title), ',', ''), ' '), ['widget', 'economy'])""",
     "exported_items": f"""with {SOURCED} select item_id, title, director from sourced where trust >= 5 and director is not null""",
 }
+ORACLES["field_selectors"] = f"select page_id, field, value, 0::bigint as selector from ({ORACLES['field_provenance']})"
+ORACLES["crawl_kpis"] = f"""select k.*, (select median(depth) from (
+    select url, min(depth) as depth from ({ORACLES["crawl"]}) where page_type is not null group by 1)) as median_depth
+    from ({ORACLES["item_kpis"]}) k"""

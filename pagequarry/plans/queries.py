@@ -724,6 +724,14 @@ def field_provenance(spark, sf_dir):
     return rows.select("page_id", "field", "value", "source_url", F.length("html_hash").cast("long").alias("hash_length"))
 
 
+@query
+def field_selectors(spark, sf_dir):
+    """The selector behind each value."""
+    parsed = parse_pages(rendered.detail_pages(spark, sf_dir), keep_html=True)
+    rows = curate.provenance(parsed, fields.main_fields("nodes"), fields.main_selectors("nodes"))
+    return rows.select("page_id", "field", "value", "selector")
+
+
 @query
 def enrichment_flags(spark, sf_dir):
     flagged = curate.with_enrichment(rendered.sourced_items(spark, sf_dir))
@@ -752,6 +760,12 @@ def item_kpis(spark, sf_dir):
     return curate.kpis(rendered.sourced_items(spark, sf_dir))
 
 
+@query
+def crawl_kpis(spark, sf_dir):
+    """The KPIs with the median depth of the crawl."""
+    return curate.kpis(rendered.sourced_items(spark, sf_dir), crawled=crawl(spark, sf_dir))
+
+
 @query
 def page_drift(spark, sf_dir):
     now = rendered.detail_pages(spark, sf_dir)
