@@ -14,25 +14,31 @@ from pagequarry.plans.jobs import process_pages
 from pagequarry.schema import PAGES
 
 
-def arriving_pages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of the Parquet page files appearing under ``path``, with the time their file ``arrived``."""
-    reader = spark.readStream.schema(PAGES)
+def arriving_pages(spark: SparkSession, path: str, files_per_trigger: int | None = None, max_file_age: str = "36500d") -> DataFrame:
+    """Stream of the Parquet page files appearing under ``path``, with the time each was read as ``arrived``.
+
+    The time is that of reading and not of the file, so a file that appears with an old modification time is not
+    late. For the same reason no file is passed over for its age beside the newest one unless ``max_file_age``
+    says so (Spark's own default is a week); the driver remembers the names of the files younger than that.
+    """
+    reader = spark.readStream.schema(PAGES).option("maxFileAge", max_file_age)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path).withColumn("arrived", F.col("_metadata.file_modification_time"))
+    return reader.parquet(path).withColumn("arrived", F.current_timestamp())
 
 
 def each_url_once(rows: DataFrame, time_col: str = "arrived", delay: str = "1 day") -> DataFrame:
     """Drop rows whose URL came before, within ``delay`` of event time, which bounds the state.
 
+    A ``time_col`` of the caller's own may go back: rows older than the watermark are dropped, seen or not.
     Apply it to what was taken from the pages, not to the pages: the shuffle to the state then carries no markup.
     """
     return rows.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["url"])
 
 
-def processed_once(pages: DataFrame, **options) -> DataFrame:
-    """``process_pages`` over arriving pages, the result of each URL once."""
-    return each_url_once(process_pages(pages, keep=("arrived",), **options))
+def processed_once(pages: DataFrame, delay: str = "1 day", **options) -> DataFrame:
+    """``process_pages`` over arriving pages, the result of each URL once within ``delay``."""
+    return each_url_once(process_pages(pages, keep=("arrived",), **options), delay=delay)
 
 
 def running_counts(pages: DataFrame, **class_options) -> DataFrame:
