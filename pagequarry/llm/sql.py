@@ -19,3 +19,16 @@ with split as (
 )
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from matched where n = 1
 """
+
+ORACLES["op9_chat_formatting"] = r"""
+with messages as (
+  select conv_id::bigint as conv_id, turn::bigint as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length('### : </turn>') + 1 + length(role || text) + length(regexp_replace(role || text, '[^\\#<:]', '', 'g')))::bigint as formatted_chars
+from messages group by conv_id
+"""
