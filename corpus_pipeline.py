@@ -40,7 +40,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of tokens."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), control_ids=True)
 
 
 STAGES = [

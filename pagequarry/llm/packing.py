@@ -53,12 +53,12 @@ class Words:
     it are pieces of their own; all other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, control_ids: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not control_ids
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
@@ -106,8 +106,8 @@ class Words:
 
 
 @functools.lru_cache(maxsize=1)
-def tokenizer(path: str) -> Words:
-    return Words(path)
+def tokenizer(path: str, control_ids: bool) -> Words:
+    return Words(path, control_ids)
 
 
 class Packer:
@@ -189,8 +189,10 @@ def first_id(level: int) -> int:
     return (level << 56) | (TaskContext.get().partitionId() << 32)
 
 
-def pack_texts(batches: Iterator[pa.RecordBatch], path: str, window: int, open_windows: int) -> Iterator[pa.RecordBatch]:
-    words = tokenizer(path)
+def pack_texts(
+    batches: Iterator[pa.RecordBatch], path: str, window: int, open_windows: int, control_ids: bool
+) -> Iterator[pa.RecordBatch]:
+    words = tokenizer(path, control_ids)
     packer = Packer(window, open_windows, first_id(0))
     for batch in slices(batches):
         texts = [t or b"" for t in as_bytes(batch.column(1))]
@@ -215,7 +217,8 @@ def pack_rests(
 
 
 def pack_documents(
-    docs: DataFrame, path: str, *, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, group: int = GROUP
+    docs: DataFrame, path: str, *, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, group: int = GROUP,
+    control_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
@@ -227,7 +230,7 @@ def pack_documents(
     document a task, ``group`` windows in a merging task. Text is not shuffled.
     """
     wanted = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    done = stored(wanted.mapInArrow(lambda b: pack_texts(b, path, window, open_windows), PIECES), "packed")
+    done = stored(wanted.mapInArrow(lambda b: pack_texts(b, path, window, open_windows, control_ids), PIECES), "packed")
     rests = done.where("rest is not null")
     parts = rests.agg(F.countDistinct("rest")).first()[0]
     out = done.where("rest is null")
