@@ -229,7 +229,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, words:
     """Fits on about ``rows`` training texts of each label, of at most ``words`` words each.
 
     Rows are drawn by a hash of the id from all labelled rows whose ``crc32(doc_id) mod 5`` is not 0; a
-    text with more words is left out of the fit, not cut, since its label may rest on any part of it.
+    text with more words is left out of the fit, not cut, since its label may rest on any part of it. Of an id
+    that several rows share, one text is taken, the first by hash, so the driver gets one row an id at most.
     """
     usable = (
         labels.where("doc_id is not null and toxic is not null")
@@ -243,7 +244,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, words:
         share = F.when(F.col("toxic") == toxic, F.lit(min(1.0, rows / n))).otherwise(share)
     drawn = usable.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)) < share)
     short = docs.where("text is not null").where(F.length("text") < 12 * words).select("doc_id", "text", "lang")
-    taken = sorted(short.join(F.broadcast(drawn), "doc_id").collect(), key=lambda r: (r.doc_id, r.text))
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "lang")).alias("one")
+    found = short.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(one)
+    taken = sorted(found.select("doc_id", "toxic", "one.text", "one.lang").collect(), key=lambda r: r.doc_id)
     hasher = Hasher()
     texts, marks, langs = [], [], []
     seen: set[int] = set()
