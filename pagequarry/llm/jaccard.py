@@ -38,10 +38,12 @@ VERIFY = 20
 DENSE = 64
 BLOCK = 128
 HOMES = 3
-#: Shingles counted at a time, kept in a task, and known as frequent everywhere (16 bytes each).
+#: Shingles counted at a time, slices that their counts are added up in, and shingles known as frequent everywhere
+#: (16 bytes each), from so many texts on.
 COUNTED = 1 << 20
-KEPT = 1 << 16
+SLICES = 1 << 10
 FREQUENT = 1 << 16
+OFTEN = 8
 
 
 #: Shingles of a block counted in one product.
@@ -57,39 +59,54 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
 
 
 def count_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Shingles seen often in this task, with a count: all texts are read, rare ones are let go."""
-    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    """``slice, shingles, counts``: all shingles of this task, sorted and cut by their high bits, counted in parts."""
     waiting: list[np.ndarray] = []
     held = 0
-
-    def settle():
-        nonlocal keys, counts, waiting, held
-        found, times = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (keys[:0], counts[:0])
-        found, times = found[times > 1], times[times > 1]
-        keys, where = np.unique(np.concatenate([keys, found]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([counts, times]), len(keys)).astype(np.int64)
-        if len(keys) > KEPT:
-            top = np.argpartition(counts, len(counts) - KEPT)[-KEPT:]
-            keys, counts = keys[top], counts[top]
+    starts = np.arange(SLICES, dtype=np.uint64) << np.uint64(64 - SLICES.bit_length() + 1)
+
+    def settle() -> pa.RecordBatch:
+        nonlocal waiting, held
+        keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
+        counts = counts.astype("<i4")
+        edges = [*np.searchsorted(keys, starts).tolist(), len(keys)]
+        rows = [(i, keys[a:b].tobytes(), counts[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
         waiting, held = [], 0
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["slice", "shingles", "counts"])
 
     for batch in slices(batches):
         for text in as_bytes(batch.column(0)):
             waiting.append(shingles(text, size))
             held += len(waiting[-1])
             if held >= COUNTED:
-                settle()
-    settle()
-    keep = counts >= 8
-    yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["shingle", "n"])
+                yield settle()
+    if held:
+        yield settle()
+
+
+def add_counts(part: pa.Table) -> pa.Table:
+    """``shingle, n`` of one slice: the shingles of ``OFTEN`` texts or more, ``FREQUENT`` at most."""
+    keys = np.frombuffer(b"".join(part.column("shingles").to_pylist()), "<u8")
+    counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), "<i4")
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys, counts = keys[first], np.add.reduceat(counts, first)
+    keep = counts >= OFTEN
+    keys, counts = keys[keep], counts[keep]
+    top = np.lexsort((keys.view(np.int64), -counts))[:FREQUENT]
+    return pa.table([pa.array(keys[top].view(np.int64)), pa.array(counts[top])], ["shingle", "n"])
 
 
 def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of all texts and their counts: at most ``FREQUENT``, by hash."""
-    found = (
-        texts.mapInArrow(lambda b: count_batches(b, size), "shingle long, n long")
-        .groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    )
+    """The most frequent shingles of all texts and their counts: at most ``FREQUENT``, by hash.
+
+    The counts are exact, whatever the partitions of ``texts``: each task hands on all its shingles, and those
+    of a slice are added up in one place. A slice is one in ``SLICES`` of all and is held in memory.
+    """
+    parts = texts.mapInArrow(lambda b: count_batches(b, size), "slice int, shingles binary, counts binary")
+    counted = stored(parts.groupBy("slice").applyInArrow(add_counts, "shingle long, n long"), "counts")
+    found = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     keys, counts = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
