@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import bpe, chat, jaccard, langid, packing, quality, substrings, topk, toxicity, urlrules
+from pagequarry.llm import (
+    bpe,
+    chat,
+    jaccard,
+    langid,
+    lexical,
+    packing,
+    quality,
+    secrets,
+    spelling,
+    substrings,
+    topk,
+    toxicity,
+    urlrules,
+)
 from pagequarry.llm.common import table
 
 
@@ -59,6 +73,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One version of every document, scanned into a ledger that starts empty."""
+    return secrets.document_secrets(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,5 +99,8 @@ QUERIES = {
         op8_substring_dedup,
         op9_chat_formatting,
         op10_jaccard_join,
+        op11_secret_scans,
+        op12_lexical_search,
+        op13_spelling_variants,
     )
 }

@@ -32,3 +32,60 @@ select conv_id, count(*)::bigint as n_turns,
   sum(length('### : </turn>') + 1 + length(role || text) + length(regexp_replace(role || text, '[^\\#<:]', '', 'g')))::bigint as formatted_chars
 from messages group by conv_id
 """
+
+#: A pattern for each kind, in their order: the whole pattern, and the test of a match ``m``.
+SECRETS = [
+    (
+        "assign",
+        r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        r"""length(regexp_replace(m, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?', '')) >= 6""",
+    ),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]+", "length(m) >= 24"),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "true"),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", "true"),
+    ("login", r"://[^/:@ \t\n\r]+:[^/:@ \t\n\r]+@", "true"),
+]
+MATCHES = " union all ".join(
+    f"select r, {place} as place, '{kind}' as kind, unnest(regexp_extract_all(text, '{pattern}')) as m, "
+    f"unnest(regexp_split_to_array(text, '{pattern}')[:-2]) as gap, unnest(range(1, 1 + len(regexp_extract_all(text, '{pattern}')))) as i from texts"
+    for place, (kind, pattern, _) in enumerate(SECRETS)
+)
+KEEPS = " ".join(f"when '{kind}' then {keeps}" for kind, _, keeps in SECRETS)
+ORACLES["op11_secret_scans"] = f"""
+with texts as (select row_number() over () as r, doc_id::bigint as doc_id, coalesce(text, '') as text from documents),
+matches as ({MATCHES}),
+placed as (
+  select r, place, kind, m, (sum(length(gap) + length(m)) over (partition by r, place order by i))::bigint as stop from matches
+), kept as (
+  select r, place, kind, stop - length(m) as start, kind || ':' || (stop - length(m)) || ':' || stop as span
+  from placed where case kind {KEEPS} end
+), found as (
+  select r, count(*) filter (place = 0) as n_assign, count(*) filter (place = 1) as n_access, count(*) filter (place = 2) as n_hex,
+    string_agg(span, ',' order by start, place) filter (place < 3) as base, string_agg(span, ',' order by start, place) as spans
+  from kept group by r
+)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join found using (r)
+"""
+
+TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLES["op12_lexical_search"] = f"""
+with words as (select r, doc_id, unnest({TERMS}) as w from (select row_number() over () as r, doc_id, text from documents)),
+held as (select r, any_value(doc_id) as doc_id, w, count(*)::bigint as tf from words group by r, w),
+sizes as (select r, sum(tf)::bigint as n from held group by r),
+corpus as (select count(*)::bigint as docs, sum(n)::bigint as total from sizes),
+asked as (select item_id, w, count(*)::bigint as k from (select item_id, unnest({TERMS}) as w from benchmark) group by item_id, w),
+weights as (
+  select w, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::double))::bigint as weight
+  from held, corpus where w in (select w from asked) group by w
+), scores as (
+  select item_id, r, doc_id::bigint as doc_id,
+    sum(k * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total))))::bigint as score
+  from asked join held using (w) join weights using (w) join sizes using (r), corpus group by item_id, r, doc_id
+), ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0
+)
+select item_id::bigint as item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""

@@ -23,3 +23,14 @@ def test_chat_sql(spark, sf_dir):
     got = QUERIES["op9_chat_formatting"](spark, sf_dir)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["op11_secret_scans", "op12_lexical_search"])
+def test_sql_twins(spark, sf_dir, name):
+    db = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        db.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
+    want = db.sql(ORACLES[name])
+    got = QUERIES[name](spark, sf_dir)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
