@@ -298,16 +298,39 @@ ALL_STATS = f"select * from page_stats union all {MIXED_STATS}"
 BASE_PATH = r"regexp_extract(url, '^https?://[^/]+([^?#]*)', 1)"
 FOLDER = rf"regexp_replace({BASE_PATH}, '[^/]*$', '')"
 
-SOURCED = f"""
+SOURCED_ROWS = f"""
 sourced as (
   select p_partkey as item_id, case when p_partkey % 19 <> 0 then p_type || ', ' || p_name end as title,
     case when p_partkey % 17 <> 0 then (p_size + 1950)::varchar end as year, case when p_partkey % 3 <> 0 then p_brand end as director,
     case when p_partkey % 5 <> 0 then 'kind ' || (p_partkey % 4) end as genre,
     case when p_partkey % 11 <> 0 then '{SITE}/movie/' || p_partkey end as source_url, p_partkey % 10 as trust
   from part
-), keyed as (
+)"""
+SOURCED = f"""{SOURCED_ROWS}, keyed as (
   select *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as title_key from sourced where title is not null and year is not null
 )"""
+# two sources; every title and year once; all pairs of neighbouring years scored
+LINKED = f"""{SOURCED_ROWS}, both_sources as (
+  select * from sourced union all
+  select p_partkey + 1000000000, p_name || ' ' || left(p_type, (p_partkey % (length(p_type) - 1) + 1)::int) || substr(p_type, (p_partkey % (length(p_type) - 1) + 3)::int),
+    (p_size + 1950)::varchar, case when p_partkey % 4 <> 0 then p_brand end, 'drama', '{SITE}/film/' || p_partkey, p_partkey % 7
+  from part where p_partkey % 2 = 0
+), keyed as (
+  select *, trust * 10000000000000 - item_id as place, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as title_key
+  from both_sources where title is not null and year is not null
+), grouped as (
+  select title_key, year::int as year, min(item_id) as node, arg_max(director, place) as director from keyed group by title_key, year
+), nodes as (
+  select *, list_distinct(flatten(list_transform(string_split(title_key, ' '),
+    lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('_' || w || '_', i, 2))))) as pairs from grouped
+), met as (
+  select a.node as a, b.node as b, len(list_intersect(a.pairs, b.pairs)) as shared, len(a.pairs) + len(b.pairs) as held,
+    a.year <> b.year as off, a.director as d, b.director as e
+  from nodes a join nodes b on a.node < b.node and a.year - b.year between -1 and 1
+), scored as (
+  select a, b, 10 * ((100 * shared) // (held - shared)) + case when d = e then 50 when d <> e then -200 else 0 end
+    + case when off then -310 else 0 end as points from met
+), links as (select a, b, points::bigint as points from scored where points >= 700)"""
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 
 ORACLES: dict[str, str] = {
@@ -492,6 +515,13 @@ ORACLES: dict[str, str] = {
     "merged_items": f"""with {SOURCED} select title_key, year,
         arg_max(title, trust * 1000000000000 - item_id) as title, arg_max(director, trust * 1000000000000 - item_id) as director,
         arg_max(genre, trust * 1000000000000 - item_id) as genre, count(*)::bigint as n_sources from keyed group by 1, 2""",
+    "item_links": f"with {LINKED} select a, b, points from links",
+    "linked_items": f"""with recursive {LINKED}, edges as (select a, b from links union all select b, a from links),
+        reach as (select node as a, node as b from nodes union select r.a, e.b from reach r join edges e on r.b = e.a),
+        films as (select a as node, min(b) as film from reach group by 1),
+        named as (select k.*, film from keyed k join nodes n on k.title_key = n.title_key and k.year::int = n.year join films using (node))
+        select film as item_id, arg_max(title, place) as title, arg_max(year, place) as year, arg_max(director, place) as director,
+          arg_max(genre, place) as genre, count(*)::bigint as n_sources, count(distinct (title_key, year))::bigint as n_titles from named group by 1""",
     "field_provenance": f"""with {DETAIL}, long as (
         select k, url, 'title' as field, {clean('p_name')} as value from detail union all select k, url, 'year', year from detail
         union all select k, url, 'poster_url', '/img/' || k || '.jpg' from detail
@@ -513,8 +543,8 @@ ORACLES: dict[str, str] = {
         avg((source_url is not null)::int::double) as provenance_coverage,
         avg(((title is not null)::int + (year is not null)::int + (director is not null)::int + (genre is not null)::int)::double) as avg_fields
         from sourced""",
-    "page_drift": f"""select '{SITE}/movie/' || p_partkey as url,
-        case when p_size = 11 then 'new' when p_size % 7 = 0 then 'changed' else 'same' end as status from part""",
+    "page_drift": f"""select '{SITE}/movie/' || p_partkey as url, case when p_size = 11 then 'new' when p_size = 7 then 'gone'
+        when p_size % 5 < 3 then 'changed' else 'same' end as status from part""",
     "scrubbed_texts": f"""select doc_id, regexp_replace(regexp_replace(text, '{EMAIL}', '[email]', 'g'),
         '(^|[^\\w.])\\+?\\d(?:[ ()./-]{{0,2}}\\d){{6,14}}\\b', '\\1[phone]', 'g') as text from documents""",
     "upserted_items": f"""with {SOURCED}, runs as (
@@ -548,3 +578,54 @@ ORACLES["field_selectors"] = f"select page_id, field, value, 0::bigint as select
 ORACLES["crawl_kpis"] = f"""select k.*, (select median(depth) from (
     select url, min(depth) as depth from ({ORACLES["crawl"]}) where page_type is not null group by 1)) as median_depth
     from ({ORACLES["item_kpis"]}) k"""
+
+# every value of the nested blocks, in the columns they were rendered from
+NESTED = """
+nested as (
+  select o_orderkey as k, year(o_orderdate) as y from orders where o_orderkey % 7 > 1
+), nested_values as (
+  select k as number, unnest([
+    {'path': '$.component', 'value': 'Part' || (k % 1000), 'kind': 'str'},
+    {'path': '$.release.year', 'value': y::varchar, 'kind': 'int'},
+    {'path': '$.release.price', 'value': (k % 90) || '.5', 'kind': 'float'},
+    {'path': '$.release.open', 'value': case when k % 2 = 0 then 'true' else 'false' end, 'kind': 'bool'},
+    {'path': '$.people[0].name', 'value': 'team ' || (k % 7), 'kind': 'str'},
+    {'path': '$.people[0].roles[0]', 'value': 'lead', 'kind': 'str'},
+    {'path': '$.people[0].roles[1]', 'value': 'p' || (k % 3), 'kind': 'str'},
+    {'path': '$.people[1].name', 'value': null, 'kind': 'null'},
+    {'path': '$.notes', 'value': 'first ' || k || chr(10) || '# second' || chr(10), 'kind': 'str'},
+    {'path': '$.empty', 'value': '{}', 'kind': 'dict'},
+    {'path': '$.priority', 'value': 'P' || (k % 3), 'kind': 'str'}]) as v from nested
+)"""
+ORACLES["nested_blocks"] = f"with {NESTED} select number, v.path as path, v.value as value, v.kind as kind from nested_values"
+ORACLES["nested_push_pull"] = ORACLES["nested_blocks"]
+ORACLES["nested_known_keys"] = """select k as number, case when ok then 'Part' || (k % 1000) end as component,
+    case when ok then y end::int as year, case when ok then k % 2 = 0 end as open, case when ok then 'p' || (k % 3) end as role
+    from (select o_orderkey as k, year(o_orderdate) as y, o_orderkey % 7 > 1 as ok from orders)"""
+# a detail page has 8 elements and perhaps a frame; a change in its body changes body and html
+ORACLES["page_drift_degree"] = f"""with sizes as (
+      select '{SITE}/movie/' || p_partkey as url, p_size as s, 8 + (p_partkey % 2 = 0)::bigint as n from part
+    ), counted as (
+      select url, case when s = 11 then 0 when s % 5 = 0 then n + 2 when s % 5 = 1 then n + 1 when s % 5 = 2 then 2 else n end as n_was,
+        case when s = 7 then 0 else n end as n_is,
+        case when s in (7, 11) then 0 when s % 5 in (0, 1) then n - 2 when s % 5 = 2 then 0 else n end as shared,
+        case when s = 11 then 'new' when s = 7 then 'gone' when s % 5 < 3 then 'changed' else 'same' end as status from sizes
+    )
+    select url, status, n_was::bigint as n_was, n_is::bigint as n_is, (n_was - shared)::bigint as n_lost, (n_is - shared)::bigint as n_added,
+      (n_was + n_is - 2 * shared) / (n_was + n_is)::double as degree, (n_was + n_is - 2 * shared) / (n_was + n_is)::double > 0.2 as significant
+    from counted"""
+ORACLES["main_texts"] = f"""select doc_id as page_id, greatest(words, 5)::bigint as points,
+    case when words >= 10 then {strip('text')} end as main_text
+    from (select doc_id, text, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) as words from documents)"""
+ORACLES["title_ranking"] = f"""with {LINKED.split(", keyed as (")[0]}, titled as (
+      select item_id, string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ') as words from both_sources where title is not null
+    ), held as (select item_id, w, count(*)::bigint as tf, any_value(n)::bigint as n from (
+        select item_id, unnest(words) as w, len(words) as n from titled) group by 1, 2),
+    corpus as (select count(*)::bigint as docs, sum(len(words))::bigint as total from titled),
+    weights as (select w, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::double))::bigint as weight from held, corpus group by w),
+    asked as (select item_id as query_id, w, tf as k from held where item_id < 1000000000 and item_id % 50 = 0),
+    scores as (
+      select query_id, h.item_id, sum(k * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total))))::bigint as score
+      from asked join held h using (w) join weights using (w), corpus group by 1, 2),
+    ranked as (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from scores where score > 0)
+    select query_id, rank::int as rank, item_id, score from ranked where rank <= 10"""

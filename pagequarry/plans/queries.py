@@ -16,13 +16,27 @@ from pagequarry.functions.labels import label_dim, match_field
 from pagequarry.functions.sql import each, first, keep, let, struct
 from pagequarry.functions.text import clean_text, is_blacklisted, is_paragraph_length, strip
 from pagequarry.functions.urls import reject_reason, resolve
-from pagequarry.operators import candidates, classify, curate, fields, frontier, links, snapshots, tables, validate
+from pagequarry.operators import (
+    candidates,
+    classify,
+    curate,
+    drift,
+    fields,
+    frontier,
+    linkage,
+    links,
+    maintext,
+    snapshots,
+    tables,
+    titleindex,
+    validate,
+)
 from pagequarry.operators.parse import parse_errors, parse_pages
 from pagequarry.plans import jobs
 from pagequarry.schema import ITEM_FIELDS, TEXT_TAG
 from pagequarry.session import new_dir
 from pagequarry.sources import pages as stored
-from pagequarry.sources import records, rendered, sinks
+from pagequarry.sources import blocks, records, rendered, sinks
 from pagequarry.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -646,6 +660,37 @@ def embedded_blocks(spark, sf_dir):
     return found.select("number", F.explode("embedded").alias("field", "value"))
 
 
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.remote_records(rendered.nested_lines(spark, sf_dir))
+    return found.withColumn("block", blocks.nested_block(F.col("body")))
+
+
+@query
+def nested_blocks(spark, sf_dir):
+    """Every value of every block, however deep."""
+    return blocks.block_leaves(_nested(spark, sf_dir), "block", "number")
+
+
+@query
+def nested_known_keys(spark, sf_dir):
+    """Typed values at known places of a block; a malformed or missing block has none."""
+    get = lambda path, kind: F.try_variant_get("block", path, kind)
+    return _nested(spark, sf_dir).select(
+        "number",
+        get("$.component", "string").alias("component"),
+        get("$.release.year", "int").alias("year"),
+        get("$.release.open", "boolean").alias("open"),
+        get("$.people[0].roles[1]", "string").alias("role"),
+    )
+
+
+@query
+def nested_push_pull(spark, sf_dir):
+    """Blocks written into a text and read again."""
+    sent = _nested(spark, sf_dir).select("number", blocks.nested_body(F.col("block"), F.lit("Sent")).alias("body"))
+    return blocks.block_leaves(sent.withColumn("block", blocks.nested_block(F.col("body"))), "block", "number")
+
+
 @query
 def project_records(spark, sf_dir):
     return records.project_records(rendered.project_lines(spark, sf_dir))
@@ -717,6 +762,22 @@ def merged_items(spark, sf_dir):
     return curate.merge_items(rendered.sourced_items(spark, sf_dir))
 
 
+def _two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered.sourced_items(spark, sf_dir).unionByName(rendered.misspelt_items(spark, sf_dir))
+
+
+@query
+def linked_items(spark, sf_dir):
+    """Films of two sources whose titles are spelt differently, as one record each."""
+    return linkage.linked_items(_two_sources(spark, sf_dir))
+
+
+@query
+def item_links(spark, sf_dir):
+    """The evidence behind each link."""
+    return linkage.links(linkage.blocks(linkage.title_nodes(_two_sources(spark, sf_dir))))
+
+
 @query
 def field_provenance(spark, sf_dir):
     parsed = parse_pages(rendered.detail_pages(spark, sf_dir), keep_html=True)
@@ -768,14 +829,16 @@ def crawl_kpis(spark, sf_dir):
 
 @query
 def page_drift(spark, sf_dir):
-    now = rendered.detail_pages(spark, sf_dir)
-    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), "p_size")
-    was = now.join(parts, "page_id").where("p_size <> 11")
-    was = was.withColumn("html", F.when(F.col("p_size") % 7 == 0, F.concat("html", F.lit("<hr>"))).otherwise(F.col("html")))
-    was = was.select("page_id", "url", "html").unionByName(now.limit(0))
+    was, now = rendered.detail_page_snapshots(spark, sf_dir)
     return curate.drift(curate.shape_hash(parse_pages(was)), curate.shape_hash(parse_pages(now)))
 
 
+@query
+def page_drift_degree(spark, sf_dir):
+    was, now = rendered.detail_page_snapshots(spark, sf_dir)
+    return drift.drift_degree(drift.fingerprints(parse_pages(was)), drift.fingerprints(parse_pages(now)))
+
+
 @query
 def scrubbed_texts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", curate.scrubbed(F.col("text")).alias("text"))
@@ -813,8 +876,24 @@ def title_search(spark, sf_dir):
     return curate.search_titles(rendered.sourced_items(spark, sf_dir), "Widget economy")
 
 
+@query
+def title_ranking(spark, sf_dir):
+    """Every fiftieth record's title as a query against all records, from an index built in two runs."""
+    index = titleindex.TitleIndex(spark, new_dir(spark, "titles"))
+    index.add(rendered.sourced_items(spark, sf_dir))
+    index.add(rendered.misspelt_items(spark, sf_dir))
+    asked = rendered.sourced_items(spark, sf_dir).where("item_id % 50 = 0")
+    return index.search(asked.select(F.col("item_id").alias("query_id"), F.col("title").alias("query")))
+
+
 @query
 def exported_items(spark, sf_dir):
     path = new_dir(spark, "export")
     curate.export_items(rendered.sourced_items(spark, sf_dir), path, "trust >= 5 and director is not null")
     return spark.read.schema("item_id long, title string, director string").json(path)
+
+
+@query
+def main_texts(spark, sf_dir):
+    """The text of every document, found between menus and link lists."""
+    return maintext.main_texts(parse_pages(rendered.framed_texts(spark, sf_dir)))

@@ -56,3 +56,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: shortens the lineage and survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written below the shared folder and read back: cuts the lineage, survives lost executors."""
+    path = new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

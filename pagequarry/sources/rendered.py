@@ -167,6 +167,22 @@ def sourced_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def misspelt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second source: every other part again, a letter of its title lost, some without a director."""
+    key = F.col("p_partkey")
+    at = (key % (F.length("p_type") - 1) + 2).cast("int")
+    wrong = F.concat(F.substring(F.col("p_type"), F.lit(1), at - 1), F.substring(F.col("p_type"), at + 1, F.length("p_type")))
+    return read_table(spark, sf_dir, "part").where(key % 2 == 0).select(
+        (key + 1_000_000_000).alias("item_id"),
+        F.concat_ws(" ", "p_name", wrong).alias("title"),
+        (F.col("p_size") + 1950).cast("string").alias("year"),
+        F.when(key % 4 != 0, F.col("p_brand")).alias("director"),
+        F.lit("drama").alias("genre"),
+        _text(SITE, "/film/", key).alias("source_url"),
+        (key % 7).alias("trust"),
+    )
+
+
 def url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reference per page, its shape chosen by ``page_id % 12``: ``page_id, base, raw``."""
     key = F.col("page_id")
@@ -230,6 +246,50 @@ def remote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders").select(F.inline(both))
 
 
+def nested_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a remote record whose block holds maps, lists and texts of several lines; some blocks are malformed."""
+    key, year = F.col("o_orderkey"), F.year("o_orderdate")
+    block = _text(
+        "component: Part", key % 1000, "\nrelease:\n  year: ", year, "\n  price: ", key % 90, ".5\n  open: ",
+        F.when(key % 2 == 0, "yes").otherwise("false"), "\npeople:\n- name: 'team ", key % 7, "'\n  roles: [lead, \"p", key % 3,
+        "\"]\n- name: ~\nnotes: |\n  first ", key, "\n  # second\nempty: {}\npriority: P", key % 3, " # note",
+    )
+    bad = _text("component: Part", key % 1000, "\n  release: deeper\n- item")
+    fenced = _text("Text\n```yaml\n", F.when(key % 7 == 0, bad).otherwise(block), "\n```\nend")
+    value = _json(number=key, title=_text("Remote ", key), body=F.when(key % 7 != 1, fenced).otherwise("no block"))
+    return read_table(spark, sf_dir, "orders").select(key.alias("pos"), value.alias("value"))
+
+
+def framed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as one paragraph between a menu, a list of related links and a notice."""
+    key, text = F.col("doc_id"), F.col("text")
+    for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    menu = _repeat(key % 9 + 3, lambda i: _text('<li><a href="/m/', i, '">Menu entry ', i, " of many</a></li>"))
+    related = _repeat(key % 5 + 4, lambda i: _text('<div class="card"><a href="/r/', i, '"><b>Read more about this</b></a> today</div>'))
+    html = _text(
+        "<html><head><title>A title of some words for all pages here and there</title></head><body><div><p>Welcome</p><ul>", menu,
+        '</ul></div><div class="story"><script>var words = "never shown";</script><p>', text, "</p></div><div>", related,
+        "</div><p>All rights reserved by us</p></body></html>",
+    )
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select(key.alias("page_id"), _text(SITE, "/framed/", key).alias("url"), html.alias("html"))
+
+
+def detail_page_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The detail pages at two times: some gone, some new, some with more or other markup."""
+    pages = detail_pages(spark, sf_dir)
+    parts = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), "p_size")
+    both = pages.join(parts, "page_id")
+    size, html = F.col("p_size"), F.col("html")
+    longer = F.replace(html, F.lit("</body>"), F.lit("<hr><hr></body>"))
+    wrapped = F.replace(F.replace(html, F.lit("<body>"), F.lit("<body><main>")), F.lit("</body>"), F.lit("</main></body>"))
+    rebuilt = F.lit('<section class="film"><h2>Film</h2></section>')
+    was = F.when(size % 5 == 0, longer).when(size % 5 == 1, wrapped).when(size % 5 == 2, rebuilt).otherwise(html)
+    columns = ["page_id", "url", "html"]
+    return both.where("p_size <> 11").withColumn("html", was).select(columns), both.where("p_size <> 7").select(columns)
+
+
 def project_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a side-table entry, a JSON line; one in five has the number of a record."""
     key = F.col("o_orderkey")
