@@ -8,7 +8,7 @@ left) is least; two documents are compared under the smaller of their two.
 Equal sets are one node from the start. Where many nodes share a shingle, they are first compared with the
 most typical of them, and what links becomes one component. Shingles that very many nodes share are then
 settled in blocks: a task counts the shared shingles of two blocks of nodes at once and gives only a forest
-of their links. After that nodes of different components that met in no block are paired, around the largest
+of their links; nodes already in the largest component of a shingle are not compared with each other. After that nodes of different components that met in no block are paired, around the largest
 component of each shingle, so that a large group of near copies is never turned into all its pairs. Every
 link between different components is still found and verified.
 """
@@ -38,9 +38,10 @@ VERIFY = 20
 DENSE = 64
 BLOCK = 128
 HOMES = 3
-#: Shingles counted at a time, slices that their counts are added up in, and shingles known as frequent everywhere
-#: (16 bytes each), from so many texts on.
+#: Shingles counted at a time, letters of text for each slice that their counts are added up in (at least so many
+#: slices), and shingles known as frequent everywhere (16 bytes each), from so many texts on.
 COUNTED = 1 << 20
+SLICE_LETTERS = 1 << 20
 SLICES = 1 << 10
 FREQUENT = 1 << 16
 OFTEN = 8
@@ -58,21 +59,22 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(window_hashes(word_hashes(words)[:, 0], min(size, len(words)), BASES[0]))
 
 
-def count_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """``slice, shingles, counts``: all shingles of this task, sorted and cut by their high bits, counted in parts."""
+def count_batches(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """``slice, shingles, counts``: all shingles of this task, sorted and cut by their high ``bits``, counted in parts."""
     waiting: list[np.ndarray] = []
     held = 0
-    starts = np.arange(SLICES, dtype=np.uint64) << np.uint64(64 - SLICES.bit_length() + 1)
 
     def settle() -> pa.RecordBatch:
         nonlocal waiting, held
         keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
         counts = counts.astype("<i4")
-        edges = [*np.searchsorted(keys, starts).tolist(), len(keys)]
-        rows = [(i, keys[a:b].tobytes(), counts[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        place = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        edges = [*starts.tolist(), len(keys)]
+        rows = [(i, keys[a:b].tobytes(), counts[a:b].tobytes()) for i, a, b in zip(place[starts].tolist(), edges, edges[1:])]
         waiting, held = [], 0
         columns = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["slice", "shingles", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["slice", "shingles", "counts"])
 
     for batch in slices(batches):
         for text in as_bytes(batch.column(0)):
@@ -102,9 +104,12 @@ def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarr
     """The most frequent shingles of all texts and their counts: at most ``FREQUENT``, by hash.
 
     The counts are exact, whatever the partitions of ``texts``: each task hands on all its shingles, and those
-    of a slice are added up in one place. A slice is one in ``SLICES`` of all and is held in memory.
+    of a slice are added up in one place. There are as many slices as the letters of all texts ask for, so that a
+    slice, which is held in memory, is no larger over more texts.
     """
-    parts = texts.mapInArrow(lambda b: count_batches(b, size), "slice int, shingles binary, counts binary")
+    letters = texts.agg(F.sum(F.length("text").cast("long")).alias("n")).first().n or 0
+    bits = max(SLICES, -(-letters // SLICE_LETTERS)).bit_length() - 1
+    parts = texts.mapInArrow(lambda b: count_batches(b, size, bits), "slice long, shingles binary, counts binary")
     counted = stored(parts.groupBy("slice").applyInArrow(add_counts, "shingle long, n long"), "counts")
     found = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     keys, counts = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
@@ -240,17 +245,38 @@ def homes_of(posts: DataFrame) -> DataFrame:
     )
 
 
-def block_links(homes: DataFrame, roots: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links within each dense shingle: a forest of those of every two blocks of its nodes."""
+def tiles(homes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shingle, kind, i, j, node, own``: the blocks of nodes of a dense shingle that are to be compared.
+
+    Nodes of its largest component need not be compared with each other. Those outside it (kind 0) meet block by
+    block, and their blocks meet those of the largest component (kind 1): one node beside a large family of near
+    copies takes each of its bodies along once.
+    """
     at_home = rooted(homes.select("node", F.explode("homes").alias("shingle")), roots)
-    groups = at_home.groupBy("shingle").agg(F.count("*").alias("k"), F.min("root").alias("r"), F.max("root").alias("s"))
-    groups = groups.where("r != s").select("shingle", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    placed = at_home.join(groups, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    met = placed.select("shingle", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = met.select("shingle", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = keyed.join(bodies, "node")
+    sizes = at_home.groupBy("shingle", "root").agg(F.count("*").alias("k"))
+    groups = sizes.groupBy("shingle").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("all"), F.count("*").alias("roots"))
+    groups = groups.where("roots > 1").select(
+        "shingle",
+        F.col("m.root").alias("main"),
+        F.ceil((F.col("all") - F.col("m.k")) / BLOCK).cast("int").alias("outer"),
+        F.ceil(F.col("m.k") / BLOCK).cast("int").alias("inner"),
+    )
+    placed = at_home.join(groups, "shingle").withColumn("out", F.col("root") != F.col("main"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    across = "transform(sequence(0, outer - 1), x -> struct(0 as kind, least(own, x) as i, greatest(own, x) as j))"
+    inward = "transform(sequence(0, inner - 1), x -> struct(1 as kind, own as i, x as j))"
+    outward = "transform(sequence(0, outer - 1), x -> struct(1 as kind, x as i, own as j))"
+    met = placed.select("shingle", "node", "out", "own", F.inline(F.expr(f"if(out, concat({across}, {inward}), {outward})")))
+    # the side of a node in a tile: 0 in block i, 1 in block j
+    side = F.when(F.col("kind") == 1, (~F.col("out")).cast("int")).otherwise((F.col("own") != F.col("i")).cast("int"))
+    return met.select("shingle", "kind", "i", "j", "node", side.alias("side"))
+
+
+def block_links(homes: DataFrame, roots: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links within each dense shingle between different components: a forest of those of every tile."""
+    full = tiles(homes, roots).join(bodies, "node")
     return stored(
-        full.groupBy("shingle", "i", "j").applyInArrow(lambda g: link_blocks(g, size, percent), "a long, b long").distinct(),
+        full.groupBy("shingle", "kind", "i", "j").applyInArrow(lambda g: link_blocks(g, size, percent), "a long, b long").distinct(),
         "links",
     )
 
@@ -258,10 +284,12 @@ def block_links(homes: DataFrame, roots: DataFrame, bodies: DataFrame, size: int
 def link_blocks(group: pa.Table, size: int, percent: int) -> pa.Table:
     """A forest of the links between two blocks (or inside one), by counting shared shingles."""
     expand = zstandard.ZstdDecompressor()
-    nodes, own = group.column("node").to_numpy(), group.column("own").to_numpy()
+    nodes, side = group.column("node").to_numpy(), group.column("side").to_numpy()
+    left = np.flatnonzero(side == 0)
+    # a block of the nodes outside meets itself too
+    right = left if group.column("kind")[0].as_py() == 0 and group.column("i")[0] == group.column("j")[0] else np.flatnonzero(side == 1)
     sets = [shingles(expand.decompress(body), size) for body in group.column("body").to_pylist()]
     lengths = np.array([len(s) for s in sets])
-    left, right = (np.flatnonzero(own == group.column(side)[0].as_py()) for side in "ij")
     found, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), lengths)
     shared = times > 1

@@ -40,8 +40,8 @@ def letters(text: str | None) -> bytes:
 def learn(docs: DataFrame, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each value of ``lang``, from about ``rows`` texts of it, spread by a hash of the id.
 
-    NULL ``lang`` or ``text`` takes no part. Counts are over all rows; what comes to the driver is bounded
-    by ``rows * chars`` for each language.
+    NULL ``lang`` or ``text`` takes no part. Counts are over all rows; rows that share an id give one text; what
+    comes to the driver is bounded by about ``rows * chars`` for each language.
     """
     known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -53,7 +53,9 @@ def learn(docs: DataFrame, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS
     drawn = (F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 20)) / (1 << 20)) < share
     # a middle part of the text, so that a heading shared by many texts does not fill the dictionary
     cut = F.substring("text", F.greatest(F.lit(1), (F.length("text") - chars) / 2).cast("int"), F.lit(chars))
-    taken = known.where(drawn).select("lang", "doc_id", cut.alias("text")).collect()
+    # one text of each id, so that an id that very many rows repeat is one text to the driver
+    one = known.where(drawn).groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), cut.alias("text"))).alias("t"))
+    taken = one.select("lang", "doc_id", F.col("t.text").alias("text")).collect()
     parts: dict[str, list[bytes]] = {}
     for row in sorted(taken, key=lambda r: (r.lang, str(r.doc_id), r.text)):
         if part := letters(row.text):
@@ -127,7 +129,11 @@ def keep_batches(batches: Iterator[pa.RecordBatch], dictionaries: tuple, margin:
 
 
 def keep_identified(docs: DataFrame, *, margin: float = MARGIN) -> DataFrame:
-    """The rows of ``docs`` whose language is clear, with all their columns."""
+    """The rows of ``docs`` whose language is clear, with all their columns, whatever their names.
+
+    Rows go whose text is NULL or without a letter, whose margin is narrow or tied, and all rows when nothing could
+    be learned. Repeated rows are judged each for itself, very long texts whole; an empty table gives no rows.
+    """
     made = tuple(sorted(learn(docs.where(~held_out(F.col("doc_id")))).items()))
     at = docs.columns.index("text")
     return docs.mapInArrow(lambda batches: keep_batches(batches, made, margin, at), docs.schema)
