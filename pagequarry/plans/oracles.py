@@ -629,3 +629,4 @@ ORACLES["title_ranking"] = f"""with {LINKED.split(", keyed as (")[0]}, titled as
       from asked join held h using (w) join weights using (w), corpus group by 1, 2),
     ranked as (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from scores where score > 0)
     select query_id, rank::int as rank, item_id, score from ranked where rank <= 10"""
+ORACLES["streamed_exactly_once"] = ORACLES["streamed_pages"]

@@ -37,7 +37,7 @@ from pagequarry.schema import ITEM_FIELDS, TEXT_TAG
 from pagequarry.session import new_dir
 from pagequarry.sources import pages as stored
 from pagequarry.sources import blocks, records, rendered, sinks
-from pagequarry.streaming import arrivals
+from pagequarry.streaming import arrivals, seen
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -607,6 +607,16 @@ def streamed_pages(spark, sf_dir):
     return done.select("page_id", "page_type", F.size("fields").cast("long").alias("n_fields"), "error")
 
 
+@query
+def streamed_exactly_once(spark, sf_dir):
+    """The same stream with every URL remembered: no page comes twice, whatever lies between its arrivals."""
+    out = new_dir(spark, "exact")
+    done = jobs.process_pages(arrivals.arriving_pages(spark, _arrivals(spark, sf_dir), files_per_trigger=2), keep=("arrived",))
+    slim = done.select("page_id", "url", "page_type", F.size("fields").cast("long").alias("n_fields"), "error")
+    arrivals.store_stream(seen.first_of_each_key(slim), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("page_id", "page_type", "n_fields", "error")
+
+
 @query
 def streamed_batches(spark, sf_dir):
     """Arriving pages through a caller's own job for each micro-batch."""
