@@ -143,6 +143,24 @@ def upsert_items(existing: DataFrame, incoming: DataFrame, seen: str, fields: tu
     return keyed.groupBy("title_key", "year").agg(*newest, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
+def item_history(runs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """The values of each item over time: ``item_id, <fields>, valid_from, valid_to, changed``.
+
+    ``runs`` holds a row for each item and run, with the run's time as ``seen``. A row stands for the time from the run
+    that brought its values to the next run that brought others; ``valid_to`` is NULL while they hold, and ``changed``
+    names the fields that differ from the row before. A NULL value differs from any other. Of several rows of an item
+    in one run the least counts. An item that a run does not hold keeps its values.
+    """
+    values = F.struct(*fields)
+    once = runs.groupBy("item_id", "seen").agg(F.min(values).alias("v"))
+    order = Window.partitionBy("item_id").orderBy("seen")
+    before = once.withColumn("was", F.lag("v").over(order))
+    differs = [F.when(~F.col(f"v.{f}").eqNullSafe(F.col(f"was.{f}")), F.lit(f)) for f in fields]
+    changed = F.when(F.col("was").isNull(), F.lit("")).otherwise(F.concat_ws(",", *differs))
+    kept = before.withColumn("changed", changed).where("was is null or changed <> ''")
+    return kept.select("item_id", "v.*", F.col("seen").alias("valid_from"), F.lead("seen").over(order).alias("valid_to"), "changed")
+
+
 def likely_items(items: DataFrame, at_least: int = 2) -> DataFrame:
     """Records with at least two of title, year and director."""
     held = sum((F.when(F.col(f).isNotNull(), 1).otherwise(0) for f in NEEDED), F.lit(0))

@@ -548,11 +548,21 @@ ORACLES: dict[str, str] = {
     "scrubbed_texts": f"""select doc_id, regexp_replace(regexp_replace(text, '{EMAIL}', '[email]', 'g'),
         '(^|[^\\w.])\\+?\\d(?:[ ()./-]{{0,2}}\\d){{6,14}}\\b', '\\1[phone]', 'g') as text from documents""",
     "upserted_items": f"""with {SOURCED}, runs as (
-        select *, '2024-01-01' as first_seen, '2024-06-01' as last_seen, 0 as run from keyed where item_id % 2 = 0
-        union all select *, '2025-01-01', '2025-01-01', 1 from keyed where item_id % 3 = 0)
+        select title_key, year, item_id, title, director, genre, '2024-01-01' as first_seen, '2024-06-01' as last_seen, 0 as run from keyed
+        union all select title_key, year, item_id, title, case when item_id % 3 = 0 then director end, case when item_id % 3 <> 0 then genre end,
+          '2025-01-01', '2025-01-01', 1 from keyed)
         select title_key, year, arg_max(title, run * 1000000000000 - item_id) as title,
           arg_max(director, run * 1000000000000 - item_id) as director, arg_max(genre, run * 1000000000000 - item_id) as genre,
           min(first_seen) as first_seen, max(last_seen) as last_seen from runs group by 1, 2""",
+    "item_history": f"""with {SOURCED}, steps as (
+        select *, trust < 5 and genre is not null as renamed, trust = 7 and director is not null as lost from sourced),
+        runs as (
+          select item_id, title, year, director, genre, '2024-01-01' as valid_from, case when renamed then '2024-06-01' when lost then '2025-01-01' end as valid_to,
+            '' as changed from steps
+          union all select item_id, title, year, director, 'new ' || genre, '2024-06-01', '2025-01-01', 'genre' from steps where renamed
+          union all select item_id, title, year, case when not lost then director end, genre, '2025-01-01', null,
+            case when renamed then 'genre' else 'director' end from steps where renamed or lost)
+        select * from runs""",
     "upserted_all_items": f"""with {SOURCED}, runs as (
         select title_key, year, item_id, title, director, genre, '2024-01-01' as first_seen, '2024-06-01' as last_seen, 0 as run from keyed
         union all select title_key, year, item_id, title, case when trust < 5 then director end,

@@ -856,9 +856,22 @@ def scrubbed_texts(spark, sf_dir):
 
 @query
 def upserted_items(spark, sf_dir):
+    """Every item in both runs: the incoming one has lost the director of two items in three and the genre of the rest."""
     items = rendered.sourced_items(spark, sf_dir)
-    before = items.where("item_id % 2 = 0").withColumn("first_seen", F.lit("2024-01-01")).withColumn("last_seen", F.lit("2024-06-01"))
-    return curate.upsert_items(before, items.where("item_id % 3 = 0"), "2025-01-01")
+    before = items.withColumns({"first_seen": F.lit("2024-01-01"), "last_seen": F.lit("2024-06-01")})
+    third = F.col("item_id") % 3 == 0
+    incoming = items.withColumns({"director": F.when(third, F.col("director")), "genre": F.when(~third, F.col("genre"))})
+    return curate.upsert_items(before, incoming, "2025-01-01")
+
+
+@query
+def item_history(spark, sf_dir):
+    """Three runs over every item: the values of each, and from when to when they held."""
+    items = rendered.sourced_items(spark, sf_dir).withColumn("seen", F.lit("2024-01-01"))
+    renamed = F.when(F.col("trust") < 5, F.concat(F.lit("new "), "genre")).otherwise(F.col("genre"))
+    second = items.withColumns({"seen": F.lit("2024-06-01"), "genre": renamed})
+    third = items.withColumns({"seen": F.lit("2025-01-01"), "director": F.when(F.col("trust") != 7, F.col("director"))})
+    return curate.item_history(items.unionByName(second).unionByName(third))
 
 
 @query

@@ -66,3 +66,17 @@ def test_export(spark, tmp_path):
     curate.export_items(items(spark), str(tmp_path / "out"), "trust > 3")
     assert sorted(r["item_id"] for r in spark.read.json(str(tmp_path / "out")).collect()) == [2, 3]
     assert [r["item_id"] for r in curate.search_titles(items(spark), "TIDE low").orderBy("item_id").collect()] == [1, 2, 3, 4]
+
+
+def test_history_of_values(spark):
+    rows = [
+        (1, "a", "1", None, "g", "t1"), (1, "a", "1", None, "g", "t2"), (1, "a", "1", "d", "h", "t3"), (1, "a", "1", None, "g", "t4"),
+        (2, None, None, None, None, "t1"), (2, None, None, None, None, "t3"), (3, "b", "2", "d", "g", "t2"), (3, "b", "2", "d", "g", "t2"),
+    ]
+    runs = spark.createDataFrame(rows, "item_id long, title string, year string, director string, genre string, seen string")
+    got = {(r.item_id, r.valid_from): (r.genre, r.valid_to, r.changed) for r in curate.item_history(runs).collect()}
+    assert got == {
+        (1, "t1"): ("g", "t3", ""), (1, "t3"): ("h", "t4", "director,genre"), (1, "t4"): ("g", None, "director,genre"),
+        (2, "t1"): (None, None, ""), (3, "t2"): ("g", None, ""),
+    }
+    assert curate.item_history(runs.limit(0)).collect() == []
