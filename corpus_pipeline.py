@@ -19,12 +19,12 @@ from pagequarry.llm.queries import vocabulary  # noqa: E402
 
 
 def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear."""
+    """Documents whose language is clear; NULL texts, texts without a letter and narrow margins go."""
     return langid.keep_identified(docs)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects; NULL and empty texts go, repeated rows are judged each for itself."""
     return quality.keep_good(docs)
 
 
@@ -34,12 +34,12 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that also stand earlier."""
+    """Documents without the passages that also stand earlier; one of which nothing is left goes, a NULL text stays."""
     return substrings.without_repeats(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of tokens."""
+    """Windows of tokens; repeated rows are packed each for itself, an empty table gives no rows."""
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), control_ids=True)
 
 
