@@ -563,6 +563,20 @@ ORACLES: dict[str, str] = {
           union all select item_id, title, year, case when not lost then director end, genre, '2025-01-01', null,
             case when renamed then 'genre' else 'director' end from steps where renamed or lost)
         select * from runs""",
+    "stored_item_history": f"""with {SOURCED}, lines as (
+        select title_key, year, item_id, '2024-01-01' as seen, title, director, genre from keyed
+        union all select title_key, year, item_id, '2024-06-01', title, director, case when trust < 5 then 'new ' || genre else genre end from keyed
+        union all select title_key, year, item_id, '2025-01-01', title,
+          case when trust = 7 then 'by ' || director when trust > 7 then director end, genre from keyed),
+        runs as (select title_key, year, seen, arg_min(title, item_id) as title, arg_min(director, item_id) as director, arg_min(genre, item_id) as genre
+          from lines group by all),
+        held as (select title_key, year, seen, last_value(title ignore nulls) over w as title, last_value(director ignore nulls) over w as director,
+          last_value(genre ignore nulls) over w as genre from runs window w as (partition by title_key, year order by seen)),
+        steps as (select *, row_number() over w as n, concat_ws(',', case when title is distinct from lag(title) over w then 'title' end,
+          case when director is distinct from lag(director) over w then 'director' end, case when genre is distinct from lag(genre) over w then 'genre' end) as differs
+          from held window w as (partition by title_key, year order by seen))
+        select title_key, year, title, director, genre, seen as valid_from, lead(seen) over (partition by title_key, year order by seen) as valid_to,
+          case when n = 1 then '' else differs end as changed from steps where n = 1 or differs <> ''""",
     "upserted_all_items": f"""with {SOURCED}, runs as (
         select title_key, year, item_id, title, director, genre, '2024-01-01' as first_seen, '2024-06-01' as last_seen, 0 as run from keyed
         union all select title_key, year, item_id, title, case when trust < 5 then director end,

@@ -23,6 +23,7 @@ from pagequarry.operators import (
     drift,
     fields,
     frontier,
+    itemstore,
     linkage,
     links,
     maintext,
@@ -874,6 +875,19 @@ def item_history(spark, sf_dir):
     return curate.item_history(items.unionByName(second).unionByName(third))
 
 
+@query
+def stored_item_history(spark, sf_dir):
+    """Three runs over every item laid over a stored catalogue: its values from run to run."""
+    items = rendered.sourced_items(spark, sf_dir)
+    renamed = F.when(F.col("trust") < 5, F.concat(F.lit("new "), "genre")).otherwise(F.col("genre"))
+    signed = F.when(F.col("trust") == 7, F.concat(F.lit("by "), "director")).when(F.col("trust") > 7, F.col("director"))
+    store = itemstore.ItemStore(spark, new_dir(spark, "items"))
+    store.apply(items, "2024-01-01")
+    store.apply(items.withColumn("genre", renamed), "2024-06-01")
+    store.apply(items.withColumn("director", signed), "2025-01-01")
+    return store.history()
+
+
 @query
 def upserted_all_items(spark, sf_dir):
     """Every item in both runs: the incoming one has lost some directors and renamed some genres."""
