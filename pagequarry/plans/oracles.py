@@ -603,6 +603,28 @@ ORACLES["crawl_kpis"] = f"""select k.*, (select median(depth) from (
     select url, min(depth) as depth from ({ORACLES["crawl"]}) where page_type is not null group by 1)) as median_depth
     from ({ORACLES["item_kpis"]}) k"""
 
+# rendered pages: the markup again for its hash, and each value at its place
+ORACLES["value_origins"] = f"""with {DETAIL}, pages as (select *, sha256('<html><body><h1 class="entry-title">' || p_name || '</h1><span class="ytps">' || year
+      || '</span><div class="entry-content"><img src="/img/' || k || '.jpg"><p>Director: ' || p_brand || '</p><p>Genre: ' || p_type || '</p></div>'
+      || case when framed then '<iframe src="https://stream.example.com/' || k || '"></iframe>' else '' end || '</body></html>') as html_hash from detail),
+    long as (
+      select k, 'main' as extractor, 'title' as field, {clean('p_name')} as value, '/*[1]/text()[1]' as place from detail
+      union all select k, 'main', 'year', year, '/*[2]/text()[1]' from detail
+      union all select k, 'main', 'poster_url', '/img/' || k || '.jpg', '/*[3]/*[1]/@src' from detail
+      union all select k, 'main', 'streaming_link', '//stream.example.com/' || k, '/*[4]/@src' from detail where framed
+      union all select k, 'paragraph', 'director', p_brand, '/*[3]/*[2]/text()[1]' from detail
+      union all select k, 'paragraph', 'genre', p_type, '/*[3]/*[3]/text()[1]' from detail)
+    select k as page_id, extractor, field, value, case extractor when 'main' then 0::bigint end as selector, url as source_url, html_hash,
+      case when place like '%@src' then 'attribute' else 'text' end as reading, '/*[1]/*[1]' || place as path from long join pages using (k)"""
+ORACLES["cell_origins"] = f"""with {TABLE_ROWS}, cells as (
+      select page_id, i, unnest([{{'f': 'title', 'v': title, 'c': 1}}, {{'f': 'year', 'v': year, 'c': 2}}, {{'f': 'genre', 'v': genre, 'c': 3}}], recursive := true)
+      from table_rows)
+    select page_id, 'table' as extractor, f as field, v as value, 'cell' as reading, case page_id % 3 when 0 then '/*[1]/*[2]/*[' || i || ']/*[' || c || ']'
+      when 1 then '/*[1]/*[' || (i + 1) || ']/*[' || c || ']' else '/*[1]/*[2]/*[' || i || ']/*[' || (c + 1) || ']' end as path from cells"""
+ORACLES["values_read_again"] = " union all ".join(
+    f"select page_id, extractor, field, value, value as again from ({ORACLES[name]})" for name in ("value_origins", "cell_origins")
+)
+
 # every value of the nested blocks, in the columns they were rendered from
 NESTED = """
 nested as (

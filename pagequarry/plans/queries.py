@@ -27,6 +27,7 @@ from pagequarry.operators import (
     linkage,
     links,
     maintext,
+    origins,
     snapshots,
     tables,
     titleindex,
@@ -804,6 +805,35 @@ def field_selectors(spark, sf_dir):
     return rows.select("page_id", "field", "value", "selector")
 
 
+def _origins(pages: DataFrame) -> DataFrame:
+    found = origins.main_origins("nodes"), origins.paragraph_origins("nodes"), origins.table_origins("nodes")
+    return origins.field_origins(parse_pages(pages, keep_html=True), *found)
+
+
+@query
+def value_origins(spark, sf_dir):
+    """Main and paragraph fields, with the place of each value on its page."""
+    rows = _origins(rendered.detail_pages(spark, sf_dir))
+    return rows.select("page_id", "extractor", "field", "value", "selector", "source_url", "html_hash", "reading", "path")
+
+
+@query
+def cell_origins(spark, sf_dir):
+    """Table fields, with the place of each cell on its page."""
+    return _origins(rendered.table_pages(spark, sf_dir)).select("page_id", "extractor", "field", "value", "reading", "path")
+
+
+@query
+def values_read_again(spark, sf_dir):
+    """Every value of both kinds of pages, read anew at its path in the stored markup."""
+    found = []
+    for pages_of in (rendered.detail_pages, rendered.table_pages):
+        shown = pages_of(spark, sf_dir)
+        rows = _origins(shown).select("page_id", "extractor", "field", "value", "reading", "path")
+        found.append(origins.values_at(rows, parse_pages(shown)).select("page_id", "extractor", "field", "value", "again"))
+    return found[0].unionByName(found[1])
+
+
 @query
 def enrichment_flags(spark, sf_dir):
     flagged = curate.with_enrichment(rendered.sourced_items(spark, sf_dir))
