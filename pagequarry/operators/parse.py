@@ -292,6 +292,11 @@ def _parse_array(html: pa.Array) -> tuple[pa.Array, pa.Array]:
     return out.to_arrow(), pa.array(errors, pa.string())
 
 
+def nodes_of(html: pa.Array) -> pa.Array:
+    """One node list for each markup string; an empty one for NULL and for a page that cannot be parsed."""
+    return _parse_array(html)[0]
+
+
 def _chunks(batch: pa.RecordBatch, sizes: list[int]) -> Iterator[pa.RecordBatch]:
     start = chars = 0
     for row, size in enumerate(sizes):

@@ -603,6 +603,9 @@ ORACLES["crawl_kpis"] = f"""select k.*, (select median(depth) from (
     select url, min(depth) as depth from ({ORACLES["crawl"]}) where page_type is not null group by 1)) as median_depth
     from ({ORACLES["item_kpis"]}) k"""
 
+ORACLES["tables_in_sql"] = ORACLES["table_items"]
+ORACLES["links_in_sql"] = ORACLES["extracted_links"]
+
 # rendered pages: the markup again for its hash, and each value at its place
 ORACLES["value_origins"] = f"""with {DETAIL}, pages as (select *, sha256('<html><body><h1 class="entry-title">' || p_name || '</h1><span class="ytps">' || year
       || '</span><div class="entry-content"><img src="/img/' || k || '.jpg"><p>Director: ' || p_brand || '</p><p>Genre: ' || p_type || '</p></div>'

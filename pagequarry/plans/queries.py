@@ -34,7 +34,7 @@ from pagequarry.operators import (
     validate,
 )
 from pagequarry.operators.parse import parse_errors, parse_pages
-from pagequarry.plans import jobs
+from pagequarry.plans import jobs, sqlfunctions
 from pagequarry.schema import ITEM_FIELDS, TEXT_TAG
 from pagequarry.session import new_dir
 from pagequarry.sources import pages as stored
@@ -419,6 +419,28 @@ def table_item_counts(spark, sf_dir):
     return rows.groupBy("page_id").agg(F.count("*").alias("n_items"))
 
 
+@query
+def tables_in_sql(spark, sf_dir):
+    """Table rows by a table function in SQL."""
+    sqlfunctions.register_functions(spark)
+    return spark.sql(
+        """select p.page_id, t.values['title'] as title, t.values['year'] as year, t.values['genre'] as genre, t.values['director'] as director
+        from {pages} p, lateral page_parts(p.html, p.url) parts lateral view outer inline(parts.tables) t where t.row_id is not null""",
+        pages=rendered.table_pages(spark, sf_dir),
+    )
+
+
+@query
+def links_in_sql(spark, sf_dir):
+    """Valid links of every stored page by a function in SQL."""
+    sqlfunctions.register_functions(spark)
+    return spark.sql(
+        """select p.url as src_url, l.url, l.is_primary from {pages} p, lateral page_parts(p.html, p.url) parts
+        lateral view outer inline(parts.links) l where l.url is not null""",
+        pages=pages(spark, sf_dir).unionByName(rendered.catalogue_pages(spark, sf_dir)),
+    )
+
+
 @query
 def header_fields(spark, sf_dir):
     """Header to field, with the number of tables that use it."""
