@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions.dom import elements, is_below, is_text, subtree
-from pagequarry.functions.sql import each, each_indexed, keep, let, some, struct
-from pagequarry.functions.text import is_blacklisted, strip
+from pagequarry.functions.sql import each, each_indexed, keep, let, lit, some, struct
+from pagequarry.functions.text import LABEL_SEPARATORS, is_blacklisted, strip
+from pagequarry.labels import labels_for
 from pagequarry.operators.parse import parse_pages
 
 # Fixed values.
@@ -15,6 +18,9 @@ BLOCK_TAGS = ["div", "section", "article"]
 MIN_BLOCK_TEXT = 30
 SNIPPET_CHARS = 1500
 MAX_CANDIDATES = 5
+# signs of a title and of a year
+HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+YEAR = r"(^|[^0-9])(1[89][0-9]{2}|20[0-9]{2})([^0-9]|$)"
 # text of these is not page text
 HIDDEN_TAGS = ["script", "style", "template"]
 # nor is text below these part of a block's own matter
@@ -52,12 +58,40 @@ def block_features(nodes: str) -> str:
     return keep(each(elements(nodes, *BLOCK_TAGS), features), lambda f: f"{f} is not null")
 
 
-def ranked_blocks(nodes: str, max_candidates: int = MAX_CANDIDATES) -> str:
-    """The longest blocks that pass both filters, longest first, document order on ties."""
-    good = keep(
-        block_features(nodes),
-        lambda f: f"length({f}.text) > {MIN_BLOCK_TEXT} and not {is_blacklisted(f'{f}.text')}",
-    )
+def block_evidence(nodes: str, b: str, content_type: str = "movies") -> str:
+    """How many of title, year and director a block shows signs of, 0 to 3.
+
+    A heading with a text, a number that may be a year, and a label of the director (of games, the developer) followed
+    by a separator.
+    """
+    named = labels_for("director", content_type) or labels_for("developer", content_type)
+    labels = "|".join(re.escape(label.lower()) for label in named)
+
+    def titled(part: str, headings: str) -> str:
+        return some(part, lambda n: f"{is_text(n)} and {strip(f'{n}.text')} <> '' and {some(headings, lambda h: is_below(n, h))}")
+
+    def of(part: str) -> str:
+        title = let(elements(part, *HEADING_TAGS), lambda headings: titled(part, headings))
+        # texts of neighbouring elements are kept apart, as numbers and labels would run together
+        text = f"lower({visible_text(part, ' ', HIDDEN_TAGS)})"
+        return let(text, lambda t: f"int({title}) + int({t} rlike {lit(YEAR)}) + int({t} rlike {lit(f'({labels}) *{LABEL_SEPARATORS}')})")
+
+    return let(subtree(nodes, b), of)
+
+
+def ranked_blocks(nodes: str, max_candidates: int = MAX_CANDIDATES, min_evidence: int = 0, content_type: str = "movies") -> str:
+    """The longest blocks that pass both filters, longest first, document order on ties.
+
+    With ``min_evidence``, only blocks with so many of title, year and director are ranked at all.
+    """
+
+    def is_good(f: str) -> str:
+        good = f"length({f}.text) > {MIN_BLOCK_TEXT} and not {is_blacklisted(f'{f}.text')}"
+        if not min_evidence:
+            return good
+        return f"{good} and {let(f'get({nodes}, {f}.id)', lambda b: block_evidence(nodes, b, content_type))} >= {min_evidence}"
+
+    good = keep(block_features(nodes), is_good)
     ranked = each(
         good,
         lambda f: struct(
@@ -71,15 +105,19 @@ def _snippet(html: str, b: str) -> str:
     return f"substring({html}, {b}.src_start + 1, least({b}.src_end - {b}.src_start, {SNIPPET_CHARS}))"
 
 
-def snippets(nodes: str, html: str, max_candidates: int = MAX_CANDIDATES) -> str:
+def snippets(
+    nodes: str, html: str, max_candidates: int = MAX_CANDIDATES, min_evidence: int = 0, content_type: str = "movies"
+) -> str:
     """Source text of the ranked blocks, each cut to its first 1500 characters."""
-    return each(ranked_blocks(nodes, max_candidates), lambda b: _snippet(html, b))
+    return each(ranked_blocks(nodes, max_candidates, min_evidence, content_type), lambda b: _snippet(html, b))
 
 
-def candidate_blocks(parsed: DataFrame, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
+def candidate_blocks(
+    parsed: DataFrame, max_candidates: int = MAX_CANDIDATES, min_evidence: int = 0, content_type: str = "movies"
+) -> DataFrame:
     """``page_id, rank, text_length, snippet``; ``parsed`` must keep its ``html``."""
     found = each_indexed(
-        ranked_blocks("nodes", max_candidates),
+        ranked_blocks("nodes", max_candidates, min_evidence, content_type),
         lambda b, i: struct(rank=f"{i} + 1", text_length=f"-{b}.rank", snippet=_snippet("html", b)),
     )
     return parsed.select("page_id", F.inline(F.expr(found)))

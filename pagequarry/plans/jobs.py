@@ -58,15 +58,18 @@ def process_pages(
     thresholds: Mapping[str, int] = THRESHOLDS,
     mode: str = "as_coded",
     keep: tuple[str, ...] = (),
+    min_evidence: int = 0,
 ) -> DataFrame:
     """Route every page and extract what its type calls for.
 
     ``page_id, url, page_type, links, rejected, next_page, fields, from_block, error``.
     A page that is neither catalogue nor detail is read as a detail page made of
     its best candidate block; without one it stays ``unknown``.  No shuffle.  A page without markup has an
-    error, no type and no fields.  Columns named in ``keep`` go along.
+    error, no type and no fields.  Columns named in ``keep`` go along.  With ``min_evidence``, a block is
+    a candidate only if it shows so many of title, year and director.
     """
     fields = page_fields("nodes", selectors, content_type, clean_urls)
+    block_texts = snippets("nodes", "html", min_evidence=min_evidence, content_type=content_type)
     classed = with_class(parse_pages(pages, keep_html=True), rules, thresholds, mode)
     routed = classed.withColumn("page_type", F.expr("if(error is null, page_type, NULL)")).selectExpr(
         "page_id",
@@ -75,7 +78,7 @@ def process_pages(
         f"if(page_type = 'catalogue', {link_array('nodes', 'url')}, NULL) as all_links",
         f"if(page_type = 'catalogue', {next_page('nodes')}, NULL) as next_page",
         f"if(page_type = 'detail', {fields}, NULL) as fields",
-        f"if(page_type = 'unknown', {snippets('nodes', 'html')}, array()) as snippets",
+        f"if(page_type = 'unknown', {block_texts}, array()) as snippets",
         "error as page_error",
         *keep,
     )

@@ -461,6 +461,19 @@ ORACLES: dict[str, str] = {
     "candidate_blocks": f"""with {CARDS} select k as page_id, rank, text_length,
         '<div class="card"><a href="/card/' || i || '"><img src="/c/' || i || '.jpg"></a><h1 class="title">' || heading
           || '</h1><p>' || words || '</p></div>' as snippet from ranked where rank <= 5""",
+    "evident_blocks": """with cards as (
+        select p_partkey as k, i, case when (p_partkey + i) % 3 <> 0 then p_name || ' ' || i else '' end as heading, repeat('word ', (i + 10)::int) as words,
+          case when (p_partkey + i) % 2 = 0 then (p_size + 1950)::varchar else '' end as year,
+          case when (p_partkey + i) % 5 < 2 then 'Director: ' || p_brand else '' end as director
+        from part, range(1, 7) t(i) where i <= p_partkey % 4 + 3),
+        good as (select *, length(heading) + length(rtrim(words)) + length(year) + length(director) as text_length from cards
+          where (heading <> '')::int + (year <> '')::int + (director <> '')::int >= 2),
+        ranked as (select *, row_number() over (partition by k order by text_length desc, i) as rank from good)
+        select k as page_id, rank, text_length, '<div class="card"><a href="/card/' || i || '"><img src="/c/' || i || '.jpg"></a>'
+          || case when heading <> '' then '<h2>' || heading || '</h2>' else '' end || '<p>' || words
+          || case when year <> '' then '<span>' || year || '</span>' else '' end
+          || case when director <> '' then '<b>' || director || '</b>' else '' end || '</p></div>' as snippet
+        from ranked where rank <= 5""",
     "block_features": f"""with {CARDS} select k as page_id, lower(heading || rtrim(notice || words)) as text from blocks""",
     "best_blocks": f"with {CARDS} select k as page_id, rank, text_length + 1 as score from ranked where rank = 1",
     "extracted_everything": f"""with {DETAIL}, {CATALOGUE}, {CARDS}
@@ -603,6 +616,54 @@ ORACLES["crawl_kpis"] = f"""select k.*, (select median(depth) from (
     select url, min(depth) as depth from ({ORACLES["crawl"]}) where page_type is not null group by 1)) as median_depth
     from ({ORACLES["item_kpis"]}) k"""
 
+FETCHES = f"""
+fetches as (
+  select '{SITE}/movie/' || l_partkey as url, l_shipdate as ts, case when l_returnflag = 'R' then 'HTTP ' || (l_linenumber + 500) end as error from lineitem
+), queue as (
+  select f.url, count(distinct row(ts, error))::bigint as attempts, min(ts) as first_failed, max(ts) as last_failed, arg_max(error, row(ts, error)) as last_error
+  from fetches f left join (select url, max(ts) as well from fetches where error is null group by 1) w using (url)
+  where error is not null and (well is null or ts > well) group by 1
+), timed as (
+  select *, last_failed + to_minutes(least(30 * power(2, least(attempts - 1, 20)), 10080)::bigint) as next_at from queue
+)"""
+ORACLES["retry_table"] = f"""with {FETCHES} select url, attempts, last_error, strftime(first_failed, '%Y-%m-%d %H:%M:%S') as first_failed,
+    strftime(last_failed, '%Y-%m-%d %H:%M:%S') as last_failed, case when attempts < 4 then strftime(next_at, '%Y-%m-%d %H:%M:%S') end as next_at from timed"""
+ORACLES["retries_due"] = f"with {FETCHES} select url from timed where attempts < 5 and next_at <= timestamp '2001-09-06'"
+ORACLES["retry_rates"] = f"""with {FETCHES}, log as (select url, ts, case when count(*) = count(error) then max(error) end as error from fetches group by 1, 2),
+    tries as (select *, lead(ts) over (partition by url order by ts) as next_try from log),
+    urls as (select url, min(ts) filter (error is not null) as failed, max(ts) filter (error is null) as well,
+      sum(epoch(next_try) - epoch(ts)) filter (error is not null) / 60 as delay, count(next_try) filter (error is not null) as n from tries group by 1)
+    select count(*)::bigint as n_failed, avg(coalesce(well > failed, false)::int::double) as recovered_share, sum(delay) / sum(n) as avg_delay_minutes
+    from urls where failed is not null"""
+VALUE_REPORT = f"""{SOURCED}, long as (
+  select 'title' as field, title as v, null as low, null as high from sourced union all select 'year', year, 1800, 1995 from sourced
+  union all select 'director', director, null, null from sourced union all select 'genre', genre, null, null from sourced
+  union all select 'trust', trust::varchar, 0, 8 from sourced
+), report as (
+  select field, count(*)::bigint as n_rows, count(*) filter (v is null)::bigint as n_missing,
+    count(*) filter (v is null)::double / count(*) as missing_share, min(case when low is not null then try_cast(v as bigint) end) as smallest,
+    max(case when low is not null then try_cast(v as bigint) end) as largest,
+    case when max(low) is not null then count(*) filter (v is not null and try_cast(v as bigint) is null)::bigint end as n_not_whole,
+    case when max(low) is not null then count(*) filter (try_cast(v as bigint) not between low and high)::bigint end as n_outside
+  from long group by field
+)"""
+ORACLES["value_ranges"] = f"with {VALUE_REPORT} select * from report"
+ORACLES["quality_alarms"] = f"""with {VALUE_REPORT}
+    select field, 'missing' as reason, missing_share as share from report join (values ('title', 0.01), ('year', 0.5), ('genre', 0.1)) l(field, most) using (field)
+    where missing_share > most
+    union all select field, 'bad', (n_not_whole + n_outside)::double / (n_rows - n_missing) from report where (n_not_whole + n_outside)::double / (n_rows - n_missing) > 0.05"""
+ORACLES["coverage_by_field"] = f"""with {SOURCED}, long as (select 'title' as field, title as v, source_url from sourced union all select 'year', year, source_url from sourced
+    union all select 'director', director, source_url from sourced union all select 'genre', genre, source_url from sourced)
+    select field, count(*)::bigint as n_values, count(source_url)::bigint as n_sourced, count(*)::bigint as n_pages, count(source_url)::double / count(*) as coverage
+    from long where v is not null group by 1"""
+ORACLES["merge_kpis"] = f"""with {SOURCED}, films as (
+      select title_key, year, count(distinct source_url) as n_sources, arg_max(item_id, trust * 1000000000000 - item_id) as t,
+        arg_max(item_id, trust * 1000000000000 - item_id) filter (director is not null) as d,
+        arg_max(item_id, trust * 1000000000000 - item_id) filter (genre is not null) as g from keyed group by 1, 2),
+      shares as (select *, coalesce(d <> t, false) or coalesce(g <> t, false) as merged, 2 + (d is not null)::int + (g is not null)::int as n_fields from films)
+    select count(*)::bigint as n_films, avg(merged::int::double) as merged_entry_rate, avg(n_sources) as avg_sources,
+      avg(n_fields) filter (merged) as avg_fields_per_merged_entry, count(*) filter (d is null or g is null)::bigint as enrichment_backlog from shares"""
+
 ORACLES["tables_in_sql"] = ORACLES["table_items"]
 ORACLES["links_in_sql"] = ORACLES["extracted_links"]
 

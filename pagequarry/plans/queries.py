@@ -23,6 +23,7 @@ from pagequarry.operators import (
     drift,
     fields,
     frontier,
+    health,
     itemstore,
     linkage,
     links,
@@ -469,6 +470,14 @@ def candidate_blocks(spark, sf_dir):
     return found.select("page_id", F.col("rank").cast("long"), F.col("text_length").cast("long"), "snippet")
 
 
+@query
+def evident_blocks(spark, sf_dir):
+    """Candidate blocks that show at least two of title, year and director."""
+    parsed = parse_pages(rendered.film_block_pages(spark, sf_dir), keep_html=True)
+    found = candidates.candidate_blocks(parsed, min_evidence=2)
+    return found.select("page_id", F.col("rank").cast("long"), F.col("text_length").cast("long"), "snippet")
+
+
 @query
 def block_features(spark, sf_dir):
     """Blocks with an image and a link below them, with their text."""
@@ -869,6 +878,30 @@ def retries(spark, sf_dir):
     return curate.retry_queue(errors, max_attempts=12)
 
 
+def _fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a fetch of its part's page, that failed if the item was sent back."""
+    error = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("HTTP "), F.col("l_linenumber") + 500))
+    url = F.concat(F.lit(f"{rendered.SITE}/movie/"), "l_partkey")
+    return read(spark, sf_dir, "lineitem").select(url.alias("url"), F.col("l_shipdate").alias("at"), error.alias("error"))
+
+
+@query
+def retry_table(spark, sf_dir):
+    times = [F.col(c).cast("string").alias(c) for c in ("first_failed", "last_failed", "next_at")]
+    return health.retry_table(_fetches(spark, sf_dir), max_attempts=4).select("url", "attempts", "last_error", *times)
+
+
+@query
+def retries_due(spark, sf_dir):
+    """The URLs that the next crawl starts from again."""
+    return health.due(health.retry_table(_fetches(spark, sf_dir)), "2001-09-06")
+
+
+@query
+def retry_rates(spark, sf_dir):
+    return health.retry_kpis(_fetches(spark, sf_dir))
+
+
 @query
 def capped_domains(spark, sf_dir):
     return curate.at_most_per_domain(pages(spark, sf_dir), limit=5).select("host", "page_id")
@@ -879,6 +912,34 @@ def item_quality(spark, sf_dir):
     return curate.quality_report(rendered.sourced_items(spark, sf_dir))
 
 
+def _value_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.value_report(rendered.sourced_items(spark, sf_dir), 1990, (*curate.FIELDS, "trust"), {"trust": (0, 8)})
+
+
+@query
+def value_ranges(spark, sf_dir):
+    """Missing values, whole numbers and ranges of every field, with years up to five after 1990."""
+    return _value_report(spark, sf_dir)
+
+
+@query
+def quality_alarms(spark, sf_dir):
+    return health.alarms(_value_report(spark, sf_dir), {"title": 0.01, "year": 0.5, "genre": 0.1}, most_bad=0.05)
+
+
+@query
+def coverage_by_field(spark, sf_dir):
+    """Share of each field's values that have a source."""
+    values = F.create_map(*[x for f in curate.FIELDS for x in (F.lit(f), F.col(f))])
+    items = rendered.sourced_items(spark, sf_dir)
+    return health.field_coverage(items.select(F.col("item_id").alias("page_id"), "source_url", F.explode(values).alias("field", "value")))
+
+
+@query
+def merge_kpis(spark, sf_dir):
+    return health.merge_kpis(rendered.sourced_items(spark, sf_dir))
+
+
 @query
 def item_kpis(spark, sf_dir):
     return curate.kpis(rendered.sourced_items(spark, sf_dir))

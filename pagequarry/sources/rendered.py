@@ -112,6 +112,22 @@ def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.select(key.alias("page_id"), _text(SITE, "/blocks/", key).alias("url"), html.alias("html"))
 
 
+def film_block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per part with 3 to 6 cards, some without a heading, some with a year, some with a director."""
+    key = F.col("p_partkey")
+
+    def card(i: Column) -> Column:
+        heading = F.when((key + i) % 3 != 0, _text("<h2>", F.col("p_name"), " ", i, "</h2>")).otherwise("")
+        year = F.when((key + i) % 2 == 0, _text("<span>", F.col("p_size") + 1950, "</span>")).otherwise("")
+        director = F.when((key + i) % 5 < 2, _text("<b>Director: ", F.col("p_brand"), "</b>")).otherwise("")
+        words = F.repeat(F.lit("word "), (i + 10).cast("int"))
+        return _text('<div class="card"><a href="/card/', i, '"><img src="/c/', i, '.jpg"></a>', heading, "<p>", words, year, director, "</p></div>")
+
+    html = _text("<html><body><main>", _repeat(key % 4 + 3, card), "</main></body></html>")
+    parts = read_table(spark, sf_dir, "part")
+    return parts.select(key.alias("page_id"), _text(SITE, "/shelf/", key).alias("url"), html.alias("html"))
+
+
 def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing pages, every fourth without markup."""
     whole = catalogue_pages(spark, sf_dir)
