@@ -616,6 +616,13 @@ ORACLES["crawl_kpis"] = f"""select k.*, (select median(depth) from (
     select url, min(depth) as depth from ({ORACLES["crawl"]}) where page_type is not null group by 1)) as median_depth
     from ({ORACLES["item_kpis"]}) k"""
 
+ORACLES["store_round_trip"] = "select md5(url) as key, max(html) as html from pages where url is not null group by 1 having max(html) is not null"
+ORACLES["store_requests"] = f"""select distinct '{SITE}/movie/' || p_partkey as url, length('<html><body><h1 class="entry-title"></h1><span class="ytps">'
+    || '</span><div class="entry-content"><img src="/img/.jpg"><p>Director: </p><p>Genre: </p></div></body></html>')
+    + length(p_name) + 4 + length(p_partkey::varchar) + length(p_brand) + length(p_type)
+    + case when p_partkey % 2 = 0 then length('<iframe src="https://stream.example.com/"></iframe>') + length(p_partkey::varchar) else 0 end as size
+    from part where p_partkey in (select l_partkey from lineitem)"""
+
 FETCHES = f"""
 fetches as (
   select '{SITE}/movie/' || l_partkey as url, l_shipdate as ts, case when l_returnflag = 'R' then 'HTTP ' || (l_linenumber + 500) end as error from lineitem

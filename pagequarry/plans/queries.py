@@ -39,7 +39,7 @@ from pagequarry.plans import jobs, sqlfunctions
 from pagequarry.schema import ITEM_FIELDS, TEXT_TAG
 from pagequarry.session import new_dir
 from pagequarry.sources import pages as stored
-from pagequarry.sources import blocks, records, rendered, sinks
+from pagequarry.sources import blocks, htmlstore, records, rendered, sinks
 from pagequarry.streaming import arrivals, seen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,23 @@ def snapshot_lookup(spark, sf_dir):
     return stored.stored_pages(_requests(spark, sf_dir), _snapshot(spark, sf_dir)).select("request_url", "key", "page_id")
 
 
+@query
+def store_round_trip(spark, sf_dir):
+    """Every page written to a folder of files and read from it."""
+    path = new_dir(spark, "store")
+    htmlstore.write_store(pages(spark, sf_dir), path)
+    return htmlstore.read_store(spark, path)
+
+
+@query
+def store_requests(spark, sf_dir):
+    """The part of every line item as a request, answered by the file of its page."""
+    path = new_dir(spark, "store")
+    htmlstore.write_store(rendered.detail_pages(spark, sf_dir), path)
+    requests = read(spark, sf_dir, "lineitem").select(F.concat(F.lit(f"{rendered.SITE}/movie/"), "l_partkey").alias("url"))
+    return htmlstore.opened_pages(requests, path).select("url", F.length("html").cast("long").alias("size"))
+
+
 @query
 def missing_snapshots(spark, sf_dir):
     return stored.missing_pages(_requests(spark, sf_dir), _snapshot(spark, sf_dir))
