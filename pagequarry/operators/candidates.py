@@ -11,7 +11,6 @@ from pagequarry.functions.dom import elements, is_below, is_text, subtree
 from pagequarry.functions.sql import each, each_indexed, keep, let, lit, some, struct
 from pagequarry.functions.text import LABEL_SEPARATORS, is_blacklisted, strip
 from pagequarry.labels import labels_for
-from pagequarry.operators.parse import parse_pages
 
 # Fixed values.
 BLOCK_TAGS = ["div", "section", "article"]
@@ -105,13 +104,6 @@ def _snippet(html: str, b: str) -> str:
     return f"substring({html}, {b}.src_start + 1, least({b}.src_end - {b}.src_start, {SNIPPET_CHARS}))"
 
 
-def snippets(
-    nodes: str, html: str, max_candidates: int = MAX_CANDIDATES, min_evidence: int = 0, content_type: str = "movies"
-) -> str:
-    """Source text of the ranked blocks, each cut to its first 1500 characters."""
-    return each(ranked_blocks(nodes, max_candidates, min_evidence, content_type), lambda b: _snippet(html, b))
-
-
 def candidate_blocks(
     parsed: DataFrame, max_candidates: int = MAX_CANDIDATES, min_evidence: int = 0, content_type: str = "movies"
 ) -> DataFrame:
@@ -124,7 +116,7 @@ def candidate_blocks(
 
 
 def block_score(nodes: str) -> str:
-    """Length of a block's own text; 0 for a block that could not be parsed."""
+    """Length of a block's own text."""
     return f"coalesce(length({visible_text(nodes, ' ', SIDE_TAGS)}), 0)"
 
 
@@ -134,7 +126,45 @@ def best_block(blocks: str) -> str:
     return f"-array_max({scored}).rank"
 
 
-def pick_block(pages: DataFrame, snippet_col: str) -> DataFrame:
-    """Parse the snippets of each page and keep the best: its index as ``block_no``, its nodes as ``nodes``."""
-    parsed = parse_pages(pages, html_col=snippet_col).withColumn("block_no", F.expr(best_block("nodes")))
-    return parsed.withColumn("nodes", F.expr("get(nodes, block_no)")).drop("error")
+def block_nodes(nodes: str, b: str) -> str:
+    """The nodes of block ``b`` that begin in its first 1500 characters of source, numbered as a page of their own.
+
+    They are a slice of the page's nodes, so no markup is read again. What goes on beyond the cut ends there; a text
+    keeps as many characters as its source has before it.
+    """
+
+    def renumbered(part: str, n: str, end: str) -> str:
+        is_root = f"{n}.id = {b}.id"
+        return struct(
+            id=f"{n}.id - {b}.id",
+            parent=f"if({is_root}, -1, {n}.parent - {b}.id)",
+            last=f"least({n}.last - {b}.id, size({part}) - 1)",
+            sib=f"if({is_root}, 0, {n}.sib)",
+            tag=f"{n}.tag",
+            attrs=f"{n}.attrs",
+            text=f"if({n}.src_end > {end}, left({n}.text, {end} - {n}.src_start), {n}.text)",
+            src_start=f"{n}.src_start - {b}.src_start",
+            src_end=f"least({n}.src_end, {end}) - {b}.src_start",
+        )
+
+    def cut(end: str) -> str:
+        part = keep(f"slice({nodes}, {b}.id + 1, {b}.last - {b}.id + 1)", lambda n: f"{n}.src_start < {end}")
+        return let(part, lambda kept: each(kept, lambda n: renumbered(kept, n, end)))
+
+    return let(f"least({b}.src_end, {b}.src_start + {SNIPPET_CHARS})", cut)
+
+
+def picked_block(nodes: str, max_candidates: int = MAX_CANDIDATES, min_evidence: int = 0, content_type: str = "movies") -> str:
+    """The best of the ranked blocks, as its index ``block_no`` and its ``nodes``; NULL without one."""
+
+    def pick(blocks: str) -> str:
+        return let(best_block(blocks), lambda i: f"if({i} is null, NULL, {struct(block_no=i, nodes=f'get({blocks}, {i})')})")
+
+    ranked = ranked_blocks(nodes, max_candidates, min_evidence, content_type)
+    return let(each(ranked, lambda r: let(f"get({nodes}, {r}.id)", lambda b: block_nodes(nodes, b))), pick)
+
+
+def pick_block(parsed: DataFrame, max_candidates: int = MAX_CANDIDATES, min_evidence: int = 0, content_type: str = "movies") -> DataFrame:
+    """The best block of each page: its index as ``block_no``, its nodes as ``nodes``; both NULL without one."""
+    found = parsed.withColumn("block", F.expr(picked_block("nodes", max_candidates, min_evidence, content_type)))
+    return found.withColumns({"block_no": F.col("block.block_no"), "nodes": F.col("block.nodes")}).drop("block")

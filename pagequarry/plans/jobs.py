@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions.dom import Selector
-from pagequarry.functions.sql import override
-from pagequarry.operators.candidates import pick_block, snippets
+from pagequarry.functions.sql import let, override
+from pagequarry.operators.candidates import picked_block
 from pagequarry.operators.classify import CATALOGUE_RULES, THRESHOLDS, Rule, with_class
 from pagequarry.operators.fields import FIELD_SELECTORS, main_fields, page_fields, paragraph_fields
 from pagequarry.operators.links import link_array, next_page, rejects, valid_links
@@ -64,35 +64,29 @@ def process_pages(
 
     ``page_id, url, page_type, links, rejected, next_page, fields, from_block, error``.
     A page that is neither catalogue nor detail is read as a detail page made of
-    its best candidate block; without one it stays ``unknown``.  No shuffle.  A page without markup has an
+    its best candidate block; without one it stays ``unknown``.  Each page is parsed once, a block is a slice of its
+    nodes; no shuffle.  A page without markup has an
     error, no type and no fields.  Columns named in ``keep`` go along.  With ``min_evidence``, a block is
     a candidate only if it shows so many of title, year and director.
     """
-    fields = page_fields("nodes", selectors, content_type, clean_urls)
-    block_texts = snippets("nodes", "html", min_evidence=min_evidence, content_type=content_type)
-    classed = with_class(parse_pages(pages, keep_html=True), rules, thresholds, mode)
-    routed = classed.withColumn("page_type", F.expr("if(error is null, page_type, NULL)")).selectExpr(
+    block = picked_block("nodes", min_evidence=min_evidence, content_type=content_type)
+    classed = with_class(parse_pages(pages, keep_html="html" in keep), rules, thresholds, mode)
+    routed = classed.withColumn("page_type", F.expr("if(error is null, page_type, NULL)"))
+    routed = routed.withColumn("block", F.expr(f"if(page_type = 'unknown', {block}, NULL)"))
+    routed = routed.withColumn("all_links", F.expr(f"if(page_type = 'catalogue', {link_array('nodes', 'url')}, NULL)"))
+    # the nodes that fields are read from: of a detail page all, else those of the block
+    source = "if(page_type = 'detail', nodes, block.nodes)"
+    fields = let(source, lambda n: f"if({n} is null, NULL, {page_fields(n, selectors, content_type, clean_urls)})")
+    return routed.selectExpr(
         "page_id",
         "url",
-        "page_type",
-        f"if(page_type = 'catalogue', {link_array('nodes', 'url')}, NULL) as all_links",
-        f"if(page_type = 'catalogue', {next_page('nodes')}, NULL) as next_page",
-        f"if(page_type = 'detail', {fields}, NULL) as fields",
-        f"if(page_type = 'unknown', {block_texts}, array()) as snippets",
-        "error as page_error",
-        *keep,
-    )
-    # only these small columns travel to the second parse, not the page
-    return pick_block(routed, "snippets").selectExpr(
-        "page_id",
-        "url",
-        "if(nodes is null, page_type, 'detail') as page_type",
+        "if(block is null, page_type, 'detail') as page_type",
         f"{valid_links('all_links')} as links",
         f"{rejects('all_links')} as rejected",
-        "next_page",
-        f"if(nodes is null, fields, {fields}) as fields",
-        "nodes is not null as from_block",
-        "page_error as error",
+        f"if(page_type = 'catalogue', {next_page('nodes')}, NULL) as next_page",
+        f"{fields} as fields",
+        "block is not null as from_block",
+        "error",
         *keep,
     )
 

@@ -505,9 +505,7 @@ def block_features(spark, sf_dir):
 
 @query
 def best_blocks(spark, sf_dir):
-    parsed = parse_pages(rendered.block_pages(spark, sf_dir), keep_html=True)
-    cut = parsed.select("page_id", F.expr(candidates.snippets("nodes", "html")).alias("snippets"))
-    best = candidates.pick_block(cut, "snippets")
+    best = candidates.pick_block(parse_pages(rendered.block_pages(spark, sf_dir)))
     return best.select(
         "page_id",
         (F.col("block_no") + 1).cast("long").alias("rank"),

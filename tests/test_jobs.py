@@ -1,9 +1,11 @@
 """Routing, candidates, validation, frontier, streams, sinks."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.operators.candidates import candidate_blocks
+from pagequarry.operators.candidates import candidate_blocks, pick_block
 from pagequarry.operators.frontier import crawl, followed, in_domains, next_batch, unseen
 from pagequarry.operators.classify import with_class
 from pagequarry.operators.parse import node_rows, parse_errors, parse_pages
@@ -81,6 +83,28 @@ def test_process_pages_has_no_shuffle(spark, sf_dir):
     assert "Exchange" not in plan and "CartesianProduct" not in plan
 
 
+def test_pages_are_parsed_once(spark, sf_dir):
+    plan = process_pages(read_pages(spark, f"{sf_dir}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow", plan)) == 1
+
+
+def test_block_nodes_equal_a_parse_of_the_snippet(parsed):
+    """A block cut out of the page's nodes is what its first 1500 characters of source give by themselves."""
+    blocks = [
+        CARD.format("A", "word " * 20),
+        "<article class='k'><nav><a href='/m'>menu</a></nav><img src='i.png'><h2>T &amp; U</h2><p>some words that are long enough</article>",
+        CARD.format("C", "x" * 2000),
+        f"<section><a href='/y'><img src='j'></a><div><p>{'long text ' * 140}</p><p>{'after the cut ' * 40}</p></div></section>",
+    ]
+    pages = [f"<body><ul><li>one<li>two</ul>{b}<footer>end</footer></body>" for b in blocks]
+    whole = parsed(pages, keep_html=True)
+    cut = {r.page_id: r.snippet for r in candidate_blocks(whole, max_candidates=1).collect()}
+    assert len(cut) == len(blocks) and max(map(len, cut.values())) == 1500
+    got = {r.page_id: r.nodes for r in pick_block(whole, max_candidates=1).collect()}
+    want = {r.page_id: r.nodes for r in parsed([cut[i] for i in range(len(blocks))]).collect()}
+    assert got == want
+
+
 def test_missing_markup_is_an_error(spark):
     done = process_pages(spark.createDataFrame([(1, "u", None), (2, "v", "")], PAGES))
     rows = {r["page_id"]: r for r in done.collect()}
