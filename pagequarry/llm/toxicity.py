@@ -1,10 +1,12 @@
 """Toxicity by a small convolutional network over hashed words, trained in numpy.
 
-Words are hashed to embeddings; filters of one, two and three words run over the text; the largest response
-of each filter over the whole text goes into a logistic output. The embeddings start from the log-odds of
-the words, so that few passes are enough. A word table also gives the likeliest language of a text; the
-threshold of the logit is set for each language on the training rows, and the score is the logistic of the
-distance to it.
+Each half of a word's embedding is a row of a table of its own, chosen by a hash of its own, so that two words are
+seldom alike in both. Filters of one, two and three words run over the text; the largest response of each filter over the
+whole text goes into a logistic output. The rows start from the log-odds of the words that share them, brought
+so many standard errors towards zero, so that few passes are enough and words without evidence start at zero. A word table also gives the
+likeliest language of a text; the threshold of the logit is set for each language, and the score is the logistic
+of the distance to it. One fifth of the training texts is kept from the fit: it chooses the number of standard errors
+and sets the thresholds.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pagequarry.llm.common import BASES, as_bytes, bucket_of, slices
 #: Bounds of the fit: texts of each label, and words of a text that may train.
 SAMPLE_ROWS = 3000
 SAMPLE_WORDS = 1200
-BUCKETS = 1 << 31
+#: Rows of each of the two word tables; row 0 is the blank around a text.
+ROWS = 1 << 20
 #: Buckets of the language table.
 COARSE = 1 << 14
 SIZE = 8
@@ -31,8 +34,13 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 EPOCHS = 6
 BATCH = 64
-#: Standard errors from which a word's log-odds count.
-SURE = 2.7
+#: Standard errors taken off the log-odds, to choose from, and the passes of a trial.
+CAUTION = (1.0, 1.5, 2.0, 3.0)
+TRIAL_EPOCHS = 2
+#: Every so-manieth training text is kept from the fit to choose and calibrate with.
+FOLD = 5
+#: Threshold where nothing was learnt: no evidence, no toxicity.
+UNLEARNT = 1.0
 RATE = 0.01
 #: Words run through the filters at a time.
 BLOCK = 1 << 14
@@ -41,28 +49,32 @@ EDGES = b".,!?;:*#&%$|\"'()-<>[]{}"
 
 
 class Hasher:
-    """Words of a text as bucket numbers."""
+    """Words of a text as 63-bit hashes."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
-    def bucket(self, word: bytes) -> int:
+    def hashed(self, word: bytes) -> int:
         if len(self.known) >= MEMORY:
             self.known.clear()
-        found = xxhash.xxh3_64_intdigest(word.strip(EDGES)) % (BUCKETS - 1) + 1  # never 0, so "or" is safe
+        found = xxhash.xxh3_64_intdigest(word.strip(EDGES)) >> 1 | 1  # never 0, so "or" is safe
         self.known[word] = found
         return found
 
     def ids(self, text: bytes | None) -> np.ndarray:
-        known, bucket = self.known.get, self.bucket
+        known, hashed = self.known.get, self.hashed
         words = (text or b"").decode().lower().encode().split()
-        return np.fromiter((known(w) or bucket(w) for w in words), np.int32, len(words))
+        return np.fromiter((known(w) or hashed(w) for w in words), np.int64, len(words))
+
+
+def table_rows(ids: np.ndarray) -> np.ndarray:
+    """Row of each word in the first and in the second table, as two columns."""
+    return np.stack([ids >> 1 & (ROWS - 1), ids >> 32 & (ROWS - 1)], 1) + 1
 
 
 @dataclass
 class Model:
-    buckets: np.ndarray  # sorted buckets that have an embedding
-    embedding: np.ndarray  # one row more: the first is for all other words and the blank around a text
+    tables: np.ndarray  # two tables of ROWS + 1 rows of half an embedding
     filters: list[np.ndarray]  # for each width: width * SIZE x FILTERS
     shifts: list[np.ndarray]
     weights: np.ndarray
@@ -71,12 +83,13 @@ class Model:
     thresholds: np.ndarray
 
     def rows(self, ids: np.ndarray) -> np.ndarray:
-        """Embedding rows of a text's words, with blanks around."""
-        edge = np.zeros(max(WIDTHS) - 1, np.int64)
-        if not len(self.buckets):
-            return np.concatenate([edge, np.zeros(len(ids), np.int64), edge])
-        at = np.minimum(np.searchsorted(self.buckets, ids), len(self.buckets) - 1)
-        return np.concatenate([edge, np.where(self.buckets[at] == ids, at + 1, 0), edge])
+        """Table rows of a text's words, with blanks around."""
+        edge = np.zeros((max(WIDTHS) - 1, 2), np.int64)
+        return np.concatenate([edge, table_rows(ids), edge])
+
+    def words(self, rows: np.ndarray) -> np.ndarray:
+        """Embeddings of words given by their rows."""
+        return np.concatenate([self.tables[k][rows[..., k]] for k in (0, 1)], -1)
 
     def pooled(self, ids: np.ndarray) -> np.ndarray:
         """Largest response of every filter over the whole text."""
@@ -84,7 +97,7 @@ class Model:
         padded = self.rows(ids)
         best = np.zeros(len(WIDTHS) * FILTERS, np.float32)
         for at in range(0, len(padded) - most + 1, BLOCK):
-            words = self.embedding[padded[at : at + BLOCK + most - 1]]
+            words = self.words(padded[at : at + BLOCK + most - 1])
             for k, (width, filt, shift) in enumerate(zip(WIDTHS, self.filters, self.shifts, strict=True)):
                 out = responses(words, width, filt)
                 if len(out):
@@ -95,12 +108,15 @@ class Model:
     def language(self, ids: np.ndarray) -> int:
         total = np.zeros(self.languages.shape[1], np.float64)
         for at in range(0, len(ids), BLOCK):
-            total += self.languages[ids[at : at + BLOCK] % COARSE].sum(0)
+            total += self.languages[ids[at : at + BLOCK] >> 1 & (COARSE - 1)].sum(0)
         return int(total.argmax())
 
+    def logit(self, ids: np.ndarray) -> float:
+        return float(self.pooled(ids) @ self.weights) + self.bias
+
     def score(self, ids: np.ndarray) -> float:
-        logit = float(self.pooled(ids) @ self.weights) + self.bias - self.thresholds[self.language(ids)]
-        return float(1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30))))
+        above = self.logit(ids) - self.thresholds[self.language(ids)]
+        return float(1.0 / (1.0 + np.exp(-np.clip(above, -30, 30))))
 
 
 def responses(words: np.ndarray, width: int, filt: np.ndarray) -> np.ndarray:
@@ -114,33 +130,41 @@ def responses(words: np.ndarray, width: int, filt: np.ndarray) -> np.ndarray:
     return out
 
 
-def start(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -> Model:
-    """A model whose first embedding value is the log-odds of a word."""
+def evidence(texts: list[np.ndarray], labels: np.ndarray, table: int, caution: float) -> np.ndarray:
+    """For each row of a table the log-odds of its words, brought ``caution`` standard errors towards 0."""
+    seen = np.zeros((2, ROWS + 1))
+    for ids, label in zip(texts, labels, strict=True):
+        seen[int(label), np.unique(table_rows(ids)[:, table])] += 1
+    total = np.array([[max(1, int((labels == k).sum()))] for k in (0, 1)])
+    odds = np.log((seen + 0.5) / (total - seen + 0.5))
+    error = np.sqrt((1 / (seen + 0.5) + 1 / (total - seen + 0.5)).sum(0))
+    apart = np.where(seen.sum(0) > 0, odds[1] - odds[0], 0)
+    return np.sign(apart) * np.clip(np.abs(apart) - caution * error, 0, 3)
+
+
+def start(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], caution: float) -> Model:
+    """A model in which the first value of each half of an embedding is the evidence of its row."""
     rng = np.random.default_rng(7)
-    words, where = np.unique(np.concatenate([np.unique(t) for t in texts] or [np.empty(0, np.int32)]), return_inverse=True)
-    owner = np.repeat(labels, [len(np.unique(t)) for t in texts]) if len(texts) else labels
-    seen = [np.bincount(where[owner == k], minlength=len(words)) for k in (0, 1)]
-    texts_of = [max(1, int((labels == k).sum())) for k in (0, 1)]
-    odds = [np.log((s + 0.5) / (n - s + 0.5)) for s, n in zip(seen, texts_of, strict=True)]
-    error = np.sqrt(sum(1 / (s + 0.5) + 1 / (n - s + 0.5) for s, n in zip(seen, texts_of, strict=True)))
-    # words without clear evidence share the blank row, so that long texts gain no score by chance
-    sure = np.abs(odds[1] - odds[0]) / error > SURE
-    buckets = words[sure]
-    embedding = rng.normal(0, 0.05, (len(buckets) + 1, SIZE)).astype(np.float32)
-    embedding[1:, 0] = np.clip((odds[1] - odds[0])[sure], -3, 3)
-    embedding[0] = 0
+    half = SIZE // 2
+    tables = np.zeros((2, ROWS + 1, half), np.float32)
+    for k in (0, 1):
+        clear = evidence(texts, labels, k, caution)
+        told = np.flatnonzero(clear)
+        tables[k, told] = rng.normal(0, 0.05, (len(told), half))
+        tables[k, :, 0] = clear
     filters = [rng.normal(0, 0.1, (w * SIZE, FILTERS)).astype(np.float32) for w in WIDTHS]
     for filt, width in zip(filters, WIDTHS, strict=True):
-        filt[[k * SIZE for k in range(width)], : FILTERS // 2] += 1.0 / width
+        for k in (0, 1):
+            filt[[j * SIZE + k * half for j in range(width)], : FILTERS // 2] += 0.5 / width
     names = sorted({x for x in langs if x})
     table = np.zeros((COARSE, max(1, len(names))), np.float32)
     for ids, lang in zip(texts, langs, strict=True):
         if lang:
-            np.add.at(table[:, names.index(lang)], ids % COARSE, 1)
+            np.add.at(table[:, names.index(lang)], ids >> 1 & (COARSE - 1), 1)
     table = np.log((table + 0.1) / (table.sum(0) + 0.1 * COARSE)).astype(np.float32)
     weights = np.zeros(len(WIDTHS) * FILTERS, np.float32)
     shifts = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-    return Model(buckets, embedding, filters, shifts, weights, 0.0, table, np.zeros(table.shape[1]))
+    return Model(tables, filters, shifts, weights, 0.0, table, np.full(table.shape[1], UNLEARNT))
 
 
 class Adam:
@@ -155,17 +179,57 @@ class Adam:
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -> Model:
-    """Logistic loss, both labels weighing the same; only the places that won a pool get a gradient."""
-    model = start(texts, labels, langs)
+    """A model of all but every fifth text; these choose the caution and set the thresholds.
+
+    When one of the two parts lacks a label, as with few texts, all texts serve for both. Without both labels nothing is
+    learnt.
+    """
     if not len(texts) or labels.min() == labels.max():
-        return model
+        return start(texts, labels, langs, CAUTION[-1])
+    # within each label, so that both parts hold both where they can
+    rank = np.empty(len(texts), np.int64)
+    for label in (0, 1):
+        own = np.flatnonzero(labels == label)
+        rank[own] = np.arange(len(own))
+    apart = rank % FOLD == FOLD - 1
+    if any(len(np.unique(labels[part])) < 2 for part in (apart, ~apart)):
+        inner = outer = np.arange(len(texts))
+    else:
+        inner, outer = np.flatnonzero(~apart), np.flatnonzero(apart)
+
+    def of(part: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list[str | None]]:
+        return [texts[i] for i in part], labels[part], [langs[i] for i in part]
+
+    trials = [(missed(trained(*of(inner), caution, TRIAL_EPOCHS), *of(outer)[:2]), -caution) for caution in CAUTION]
+    model = trained(*of(inner), -min(trials)[1], EPOCHS)  # the most cautious of the best
+    calibrate(model, *of(outer)[:2])
+    return model
+
+
+def missed(model: Model, texts: list[np.ndarray], labels: np.ndarray) -> float:
+    """Loss at the best single threshold."""
+    logits = np.array([model.logit(t) for t in texts])
+    return loss_at(cut(logits, labels), logits, labels)[0]
+
+
+def loss_at(threshold: float, logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Share of each label on the wrong side of a threshold, summed, and its standard error."""
+    wrong = [(logits[labels == 1] <= threshold), (logits[labels == 0] > threshold)]
+    # half a miss is added on each side, as no miss among few does not mean none
+    shares = [(w.sum() + 0.5) / (len(w) + 1) for w in wrong]
+    return float(sum(w.mean() for w in wrong)), float(np.sqrt(sum(p * (1 - p) / len(w) for p, w in zip(shares, wrong, strict=True))))
+
+
+def trained(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], caution: float, epochs: int) -> Model:
+    """Logistic loss, both labels weighing the same; only the places that won a pool get a gradient."""
+    model = start(texts, labels, langs, caution)
     rng = np.random.default_rng(11)
     cost = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     params = [*model.filters, *model.shifts, model.weights]
     steps = [Adam(p) for p in params]
     bias, bias_step = np.zeros(1, np.float32), Adam(np.zeros(1, np.float32))
     rows = [model.rows(t) for t in texts]
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
@@ -173,7 +237,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None])
             moved: list[tuple[np.ndarray, np.ndarray]] = []
             for i in part:
                 ids = rows[i]
-                words = model.embedding[ids]
+                words = model.words(ids)
                 outs = [responses(words, w, f) for w, f in zip(WIDTHS, model.filters, strict=True)]
                 places = [o.argmax(0) for o in outs]
                 raw = np.concatenate([o[p, np.arange(FILTERS)] + s for o, p, s in zip(outs, places, model.shifts, strict=True)])
@@ -190,27 +254,34 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None])
                     window = words[span].reshape(FILTERS, -1)
                     grads[k] += (window * own[:, None]).T
                     spread = (model.filters[k] * own).T.reshape(FILTERS, width, SIZE)
-                    moved.append((ids[span].ravel(), spread.reshape(-1, SIZE)))
+                    moved.append((ids[span].reshape(-1, 2), spread.reshape(-1, SIZE)))
                 bias_step.step(bias, np.array([bias_grad], np.float32), RATE / len(part))
             for step, value, grad in zip(steps, params, grads, strict=True):
                 step.step(value, grad)
             for where, grad in moved:
-                np.add.at(model.embedding, where, -0.05 * grad)
-            model.embedding[0] = 0
+                for k in (0, 1):
+                    np.add.at(model.tables[k], where[:, k], -0.05 * grad[:, k * SIZE // 2 : (k + 1) * SIZE // 2])
+            model.tables[:, 0] = 0
     model.bias = float(bias[0])
-    calibrate(model, texts, labels)
     return model
 
 
 def calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray) -> None:
-    """For each language the threshold with the fewest weighted misses, in the middle of its gap."""
-    logits = np.array([float(model.pooled(t) @ model.weights) + model.bias for t in texts])
+    """The threshold with the fewest weighted misses, in the middle of its gap, for all languages.
+
+    A language for which this one is clearly worse than its own gets its own.
+    """
+    logits = np.array([model.logit(t) for t in texts])
     groups = np.array([model.language(t) for t in texts])
     everywhere = cut(logits, labels)
+    model.thresholds[:] = everywhere
     for k in range(len(model.thresholds)):
-        own = groups == k
-        enough = min((labels[own] == 1).sum(), (labels[own] == 0).sum()) >= 10
-        model.thresholds[k] = cut(logits[own], labels[own]) if enough else everywhere
+        x, y = logits[groups == k], labels[groups == k]
+        if len(np.unique(y)) == 2:
+            own = cut(x, y)
+            loss, error = loss_at(everywhere, x, y)
+            if loss - loss_at(own, x, y)[0] > error:
+                model.thresholds[k] = own
 
 
 def cut(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -293,10 +364,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
     A NULL text counts as empty; an empty text gets the score of no evidence. Texts are scored whole, long
-    ones in overlapping blocks. Without training rows, or with one label only, every score is 0.5 moved
-    by nothing (predicted 1). Repeated rows are scored each for itself; several labels of one document
+    ones in overlapping blocks. Without training rows, or with one label only, every score is below 0.5 (predicted
+    0). Repeated rows are scored each for itself; several labels of one document
     count as the largest; other columns are ignored; an empty table gives no rows. The model is broadcast;
-    its size is bounded by the words of the training rows.
+    its size is that of the two word tables, 32 MB, whatever the data.
     """
     model = learn(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)

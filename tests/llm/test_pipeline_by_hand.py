@@ -15,9 +15,9 @@ STAGES = dict(corpus_pipeline.STAGES)
 
 
 def clear(docs):
-    made = tuple(sorted(langid.learn(docs.where(~langid.held_out(docs["doc_id"]))).items()))
-    by_lang = langid.compressors(made)
-    return [tuple(r) for r in docs.collect() if not langid.classify(r.text, by_lang, langid.MARGIN)[2]]
+    made = langid.learn(docs.where(~langid.held_out(docs["doc_id"])))
+    by_lang = langid.compressors(made.dictionaries, made.level)
+    return [tuple(r) for r in docs.collect() if not langid.classify(r.text, by_lang, made.margin)[2]]
 
 
 def good(rows):
