@@ -29,7 +29,8 @@ def vocabulary(name: str) -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_counts(table(spark, sf_dir, "documents"))
+    """Without the rule that rejected a text, which hangs on measured times."""
+    return quality.quality_counts(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

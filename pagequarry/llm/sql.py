@@ -2,6 +2,41 @@
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op1_quality_rules"] = r"""
+with texts as (
+  select row_number() over () as id, doc_id, coalesce(text, '') as t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) as blanks
+  from documents
+), parts as (
+  select id, doc_id, t,
+    case when trim(t, blanks) = '' then cast([] as varchar[]) else string_split_regex(trim(t, blanks), '[ \t-\r]+') end as words,
+    list_filter(string_split(t, chr(10)), lambda l: trim(l, blanks) <> '') as lines
+  from texts
+), windows as (
+  select id, i, array_to_string(words[i:i + 7], ' ') as phrase
+  from (select id, words, unnest(range(1, len(words) - 6)) as i from parts where len(words) > 8)
+), again as (
+  select id, i from windows qualify count(*) over (partition by id, phrase) > 1
+), covered as (
+  select id, sum(step) as n from (select id, least(8, coalesce(lead(i) over (partition by id order by i) - i, 8)) as step from again) group by id
+), counts as (
+  select doc_id, t, words, lines, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words
+  from parts left join covered using (id)
+), judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+    n_symbols > 0.25 * n_words
+    or word_chars < 2 * n_words or word_chars > 20 * n_words
+    or n_dup_lines > 0.4 * len(lines)
+    or length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]+', '', 'g')) > 0.5 * word_chars
+    or length(t) - length(replace(t, '!', '')) > 0.3 * n_words
+    or length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')) > 0.4 * word_chars
+    or (n_words >= 50 and len(list_distinct(words)) < 0.1 * least(n_words, 1000)) as rejected
+  from counts
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected as kept from judged
+"""
+
 ORACLES["op7_url_filters"] = r"""
 with split as (
   select page_id,
