@@ -25,6 +25,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pages.read_table(spark, sf_dir, name, int(wanted) if wanted else None)
 
 
+def dealt_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows of a table that pages or texts are made from, dealt evenly to all cores.
+
+    A stored row of a few bytes becomes a page of some thousand, so the splits of a table say nothing of the work on its
+    pages: a table in one row group would be rendered, parsed and read by a single task. The narrow rows are shuffled,
+    never the pages. ``PARTITIONS`` sets the number of parts; unset, it is ``spark.sql.shuffle.partitions``, at least two for each core.
+    """
+    if spark.conf.get(PARTITIONS, None):
+        return read_table(spark, sf_dir, name)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return read_table(spark, sf_dir, name).repartition(parts)
+
+
 def _text(*parts: Column | str | int) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
 
@@ -43,7 +56,7 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '</span><div class="entry-content"><img src="/img/', key, '.jpg"><p>Director: ', F.col("p_brand"),
         "</p><p>Genre: ", F.col("p_type"), "</p></div>", frame, "</body></html>",
     )
-    parts = read_table(spark, sf_dir, "part")
+    parts = dealt_rows(spark, sf_dir, "part")
     return parts.select(key.alias("page_id"), _text(SITE, "/movie/", key).alias("url"), html.alias("html"))
 
 
@@ -71,7 +84,7 @@ def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             _text("<table><thead>", head("Random", "Title", "Release Year", "Genre"), "</thead><tbody>", rows, "</tbody></table>")
         )
     )
-    orders = read_table(spark, sf_dir, "orders")
+    orders = dealt_rows(spark, sf_dir, "orders")
     return orders.select(key.alias("page_id"), _text(SITE, "/order/", key).alias("url"), html.alias("html"))
 
 
@@ -87,7 +100,7 @@ def catalogue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 2 == 0, _text('<a class="next page-numbers" href="/list/', key, '?page=2">Next</a>')).otherwise(""),
         '<a href="mailto:desk@example.com">Mail</a></body></html>',
     )
-    customers = read_table(spark, sf_dir, "customer")
+    customers = dealt_rows(spark, sf_dir, "customer")
     return customers.select(key.alias("page_id"), _text(SITE, "/list/", key).alias("url"), html.alias("html"))
 
 
@@ -108,7 +121,7 @@ def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = _text(
         '<html><body><iframe src="/ad"></iframe><main>', _repeat(key % 6 + 3, card), "</main></body></html>"
     )
-    customers = read_table(spark, sf_dir, "customer")
+    customers = dealt_rows(spark, sf_dir, "customer")
     return customers.select(key.alias("page_id"), _text(SITE, "/blocks/", key).alias("url"), html.alias("html"))
 
 
@@ -124,7 +137,7 @@ def film_block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _text('<div class="card"><a href="/card/', i, '"><img src="/c/', i, '.jpg"></a>', heading, "<p>", words, year, director, "</p></div>")
 
     html = _text("<html><body><main>", _repeat(key % 4 + 3, card), "</main></body></html>")
-    parts = read_table(spark, sf_dir, "part")
+    parts = dealt_rows(spark, sf_dir, "part")
     return parts.select(key.alias("page_id"), _text(SITE, "/shelf/", key).alias("url"), html.alias("html"))
 
 
