@@ -379,7 +379,7 @@ def matched_labels(spark, sf_dir):
         F.lit("year release"), F.col("p_name"), F.concat(F.lit("Genre - "), "p_type"), F.concat(F.lit("Actors "), "p_name"),
         F.concat("p_brand", F.lit(" Directd by")), F.concat(F.lit("He was cast away near "), "p_name", F.lit(" for seventeen long years")),
     ]
-    texts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.posexplode(F.array(*shapes)).alias("shape", "text"))
+    texts = rendered.dealt_rows(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.posexplode(F.array(*shapes)).alias("shape", "text"))
     return texts.select("key", F.col("shape").cast("long"), "text", F.expr(match_field("text")).alias("m")).select(
         "key", "shape", "text", "m.field", F.col("m.score").cast("long").alias("score")
     )

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pagequarry.plans.queries import QUERIES
 from pagequarry.sources import rendered
 
 KEYS = 400
@@ -36,3 +37,9 @@ def test_rendering_uses_all_cores(spark, one_split, pages_of):
     assert sum(in_part) == KEYS + 2
     assert len(in_part) >= spark.sparkContext.defaultParallelism
     assert max(in_part) <= 2 * (KEYS + 2) / len(in_part)
+
+
+def test_texts_are_matched_on_all_cores(spark, one_split):
+    matched = QUERIES["matched_labels"](spark, one_split)
+    in_part = [r["count"] for r in matched.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(in_part) == 10 * (KEYS + 2) and len(in_part) >= spark.sparkContext.defaultParallelism
