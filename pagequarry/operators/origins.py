@@ -16,6 +16,7 @@ from pagequarry.functions.sql import each, each_indexed, first, keep, let, lit,
 from pagequarry.functions.text import clean_text, is_paragraph_length, strip
 from pagequarry.labels import field_names
 from pagequarry.operators.fields import FIELD_SELECTORS, PARAGRAPH_MIN_SCORE, URL_FIELDS
+from pagequarry.operators.parse import parse_pages
 from pagequarry.operators.tables import body_rows, header_texts, map_headers
 from pagequarry.schema import ITEM_FIELDS
 
@@ -188,9 +189,12 @@ def _followed(nodes: str, path: str) -> str:
 
 
 def values_at(rows: DataFrame, parsed: DataFrame, clean_urls: bool = True) -> DataFrame:
-    """Adds ``again``: the value read anew at each path in the parsed pages of the same ``page_id``, NULL when it is not there.
+    """Adds ``again``: the value read anew at each path in the pages of the same ``page_id``, NULL when it is not there.
 
-    The paths of a page are brought together, so its nodes are moved once. ``page_id`` names one page.
+    ``parsed`` holds ``nodes``, or else the ``html`` of the pages, which is then parsed behind the join: markup is moved, a
+    fraction of its nodes. The paths of a page are brought together, so that it is moved once. ``page_id`` names one page.
+    Spark cannot know the size of markup and nodes and takes the pages for a small table, so the join is a merge join:
+    no pages are gathered on the driver.
     """
     names = [c for c in rows.columns if c != "page_id"]
     asked = rows.groupBy("page_id").agg(F.collect_list(F.struct(*names)).alias("asked"))
@@ -208,6 +212,9 @@ def values_at(rows: DataFrame, parsed: DataFrame, clean_urls: bool = True) -> Da
 
         return let(_followed("nodes", f"{o}.path"), lambda n: f"if({n} is null, NULL, {let(raw(o, n), cleaned)})")
 
-    both = asked.join(parsed.select("page_id", "nodes"), "page_id", "left")
+    stored = "nodes" if "nodes" in parsed.columns else "html"
+    both = asked.join(parsed.select("page_id", stored).hint("merge"), "page_id", "left")
+    if stored == "html":
+        both = parse_pages(both)
     answers = both.select("page_id", F.explode(F.expr(each("asked", lambda o: struct(o=o, again=read(o))))).alias("a"))
     return answers.select("page_id", "a.o.*", "a.again")

@@ -876,7 +876,7 @@ def values_read_again(spark, sf_dir):
     for pages_of in (rendered.detail_pages, rendered.table_pages):
         shown = pages_of(spark, sf_dir)
         rows = _origins(shown).select("page_id", "extractor", "field", "value", "reading", "path")
-        found.append(origins.values_at(rows, parse_pages(shown)).select("page_id", "extractor", "field", "value", "again"))
+        found.append(origins.values_at(rows, shown).select("page_id", "extractor", "field", "value", "again"))
     return found[0].unionByName(found[1])
 
 

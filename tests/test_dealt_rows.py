@@ -1,8 +1,10 @@
-"""Pages made from a table in one row group are work for all cores."""
+"""Pages made from a table in one row group are work for all cores, and are moved as markup only."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagequarry.operators import origins
+from pagequarry.operators.parse import parse_pages
 from pagequarry.plans.queries import QUERIES
 from pagequarry.sources import rendered
 
@@ -43,3 +45,22 @@ def test_texts_are_matched_on_all_cores(spark, one_split):
     matched = QUERIES["matched_labels"](spark, one_split)
     in_part = [r["count"] for r in matched.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(in_part) == 10 * (KEYS + 2) and len(in_part) >= spark.sparkContext.defaultParallelism
+
+
+def test_values_are_read_again_without_gathering_pages(spark, one_split):
+    shown = rendered.table_pages(spark, one_split).where("page_id <> 7")
+    rows = origins.field_origins(parse_pages(shown, keep_html=True), origins.table_origins("nodes"))
+    for stored in (shown, parse_pages(shown)):
+        again = origins.values_at(rows, stored)
+        plan = again._jdf.queryExecution().toString()
+        assert "Broadcast" not in plan
+        got = again.where("page_id is not null").select("value", "again").collect()
+        assert got and all(r.value == r.again for r in got)
+
+
+def test_values_of_pages_that_are_gone(spark, one_split):
+    shown = rendered.detail_pages(spark, one_split).where("page_id < 4")
+    rows = origins.field_origins(parse_pages(shown, keep_html=True), origins.main_origins("nodes"))
+    left = shown.where("page_id > 0").withColumn("html", F.when(F.col("page_id") > 1, F.col("html")))
+    got = {(r.page_id, r.again is None) for r in origins.values_at(rows, left).collect()}
+    assert got == {(0, True), (1, True), (2, False), (3, False)}
