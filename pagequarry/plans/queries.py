@@ -71,9 +71,9 @@ def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detail, listing and block pages together."""
     return (
-        rendered.detail_pages(spark, sf_dir)
-        .unionByName(rendered.catalogue_pages(spark, sf_dir))
-        .unionByName(rendered.block_pages(spark, sf_dir))
+        rendered.detail_pages(spark, sf_dir, dealt=True)
+        .unionByName(rendered.catalogue_pages(spark, sf_dir, dealt=True))
+        .unionByName(rendered.block_pages(spark, sf_dir, dealt=True))
     )
 
 
@@ -112,7 +112,7 @@ def store_round_trip(spark, sf_dir):
 def store_requests(spark, sf_dir):
     """The part of every line item as a request, answered by the file of its page."""
     path = new_dir(spark, "store")
-    htmlstore.write_store(rendered.detail_pages(spark, sf_dir), path)
+    htmlstore.write_store(rendered.detail_pages(spark, sf_dir, dealt=True), path)
     requests = read(spark, sf_dir, "lineitem").select(F.concat(F.lit(f"{rendered.SITE}/movie/"), "l_partkey").alias("url"))
     return htmlstore.opened_pages(requests, path).select("url", F.length("html").cast("long").alias("size"))
 
@@ -133,20 +133,20 @@ def tag_counts(spark, sf_dir):
 
 @query
 def parse_failures(spark, sf_dir):
-    return parse_errors(parse_pages(rendered.broken_pages(spark, sf_dir)))
+    return parse_errors(parse_pages(rendered.broken_pages(spark, sf_dir, dealt=True)))
 
 
 @query
 def failed_pages(spark, sf_dir):
     """Pages without markup through the whole job: an error, no type, no item."""
-    done = jobs.process_pages(rendered.broken_pages(spark, sf_dir))
+    done = jobs.process_pages(rendered.broken_pages(spark, sf_dir, dealt=True))
     return done.filter("error is not null").select("page_id", "url", "page_type", F.col("fields").isNotNull().alias("has_item"), "error")
 
 
 @query
 def label_table(spark, sf_dir):
     """The label dimension beside the fields found on the pages, so that labels without a hit show too."""
-    found = jobs.extract_all(rendered.detail_pages(spark, sf_dir)).select(F.explode(F.map_keys("fields")).alias("field"))
+    found = jobs.extract_all(rendered.detail_pages(spark, sf_dir, dealt=True)).select(F.explode(F.map_keys("fields")).alias("field"))
     hits = found.groupBy("field").agg(F.count("*").alias("n_pages"))
     fields_ = label_dim(spark).groupBy("field").agg(F.max("threshold").cast("long").alias("threshold"), F.count("*").alias("n_labels"))
     return fields_.join(hits, "field", "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)).cast("long"))
@@ -155,14 +155,14 @@ def label_table(spark, sf_dir):
 @query
 def seed_pages(spark, sf_dir):
     """A caller's start URLs, each with its stored page."""
-    listing = rendered.catalogue_pages(spark, sf_dir)
+    listing = rendered.catalogue_pages(spark, sf_dir, dealt=True)
     start = stored.seeds(spark, [f"{rendered.SITE}/list/{k}" for k in (1, 2, 3)] + [f"{rendered.SITE}/nowhere"])
     return start.join(listing.select("url", "page_id"), "url", "left")
 
 
 @query
 def own_text(spark, sf_dir):
-    parsed = parse_pages(rendered.detail_pages(spark, sf_dir))
+    parsed = parse_pages(rendered.detail_pages(spark, sf_dir, dealt=True))
     found = let(elements("nodes", "p"), lambda ps: own_texts("nodes", ps))
     return parsed.select("page_id", F.posexplode(F.expr(found)).alias("pos", "text"))
 
@@ -177,7 +177,7 @@ def heading_text(spark, sf_dir):
 @query
 def cell_text(spark, sf_dir):
     """Text of every table cell, its stripped parts joined by blanks."""
-    parsed = parse_pages(rendered.table_pages(spark, sf_dir))
+    parsed = parse_pages(rendered.table_pages(spark, sf_dir, dealt=True))
     value = each(elements("nodes", "td"), lambda c: f"array_join({stripped_texts(subtree('nodes', c))}, ' ')")
     return parsed.select("page_id", F.explode(F.expr(value)).alias("cell"))
 
@@ -238,7 +238,7 @@ def blacklisted_texts(spark, sf_dir):
 
 
 def _stat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_pages(pages(spark, sf_dir).unionByName(rendered.catalogue_pages(spark, sf_dir)))
+    return parse_pages(pages(spark, sf_dir).unionByName(rendered.catalogue_pages(spark, sf_dir, dealt=True)))
 
 
 @query
@@ -324,12 +324,12 @@ def rejected_links(spark, sf_dir):
 
 @query
 def next_pages(spark, sf_dir):
-    parsed = parse_pages(rendered.catalogue_pages(spark, sf_dir))
+    parsed = parse_pages(rendered.catalogue_pages(spark, sf_dir, dealt=True))
     return parsed.select("page_id", F.expr(links.next_page("nodes")).alias("next_page"))
 
 
 def _catalogue_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    listing = rendered.catalogue_pages(spark, sf_dir)
+    listing = rendered.catalogue_pages(spark, sf_dir, dealt=True)
     return links.extract_links(parse_pages(listing)), listing.select("page_id", "url")
 
 
@@ -361,7 +361,7 @@ def frontier_order(spark, sf_dir):
 
 @query
 def crawl(spark, sf_dir):
-    graph = frontier.followed(classify.with_class(parse_pages(rendered.catalogue_pages(spark, sf_dir))))
+    graph = frontier.followed(classify.with_class(parse_pages(rendered.catalogue_pages(spark, sf_dir, dealt=True))))
     path = new_dir(spark, "graph")
     graph.write.parquet(path)
     start = stored.seeds(spark, [f"{rendered.SITE}/list/0"])
@@ -394,30 +394,30 @@ def paragraph_fields_prose(spark, sf_dir):
 
 @query
 def main_fields(spark, sf_dir):
-    return fields.extract_main_fields(parse_pages(rendered.detail_pages(spark, sf_dir))).drop("url")
+    return fields.extract_main_fields(parse_pages(rendered.detail_pages(spark, sf_dir, dealt=True))).drop("url")
 
 
 @query
 def main_fields_whole_urls(spark, sf_dir):
-    parsed = parse_pages(rendered.detail_pages(spark, sf_dir))
+    parsed = parse_pages(rendered.detail_pages(spark, sf_dir, dealt=True))
     return fields.extract_main_fields(parsed, clean_urls=False).drop("url")
 
 
 @query
 def paragraph_fields(spark, sf_dir):
-    found = fields.extract_paragraph_fields(parse_pages(rendered.detail_pages(spark, sf_dir)))
+    found = fields.extract_paragraph_fields(parse_pages(rendered.detail_pages(spark, sf_dir, dealt=True)))
     return found.select("page_id", "title", "year", "director", "genre", "duration", "cast")
 
 
 @query
 def paragraph_fields_games(spark, sf_dir):
-    found = fields.extract_paragraph_fields(parse_pages(rendered.detail_pages(spark, sf_dir)), "games")
+    found = fields.extract_paragraph_fields(parse_pages(rendered.detail_pages(spark, sf_dir, dealt=True)), "games")
     return found.select("page_id", "genre", "developer", "platform")
 
 
 @query
 def merged_fields(spark, sf_dir):
-    parsed = parse_pages(rendered.detail_pages(spark, sf_dir))
+    parsed = parse_pages(rendered.detail_pages(spark, sf_dir, dealt=True))
     found = parsed.select("page_id", F.expr(fields.page_fields("nodes")).alias("f"))
     return found.select("page_id", F.explode("f").alias("field", "value"))
 
@@ -427,13 +427,13 @@ def merged_fields(spark, sf_dir):
 
 @query
 def table_items(spark, sf_dir):
-    rows = tables.extract_tables(parse_pages(rendered.table_pages(spark, sf_dir)))
+    rows = tables.extract_tables(parse_pages(rendered.table_pages(spark, sf_dir, dealt=True)))
     return rows.select("page_id", "title", "year", "genre", "director")
 
 
 @query
 def table_item_counts(spark, sf_dir):
-    rows = tables.extract_tables(parse_pages(rendered.table_pages(spark, sf_dir)))
+    rows = tables.extract_tables(parse_pages(rendered.table_pages(spark, sf_dir, dealt=True)))
     return rows.groupBy("page_id").agg(F.count("*").alias("n_items"))
 
 
@@ -444,7 +444,7 @@ def tables_in_sql(spark, sf_dir):
     return spark.sql(
         """select p.page_id, t.values['title'] as title, t.values['year'] as year, t.values['genre'] as genre, t.values['director'] as director
         from {pages} p, lateral page_parts(p.html, p.url) parts lateral view outer inline(parts.tables) t where t.row_id is not null""",
-        pages=rendered.table_pages(spark, sf_dir),
+        pages=rendered.table_pages(spark, sf_dir, dealt=True),
     )
 
 
@@ -455,14 +455,14 @@ def links_in_sql(spark, sf_dir):
     return spark.sql(
         """select p.url as src_url, l.url, l.is_primary from {pages} p, lateral page_parts(p.html, p.url) parts
         lateral view outer inline(parts.links) l where l.url is not null""",
-        pages=pages(spark, sf_dir).unionByName(rendered.catalogue_pages(spark, sf_dir)),
+        pages=pages(spark, sf_dir).unionByName(rendered.catalogue_pages(spark, sf_dir, dealt=True)),
     )
 
 
 @query
 def header_fields(spark, sf_dir):
     """Header to field, with the number of tables that use it."""
-    parsed = parse_pages(rendered.table_pages(spark, sf_dir))
+    parsed = parse_pages(rendered.table_pages(spark, sf_dir, dealt=True))
     headers = each(elements("nodes", "table"), lambda t: let(subtree("nodes", t), lambda p: tables.header_texts("nodes", p)))
     counted = (
         parsed.select(F.explode(F.flatten(F.expr(headers))).alias("header")).groupBy("header").agg(F.count("*").alias("n_tables"))
@@ -473,7 +473,7 @@ def header_fields(spark, sf_dir):
 @query
 def table_rows_per_page(spark, sf_dir):
     """Rows in table bodies, or all rows where there are none."""
-    stats = classify.page_stats(parse_pages(rendered.table_pages(spark, sf_dir)))
+    stats = classify.page_stats(parse_pages(rendered.table_pages(spark, sf_dir, dealt=True)))
     return stats.select("page_id", "tables", "table_rows")
 
 
@@ -482,7 +482,7 @@ def table_rows_per_page(spark, sf_dir):
 
 @query
 def candidate_blocks(spark, sf_dir):
-    parsed = parse_pages(rendered.block_pages(spark, sf_dir), keep_html=True)
+    parsed = parse_pages(rendered.block_pages(spark, sf_dir, dealt=True), keep_html=True)
     found = candidates.candidate_blocks(parsed)
     return found.select("page_id", F.col("rank").cast("long"), F.col("text_length").cast("long"), "snippet")
 
@@ -490,7 +490,7 @@ def candidate_blocks(spark, sf_dir):
 @query
 def evident_blocks(spark, sf_dir):
     """Candidate blocks that show at least two of title, year and director."""
-    parsed = parse_pages(rendered.film_block_pages(spark, sf_dir), keep_html=True)
+    parsed = parse_pages(rendered.film_block_pages(spark, sf_dir, dealt=True), keep_html=True)
     found = candidates.candidate_blocks(parsed, min_evidence=2)
     return found.select("page_id", F.col("rank").cast("long"), F.col("text_length").cast("long"), "snippet")
 
@@ -498,14 +498,14 @@ def evident_blocks(spark, sf_dir):
 @query
 def block_features(spark, sf_dir):
     """Blocks with an image and a link below them, with their text."""
-    parsed = parse_pages(rendered.block_pages(spark, sf_dir))
+    parsed = parse_pages(rendered.block_pages(spark, sf_dir, dealt=True))
     found = each(candidates.block_features("nodes"), lambda f: struct(text=f"{f}.text"))
     return parsed.select("page_id", F.inline(F.expr(found)))
 
 
 @query
 def best_blocks(spark, sf_dir):
-    best = candidates.pick_block(parse_pages(rendered.block_pages(spark, sf_dir)))
+    best = candidates.pick_block(parse_pages(rendered.block_pages(spark, sf_dir, dealt=True)))
     return best.select(
         "page_id",
         (F.col("block_no") + 1).cast("long").alias("rank"),
@@ -515,7 +515,7 @@ def best_blocks(spark, sf_dir):
 
 @query
 def extracted_everything(spark, sf_dir):
-    source = mixed_pages(spark, sf_dir).unionByName(rendered.table_pages(spark, sf_dir))
+    source = mixed_pages(spark, sf_dir).unionByName(rendered.table_pages(spark, sf_dir, dealt=True))
     return jobs.extract_all(source).select(
         "url",
         F.size("links").cast("long").alias("n_links"),
@@ -619,14 +619,14 @@ def written_rejects(spark, sf_dir):
 @query
 def written_errors(spark, sf_dir):
     path = new_dir(spark, "errors")
-    sinks.write_errors(jobs.process_pages(rendered.broken_pages(spark, sf_dir)), path, "r1")
+    sinks.write_errors(jobs.process_pages(rendered.broken_pages(spark, sf_dir, dealt=True)), path, "r1")
     return spark.read.schema("url string, error string, run_ts string").json(path).select("run_ts", "url", "error")
 
 
 @query
 def written_summary(spark, sf_dir):
     path = new_dir(spark, "summary")
-    done = jobs.process_pages(rendered.broken_pages(spark, sf_dir))
+    done = jobs.process_pages(rendered.broken_pages(spark, sf_dir, dealt=True))
     summary = jobs.run_summary(done, "films", "2025-01-01T00:00:00", "2025-01-01T00:00:09", "finished")
     sinks.write_summary(summary, path, "r1")
     back = spark.read.schema("spider_name string, runtime_seconds double, items_scraped long, errors long, run_ts string").json(path)
@@ -838,7 +838,7 @@ def item_links(spark, sf_dir):
 
 @query
 def field_provenance(spark, sf_dir):
-    parsed = parse_pages(rendered.detail_pages(spark, sf_dir), keep_html=True)
+    parsed = parse_pages(rendered.detail_pages(spark, sf_dir, dealt=True), keep_html=True)
     rows = curate.provenance(parsed, fields.main_fields("nodes"))
     return rows.select("page_id", "field", "value", "source_url", F.length("html_hash").cast("long").alias("hash_length"))
 
@@ -846,7 +846,7 @@ def field_provenance(spark, sf_dir):
 @query
 def field_selectors(spark, sf_dir):
     """The selector behind each value."""
-    parsed = parse_pages(rendered.detail_pages(spark, sf_dir), keep_html=True)
+    parsed = parse_pages(rendered.detail_pages(spark, sf_dir, dealt=True), keep_html=True)
     rows = curate.provenance(parsed, fields.main_fields("nodes"), fields.main_selectors("nodes"))
     return rows.select("page_id", "field", "value", "selector")
 
@@ -859,14 +859,14 @@ def _origins(pages: DataFrame) -> DataFrame:
 @query
 def value_origins(spark, sf_dir):
     """Main and paragraph fields, with the place of each value on its page."""
-    rows = _origins(rendered.detail_pages(spark, sf_dir))
+    rows = _origins(rendered.detail_pages(spark, sf_dir, dealt=True))
     return rows.select("page_id", "extractor", "field", "value", "selector", "source_url", "html_hash", "reading", "path")
 
 
 @query
 def cell_origins(spark, sf_dir):
     """Table fields, with the place of each cell on its page."""
-    return _origins(rendered.table_pages(spark, sf_dir)).select("page_id", "extractor", "field", "value", "reading", "path")
+    return _origins(rendered.table_pages(spark, sf_dir, dealt=True)).select("page_id", "extractor", "field", "value", "reading", "path")
 
 
 @query
@@ -874,7 +874,7 @@ def values_read_again(spark, sf_dir):
     """Every value of both kinds of pages, read anew at its path in the stored markup."""
     found = []
     for pages_of in (rendered.detail_pages, rendered.table_pages):
-        shown = pages_of(spark, sf_dir)
+        shown = pages_of(spark, sf_dir, dealt=True)
         rows = _origins(shown).select("page_id", "extractor", "field", "value", "reading", "path")
         found.append(origins.values_at(rows, shown).select("page_id", "extractor", "field", "value", "again"))
     return found[0].unionByName(found[1])
@@ -968,13 +968,13 @@ def crawl_kpis(spark, sf_dir):
 
 @query
 def page_drift(spark, sf_dir):
-    was, now = rendered.detail_page_snapshots(spark, sf_dir)
+    was, now = rendered.detail_page_snapshots(spark, sf_dir, dealt=True)
     return curate.drift(curate.shape_hash(parse_pages(was)), curate.shape_hash(parse_pages(now)))
 
 
 @query
 def page_drift_degree(spark, sf_dir):
-    was, now = rendered.detail_page_snapshots(spark, sf_dir)
+    was, now = rendered.detail_page_snapshots(spark, sf_dir, dealt=True)
     return drift.drift_degree(drift.fingerprints(parse_pages(was)), drift.fingerprints(parse_pages(now)))
 
 

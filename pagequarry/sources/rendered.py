@@ -3,7 +3,8 @@
 They stand in for stored pages of kinds the page table lacks (frames, images,
 tables, blocks): the row behind a page says what its extraction must give.
 Each page comes from one row alone, so rendering is a map and grows with the
-table.
+table. With ``dealt``, the rows go to all cores before they are rendered (see
+``dealt_rows``); without, pages are made where the table's splits lie.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def _repeat(count: Column, one: Callable[[Column], Column]) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), count.cast("int")), one), "")
 
 
-def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detail_pages(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """One detail page per part; a frame on even keys."""
     key = F.col("p_partkey")
     frame = F.when(key % 2 == 0, _text('<iframe src="https://stream.example.com/', key, '"></iframe>')).otherwise("")
@@ -56,11 +57,11 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '</span><div class="entry-content"><img src="/img/', key, '.jpg"><p>Director: ', F.col("p_brand"),
         "</p><p>Genre: ", F.col("p_type"), "</p></div>", frame, "</body></html>",
     )
-    parts = dealt_rows(spark, sf_dir, "part")
+    parts = (dealt_rows if dealt else read_table)(spark, sf_dir, "part")
     return parts.select(key.alias("page_id"), _text(SITE, "/movie/", key).alias("url"), html.alias("html"))
 
 
-def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table_pages(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """One page per order with a table of 2 to 5 rows, in three table shapes."""
     key, year = F.col("o_orderkey"), F.year("o_orderdate")
     shape = key % 3
@@ -84,11 +85,11 @@ def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             _text("<table><thead>", head("Random", "Title", "Release Year", "Genre"), "</thead><tbody>", rows, "</tbody></table>")
         )
     )
-    orders = dealt_rows(spark, sf_dir, "orders")
+    orders = (dealt_rows if dealt else read_table)(spark, sf_dir, "orders")
     return orders.select(key.alias("page_id"), _text(SITE, "/order/", key).alias("url"), html.alias("html"))
 
 
-def catalogue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalogue_pages(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """One listing page per customer: links to pages 3k+1 .. 3k+3, a next link on
     even keys, a frame, many paragraphs, and 1 to 5 table rows."""
     key = F.col("c_custkey")
@@ -100,11 +101,11 @@ def catalogue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 2 == 0, _text('<a class="next page-numbers" href="/list/', key, '?page=2">Next</a>')).otherwise(""),
         '<a href="mailto:desk@example.com">Mail</a></body></html>',
     )
-    customers = dealt_rows(spark, sf_dir, "customer")
+    customers = (dealt_rows if dealt else read_table)(spark, sf_dir, "customer")
     return customers.select(key.alias("page_id"), _text(SITE, "/list/", key).alias("url"), html.alias("html"))
 
 
-def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_pages(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """One page per customer that is neither listing nor detail: 3 to 8 cards,
     some without an image, some with a sign-in text."""
     key = F.col("c_custkey")
@@ -121,11 +122,11 @@ def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = _text(
         '<html><body><iframe src="/ad"></iframe><main>', _repeat(key % 6 + 3, card), "</main></body></html>"
     )
-    customers = dealt_rows(spark, sf_dir, "customer")
+    customers = (dealt_rows if dealt else read_table)(spark, sf_dir, "customer")
     return customers.select(key.alias("page_id"), _text(SITE, "/blocks/", key).alias("url"), html.alias("html"))
 
 
-def film_block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def film_block_pages(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """One page per part with 3 to 6 cards, some without a heading, some with a year, some with a director."""
     key = F.col("p_partkey")
 
@@ -137,13 +138,13 @@ def film_block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _text('<div class="card"><a href="/card/', i, '"><img src="/c/', i, '.jpg"></a>', heading, "<p>", words, year, director, "</p></div>")
 
     html = _text("<html><body><main>", _repeat(key % 4 + 3, card), "</main></body></html>")
-    parts = dealt_rows(spark, sf_dir, "part")
+    parts = (dealt_rows if dealt else read_table)(spark, sf_dir, "part")
     return parts.select(key.alias("page_id"), _text(SITE, "/shelf/", key).alias("url"), html.alias("html"))
 
 
-def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def broken_pages(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """The listing pages, every fourth without markup."""
-    whole = catalogue_pages(spark, sf_dir)
+    whole = catalogue_pages(spark, sf_dir, dealt)
     return whole.withColumn("html", F.when(F.col("page_id") % 4 != 0, F.col("html")))
 
 
@@ -305,9 +306,9 @@ def framed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(key.alias("page_id"), _text(SITE, "/framed/", key).alias("url"), html.alias("html"))
 
 
-def detail_page_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def detail_page_snapshots(spark: SparkSession, sf_dir: str, dealt: bool = False) -> tuple[DataFrame, DataFrame]:
     """The detail pages at two times: some gone, some new, some with more or other markup."""
-    pages = detail_pages(spark, sf_dir)
+    pages = detail_pages(spark, sf_dir, dealt)
     parts = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), "p_size")
     both = pages.join(parts, "page_id")
     size, html = F.col("p_size"), F.col("html")

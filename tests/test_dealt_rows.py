@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagequarry.operators import origins
 from pagequarry.operators.parse import parse_pages
 from pagequarry.plans.queries import QUERIES
+from pagequarry.schema import PAGES
 from pagequarry.sources import rendered
 
 KEYS = 400
@@ -34,13 +35,19 @@ def one_split(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("pages_of", ["detail_pages", "table_pages", "catalogue_pages", "block_pages", "film_block_pages"])
 def test_rendering_uses_all_cores(spark, one_split, pages_of):
-    pages = getattr(rendered, pages_of)(spark, one_split)
+    pages = getattr(rendered, pages_of)(spark, one_split, dealt=True)
     in_part = [r["count"] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(in_part) == KEYS + 2
     assert len(in_part) >= spark.sparkContext.defaultParallelism
     assert max(in_part) <= 2 * (KEYS + 2) / len(in_part)
 
 
+@pytest.mark.parametrize("name", ["detail_like_pages", "next_pages", "classify_as_coded", "table_rows_per_page", "page_stats"])
+def test_queries_use_all_cores(spark, one_split, name):
+    spark.createDataFrame([], PAGES).write.mode("overwrite").parquet(f"{one_split}/pages.parquet")
+    assert QUERIES[name](spark, one_split).select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
 def test_texts_are_matched_on_all_cores(spark, one_split):
     matched = QUERIES["matched_labels"](spark, one_split)
     in_part = [r["count"] for r in matched.groupBy(F.spark_partition_id()).count().collect()]
