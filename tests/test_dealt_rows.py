@@ -48,6 +48,13 @@ def test_queries_use_all_cores(spark, one_split, name):
     assert QUERIES[name](spark, one_split).select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
 
 
+def test_elements_are_counted_once_for_the_rules(spark, one_split):
+    spark.createDataFrame([], PAGES).write.mode("overwrite").parquet(f"{one_split}/pages.parquet")
+    rules = QUERIES["page_rules"](spark, one_split)
+    assert "Filter" not in rules._jdf.queryExecution().optimizedPlan().toString()
+    assert rules.count() == 4 * (KEYS + 2)
+
+
 def test_texts_are_matched_on_all_cores(spark, one_split):
     matched = QUERIES["matched_labels"](spark, one_split)
     in_part = [r["count"] for r in matched.groupBy(F.spark_partition_id()).count().collect()]
