@@ -26,7 +26,9 @@ def attr(n: str, name: str) -> str:
 
 
 def has_class(n: str, name: str) -> str:
-    return rf"coalesce(array_contains(split({attr(n, 'class')}, r'\s+'), {lit(name)}), false)"
+    """Whether a node has a class; only an attribute that holds its name somewhere is split."""
+    value, wanted = attr(n, "class"), lit(name)
+    return rf"coalesce(contains({value}, {wanted}) and array_contains(split({value}, r'\s+'), {wanted}), false)"
 
 
 def is_below(n: str, c: str) -> str:

@@ -8,6 +8,9 @@ from pagequarry.functions.text import strip
 # RFC 3986, appendix B: groups 2 scheme, 4 authority, 5 path, 7 query
 PARTS = r"(?s)^(([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?"
 
+# A web address whose path is more than ``/`` and ``;`` parameters, by its beginning.
+PLAIN_PAGE = r"^https?://[^/?#]+/[^/;?#\s\x85\u2028\u2029]"
+
 # The reasons a link is turned down for.
 NON_STRING = "Non-string input"
 EMPTY = "Empty or None"
@@ -34,7 +37,7 @@ def drop_fragment(u: str) -> str:
 
 
 def remove_dots(path: str) -> str:
-    """Apply ``.`` and ``..`` segments."""
+    """Apply ``.`` and ``..`` segments; a path without a dot stays as it is."""
 
     def walk(segments: str) -> str:
         done = (
@@ -44,7 +47,11 @@ def remove_dots(path: str) -> str:
         )
         return f"concat(array_join({done}, '/'), if(element_at({segments}, -1) in ('.', '..'), '/', ''))"
 
-    return let(f"split({path}, '/')", walk)
+    def applied(p: str) -> str:
+        segments = f"split({p}, '/')"
+        return f"if(contains({p}, '.'), {let(segments, walk)}, {p})"
+
+    return let(path, applied)
 
 
 def _merge(base_path: str, path: str) -> str:
@@ -66,9 +73,17 @@ def resolve(base: str, raw: str, base_parts: str | None = None) -> str:
     """
     ref = rf"regexp_replace({strip(raw)}, r'[\t\r\n]', '')"
 
+    def dotless(path: str) -> str:
+        return let(remove_dots(path), lambda p: f"if({p} = '', '/', {p})")
+
+    def rooted(text: str, b: str) -> str:
+        """A reference that is a path from the root and nothing else needs not be taken apart."""
+        is_path = f"startswith({text}, '/') and not startswith({text}, '//') and not contains({text}, '?') and not contains({text}, '#')"
+        return f"when {is_path} then {_absolute(f'{b}.scheme', f'{b}.host', dotless(text), chr(39) * 2)}"
+
     def join(r: str, b: str, text: str) -> str:
         path = f"if(startswith({r}.path, '/'), {r}.path, {_merge(f'{b}.path', f'{r}.path')})"
-        dotted = let(remove_dots(path), lambda p: f"if({p} = '', '/', {p})")
+        dotted = dotless(path)
         # dropping a fragment also folds the case of the scheme
         foreign = (
             f"if(contains({text}, '#'), concat({r}.scheme, substring({drop_fragment(text)}, length({r}.scheme) + 1)), {text})"
@@ -83,7 +98,10 @@ def resolve(base: str, raw: str, base_parts: str | None = None) -> str:
         )
 
     def against(b: str) -> str:
-        return let(ref, lambda text: let(url_parts(text), lambda r: join(r, b, text)))
+        def parted(text: str) -> str:
+            return let(url_parts(text), lambda r: join(r, b, text))
+
+        return let(ref, lambda text: f"case {rooted(text, b)} else {parted(text)} end")
 
     return let(url_parts(base), against) if base_parts is None else against(base_parts)
 
@@ -94,13 +112,19 @@ def reject_reason(url: str) -> str:
     def check(u: str, p: str) -> str:
         web = f"({p}.scheme in ('http', 'https') and {p}.host <> '')"
         return (
-            f"case when lower({u}) in ('', 'none', 'void(0)') or endswith(lower({u}), '/none') then {lit(EMPTY)} "
-            f"when startswith({u}, '#') or ({web} and {p}.path rlike '^/?(;[^/]*)?$') then {lit(BASE_OR_FRAGMENT)} "
+            f"case when startswith({u}, '#') or ({web} and {p}.path rlike '^/?(;[^/]*)?$') then {lit(BASE_OR_FRAGMENT)} "
             f"when lower({u}) rlike '^(javascript|mailto|tel):' then {lit(NON_CRAWLABLE)} "
             f"when {web} then NULL "
             rf"when {p}.scheme = '' and {p}.path rlike r'^(/|\./|\.\./)' then NULL "
             f"else {lit(MALFORMED)} end"
         )
 
-    checked = let(strip(url), lambda u: let(url_parts(u), lambda p: check(u, p)))
+    def first_look(u: str) -> str:
+        """An ordinary page is valid at a glance; the others are taken apart."""
+        return (
+            f"case when lower({u}) in ('', 'none', 'void(0)') or endswith(lower({u}), '/none') then {lit(EMPTY)} "
+            f"when {u} rlike r'{PLAIN_PAGE}' then NULL else {let(url_parts(u), lambda p: check(u, p))} end"
+        )
+
+    checked = let(strip(url), first_look)
     return f"case when {url} is null then {lit(NON_STRING)} else {checked} end"
