@@ -64,6 +64,17 @@ class _Label:
     tokens: str
     unspaced: bool
 
+    @property
+    def shortest(self) -> int:
+        """Least length of a text near the label: ``100 * (label - len) <= (101 - threshold) * label`` solved for len."""
+        return max(0, -((1 - self.threshold) * len(self.normal) // 100))
+
+    @property
+    def longest(self) -> int:
+        """Greatest length of a text near the label: ``100 * (len - label) <= (101 - threshold) * len`` solved for len; with
+        a threshold of 1 or less any length is near."""
+        return 2**31 - 1 if self.threshold <= 1 else 100 * len(self.normal) // (self.threshold - 1)
+
     @property
     def needle(self) -> str:
         """What a text with a blank at both ends must contain to contain the label."""
@@ -83,24 +94,33 @@ def _labels(patterns: Patterns) -> list[_Label]:
 
 
 def _score(t: str, e: str) -> str:
-    """0-100 likeness of a text to a label; 0 where it cannot reach the label's threshold.
+    """0-100 likeness of a text to a label that it may be like (see ``_may_be_like``).
 
-    The edit distance is never below the difference in length, so labels that
-    differ too much in length are only looked for inside the text.
+    Where neither the text nor the label has its words in another order than the sorted one, the second edit distance would
+    be the first again, at a lower weight.
     """
     longest = f"greatest({t}.len, {e}.len)"
-    near = f"100 * abs({t}.len - {e}.len) <= (101 - {e}.threshold) * {longest}"
 
     def ratio(a: str, b: str) -> str:
         return f"100d * (1d - levenshtein({a}, {b}) / {longest})"
 
-    edit = (
-        f"greatest({ratio(f'{t}.normal', f'{e}.normal')}, "
-        f"{TOKEN_ORDER_WEIGHT}d * ({ratio(f'{t}.tokens', f'{e}.tokens')}))"
-    )
+    whole = ratio(f"{t}.normal", f"{e}.normal")
+    reordered = f"if({t}.normal = {t}.tokens and {e}.normal = {e}.tokens, 0d, {TOKEN_ORDER_WEIGHT}d * ({ratio(f'{t}.tokens', f'{e}.tokens')}))"
+    edit = f"greatest({whole}, {reordered})"
     inside = f"if({t}.len <= {PROSE_RATIO} * {e}.len, {CONTAINED_SCORE}d, {PROSE_SCORE}d)"
     contained = f"if(contains({t}.padded, {e}.needle), {inside}, 0d)"
-    return f"cast(round(greatest(if({near}, {edit}, 0d), {contained})) as int)"
+    return f"cast(round(greatest(if({_is_near(t, e)}, {edit}, 0d), {contained})) as int)"
+
+
+def _is_near(t: str, e: str) -> str:
+    """Whether a text is neither too short nor too long to reach the label's threshold by edit distance, which is never
+    below the difference in length."""
+    return f"{t}.len between {e}.shortest and {e}.longest"
+
+
+def _may_be_like(t: str, e: str) -> str:
+    """Whether a label need be scored at all: any other has score 0."""
+    return f"({_is_near(t, e)} or contains({t}.padded, {e}.needle))"
 
 
 def match_patterns(text: str, patterns: Patterns) -> str:
@@ -122,19 +142,19 @@ def match_patterns(text: str, patterns: Patterns) -> str:
             normal=lit(x.normal),
             tokens=lit(x.tokens),
             len=lit(len(x.normal)),
+            shortest=lit(x.shortest),
+            longest=lit(x.longest),
             needle=lit(x.needle),
         )
         for x in labels
     )
-    # A text can be near a label while 100 * (len - label) <= (101 - threshold) * len, which solved for len is the
-    # bound here; with a threshold of 1 or less any length is near. A longer text scores only by containing one.
-    unbounded = any(x.threshold <= 1 for x in labels)
-    longest_near = 2**31 - 1 if unbounded else max(100 * len(x.normal) // (x.threshold - 1) for x in labels)
+    # a longer text scores only by containing a label
+    longest_near = max(x.longest for x in labels)
     contained = "|".join(re.escape(x.needle).replace("\\ ", " ") for x in labels)
 
     def best(t: str) -> str:
         scored = each(
-            f"array({array})",
+            keep(f"array({array})", lambda e: _may_be_like(t, e)),
             lambda e: struct(score=_score(t, e), rank=f"-{e}.field_order", field=f"{e}.field", threshold=f"{e}.threshold"),
         )
         hit = f"array_max({keep(scored, lambda s: f'{s}.score >= {s}.threshold')})"

@@ -71,7 +71,8 @@ def paragraph_fields(nodes: str, content_type: str = "movies") -> str:
         fields = f"array({lits(field_names(content_type))})"
         return without_nulls(f"map_from_arrays({fields}, {each(fields, value)})")
 
-    return let(let(paragraph_texts(nodes), matched), first_of_each)
+    # a paragraph of plain text is there as its own text and as a whole; the first of equal texts is the one that counts
+    return let(let(f"array_distinct({paragraph_texts(nodes)})", matched), first_of_each)
 
 
 def page_fields(
