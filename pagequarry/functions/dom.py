@@ -46,16 +46,25 @@ def subtree(nodes: str, n: str) -> str:
 
 
 def texts(nodes: str) -> str:
-    return each(keep(nodes, is_text), lambda n: f"{n}.text")
+    # elements have none
+    return keep(f"{nodes}.text", lambda t: f"{t} is not null")
 
 
-def own_texts(nodes: str, parents: str) -> str:
-    """Text nodes directly inside any of ``parents``, in document order."""
+def own_text_nodes(nodes: str, parents: str) -> str:
+    """Text nodes directly inside any of ``parents``, in document order.
+
+    They lie between the first parent and the last end of one, so no other nodes are looked at.
+    """
 
-    def of(ids: str) -> str:
-        return each(keep(nodes, lambda n: f"{is_text(n)} and array_contains({ids}, {n}.parent)"), lambda n: f"{n}.text")
+    def of(ps: str) -> str:
+        span = f"if(size({ps}) = 0, slice({nodes}, 1, 0), slice({nodes}, array_min({ps}.id) + 2, array_max({ps}.last) - array_min({ps}.id)))"
+        return let(f"{ps}.id", lambda ids: keep(span, lambda n: f"{is_text(n)} and array_contains({ids}, {n}.parent)"))
 
-    return let(each(parents, lambda p: f"{p}.id"), of)
+    return let(parents, of)
+
+
+def own_texts(nodes: str, parents: str) -> str:
+    return each(own_text_nodes(nodes, parents), lambda n: f"{n}.text")
 
 
 def string_value(nodes: str, n: str) -> str:
@@ -65,7 +74,13 @@ def string_value(nodes: str, n: str) -> str:
 
 def stripped_texts(nodes: str) -> str:
     """Text nodes stripped, blank ones left out."""
-    return keep(each(texts(nodes), strip), lambda t: f"{t} <> ''")
+    return keep(each(f"{nodes}.text", strip), lambda t: f"{t} <> ''")
+
+
+def cell_text(nodes: str, c: str) -> str:
+    """Stripped texts below a table cell with a blank between them; a cell that holds one node needs no search."""
+    alone = f"coalesce({strip(f'get({nodes}, {c}.id + 1).text')}, '')"
+    return f"if({c}.last = {c}.id + 1, {alone}, array_join({stripped_texts(subtree(nodes, c))}, ' '))"
 
 
 def unless_blank(x: str) -> str:
@@ -96,9 +111,13 @@ class Selector:
 
     def matches(self, nodes: str) -> str:
         found = keep(nodes, self._ok)
-        return below(found, self.inside.matches(nodes)) if self.inside else found
+        return let(found, lambda f: f"if(size({f}) = 0, {f}, {below(f, self.inside.matches(nodes))})") if self.inside else found
 
     def first_result(self, nodes: str, found: str) -> str:
+        """NULL for a selector that matched nothing, before any text is looked for."""
+        return f"if(size({found}) = 0, NULL, {self._first_result(nodes, found)})"
+
+    def _first_result(self, nodes: str, found: str) -> str:
         if self.take == "text":
             return first(own_texts(nodes, found))
         if self.take == "deep":
@@ -106,17 +125,34 @@ class Selector:
         return first(keep(each(found, lambda n: attr(n, self.take)), lambda v: f"{v} is not null"))
 
 
-def select_value(nodes: str, selectors: list[Selector]) -> str:
+def touched(nodes: str, selectors: list[Selector]) -> str:
+    """The few nodes that selectors need to find their matches: the matches among these are those among all."""
+    steps = []
+    for s in selectors:
+        while s is not None:
+            steps.append(s)
+            s = s.inside
+    tags = dict.fromkeys(s.tag for s in steps if s.tag)
+
+    def test(n: str) -> str:
+        by_tag = [f"{n}.tag in ({lits(tags)})"] if tags else []
+        return " or ".join(by_tag + [f"({s._ok(n)})" for s in steps if not s.tag]) or "false"
+
+    return keep(nodes, test)
+
+
+def select_value(nodes: str, selectors: list[Selector], among: str | None = None) -> str:
     """Value of a field by selector priority, before cleaning; NULL when blank everywhere.
 
     First round: the first result of each selector in turn.  Second round: the
-    whole text of the first element of each selector in turn.
+    whole text of the first element of each selector in turn.  ``among`` holds the nodes that the
+    selectors touch, if the caller has them.
     """
     if not selectors:
         return "cast(NULL as string)"
 
     return let(
-        f"array({', '.join(s.matches(nodes) for s in selectors)})",
+        f"array({', '.join(s.matches(among or nodes) for s in selectors)})",
         lambda m: f"coalesce({', '.join(unless_blank(v) for v in _tried(nodes, selectors, m))})",
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.dom import Selector, own_texts, select_number, select_value, string_value
+from pagequarry.functions.dom import Selector, own_texts, select_number, select_value, string_value, touched
 from pagequarry.functions.labels import match_field
 from pagequarry.functions.sql import each, first, keep, let, lits, override, sparse_map, struct, without_nulls
 from pagequarry.functions.text import clean_text, is_paragraph_length, strip
@@ -30,12 +30,13 @@ def main_fields(nodes: str, selectors: dict[str, list[Selector]] = FIELD_SELECTO
     all; ``False`` keeps them whole.
     """
 
-    def value(field: str, chain: list[Selector]) -> str:
-        found = select_value(nodes, chain)
+    def value(field: str, chain: list[Selector], among: str) -> str:
+        found = select_value(nodes, chain, among)
         keep_whole = field in URL_FIELDS and not clean_urls
         return f"nullif({strip(found) if keep_whole else clean_text(found)}, '')"
 
-    return sparse_map({f: value(f, chain) for f, chain in selectors.items()})
+    chains = [s for chain in selectors.values() for s in chain]
+    return let(touched(nodes, chains), lambda among: sparse_map({f: value(f, chain, among) for f, chain in selectors.items()}))
 
 
 def main_selectors(nodes: str, selectors: dict[str, list[Selector]] = FIELD_SELECTORS) -> str:

@@ -52,7 +52,12 @@ def link_array(nodes: str, url: str) -> str:
         )
 
     distinct = _once(let(elements(nodes, "a", "div", "article"), hrefs), "raw")
-    return let(url_parts(url), lambda base: each(distinct, lambda h: checked(h, base)))
+
+    def check_all(hs: str) -> str:
+        # the page's own URL is taken apart only for a link
+        return let(f"if(size({hs}) = 0, NULL, {url_parts(url)})", lambda base: each(hs, lambda h: checked(h, base)))
+
+    return let(distinct, check_all)
 
 
 def valid_links(links: str) -> str:

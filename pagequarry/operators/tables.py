@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.dom import below, elements, own_texts, string_value, stripped_texts, subtree
+from pagequarry.functions.dom import below, cell_text, elements, own_texts, string_value, subtree
 from pagequarry.functions.labels import match_field
 from pagequarry.functions.sql import each, each_indexed, keep, last, let, lits, struct
 from pagequarry.functions.text import strip
 from pagequarry.schema import ITEM_FIELDS
 
 
+def skeleton(nodes: str, table: str) -> str:
+    """The descendants of a table that headers and rows are found by."""
+    return elements(subtree(nodes, table), "th", "td", "tr", "thead", "tbody")
+
+
 def header_texts(nodes: str, part: str, align: str = "text") -> str:
-    """Headers of a table; ``part`` holds its descendants.
+    """Headers of a table; ``part`` holds its descendants, or those of them that are cells, rows and parts of tables.
 
     Cells of ``thead``, else cells of a first row.  ``align='text'`` gives one
     header per text node, so an empty header cell shifts the columns after it;
@@ -23,7 +28,7 @@ def header_texts(nodes: str, part: str, align: str = "text") -> str:
     def of(cells: str) -> str:
         if align == "cell":
             return each(cells, lambda c: strip(string_value(nodes, c)))
-        return each(own_texts(part, cells), strip)
+        return each(own_texts(nodes, cells), strip)
 
     def pick(cells: str) -> str:
         first_rows = keep(part, lambda n: f"{n}.tag = 'tr' and {n}.sib = 0")
@@ -55,7 +60,7 @@ def table_items(nodes: str, content_type: str = "movies", align: str = "text") -
     """``array<struct<table_id, row_id, values map>>`` over all tables of a page, nested ones included."""
     def row_values(row: str, fields: str) -> str:
         texts = each(
-            elements(subtree(nodes, row), "td"), lambda c: f"array_join({stripped_texts(subtree(nodes, c))}, ' ')"
+            elements(subtree(nodes, row), "td"), lambda c: cell_text(nodes, c)
         )
         # a cell past the headers gets no field; a blank one is skipped
         cells = each_indexed(texts, lambda t, i: struct(field=f"get({fields}, {i})", value=t))
@@ -64,7 +69,8 @@ def table_items(nodes: str, content_type: str = "movies", align: str = "text") -
     def as_map(entries: str) -> str:
         def values(keys: str) -> str:
             chosen = each(keys, lambda f: f"{last(keep(entries, lambda e: f'{e}.field = {f}'))}.value")
-            return f"map_from_arrays({keys}, {chosen})"
+            # with a field to each cell there is nothing to choose
+            return f"map_from_arrays({keys}, if(size({keys}) = size({entries}), {entries}.value, {chosen}))"
 
         return let(f"array_distinct({entries}.field)", values)
 
@@ -79,7 +85,7 @@ def table_items(nodes: str, content_type: str = "movies", align: str = "text") -
 
     def one_table(table: str) -> str:
         return let(
-            subtree(nodes, table),
+            skeleton(nodes, table),
             lambda part: let(
                 map_headers(header_texts(nodes, part, align), content_type),
                 lambda fields: f"if(size({fields}) > 0, {rows_of(table, part, fields)}, NULL)",
