@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import dom
 from pagequarry.functions.dom import Selector, own_texts, select_value, touched
 from pagequarry.functions.sql import let
-from pagequarry.operators import fields, links, tables
+from pagequarry.operators import fields, links, origins, tables
 
 DETAIL = (
     '<h1 class="entry-title"> </h1><h1 class="title">a<b>whole</b></h1><i class="ytps">1951</i><p>out</p>'
@@ -56,3 +56,25 @@ def test_the_page_url_is_taken_apart_only_for_a_link(parsed, monkeypatch):
 
 
 dom_parts = links.url_parts
+
+
+def test_paths_go_up_once_for_each_parent(parsed, monkeypatch):
+    walks = []
+    monkeypatch.setattr(origins, "element_path", lambda nodes, n: walks.append(n) or f"if({n} is null, '', concat('@', {n}.id))")
+    rows = origins.field_origins(parsed([CELLS], True), origins.table_origins("nodes")).collect()
+    assert len(walks) == 1 and len(rows) == 5
+    assert len({r.path.split("/")[0] for r in rows}) == 3 and all(r.path.startswith(f"@{r.row_id}/*[") for r in rows)
+
+
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 63, 64, 65, 90])
+def test_paths_of_any_depth(parsed, depth):
+    page = "t<i></i>" + "<div>" * depth + '<h1 class="title">deep</h1>'
+    row = origins.field_origins(parsed([page], True), origins.main_origins("nodes")).first()
+    assert row.path == "/*[2]" + "/*[1]" * depth + "/text()[1]"
+
+
+def test_equal_paragraph_texts_are_matched_once(parsed):
+    page = parsed([DETAIL], True)
+    rows = origins.field_origins(page, origins.paragraph_origins("nodes")).collect()
+    assert {(r.field, r.value, r.reading) for r in rows} == {("director", "A", "text"), ("genre", "x", "whole")}
+    assert "array_position(" in origins.paragraph_origins("nodes")
