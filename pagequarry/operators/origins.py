@@ -189,16 +189,20 @@ def field_origins(parsed: DataFrame, *origins: str) -> DataFrame:
     return rows.select("page_id", *found, "source_url", "html_hash", "o.reading", "o.path")
 
 
-def _followed(nodes: str, path: str) -> str:
+def _places(nodes: str) -> str:
+    """Of each node, one number made of its parent and its place among the elements there; NULL for a text."""
+    return each(nodes, lambda n: f"{n}.parent * 4294967296L + {n}.sib")
+
+
+def _followed(nodes: str, places: str, path: str) -> str:
     """The node that a path without its attribute leads to, NULL when the page has none."""
 
     def down(at: str, step: str) -> str:
         place = f"cast(regexp_extract({step}, '[0-9]+', 0) as int)"
         start = f"if({at} < 0, {nodes}, {let(f'get({nodes}, {at})', lambda n: subtree(nodes, n))})"
-        children = keep(start, lambda c: f"{c}.parent = {at}")
-        text = lambda cs: f"get({keep(cs, is_text)}, {place} - 1).id"
-        element = lambda cs: f"{first(keep(cs, lambda c: f'{c}.sib = {place} - 1'))}.id"
-        return let(children, lambda cs: f"if({at} is null, NULL, if({step} like 'text%', {text(cs)}, {element(cs)}))")
+        texts = keep(start, lambda c: f"{c}.parent = {at} and {is_text(c)}")
+        element = f"cast(nullif(array_position({places}, {at} * 4294967296L + {place} - 1), 0) - 1 as int)"
+        return f"if({at} is null, NULL, if({step} like 'text%', get({texts}, {place} - 1).id, {element}))"
 
     steps = f"filter(split({path}, '/'), s -> s <> '' and not startswith(s, '@'))"
     return f"get({nodes}, aggregate({steps}, -1, (at, step) -> {down('at', 'step')}))"
@@ -220,17 +224,18 @@ def values_at(rows: DataFrame, parsed: DataFrame, clean_urls: bool = True) -> Da
         cell = cell_text("nodes", n)
         return f"case {o}.reading when 'text' then {n}.text when 'attribute' then {attribute} when 'cell' then {cell} else {string_value('nodes', n)} end"
 
-    def read(o: str) -> str:
+    def read(o: str, places: str) -> str:
         def cleaned(v: str) -> str:
             whole = "false" if clean_urls else f"{o}.field in ({lits(URL_FIELDS)}) and {o}.extractor = 'main'"
             # a paragraph is stripped before it is cleaned
             return f"case when {v} is null then NULL when {o}.reading = 'cell' then {v} when {whole} then {strip(v)} else {clean_text(v)} end"
 
-        return let(_followed("nodes", f"{o}.path"), lambda n: f"if({n} is null, NULL, {let(raw(o, n), cleaned)})")
+        return let(_followed("nodes", places, f"{o}.path"), lambda n: f"if({n} is null, NULL, {let(raw(o, n), cleaned)})")
 
     stored = "nodes" if "nodes" in parsed.columns else "html"
     both = asked.join(parsed.select("page_id", stored).hint("merge"), "page_id", "left")
     if stored == "html":
         both = parse_pages(both)
-    answers = both.select("page_id", F.explode(F.expr(each("asked", lambda o: struct(o=o, again=read(o))))).alias("a"))
+    read_all = let(_places("nodes"), lambda places: each("asked", lambda o: struct(o=o, again=read(o, places))))
+    answers = both.select("page_id", F.explode(F.expr(read_all)).alias("a"))
     return answers.select("page_id", "a.o.*", "a.again")

@@ -73,6 +73,16 @@ def test_paths_of_any_depth(parsed, depth):
     assert row.path == "/*[2]" + "/*[1]" * depth + "/text()[1]"
 
 
+def test_steps_are_looked_up(parsed):
+    """Elements of a path are found by their place; only a text is searched for among its siblings."""
+    pages = parsed(["a<p>b<i>c</i>d</p><p><i>e</i><i>f</i>g</p>", None])
+    paths = {"/*[2]/*[2]": 9, "/*[2]/text()[1]": 11, "/*[1]/text()[2]": 5, "/text()[1]": 0, "/*[3]": None, "/*[1]/*[9]/*[1]": None, "/*[0]": None, "/*[1]/text()[3]": None}
+    for path, want in paths.items():
+        followed = let(origins._places("nodes"), lambda places: f"{origins._followed('nodes', places, repr(path))}.id")
+        got = [r.n for r in pages.orderBy("page_id").select(F.expr(followed).alias("n")).collect()]
+        assert got == [want, None], path
+
+
 def test_equal_paragraph_texts_are_matched_once(parsed):
     page = parsed([DETAIL], True)
     rows = origins.field_origins(page, origins.paragraph_origins("nodes")).collect()
