@@ -637,12 +637,19 @@ def written_summary(spark, sf_dir):
 # ---- streams ----
 
 
+def _arrival_parts(spark: SparkSession) -> int:
+    """Files of each of the four arrivals: a batch reads those of two, so all cores have one."""
+    return max(1, -(-spark.sparkContext.defaultParallelism // 2))
+
+
 def _arrivals(spark: SparkSession, sf_dir: str) -> str:
-    """The page table as four files; every third page comes again in another file."""
+    """The page table as four arrivals of some files each; every third page comes again in another one."""
     path = new_dir(spark, "arrivals")
-    key = F.col("page_id")
+    key, parts = F.col("page_id"), _arrival_parts(spark)
     twice = F.when(key % 3 == 0, F.array(key % 4, (key + 1) % 4)).otherwise(F.array(key % 4))
-    pages(spark, sf_dir).withColumn("file", F.explode(twice)).repartition(4, "file").drop("file").write.parquet(path)
+    arriving = pages(spark, sf_dir).withColumn("file", F.explode(twice))
+    place = F.coalesce("file", F.lit(0)) * parts + F.pmod(F.xxhash64("url", "page_id"), F.lit(parts))
+    arriving.repartitionById(4 * parts, place.cast("int")).drop("file").write.parquet(path)
     return path
 
 
@@ -650,7 +657,7 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> str:
 def streamed_pages(spark, sf_dir):
     """All stored pages through the arrival stream, each URL once although some arrive twice."""
     out = new_dir(spark, "stream")
-    once = arrivals.processed_once(arrivals.arriving_pages(spark, _arrivals(spark, sf_dir), files_per_trigger=2))
+    once = arrivals.processed_once(arrivals.arriving_pages(spark, _arrivals(spark, sf_dir), files_per_trigger=2 * _arrival_parts(spark)))
     arrivals.store_stream(once, f"{out}/rows", f"{out}/state").awaitTermination()
     done = spark.read.parquet(f"{out}/rows")
     return done.select("page_id", "page_type", F.size("fields").cast("long").alias("n_fields"), "error")
@@ -660,7 +667,7 @@ def streamed_pages(spark, sf_dir):
 def streamed_exactly_once(spark, sf_dir):
     """The same stream with every URL remembered: no page comes twice, whatever lies between its arrivals."""
     out = new_dir(spark, "exact")
-    done = jobs.process_pages(arrivals.arriving_pages(spark, _arrivals(spark, sf_dir), files_per_trigger=2), keep=("arrived",))
+    done = jobs.process_pages(arrivals.arriving_pages(spark, _arrivals(spark, sf_dir), files_per_trigger=2 * _arrival_parts(spark)), keep=("arrived",))
     slim = done.select("page_id", "url", "page_type", F.size("fields").cast("long").alias("n_fields"), "error")
     arrivals.store_stream(seen.first_of_each_key(slim), f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("page_id", "page_type", "n_fields", "error")

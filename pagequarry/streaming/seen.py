@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import datetime
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +22,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: JSON text carries times to the microsecond.
 TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+# rows of a key put in order at once
+AT_ONCE = 10_000
 OUT = "row string, n_before long, first_seen timestamp"
 
 
@@ -35,21 +37,25 @@ class SeenKeys(StatefulProcessor):
         self.handle = handle
         self.record = handle.getValueState("record", "first_seen timestamp, n long", self.forget_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.record.get() if self.record.exists() else None
         first, before = (known[0], known[1]) if known else (datetime.now(), 0)
-        for part in rows:
-            if not len(part):
-                continue
-            # the least row of a key and batch stands for it, however the rows were dealt
-            out = pd.DataFrame({"row": sorted(part["row"])})
-            out["n_before"] = range(before, before + len(out))
-            out["first_seen"] = first
-            before += len(out)
-            kept = out if self.repeats else out[out["n_before"] == 0]
-            if len(kept):
-                yield kept
-        self.record.update((first, before))
+        if self.repeats:
+            while came := sorted(r.row for r in islice(rows, AT_ONCE)):
+                for row in came:
+                    yield Row(row=row, n_before=before, first_seen=first)
+                    before += 1
+            self.record.update((first, before))
+            return
+        # the least row of a key and batch stands for it, however the rows were dealt; no others are kept
+        least, n = None, 0
+        for r in rows:
+            n += 1
+            if least is None or r.row < least:
+                least = r.row
+        if before == 0 and n:
+            yield Row(row=least, n_before=0, first_seen=first)
+        self.record.update((first, before + n))
 
     def close(self) -> None:
         pass
@@ -65,7 +71,7 @@ def _with_history(rows: DataFrame, key: str, forget_after_seconds: int | None, r
     use_rocksdb(rows.sparkSession)
     forget_ms = None if forget_after_seconds is None else 1000 * forget_after_seconds
     packed = rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false", **TIMES}).alias("row"))
-    done = packed.groupBy("key").transformWithStateInPandas(
+    done = packed.groupBy("key").transformWithState(
         SeenKeys(forget_ms, repeats), outputStructType=OUT, outputMode="append", timeMode="None" if forget_ms is None else "ProcessingTime"
     )
     return done.select(F.from_json("row", rows.schema, TIMES).alias("r"), "n_before", "first_seen")
